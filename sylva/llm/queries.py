@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sylva.llm import source_mix, url_filter
+from sylva.llm import byte_bpe, license_scan, source_mix, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_source_mix": source_mix.query,
         "op4_url_filter": url_filter.query,
+        "op6_byte_bpe": byte_bpe.query,
+        "op8_license_scan": license_scan.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filter": url_filter.SQL}
+    return {"op4_url_filter": url_filter.SQL, "op8_license_scan": license_scan.SQL}
