@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +49,61 @@ def uniform(*parts: Column | str) -> Column:
     return F.shiftrightunsigned(bits, 11).cast("double") / F.lit(float(1 << 53))
 
 
+def remainder(key: Column, of: int) -> Column:
+    """crc32 of the key as text, modulo a number; -1 for a null key."""
+    return F.coalesce(F.pmod(F.crc32(key.cast("string")), F.lit(of)), F.lit(-1))
+
+
+def at_most(counts: DataFrame, most: int, value: str = "c") -> DataFrame:
+    """The rows of the greatest values, never more than most: those above a threshold set from a histogram."""
+    step = F.floor(F.log2(value) * 16).cast("int")
+    bins = sorted(counts.groupBy(step.alias("b")).count().collect(), reverse=True)  # a row for each sixteenth of a power of two
+    total, least = 0, None
+    for b, n in bins:
+        total += n
+        if total > most:
+            break
+        least = b
+    return counts.where(step >= least) if least is not None else counts.limit(0)
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """node and label (its component's least node) for each node of the edges a, b.
+
+    Each round takes the least label next to a node and then follows labels one step further, so
+    long chains close quickly. Sums over a node's edges are combined before the shuffle.
+    """
+    both = cut(edges.select(F.col("a").alias("node"), F.col("b").alias("next")).union(edges.select("b", "a")).distinct())
+    labels = cut(both.groupBy("node").agg(F.least(F.min("next"), F.first("node")).alias("label")))
+    while True:
+        near = both.join(labels.withColumnRenamed("node", "next"), "next").groupBy("node").agg(F.min("label").alias("near"))
+        step = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        far = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
+        step = cut(step.join(far, "label", "left").select("node", "old", F.least("label", "far").alias("label")))
+        labels = step.select("node", "label")
+        if step.where("old <> label").isEmpty():
+            return labels
+
+
+def chunks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[dict[str, list], list[bytes]]]:
+    """Other columns and UTF-8 texts (column text; null is empty), about so many bytes at once."""
+    held, texts, size = {}, [], 0
+    for batch in batches:
+        names = batch.schema.names
+        columns = {n: batch.column(i).to_pylist() for i, n in enumerate(names) if n != "text"}
+        for k, t in enumerate(batch.column(names.index("text"))):
+            b = t.as_buffer()
+            texts.append(b.to_pybytes() if b is not None else b"")
+            for n, v in columns.items():
+                held.setdefault(n, []).append(v[k])
+            size += len(texts[-1])
+            if size >= most:
+                yield held, texts
+                held, texts, size = {}, [], 0
+    if texts:
+        yield held, texts
+
+
 # ---------------------------------------------------------------- bytes in numpy
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -66,6 +123,10 @@ def powers(n: int, which: str = "up") -> np.ndarray:
     return have[:n]
 
 
+IS_SPACE = np.zeros(256, bool)
+IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64 bits that spreads each over all."""
     h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
@@ -83,3 +144,19 @@ def prefix_sums(data: np.ndarray) -> np.ndarray:
 def span_hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hashes of data[start:end], equal for equal bytes wherever they stand."""
     return mix((sums[end] - sums[start]) * powers(len(sums), "down")[start] + (end - start).astype(np.uint64))
+
+
+def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words in bytes."""
+    inside = np.zeros(len(data) + 2, bool)
+    np.logical_not(IS_SPACE[data], out=inside[1:-1])
+    turns = np.flatnonzero(inside[1:] != inside[:-1])
+    return turns[::2], turns[1::2]
+
+
+def laid_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """All texts as one array with a space after each, and where each starts (and, last, the end)."""
+    data = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
+    starts = np.zeros(len(texts) + 1, np.int64)
+    np.cumsum([len(t) + 1 for t in texts], out=starts[1:])
+    return data, starts
