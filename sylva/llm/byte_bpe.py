@@ -200,7 +200,9 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
             rows = [(len(i), hashlib.sha256(i.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(b).hexdigest(), i if with_ids else None) for i, b in encode_texts(texts, words, pattern)]
             n, sha, back, ids = zip(*rows, strict=True)
             out = [pa.array(keys, pa.int64()), pa.array(n, pa.int64()), pa.array(sha), pa.array(back)]
-            yield pa.RecordBatch.from_arrays(out + [pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32()))] * with_ids, names)
+            if with_ids:
+                out.append(pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())))
+            yield pa.RecordBatch.from_arrays(out, names)
 
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
     out = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, SCHEMA + ", ids array<int>" * with_ids)
