@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sylva.llm import byte_bpe, license_scan, source_mix, url_filter
+from sylva.llm import byte_bpe, jaccard_join, license_scan, lm_score, source_mix, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_lm_score": lm_score.query,
+        "op2_jaccard_join": jaccard_join.query,
         "op3_source_mix": source_mix.query,
         "op4_url_filter": url_filter.query,
         "op6_byte_bpe": byte_bpe.query,
