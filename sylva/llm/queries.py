@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sylva.llm import byte_bpe, jaccard_join, license_scan, lm_score, source_mix, url_filter
+from sylva.llm import byte_bpe, fuzzy_hash, jaccard_join, license_scan, lm_score, source_mix, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,7 +15,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_jaccard_join": jaccard_join.query,
         "op3_source_mix": source_mix.query,
         "op4_url_filter": url_filter.query,
+        "op5_fuzzy_hash": fuzzy_hash.query,
         "op6_byte_bpe": byte_bpe.query,
+        "op7_toxicity": toxicity.query,
         "op8_license_scan": license_scan.query,
     }
 
