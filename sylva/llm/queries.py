@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sylva.llm import byte_bpe, fuzzy_hash, jaccard_join, license_scan, lm_score, source_mix, suffix_dedup, toxicity, url_filter
+from sylva.llm import byte_bpe, fuzzy_hash, graph_search, jaccard_join, license_scan, lm_score, source_mix, suffix_dedup, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_byte_bpe": byte_bpe.query,
         "op7_toxicity": toxicity.query,
         "op8_license_scan": license_scan.query,
+        "op9_graph_search": graph_search.query,
         "op10_suffix_dedup": suffix_dedup.query,
     }
 
