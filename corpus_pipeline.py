@@ -4,12 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sylva.llm import source_mix
+from sylva.llm import byte_bpe, jaccard_join, source_mix, suffix_dedup, toxicity
 from sylva.llm.common import cut
 
-#: (name, function); each takes (spark, docs, sf_dir).
+#: (name, function); each takes (spark, docs, sf_dir). Toxic documents go, one document of each group
+#: of near copies stays, repeated passages go from the texts, documents are repeated or left out to
+#: meet the sources' weights, and what is left is encoded.
 STAGES = [
+    ("toxicity", toxicity.stage),
+    ("jaccard_join", jaccard_join.stage),
+    ("suffix_dedup", suffix_dedup.stage),
     ("source_mix", source_mix.stage),
+    ("byte_bpe", byte_bpe.stage),
 ]
 
 #: Learning, hashing draws and byte-pair merges are beyond SQL; tests hold run() against brute force.
