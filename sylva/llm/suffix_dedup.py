@@ -27,7 +27,7 @@ LENGTH = 400
 #: Bytes of a gram, and of the distances that share a core.
 GRAM, REACH = 20, 128
 #: Bytes of a shard, as whole groups; groups of more distinct stretches are dealt on by windows.
-SHARD, WIDE = 1_000_000, 500
+SHARD, WIDE = 400_000, 500
 CHUNK = 2_000_000
 
 
@@ -136,9 +136,13 @@ def removed_runs(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield flush()
 
     placed = cut(docs.join(marked, "rid").mapInArrow(laid, "rid bigint, grp bigint, h1 bigint, h2 bigint, first int, count int, bytes binary"))
-    distinct = cut(placed.groupBy("grp", "h1", "h2").agg(F.count("*").alias("c"), F.first("bytes", ignorenulls=True).alias("bytes")))
-    wide = distinct.groupBy("grp").agg(F.count("*").alias("n")).where(F.col("n") > WIDE).select("grp")
-    narrow = distinct.join(wide, "grp", "left_anti")
+    distinct = placed.groupBy("grp", "h1", "h2").agg(F.count("*").alias("c"), F.first("bytes", ignorenulls=True).alias("bytes"))
+    sizes = placed.groupBy("grp", "h1", "h2").agg(F.lit(1).alias("one")).groupBy("grp").agg(F.count("*").alias("n"))
+    distinct = cut(distinct.join(sizes, "grp"))
+    # A stretch alone in its group has no other to be sorted with; it stands at several places, so all of it repeats.
+    windows_of = F.array((F.length("bytes") - length + 1).cast("int"))
+    alone = distinct.where("n = 1").select("grp", "h1", "h2", F.array(F.lit(0)).alias("a"), windows_of.alias("b"))
+    narrow, wide = distinct.where((F.col("n") > 1) & (F.col("n") <= WIDE)), distinct.where(F.col("n") > WIDE)
 
     def sorted_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def shard(rows: list[tuple]) -> pa.RecordBatch:
@@ -173,10 +177,10 @@ def removed_runs(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                     ["grp", "h1", "h2", "c", "i", "w1", "w2"],
                 )
 
-    each = cut(distinct.join(wide, "grp", "left_semi").select("grp", "h1", "h2", "c", "bytes").mapInArrow(windows, "grp bigint, h1 bigint, h2 bigint, c bigint, i int, w1 bigint, w2 bigint"))
+    each = cut(wide.select("grp", "h1", "h2", "c", "bytes").mapInArrow(windows, "grp bigint, h1 bigint, h2 bigint, c bigint, i int, w1 bigint, w2 bigint"))
     often = each.groupBy("w1", "w2").agg(F.sum("c").alias("times")).where("times > 1").select("w1", "w2")
     apart = each.join(often, ["w1", "w2"]).groupBy("grp", "h1", "h2").agg(F.collect_list("i").alias("a")).withColumn("b", F.transform("a", lambda i: i + 1))  # REACH windows at most
-    found = cut(found.unionByName(apart).where(F.size("a") > 0))
+    found = cut(found.unionByName(alone).unionByName(apart).where(F.size("a") > 0))
     spans = F.arrays_zip("a", "b")
     runs = placed.select("rid", "grp", "h1", "h2", "first").join(found, ["grp", "h1", "h2"])
     runs = runs.select("rid", F.transform(spans, lambda r: F.struct((F.col("first") + r["a"]).alias("a"), (F.col("first") + r["b"] - 1 + length).alias("b"))).alias("runs"))

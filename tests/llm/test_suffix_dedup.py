@@ -30,7 +30,7 @@ def test_table(spark, sf):
     assert got(suffix_dedup.query(spark, sf)) == want
 
 
-@pytest.mark.parametrize(("wide", "shard", "reach", "length"), [(500, 10**6, 128, 60), (0, 10**6, 16, 60), (2, 500, 16, 25), (500, 300, 7, 20)])
+@pytest.mark.parametrize(("wide", "shard", "reach", "length"), [(500, 10**6, 128, 60), (1, 10**6, 16, 60), (2, 500, 16, 25), (500, 300, 7, 20)])
 def test_planted(spark, monkeypatch, wide, shard, reach, length):
     monkeypatch.setattr(suffix_dedup, "WIDE", wide)
     monkeypatch.setattr(suffix_dedup, "SHARD", shard)
