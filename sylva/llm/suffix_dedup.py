@@ -108,7 +108,7 @@ def removed_runs(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(group.view(np.int64)), pa.array(first, pa.int32()), pa.array(count, pa.int32())], ["rid", "grp", "first", "count"])
 
     places = cut(docs.mapInArrow(named, "rid bigint, grp bigint, first int, count int"))
-    alive = places.groupBy("grp").agg(F.count("*").alias("c"), F.max("count").alias("most")).where("c > 1").select("grp")
+    alive = cut(places.groupBy("grp").agg(F.count("*").alias("c")).where("c > 1").select("grp"))  # written, so that the join can split a large group
     marked = places.join(alive, "grp").groupBy("rid").agg(F.collect_list(F.struct("grp", "first", "count")).alias("at"))  # no more than the text has windows
 
     def laid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,7 +163,8 @@ def removed_runs(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield shard(rows)
 
     schema = "grp bigint, h1 bigint, h2 bigint, a array<int>, b array<int>"
-    dealt = narrow.select("grp", "h1", "h2", "c", "bytes").repartition("grp").sortWithinPartitions("grp")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # sorting is long for its bytes: no merging of small ones
+    dealt = narrow.select("grp", "h1", "h2", "c", "bytes").repartition(parts, "grp").sortWithinPartitions("grp")
     found = dealt.mapInArrow(sorted_shards, schema)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
