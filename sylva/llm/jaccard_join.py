@@ -5,8 +5,8 @@ document of that minimum, which joins most of a large group of near copies in as
 as it has members. Then the exact join: with shingles in one order (seldom ones first), two sets
 that overlap in T shingles share L of those in their prefixes of size - T + L. A document lengthens
 its prefix, L = 1 to LONGEST, while the cost that the listed frequencies let expect goes down; a pair
-needs as many common prefix shingles as the shorter of both lengthenings before its sets are
-compared. Only prefix shingles that stand in two components found so far make pairs, and for each
+needs as many common prefix shingles as the shorter of both lengthenings, and as its sizes ask for,
+before its sets are compared. Only prefix shingles that stand in two components found so far make pairs, and for each
 of these shingles the pairs within its largest component are left out, as they can add nothing.
 """
 
@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sylva.llm.common import at_most, chunks, components, cut, laid_out, mix, prefix_sums, row_ids, span_hashes, word_spans
@@ -24,11 +24,13 @@ from sylva.session import table
 
 WORDS, PERCENT = 4, 85
 MINIMA, LONGEST = 8, 4
+#: Minima that a row shares with the least one of them before the two are compared; the exact join finds what this leaves.
+SAME = 3
 #: Shingles listed as frequent, at most; a place in the order and a cost, nothing else, depends on the list.
 LISTED = 200_000
 #: What comparing two sets costs, in prefix rows.
 COMPARING = 8.0
-CHUNK, SPAN = 3_000_000, 4_000_000
+CHUNK, SPAN = 2_000_000, 3_000_000
 _A = np.uint64(0x9FB21C651E98DF25)
 _SEEDS = mix(np.arange(1, 1 + MINIMA, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
@@ -134,6 +136,11 @@ def prefixes(docs: DataFrame, listed: tuple[np.ndarray, np.ndarray], words: int,
     return docs.select("rid", "text").mapInArrow(run, "rid bigint, n bigint, extra bigint, prefix array<bigint>")
 
 
+def _overlap(n: Column, percent: int) -> Column:
+    """The least overlap with any set that a set of n shingles links with."""
+    return F.ceil(n * percent / F.lit(100.0) - 1e-9)
+
+
 def sets(docs: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held, texts in chunks(batches, CHUNK):
@@ -170,7 +177,8 @@ def group_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     # Rows that share a minimum meet its least row.
     met = one.select("rid", F.posexplode("minima"))
     least = met.groupBy("pos", "col").agg(F.min("rid").alias("least"), F.count("*").alias("c")).where("c > 1")
-    close = met.join(least, ["pos", "col"]).where("rid <> least").select(F.col("least").alias("a"), F.col("rid").alias("b")).distinct()
+    close = met.join(least, ["pos", "col"]).where("rid <> least").groupBy(F.col("least").alias("a"), F.col("rid").alias("b")).agg(F.count("*").alias("c"))
+    close = close.where(F.col("c") >= SAME).select("a", "b")
     links = linked(close, docs, words, percent)
     found = components(links)
 
@@ -190,9 +198,12 @@ def group_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
         & ((F.col("y.label") == F.col("y.main")) | (F.col("x.rid") < F.col("y.rid")))
         & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
     )
-    pair = pair.groupBy(F.least("x.rid", "y.rid").alias("a"), F.greatest("x.rid", "y.rid").alias("b")).agg(
-        F.count("*").alias("c"), F.first(F.least("x.extra", "y.extra")).alias("needed")
-    )
+    # Of two prefixes, the one that ends first misses common shingles in its own rest only, so that the
+    # common ones in both prefixes and the longer rest must reach the overlap that the sizes ask for.
+    rest = lambda side: _overlap(F.col(f"{side}.n"), percent) - F.col(f"{side}.extra")
+    overlap = F.ceil(F.lit(percent) * (F.col("x.n") + F.col("y.n")) / F.lit(100.0 + percent) - 1e-9)
+    needed = F.greatest(F.least("x.extra", "y.extra"), overlap - F.greatest(rest("x"), rest("y")))
+    pair = pair.groupBy(F.least("x.rid", "y.rid").alias("a"), F.greatest("x.rid", "y.rid").alias("b")).agg(F.count("*").alias("c"), F.first(needed).alias("needed"))
     links = links.union(linked(pair.where("c >= needed").select("a", "b"), docs, words, percent))
     found = components(links)
 
