@@ -5,8 +5,8 @@ document of that minimum, which joins most of a large group of near copies in as
 as it has members. Then the exact join: with shingles in one order (seldom ones first), two sets
 that overlap in T shingles share L of those in their prefixes of size - T + L. A document lengthens
 its prefix, L = 1 to LONGEST, while the cost that the listed frequencies let expect goes down; a pair
-needs as many common prefix shingles as the shorter of both lengthenings, and as its sizes ask for,
-before its sets are compared. Only prefix shingles that stand in two components found so far make pairs, and for each
+needs as many common shingles, at places that its sizes allow, as the shorter of both lengthenings,
+and then as many in both whole prefixes as its sizes ask for, before its sets are compared. Only prefix shingles that stand in two components found so far make pairs, and for each
 of these shingles the pairs within its largest component are left out, as they can add nothing.
 """
 
@@ -23,11 +23,13 @@ from sylva.llm.common import at_most, chunks, components, cut, laid_out, mix, pr
 from sylva.session import table
 
 WORDS, PERCENT = 4, 85
-MINIMA, LONGEST = 8, 4
+MINIMA = 8
+#: By how much a prefix can be lengthened.
+LENGTHS = (1, 2, 4, 8)
 #: Minima that a row shares with the least one of them before the two are compared; the exact join finds what this leaves.
 SAME = 3
 #: Shingles listed as frequent, at most; a place in the order and a cost, nothing else, depends on the list.
-LISTED = 200_000
+LISTED = 400_000
 #: What comparing two sets costs, in prefix rows.
 COMPARING = 8.0
 CHUNK, SPAN = 2_000_000, 3_000_000
@@ -123,7 +125,7 @@ def prefixes(docs: DataFrame, listed: tuple[np.ndarray, np.ndarray], words: int,
             overlap = -(-n * percent // 100)
             total = np.concatenate([[0], np.cumsum(cost)])
             best, extra = np.full(len(n), np.inf), np.ones(len(n), np.int64)
-            for k in range(1, LONGEST + 1):
+            for k in LENGTHS:
                 reads = (total[at[:-1] + np.minimum(n, n - overlap + k)] - total[at[:-1]]).astype(float)
                 expected = np.where(k <= overlap, reads + COMPARING * reads / k, np.inf)
                 better = expected < best
@@ -136,9 +138,9 @@ def prefixes(docs: DataFrame, listed: tuple[np.ndarray, np.ndarray], words: int,
     return docs.select("rid", "text").mapInArrow(run, "rid bigint, n bigint, extra bigint, prefix array<bigint>")
 
 
-def _overlap(n: Column, percent: int) -> Column:
-    """The least overlap with any set that a set of n shingles links with."""
-    return F.ceil(n * percent / F.lit(100.0) - 1e-9)
+def _both(a: Column, b: Column, percent: int) -> Column:
+    """The overlap that sets of a and b shingles need to link."""
+    return F.ceil(percent * (a + b) / F.lit(100.0 + percent) - 1e-9)
 
 
 def sets(docs: DataFrame, words: int) -> DataFrame:
@@ -187,24 +189,33 @@ def group_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     order = np.argsort(h)
     placed = prefixes(docs, (h[order], c[order]), words, percent).join(one.select("rid"), "rid", "left_semi")
     placed = placed.join(found.withColumnRenamed("node", "rid"), "rid", "left").withColumn("label", F.coalesce("label", "rid"))
-    tokens = cut(placed).select("rid", "n", "extra", "label", F.explode("prefix").alias("token"))
-    shared = tokens.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("token")
+    placed = cut(placed)
+    tokens = placed.select("rid", "n", "extra", "label", F.posexplode("prefix").alias("pos", "token"))
+    shared = cut(tokens.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("token"))
     live = cut(tokens.join(shared, "token"))
     most = live.groupBy("token", "label").agg(F.count("*").alias("c")).groupBy("token").agg(F.max_by("label", F.struct("c", "label")).alias("main"))
-    live = cut(live.join(most, "token"))
-    here, there = live.where("label <> main").alias("x"), live.alias("y")
-    pair = here.join(there, F.col("x.token") == F.col("y.token")).where(
-        (F.col("x.label") != F.col("y.label"))
-        & ((F.col("y.label") == F.col("y.main")) | (F.col("x.rid") < F.col("y.rid")))
-        & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
+    live = cut(live.join(cut(most), "token"))
+    # The smaller set of a pair overlaps the other by more than half of what both sizes ask for, so less of it needs to be looked up.
+    here = live.where(F.col("pos") < F.col("n") - _both(F.col("n"), F.col("n"), percent) + F.col("extra")).alias("x")
+    there = live.alias("y")
+    x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
+    overlap, longer = _both(x("n"), y("n"), percent), F.least(x("extra"), y("extra"))
+    pair = here.join(there, x("token") == y("token")).where(
+        (x("label") != y("label"))
+        & ((x("n") < y("n")) | ((x("n") == y("n")) & (x("rid") < y("rid"))))
+        & (100 * x("n") >= percent * y("n"))
+        & (x("pos") < x("n") - overlap + longer)
+        & (y("pos") < y("n") - overlap + longer)
+        & ((x("label") != x("main")) | (y("label") != y("main")))
     )
-    # Of two prefixes, the one that ends first misses common shingles in its own rest only, so that the
-    # common ones in both prefixes and the longer rest must reach the overlap that the sizes ask for.
-    rest = lambda side: _overlap(F.col(f"{side}.n"), percent) - F.col(f"{side}.extra")
-    overlap = F.ceil(F.lit(percent) * (F.col("x.n") + F.col("y.n")) / F.lit(100.0 + percent) - 1e-9)
-    needed = F.greatest(F.least("x.extra", "y.extra"), overlap - F.greatest(rest("x"), rest("y")))
-    pair = pair.groupBy(F.least("x.rid", "y.rid").alias("a"), F.greatest("x.rid", "y.rid").alias("b")).agg(F.count("*").alias("c"), F.first(needed).alias("needed"))
-    links = links.union(linked(pair.where("c >= needed").select("a", "b"), docs, words, percent))
+    pair = pair.groupBy(x("rid").alias("a"), y("rid").alias("b")).agg(F.count("*").alias("c"), F.first(longer).alias("longer")).where("c >= longer").select("a", "b")
+    # Of two whole prefixes, the one that ends first misses common shingles in its own rest only, so the
+    # common ones in both prefixes and the longer rest must reach the overlap.
+    side = lambda k: placed.select(F.col("rid").alias(k), F.struct("n", "prefix").alias(f"p{k}"))
+    pair = pair.join(side("a"), "a").join(side("b"), "b")
+    rest = F.greatest(F.col("pa.n") - F.size("pa.prefix"), F.col("pb.n") - F.size("pb.prefix"))
+    pair = pair.where(F.size(F.array_intersect("pa.prefix", "pb.prefix")) >= _both(F.col("pa.n"), F.col("pb.n"), percent) - rest)
+    links = links.union(linked(pair.select("a", "b"), docs, words, percent))
     found = components(links)
 
     keyed = docs.select("rid", "key").join(rows.select("rid", "n", "s1", "s2"), "rid")
