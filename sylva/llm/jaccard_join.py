@@ -1,13 +1,12 @@
 """N-gram Jaccard join with adaptive multi-match prefixes.
 
-Documents of equal shingle sets are one. Sets that share a minimum are compared with the least
-document of that minimum, which joins most of a large group of near copies in as many comparisons
-as it has members. Then the exact join: with shingles in one order (seldom ones first), two sets
-that overlap in T shingles share L of those in their prefixes of size - T + L. A document lengthens
-its prefix, L = 1 to LONGEST, while the cost that the listed frequencies let expect goes down; a pair
-needs as many common shingles, at places that its sizes allow, as the shorter of both lengthenings,
-and then as many in both whole prefixes as its sizes ask for, before its sets are compared. Only prefix shingles that stand in two components found so far make pairs, and for each
-of these shingles the pairs within its largest component are left out, as they can add nothing.
+Documents of equal shingle sets are one. Sets that share minima are compared with the one among them
+whose shingles are the most frequent, which joins most of a large group of near copies in as many
+comparisons as it has members. Then the exact join: with shingles in one order (seldom ones first), two sets
+that overlap in T shingles share L of those in their prefixes of size - T + L. A document takes
+the L of LENGTHS for which the listed frequencies let expect the least cost; a pair needs as many common shingles, at places that its sizes allow, as the shorter of both lengthenings,
+and then as many in both whole prefixes as its sizes ask for, before its sets are compared. Only prefix shingles that stand in two components found so far make
+pairs, and pairs within one component are left out, as they can add nothing.
 """
 
 from __future__ import annotations
@@ -32,6 +31,8 @@ SAME = 3
 LISTED = 400_000
 #: What comparing two sets costs, in prefix rows.
 COMPARING = 8.0
+#: Bits of the filter for rows whose sets are compared: a bound on what is broadcast, not on rows.
+FILTER = 1 << 24
 CHUNK, SPAN = 2_000_000, 3_000_000
 _A = np.uint64(0x9FB21C651E98DF25)
 _SEEDS = mix(np.arange(1, 1 + MINIMA, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
@@ -106,7 +107,7 @@ def describe(docs: DataFrame, words: int) -> DataFrame:
 
 
 def prefixes(docs: DataFrame, listed: tuple[np.ndarray, np.ndarray], words: int, percent: int) -> DataFrame:
-    """rid, n, extra (how far the prefix is lengthened) and the prefix's shingles."""
+    """rid, n, extra (how far the prefix is lengthened), the mean frequency of the shingles, and the prefix's."""
     given = docs.sparkSession.sparkContext.broadcast(listed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,9 +134,11 @@ def prefixes(docs: DataFrame, listed: tuple[np.ndarray, np.ndarray], words: int,
             size = np.where(n > 0, n - overlap + extra, 0)
             keep = np.arange(len(h)) - np.repeat(at[:-1], n) < np.repeat(size, n)
             ends = np.concatenate([[0], np.cumsum(size)])
-            yield pa.RecordBatch.from_arrays([pa.array(held["rid"], pa.int64()), pa.array(n), pa.array(extra), _lists(h[keep], ends)], ["rid", "n", "extra", "prefix"])
+            central = (total[at[1:]] - total[at[:-1]]) / np.maximum(n, 1)
+            columns = [pa.array(held["rid"], pa.int64()), pa.array(n), pa.array(extra), pa.array(central), _lists(h[keep], ends)]
+            yield pa.RecordBatch.from_arrays(columns, ["rid", "n", "extra", "central", "prefix"])
 
-    return docs.select("rid", "text").mapInArrow(run, "rid bigint, n bigint, extra bigint, prefix array<bigint>")
+    return docs.select("rid", "text").mapInArrow(run, "rid bigint, n bigint, extra bigint, central double, prefix array<bigint>")
 
 
 def _both(a: Column, b: Column, percent: int) -> Column:
@@ -143,20 +146,34 @@ def _both(a: Column, b: Column, percent: int) -> Column:
     return F.ceil(percent * (a + b) / F.lit(100.0 + percent) - 1e-9)
 
 
-def sets(docs: DataFrame, words: int) -> DataFrame:
+def sets(docs: DataFrame, named: DataFrame, words: int) -> DataFrame:
+    """rid and shingles of the rows named (column rid), and of a few more that a filter of FILTER bits lets through."""
+    bit = F.pmod(F.xxhash64("rid"), F.lit(FILTER))
+    words_of_bits = named.groupBy(F.shiftright(bit, 5).cast("int").alias("w")).agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), (bit % 32).cast("int"))).alias("b")).toArrow()  # FILTER / 32 rows at most
+    bits = np.zeros(FILTER // 32, np.uint32)
+    bits[words_of_bits.column("w").to_numpy()] = words_of_bits.column("b").to_numpy()
+    asked = docs.sparkSession.sparkContext.broadcast(bits)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held, texts in chunks(batches, CHUNK):
+        def through() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at = batch.column(1).to_numpy()
+                keep = (asked.value[at >> 5] >> (at & 31).astype(np.uint32)) & 1 == 1
+                if keep.any():
+                    yield batch.filter(pa.array(keep))
+
+        for held, texts in chunks(through(), CHUNK):
             h, at = shingles(texts, words)
             yield pa.RecordBatch.from_arrays([pa.array(held["rid"], pa.int64()), _lists(h, at)], ["rid", "shingles"])
 
-    return docs.select("rid", "text").mapInArrow(run, "rid bigint, shingles array<bigint>")
+    return docs.select("rid", bit.alias("bit"), "text").mapInArrow(run, "rid bigint, shingles array<bigint>")
 
 
 def linked(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs a, b of rids whose sets are near enough."""
     pairs = cut(pairs)
     named = pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).distinct()
-    held = cut(sets(docs.join(named, "rid", "left_semi"), words))
+    held = cut(sets(docs, named, words))
     both = pairs.join(held.select(F.col("rid").alias("a"), F.col("shingles").alias("x")), "a").join(held.select(F.col("rid").alias("b"), F.col("shingles").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     return cut(both.withColumn("common", common).where(100 * F.col("common") >= percent * (F.size("x") + F.size("y") - F.col("common"))).select("a", "b"))
@@ -176,25 +193,21 @@ def group_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     rows = described.where("rid is not null")
     one = rows.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("rid").alias("rid"), F.first("minima").alias("minima"))
     one = cut(one)
-    # Rows that share a minimum meet its least row.
-    met = one.select("rid", F.posexplode("minima"))
-    least = met.groupBy("pos", "col").agg(F.min("rid").alias("least"), F.count("*").alias("c")).where("c > 1")
-    close = met.join(least, ["pos", "col"]).where("rid <> least").groupBy(F.col("least").alias("a"), F.col("rid").alias("b")).agg(F.count("*").alias("c"))
-    close = close.where(F.col("c") >= SAME).select("a", "b")
-    links = linked(close, docs, words, percent)
-    found = components(links)
-
     often = at_most(described.where("rid is null").groupBy("s1").agg(F.sum("s2").alias("c")), LISTED).toArrow()  # LISTED rows at most
     h, c = often.column("s1").to_numpy(), often.column("c").to_numpy()
     order = np.argsort(h)
-    placed = prefixes(docs, (h[order], c[order]), words, percent).join(one.select("rid"), "rid", "left_semi")
-    placed = placed.join(found.withColumnRenamed("node", "rid"), "rid", "left").withColumn("label", F.coalesce("label", "rid"))
+    placed = cut(prefixes(docs, (h[order], c[order]), words, percent).join(one.select("rid", "minima"), "rid"))
+    # Rows that share a minimum meet the one of them whose shingles are the most frequent: what the others are copies of.
+    met = placed.select("rid", "central", F.posexplode("minima"))
+    chief = met.groupBy("pos", "col").agg(F.max_by("rid", F.struct("central", "rid")).alias("chief"), F.count("*").alias("c")).where("c > 1")
+    close = met.join(cut(chief), ["pos", "col"]).where("rid <> chief").groupBy(F.least("rid", "chief").alias("a"), F.greatest("rid", "chief").alias("b")).agg(F.count("*").alias("c"))
+    links = linked(close.where(F.col("c") >= SAME).select("a", "b"), docs, words, percent)
+    found = components(links)
+    placed = placed.drop("minima").join(found.withColumnRenamed("node", "rid"), "rid", "left").withColumn("label", F.coalesce("label", "rid"))
     placed = cut(placed)
     tokens = placed.select("rid", "n", "extra", "label", F.posexplode("prefix").alias("pos", "token"))
     shared = cut(tokens.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("token"))
     live = cut(tokens.join(shared, "token"))
-    most = live.groupBy("token", "label").agg(F.count("*").alias("c")).groupBy("token").agg(F.max_by("label", F.struct("c", "label")).alias("main"))
-    live = cut(live.join(cut(most), "token"))
     # The smaller set of a pair overlaps the other by more than half of what both sizes ask for, so less of it needs to be looked up.
     here = live.where(F.col("pos") < F.col("n") - _both(F.col("n"), F.col("n"), percent) + F.col("extra")).alias("x")
     there = live.alias("y")
@@ -206,7 +219,6 @@ def group_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
         & (100 * x("n") >= percent * y("n"))
         & (x("pos") < x("n") - overlap + longer)
         & (y("pos") < y("n") - overlap + longer)
-        & ((x("label") != x("main")) | (y("label") != y("main")))
     )
     pair = pair.groupBy(x("rid").alias("a"), y("rid").alias("b")).agg(F.count("*").alias("c"), F.first(longer).alias("longer")).where("c >= longer").select("a", "b")
     # Of two whole prefixes, the one that ends first misses common shingles in its own rest only, so the

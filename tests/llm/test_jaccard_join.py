@@ -49,6 +49,7 @@ def test_equals_brute_force_on_a_table(spark, sf):
 def test_chains_and_shared_passages(spark, monkeypatch, words, percent, minima):
     monkeypatch.setattr(jaccard_join, "_SEEDS", jaccard_join._SEEDS[:minima])
     monkeypatch.setattr(jaccard_join, "SAME", min(minima, 3))
+    monkeypatch.setattr(jaccard_join, "FILTER", 64)
     rng = random.Random(5)
     passage = [rng.choice("abcdefghij") * 3 + str(i) for i in range(40)]
     rows = []
