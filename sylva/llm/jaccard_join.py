@@ -149,7 +149,7 @@ def _both(a: Column, b: Column, percent: int) -> Column:
 def sets(docs: DataFrame, named: DataFrame, words: int) -> DataFrame:
     """rid and shingles of the rows named (column rid), and of a few more that a filter of FILTER bits lets through."""
     bit = F.pmod(F.xxhash64("rid"), F.lit(FILTER))
-    words_of_bits = named.groupBy(F.shiftright(bit, 5).cast("int").alias("w")).agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), (bit % 32).cast("int"))).alias("b")).toArrow()  # FILTER / 32 rows at most
+    words_of_bits = named.groupBy(F.shiftright(bit, 5).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 32).cast("int"))).alias("b")).toArrow()  # FILTER / 32 rows at most
     bits = np.zeros(FILTER // 32, np.uint32)
     bits[words_of_bits.column("w").to_numpy()] = words_of_bits.column("b").to_numpy()
     asked = docs.sparkSession.sparkContext.broadcast(bits)
