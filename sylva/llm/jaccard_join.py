@@ -29,8 +29,8 @@ LENGTHS = (1, 2, 4, 8)
 SAME = 3
 #: Shingles listed as frequent, at most; a place in the order and a cost, nothing else, depends on the list.
 LISTED = 400_000
-#: What comparing two sets costs, in prefix rows.
-COMPARING = 8.0
+#: What comparing a candidate pair costs, in pair rows: most fall to a comparison of short prefixes.
+COMPARING = 0.5
 #: Bits of the filter for rows whose sets are compared: a bound on what is broadcast, not on rows.
 FILTER = 1 << 24
 CHUNK, SPAN = 2_000_000, 3_000_000
