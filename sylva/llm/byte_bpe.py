@@ -24,7 +24,7 @@ from sylva.session import table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Code points of text handled at once; a bound on memory, not on texts.
-CHUNK = 24_000_000
+CHUNK = 16_000_000
 #: Words of more bytes are contracted with a heap, as the recursion's rows grow with a word's square.
 LONG_WORD = 64
 #: Fixed value: the public pattern, for which texts may be cut before single spaces.
@@ -71,10 +71,13 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class Words:
     """Ids and bytes of distinct words, by one DuckDB connection and its merge table."""
 
+    #: Words contracted by one recursive query.
+    batch = 16_000
+
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks, self.pieces = ranks, {i: t for t, i in ranks.items()}
         merges = [(ranks[t[:k]], ranks[t[k:]], i) for t, i in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "600MB"})
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
         a, b, m = np.array(merges, np.int64).reshape(-1, 3).T
         self._table("merges", pa.table({"pair": a * 65536 + b, "merged": m}))
         self._table("vocabulary", pa.table({"id": pa.array(list(self.pieces), pa.int32()), "hex": [t.hex() for t in self.pieces.values()]}))
@@ -84,33 +87,46 @@ class Words:
         self.con.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM incoming")
         self.con.unregister("incoming")
 
-    def encode(self, words: list[bytes]) -> tuple[list[np.ndarray], list[bytes]]:
-        """For each word its ids and the bytes that these stand for."""
-        ids: list[np.ndarray] = [np.empty(0, np.uint32)] * len(words)
-        back = [b""] * len(words)
-        rest = []
+    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """The ids of all words, one after the other, how many each has, and the bytes that these stand for."""
+        sizes, back = np.zeros(len(words), np.int64), [b""] * len(words)
+        parts: list[tuple[np.ndarray, np.ndarray]] = []  # words and all their ids
+        rest, whole = [], []
         for k, w in enumerate(words):
             if (i := self.ranks.get(w)) is not None:
-                ids[k], back[k] = np.array([i], np.uint32), self.pieces[i]
+                whole.append((k, i))
+                back[k] = self.pieces[i]
             elif len(w) > LONG_WORD:
-                ids[k] = np.array(self.by_heap(w), np.uint32)
-                back[k] = b"".join(self.pieces[i] for i in ids[k].tolist())
+                ids = np.array(self.by_heap(w), np.uint32)
+                sizes[k], back[k] = len(ids), b"".join(self.pieces[i] for i in ids.tolist())
+                parts.append((np.array([k]), ids))
             else:
                 rest.append(k)
-        for start in range(0, len(rest), 50_000):
-            part = rest[start : start + 50_000]
+        if whole:
+            at, ids = np.array(whole, np.int64).T
+            sizes[at] = 1
+            parts.append((at, ids.astype(np.uint32)))
+        for start in range(0, len(rest), self.batch):
+            part = np.array(rest[start : start + self.batch])
             data = np.frombuffer(b"".join(words[k] for k in part), np.uint8)
-            sizes = np.array([len(words[k]) for k in part])
-            starts = np.cumsum(sizes) - sizes
+            length = np.array([len(words[k]) for k in part])
+            starts = np.cumsum(length) - length
             single = np.array([self.ranks[bytes([x])] for x in range(256)], np.int32)
-            letters = {"w": np.repeat(np.arange(len(part)), sizes), "pos": np.arange(len(data)) - np.repeat(starts, sizes) + 1, "tok": single[data]}
+            letters = {"w": np.repeat(np.arange(len(part)), length), "pos": np.arange(len(data)) - np.repeat(starts, length) + 1, "tok": single[data]}
             self._table("letters", pa.table(letters))
             done = self.con.sql(_STEP).to_arrow_table().combine_chunks()
             tokens = done.column("ids").combine_chunks()
-            flat, ends = tokens.flatten().to_numpy().astype(np.uint32), np.cumsum(pa.compute.list_value_length(tokens).to_numpy())
-            for w, end, size, text in zip(done.column("w").to_pylist(), ends.tolist(), np.diff(ends, prepend=0).tolist(), done.column("bytes").to_pylist(), strict=True):
-                ids[part[w]], back[part[w]] = flat[end - size : end], bytes.fromhex(text)
-        return ids, back
+            at = part[done.column("w").to_numpy()]
+            sizes[at] = pa.compute.list_value_length(tokens).to_numpy()
+            parts.append((at, tokens.flatten().to_numpy().astype(np.uint32)))
+            for k, text in zip(at.tolist(), done.column("bytes").to_pylist(), strict=True):
+                back[k] = bytes.fromhex(text)
+        first = np.cumsum(sizes) - sizes
+        flat = np.empty(int(sizes.sum()), np.uint32)
+        for at, ids in parts:
+            n = sizes[at]
+            flat[np.arange(len(ids)) + np.repeat(first[at] - (np.cumsum(n) - n), n)] = ids
+        return flat, sizes, back
 
     def by_heap(self, word: bytes) -> list[int]:
         """The same contraction for one long word, in n log n."""
@@ -156,19 +172,25 @@ def encode_texts(texts: list[str], words: Words, pattern: str) -> Iterator[tuple
     parts = (lambda t: split_units(t, split)) if pattern == SPACED else split
     units: dict[str, int] = {}
     number = units.setdefault
-    codes = [np.array([number(u, len(units)) for u in parts(t)], np.int64) for t in texts]
+    codes = [np.array([number(u, len(units)) for u in parts(t)], np.int32) for t in texts]
     known: dict[str, int] = {}
-    within = [[known.setdefault(w, len(known)) for w in split(u)] for u in units]
-    ids, back = words.encode([w.encode("utf-8", "surrogatepass") for w in known])
-    ids = [ids[w[0]] if len(w) == 1 else np.concatenate([np.empty(0, np.uint32), *[ids[i] for i in w]]) for w in within]
-    back = [back[w[0]] if len(w) == 1 else b"".join([back[i] for i in w]) for w in within]
-    flat = np.concatenate([*ids, np.empty(0, np.uint32)])
-    sizes = np.array([len(x) for x in ids], np.int64)
-    starts = np.cumsum(sizes) - sizes
+    of, count = [], np.empty(len(units), np.int64)  # the words of all units, and how many each has
+    for k, u in enumerate(units):
+        ws = split(u)
+        count[k] = len(ws)
+        of += [known.setdefault(w, len(known)) for w in ws]
+    del units
+    flat, size, back = words.encode([w.encode("utf-8", "surrogatepass") for w in known])
+    del known
+    first = np.cumsum(size) - size
+    of = np.array(of, np.int64)
+    begin = np.cumsum(count) - count
+    text_of = [back[of[i]] if n == 1 else b"".join([back[w] for w in of[i : i + n]]) for i, n in zip(begin.tolist(), count.tolist(), strict=True)]
     for c in codes:
-        n = sizes[c]
-        first = np.cumsum(n) - n
-        yield flat[np.arange(int(n.sum())) + np.repeat(starts[c] - first, n)], b"".join(map(back.__getitem__, c.tolist()))
+        n = count[c]
+        ws = of[np.arange(int(n.sum())) + np.repeat(begin[c] - (np.cumsum(n) - n), n)]
+        n = size[ws]
+        yield flat[np.arange(int(n.sum())) + np.repeat(first[ws] - (np.cumsum(n) - n), n)], b"".join(map(text_of.__getitem__, c.tolist()))
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
