@@ -72,7 +72,7 @@ class Words:
     """Ids and bytes of distinct words, by one DuckDB connection and its merge table."""
 
     #: Words contracted by one recursive query.
-    batch = 16_000
+    batch = 24_000
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks, self.pieces = ranks, {i: t for t, i in ranks.items()}
