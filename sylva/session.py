@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,3 +32,19 @@ def session(master: str | None = None, partitions: int = 8, **conf: str) -> Spar
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One driver table, read by Spark only, so that any file system works."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors see; a temporary one only where none is set, as in tests."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        at = getattr(spark, "_sylva_shared", None) or tempfile.mkdtemp(prefix="spark-sylva-")
+        spark._sylva_shared = at
+    return at.rstrip("/")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder: lineage ends there, and a lost executor costs nothing."""
+    path = f"{shared_dir(df.sparkSession)}/sylva-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
