@@ -2,37 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sylva.session import written as cut
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words are runs of anything but these bytes; the same set splits Python's bytes.split().
 SPACE = "\\x20\\x09-\\x0D"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see; a temporary one only where none is set, as in tests."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = getattr(spark, "_sylva_shared", None) or tempfile.mkdtemp(prefix="spark-sylva-")
-        spark._sylva_shared = at
-    return at.rstrip("/")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df as a written table in the shared folder: lineage ends, and a lost executor costs nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/sylva-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def row_ids(df: DataFrame, name: str = "rid") -> DataFrame:
     """A key for each row, equal on every read of the same files, so repeated rows stay apart."""
     return df.withColumn(name, F.monotonically_increasing_id())
