@@ -21,6 +21,11 @@ def row_ids(df: DataFrame, name: str = "rid") -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+def whole_rows(df: DataFrame) -> DataFrame:
+    """rid and the row itself as one column, so that no other name can clash."""
+    return df.select(F.monotonically_increasing_id().alias("rid"), F.struct("*").alias("row"))
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z only, unlike lower()."""
     return F.translate(c, UPPER, LOWER)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sylva.llm.common import at_most, chunks, components, cut, laid_out, mix, prefix_sums, row_ids, span_hashes, word_spans
+from sylva.llm.common import at_most, chunks, components, cut, laid_out, mix, prefix_sums, row_ids, span_hashes, whole_rows, word_spans
 from sylva.session import table
 
 WORDS, PERCENT = 4, 85
@@ -244,4 +244,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs with one row of each group: its first. The pipeline takes five words and 80 percent."""
     kept = group_documents(docs, words=5, percent=80).where("rid = group").select("rid")
-    return row_ids(docs).join(kept, "rid", "left_semi").select(*docs.columns)
+    return whole_rows(docs).join(kept, "rid", "left_semi").select("row.*")

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sylva.llm.common import SPACE, cut, row_ids, uniform
+from sylva.llm.common import SPACE, cut, row_ids, uniform, whole_rows
 from sylva.session import table
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -170,5 +170,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs with each row repeated as often as the mix takes it."""
     decided = mix_sources(docs).where("copies > 0").select("rid", "copies")
-    taken = row_ids(docs).join(decided, "rid")
-    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    return whole_rows(docs).join(decided, "rid").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sylva.llm.common import chunks, cut, mix, prefix_sums, row_ids, span_hashes
+from sylva.llm.common import chunks, cut, mix, prefix_sums, row_ids, span_hashes, whole_rows
 from sylva.llm.induced import permuted_common_prefixes, suffix_array
 from sylva.session import table
 
@@ -231,5 +231,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs with repeats removed from their texts; rows whose whole text repeats stay, with an empty text."""
     kept = dedup(docs, with_text=True).where("n_removed > 0").select("rid", F.col("text").alias("kept"))
-    joined = row_ids(docs).join(kept, "rid", "left")
-    return joined.withColumn("text", F.coalesce("kept", "text")).select(*docs.columns)
+    joined = whole_rows(docs).join(kept, "rid", "left")
+    return joined.select(*[F.coalesce("kept", "row.text").alias(c) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])

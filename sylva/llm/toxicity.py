@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sylva.llm.common import remainder, row_ids
+from sylva.llm.common import remainder, row_ids, whole_rows
 from sylva.session import table
 
 #: Labelled texts learned from, at most (all, if fewer), drawn by a hash of the text's id.
@@ -254,4 +254,4 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs without those that are predicted to be toxic."""
     labels = table(spark, sf_dir, "labels").where(remainder(F.col("doc_id"), 4) != 2)
     toxic = score_texts(docs, labels).where("predicted = 1").select("rid")
-    return row_ids(docs).join(toxic, "rid", "left_anti").select(*docs.columns)
+    return whole_rows(docs).join(toxic, "rid", "left_anti").select("row.*")
