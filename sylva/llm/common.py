@@ -88,6 +88,8 @@ def chunks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[dict[
             if size >= most:
                 yield held, texts
                 held, texts, size = {}, [], 0
+        del batch, columns
+        pa.default_memory_pool().release_unused()
     if texts:
         yield held, texts
 

@@ -33,7 +33,7 @@ LISTED = 400_000
 COMPARING = 0.5
 #: Bits of the filter for rows whose sets are compared: a bound on what is broadcast, not on rows.
 FILTER = 1 << 24
-CHUNK, SPAN = 2_000_000, 3_000_000
+CHUNK, SPAN = 1_000_000, 2_000_000
 _A = np.uint64(0x9FB21C651E98DF25)
 _SEEDS = mix(np.arange(1, 1 + MINIMA, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
