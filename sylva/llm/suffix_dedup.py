@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sylva.llm.common import chunks, cut, mix, prefix_sums, row_ids, span_hashes, whole_rows
+from sylva.llm.common import chunks, cut, laid_out, mix, prefix_sums, row_ids, span_hashes, whole_rows, word_spans
 from sylva.llm.induced import permuted_common_prefixes, suffix_array
 from sylva.session import table
 
@@ -29,6 +29,9 @@ GRAM, REACH = 20, 128
 #: Bytes of a shard, as whole groups; groups of more distinct stretches are dealt on by windows.
 SHARD, WIDE = 400_000, 500
 CHUNK = 2_000_000
+#: The stage removes repeated runs of so many words. A word is CODE bytes of its hash; one of over LONG bytes
+#: (text without spaces) stands as it is, and a run with such words may also count by LENGTH bytes.
+WORDS, CODE, LONG = 51, 4, 32
 
 
 def _least(h: np.ndarray, width: int) -> np.ndarray:
@@ -228,8 +231,67 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(table(spark, sf_dir, "documents")).drop("rid")
 
 
+def coded(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Texts in words' codes: start, end and word of each unit (a word, or a byte of a long one) in the texts laid out,
+    each unit's place in the codes (and, last, the end), each text's first unit (and, last, their number), and the codes."""
+    data, starts = laid_out(texts)
+    a, b = word_spans(data)
+    long = b - a > LONG
+    n = np.where(long, b - a, 1)
+    word = np.repeat(np.arange(len(a)), n)
+    ua = a[word] + np.arange(len(word)) - np.repeat(np.cumsum(n) - n, n)
+    raw = long[word]
+    ub = np.where(raw, ua + 1, b[word])
+    at = np.concatenate([[0], np.cumsum(np.where(raw, 1, CODE))])
+    out = np.empty(at[-1], np.uint8)
+    out[at[:-1][raw]] = data[ua[raw]]
+    h = span_hashes(prefix_sums(data), a[~long], b[~long])
+    out[at[:-1][~raw][:, None] + np.arange(CODE)] = h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :CODE]
+    return ua, ub, word, at, np.searchsorted(ua, starts), out
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """rid and text (what stays) of each row of docs (rid, text) that loses something.
+
+    A word goes if a run of WORDS words that covers it also starts anywhere else, in any text; white space
+    between words does not count, and goes with the words around it. What lies in long words goes with LENGTH bytes.
+    """
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held, texts in chunks(batches, CHUNK):
+            *_, at, first, out = coded(texts)
+            ends = at[first]
+            yield pa.RecordBatch.from_arrays([pa.array(held["rid"], pa.int64()), pa.array([out[i:j].tobytes() for i, j in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], ["rid", "text"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held, texts in chunks(batches, CHUNK):
+            ua, ub, word, at, first, _ = coded(texts)
+            starts = np.cumsum([0] + [len(t) + 1 for t in texts])
+            rids, out = [], []
+            for k, (rid, text, runs) in enumerate(zip(held["rid"], texts, held["runs"], strict=True)):
+                spans = np.array([(r["a"], r["b"]) for r in runs]) + at[first[k]]
+                u, v = np.searchsorted(at, spans[:, 0]), np.searchsorted(at, spans[:, 1], side="right") - 1  # whole units
+                whole = at[v] - at[u] >= WORDS * CODE
+                u, v = u[whole], v[whole]
+                if not len(u):
+                    continue
+                order = np.argsort(u)
+                u, reach = u[order], np.maximum.accumulate(v[order])
+                new = np.concatenate([[True], u[1:] > reach[:-1]])
+                u, v = u[new], reach[np.concatenate([new[1:], [True]])] - 1
+                gone = (word[v] - word[u] + 1 >= WORDS) | (ub[v] - ua[u] >= LENGTH)
+                if gone.any():
+                    edges = [0, *(np.stack([ua[u[gone]], ub[v[gone]]], 1).ravel() - starts[k]).tolist(), len(text)]
+                    rids.append(rid)
+                    out.append(b"".join(text[edges[i] : edges[i + 1]] for i in range(0, len(edges), 2)).decode("utf-8", "ignore"))
+            yield pa.RecordBatch.from_arrays([pa.array(rids, pa.int64()), pa.array(out, pa.string())], ["rid", "text"])
+
+    runs = removed_runs(docs.mapInArrow(encoded, "rid bigint, text binary"), WORDS * CODE)
+    return docs.join(runs, "rid").mapInArrow(run, "rid bigint, text string")
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs with repeats removed from their texts; rows whose whole text repeats stay, with an empty text."""
-    kept = dedup(docs, with_text=True).where("n_removed > 0").select("rid", F.col("text").alias("kept"))
+    """docs with repeated runs of over 50 words removed from their texts; rows whose whole text repeats stay, with an empty text."""
+    kept = without_repeats(row_ids(docs.select("text"))).withColumnRenamed("text", "kept")
     joined = whole_rows(docs).join(kept, "rid", "left")
     return joined.select(*[F.coalesce("kept", "row.text").alias(c) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])

@@ -50,3 +50,27 @@ def test_odd_rows(spark, odd, none):
     assert suffix_dedup.dedup(none).count() == 0
     kept = suffix_dedup.stage(spark, odd, "")
     assert kept.columns == odd.columns and {r.doc_id: r.text for r in kept.collect()}[9] == ""
+
+
+@pytest.mark.parametrize("lang", ["en", "de", "es", "fr"])
+def test_stage_finds_51_words_of_any_length(spark, lang):
+    rng = random.Random(lang)
+    texts = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where(f"lang = '{lang}'").limit(2000).collect()
+    words = sorted({w for r in texts for w in (r.text or "").split() if w.isalpha()})
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    short = " ".join(rng.choice("abcdefgh") for _ in range(51))
+    passages = [short, *(text(n) for n in (51, 52, 55, 58, 61, 65))]
+    rows = [(10 * i + j, f"{text(70)}  {p}\n{text(30 + j)}") for i, p in enumerate(passages) for j in range(3)]
+    common = text(50)  # too short to go
+    rows += [(100 + j, f"{text(60)} {common} {text(60)}") for j in range(3)] + [(200 + j, text(90)) for j in range(5)]
+    seen = Counter(tuple(w[i : i + 51]) for _, t in rows for w in [t.split()] for i in range(len(w) - 50))
+    want = {}
+    for k, t in rows:
+        w = t.split()
+        gone = {i + j for i in range(len(w) - 50) if seen[tuple(w[i : i + 51])] > 1 for j in range(51)}
+        want[k] = [x for i, x in enumerate(w) if i not in gone]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3).cache()
+    kept = {r.doc_id: r.text for r in suffix_dedup.stage(spark, df, "").collect()}
+    assert {k: t.split() for k, t in kept.items()} == want
+    assert all(kept[k] == t for k, t in rows if k >= 100)
+    assert all(p not in kept[10 * i + j] for i, p in enumerate(passages) for j in range(3))
