@@ -4,7 +4,8 @@ Words are counted over all training texts. The most frequent words are classes o
 others share classes by their ending. The model predicts the class of each token from the classes
 of the two before it: context vectors, weighted by place, are summed and multiplied with every
 class's vector. It starts at the classes' frequencies and learns, in numpy inside tasks, from every
-RATE-th position of every training text; tasks' parameters are averaged after each round. Scoring
+position of every training text, once; tasks' parameters are averaged after each round, and each
+round has its own texts. Scoring
 multiplies the distinct contexts of a batch with all classes, so that probabilities are normalised,
 and shares a class's probability among its words by count.
 """
@@ -27,8 +28,8 @@ from sylva.session import table
 OWN, ENDINGS = 383, 128
 CLASSES = 1 + OWN + ENDINGS
 WIDTH = 24
-#: One position in so many is learned from; noise words and positions of a step; passes in a round; rounds.
-RATE, NOISE, STEP, PASSES, ROUNDS, SPEED = 16, 32, 512, 3, 2, 0.15
+#: Noise words and positions of a step; rounds, each over its share of the texts; bytes of text whose positions are mixed.
+NOISE, STEP, ROUNDS, SPEED, MIXED = 32, 512, 2, 0.15, 1_500_000
 #: Words whose counts go to each task; the counts of all others are joined.
 FREQUENT = 200_000
 #: The end of a text, which no word equals.
@@ -129,29 +130,38 @@ def unpacked(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndar
     return out
 
 
-def learn(p: dict[str, np.ndarray], mass: np.ndarray, positions: np.ndarray, seed: int) -> dict[str, np.ndarray]:
-    """AdaGrad on the noise-contrastive loss over positions (last, last but one, class)."""
-    p = {k: v.copy() for k, v in p.items()}
-    seen = {k: np.full_like(v, 1e-3) for k, v in p.items()}
-    noise = (mass + 1) / (mass.sum() + len(mass))
-    rng = np.random.default_rng(seed)
-    usual = np.log(NOISE * noise).astype(np.float32)
+class Learner:
+    """AdaGrad on the noise-contrastive loss, one step after another over a stream of positions."""
 
-    def update(name: str, at, g: np.ndarray) -> None:
-        seen[name][at] += g * g
-        p[name][at] += SPEED * g / np.sqrt(seen[name][at])
+    def __init__(self, p: dict[str, np.ndarray], mass: np.ndarray, seed: int):
+        self.p = {k: v.copy() for k, v in p.items()}
+        self.seen = {k: np.full_like(v, 1e-3) for k, v in p.items()}
+        self.noise = (mass + 1) / (mass.sum() + len(mass))
+        self.ends = np.cumsum(self.noise)
+        self.usual = np.log(NOISE * self.noise).astype(np.float32)
+        self.rng = np.random.default_rng(seed)
+        self.n = 0
 
-    def summed(at: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(at, kind="stable")
-        ids, first = np.unique(at[order], return_index=True)
-        return ids, np.add.reduceat(g[order], first)
+    def _update(self, name: str, at, g: np.ndarray) -> None:
+        self.seen[name][at] += g * g
+        self.p[name][at] += SPEED * g / np.sqrt(self.seen[name][at])
 
-    for _ in range(PASSES):
-        order = rng.permutation(len(positions))
+    @staticmethod
+    def _summed(at: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(at, kind="stable")
+        ids = at[order]
+        first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+        return ids[first], np.add.reduceat(g[order], first)
+
+    def learn(self, positions: np.ndarray) -> None:
+        """Once over positions (last, last but one, class), in a drawn order."""
+        p, usual = self.p, self.usual
+        self.n += len(positions)
+        order = self.rng.permutation(len(positions))
         for start in range(0, len(order), STEP):
             a, b, w = positions[order[start : start + STEP]].T
             n = len(w)
-            x = rng.choice(len(mass), NOISE, p=noise)
+            x = np.minimum(np.searchsorted(self.ends, self.rng.random(NOISE), side="right"), len(self.noise) - 1)
             ra, rb, tw, tx = p["read"][a], p["read"][b], p["write"][w], p["write"][x]
             q = ra * p["place"][0] + rb * p["place"][1]
             good = (q * tw).sum(1) + p["bias"][w] - usual[w]
@@ -159,15 +169,13 @@ def learn(p: dict[str, np.ndarray], mass: np.ndarray, positions: np.ndarray, see
             g = (1 / (1 + np.exp(np.clip(good, -30, 30)))).astype(np.float32)
             e = (-1 / (1 + np.exp(-np.clip(bad, -30, 30)))).astype(np.float32)
             gq = g[:, None] * tw + e @ tx
-            both = np.concatenate([w, x])
-            ids, gt = summed(both, np.concatenate([g[:, None] * q, e.T @ q]) / n)
-            _, gb = summed(both, np.concatenate([g, e.sum(0)]) / n)
-            read, gr = summed(np.concatenate([a, b]), np.concatenate([gq * p["place"][0], gq * p["place"][1]]) / n)
-            update("place", slice(None), np.stack([(gq * ra).sum(0), (gq * rb).sum(0)]) / n)
-            update("write", ids, gt)
-            update("bias", ids, gb)
-            update("read", read, gr)
-    return p
+            ones = np.concatenate([g[:, None] * q, e.T @ q]), np.concatenate([g, e.sum(0)])
+            ids, gt = self._summed(np.concatenate([w, x]), np.column_stack(ones) / n)
+            read, gr = self._summed(np.concatenate([a, b]), np.concatenate([gq * p["place"][0], gq * p["place"][1]]) / n)
+            self._update("place", slice(None), np.stack([(gq * ra).sum(0), (gq * rb).sum(0)]) / n)
+            self._update("write", ids, gt[:, :-1])
+            self._update("bias", ids, gt[:, -1])
+            self._update("read", read, gr)
 
 
 def before(kinds: list[np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -201,6 +209,15 @@ def log_probabilities(p: dict[str, np.ndarray], one: np.ndarray, two: np.ndarray
     return out
 
 
+def positions_of(look: Lookup, texts: list[bytes], turn: int) -> np.ndarray:
+    """Every position (last class, last but one, class) of those texts whose round it is."""
+    texts = [t for t in texts if xxhash.xxh32_intdigest(t) % ROUNDS == turn]
+    if not texts:
+        return np.empty((0, 3), np.int64)
+    kinds = [look.kind[t].astype(np.int64) for t in look.tokens(texts)]
+    return np.stack([*before(kinds, CLASSES), np.concatenate(kinds)], 1)
+
+
 # ---------------------------------------------------------------- the operator
 
 
@@ -232,31 +249,19 @@ def score_texts(docs: DataFrame, train: DataFrame, key: str = "doc_id") -> DataF
     spark = docs.sparkSession
     known = spark.sparkContext.broadcast((h, c, own))
 
-    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look = Lookup(*known.value)
-        for _, texts in chunks(batches, CHUNK):
-            kinds = [look.kind[t] for t in look.tokens(texts)]
-            one, two = before(kinds, CLASSES)
-            offset = np.repeat([xxhash.xxh32_intdigest(t[:64]) % RATE for t in texts], [len(x) for x in kinds])
-            place = np.concatenate([np.arange(len(x)) for x in kinds])
-            at = (place + offset) % RATE == 0
-            rows = np.stack([one[at], two[at], np.concatenate(kinds)[at]], 1).astype("<i2")
-            yield pa.RecordBatch.from_arrays([pa.array([rows.tobytes()], pa.binary())], ["rows"])
-
-    positions = cut(train.select("text").mapInArrow(sampled, "rows binary"))
     params = started(mass)
     flat = packed(params)
     for turn in range(ROUNDS):
         at = spark.sparkContext.broadcast(flat)
 
         def learned(batches: Iterator[pa.RecordBatch], at=at, turn=turn) -> Iterator[pa.RecordBatch]:
-            parts = [np.frombuffer(x.as_buffer(), "<i2").reshape(-1, 3).astype(np.int64) for b in batches for x in b.column(0)]
-            rows = np.concatenate(parts) if parts else np.empty((0, 3), np.int64)
-            if len(rows):
-                p = packed(learn(unpacked(at.value, params), mass, rows, turn))
-                yield pa.RecordBatch.from_arrays([pa.array([len(rows)], pa.int64()), pa.array([p], pa.list_(pa.float32()))], ["n", "p"])
+            look, learner = Lookup(*known.value), Learner(unpacked(at.value, params), mass, turn)
+            for _, texts in chunks(batches, MIXED):
+                learner.learn(positions_of(look, texts, turn))
+            if learner.n:
+                yield pa.RecordBatch.from_arrays([pa.array([learner.n], pa.int64()), pa.array([packed(learner.p)], pa.list_(pa.float32()))], ["n", "p"])
 
-        taught = positions.mapInArrow(learned, "n bigint, p array<float>").select("n", F.posexplode("p"))
+        taught = train.select("text").mapInArrow(learned, "n bigint, p array<float>").select("n", F.posexplode("p"))
         mean = taught.groupBy("pos").agg((F.sum(F.col("n") * F.col("col")) / F.sum("n")).alias("x")).toArrow()  # a row for each parameter
         if mean.num_rows:
             flat = np.zeros(len(flat))

@@ -56,3 +56,18 @@ def test_odd_rows(spark, odd, none):
     assert got == sorted((i or 0, len(tokens(t))) for i, t, *_ in map(tuple, odd.select("doc_id", "text").collect()))
     assert lm_score.score_texts(none, odd).count() == 0
     assert {r.base_score for r in lm_score.score_texts(odd, none).collect()} == {0.0}
+
+
+def test_every_position_is_learned_once():
+    words = ["one", "two", "three", "four", "five"]
+    own = {lm_score.word_hash(w.encode()): i + 1 for i, w in enumerate(words)}
+    hashes = np.sort(np.array(list(own), np.int64))
+    look = lm_score.Lookup(hashes, np.ones(5, np.int64), own)
+    texts = [" ".join(words[(i + j) % 5] for j in range(i % 23)) for i in range(200)]  # many of fewer than 16 words
+    rounds = [lm_score.positions_of(look, [t.encode() for t in texts], turn) for turn in range(lm_score.ROUNDS)]
+    assert all(len(r) for r in rounds)
+    want = Counter()
+    for t in texts:
+        k = [lm_score.CLASSES] * 2 + [words.index(w) + 1 for w in t.split()] + [0]
+        want.update(zip(k[1:], k, k[2:]))
+    assert Counter(tuple(x) for r in rounds for x in r.tolist()) == want
