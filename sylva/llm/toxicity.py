@@ -2,7 +2,8 @@
 
 Folding lower-cases, replaces look-alike letters and digits that stand for letters, and turns
 punctuation into spaces. The lexicon is learned from labelled texts: whole words and beginnings of
-words whose log-odds in toxic texts are clearly above those in others, each with that weight, if they follow many different words there.
+words whose log-odds in toxic texts are clearly above those in others, each with that weight. Copies
+and near copies of a text, by a signature, count once on both sides.
 Phrases around a lexicon word that clean texts hold as often are exceptions: a match within one
 does not count. A text's weights, summed and by its length, go into a logistic curve.
 """
@@ -16,6 +17,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,11 +26,13 @@ from sylva.session import table
 
 #: Labelled texts learned from, at most (all, if fewer), drawn by a hash of the text's id.
 LABELLED = 30_000
-#: Lengths of word beginnings; standard errors and log-odds that an entry needs, different words before it in toxic texts; entries.
+#: Lengths of word beginnings; standard errors and log-odds that an entry needs, different toxic texts with it; entries.
 STEMS, CLEARLY, STRONGLY, LEAST, ENTRIES = (4, 5, 6, 7), 3.5, 1.5, 8, 5_000
 #: An exception stands in so many clean texts at least, and in no greater a share of the toxic ones.
 EXCEPTION = 3
 THRESHOLD = 0.3
+#: Words of a shingle of the signature.
+SHINGLE = 4
 #: Code points of text handled at once.
 CHUNK = 4_000_000
 # Letters of other scripts that look like Latin ones, and what digits and signs stand for.
@@ -78,6 +82,11 @@ def entries_of(words: list[str]) -> set[str]:
     return out
 
 
+def signature(words: list[str]) -> int:
+    """The least hash of a text's shingles: mostly equal for near copies, seldom for other texts."""
+    return min(xxhash.xxh3_64_intdigest(" ".join(words[i : i + SHINGLE]).encode()) for i in range(max(len(words) - SHINGLE, 0) + 1)) - (1 << 63)
+
+
 class Lexicon:
     """Weights of entries, exceptions, and the automaton that finds both."""
 
@@ -164,26 +173,33 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> tuple[dict
         return {}, set(), np.array([-1.5, 0.0, 0.0])
     n_toxic, n_clean = rows[0]["t"], rows[0]["c"]
     t, c = (np.array([r[k] for r in rows[1:]], float) for k in ("t", "c"))
-    value, error = log_odds(t, c, n_toxic, n_clean)
-    telling = {rows[1 + i]["entry"]: c[i] for i in np.flatnonzero((value > CLEARLY * error) & (value > STRONGLY))}
+    value, _ = log_odds(t, c, n_toxic, n_clean)
+    telling = {rows[1 + i]["entry"] for i in np.flatnonzero(value > STRONGLY / 3)}  # loosely, as copies still count here
 
     def held_by(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, out = _Fold(), set()
-        for _, texts in _texts(batches):
-            for t in texts:
-                before = ""
-                for w in folded(t, table):
-                    out |= {(e, before) for e in [f" {w} ", *[" " + w[:n] for n in STEMS if len(w) > n]] if e in telling}
-                    before = w
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.string()) for i in (0, 1)], ["entry", "before"])
-
-    # What only copies of one text share follows one word; a lexicon entry follows many.
-    places = sample.where("toxic = 1").select("text").mapInArrow(held_by, "entry string, before string").distinct().groupBy("entry").count()
+
+        def flush() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate((pa.string(), pa.int32(), pa.int64()))], ["entry", "toxic", "sig"])
+
+        for held, texts in _texts(batches):
+            for y, t in zip(held["toxic"], texts, strict=True):
+                words = folded(t, table)
+                sig = signature(words)
+                out.add(("", y, sig))
+                out.update((e, y, sig) for e in entries_of(words) if e in telling)
+                if len(out) > 500_000:
+                    yield flush()
+                    out = set()
+        yield flush()
+
+    # Different texts, on both sides and in their totals alike: what copies of one text share is held by one.
+    once = sample.mapInArrow(held_by, "entry string, toxic int, sig bigint").distinct()
+    once = once.groupBy("entry").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")).orderBy("entry").collect()  # telling entries at most
     stats = {}
-    for r in places.orderBy("entry").collect():  # telling entries at most
-        t1, c1 = float(r["count"]), telling[r["entry"]]
-        w, e = log_odds(np.array([t1]), np.array([c1]), n_toxic, n_clean)
-        if t1 >= LEAST and w[0] > max(STRONGLY, CLEARLY * e[0]):
+    for r in once[1:]:
+        w, e = log_odds(np.array([float(r["t"])]), np.array([float(r["c"])]), once[0]["t"], once[0]["c"])
+        if r["t"] >= LEAST and w[0] > max(STRONGLY, CLEARLY * e[0]):
             stats[r["entry"]] = float(w[0])
     # A longer entry adds nothing where a beginning of it is nearly as telling.
     weights = {e: min(w, 6.0) for e, w in stats.items() if not any(stats.get(e[:k], 0.0) >= w - 1 for k in range(3, len(e)))}

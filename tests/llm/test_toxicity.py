@@ -1,3 +1,5 @@
+import random
+
 from sylva.llm import toxicity
 from sylva.llm.common import remainder
 
@@ -28,3 +30,40 @@ def test_odd_rows(spark, odd, none):
     assert len(rows) == odd.count() and all(0 <= r.score <= 1 for r in rows)
     assert toxicity.score_texts(none, labels).count() == 0
     assert toxicity.score_texts(odd, labels.limit(0)).where("predicted = 1").count() == 0
+
+
+def _learned(spark, n, before, copies=0, share=0.1):
+    """Lexicon from n labelled texts; the toxic ones hold an insult after one of a few words."""
+    rng = random.Random(n + copies)
+    words = ["".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(3)) for _ in range(3000)]
+    insults = ["vileqname", "wrqetch"]
+    rows, labels = [], []
+    for i in range(n):
+        t = [rng.choice(words) for _ in range(40)]
+        toxic = i < share * n
+        # one clean text in 450 quotes an insult too
+        if toxic or i % 450 == 0:
+            at = rng.randrange(30)
+            t[at : at + 2] = [rng.choice(before), rng.choice(insults)]
+        rows.append((i, " ".join(t)))
+        labels.append((i, int(toxic)))
+    one = [rng.choice(words) + "zz" for _ in range(40)]
+    for i in range(copies):  # near copies of one toxic text
+        t = list(one)
+        t[rng.randrange(40)] = rng.choice(words)
+        rows.append((n + i, " ".join(t)))
+        labels.append((n + i, 1))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    return toxicity.train(docs, spark.createDataFrame(labels, "doc_id bigint, toxic int"))[0], one, insults
+
+
+def test_insults_after_few_words_are_learned(spark):
+    for before in (["you"], ["you", "a", "the"]):
+        weights, _, insults = _learned(spark, 2000, before)
+        assert all(any(f" {w} ".startswith(e) for e in weights) for w in insults)
+
+
+def test_near_copies_do_not_fill_the_lexicon(spark):
+    weights, one, insults = _learned(spark, 2000, ["you", "a", "the"], copies=100)
+    assert all(any(f" {w} ".startswith(e) for e in weights) for w in insults)
+    assert sum(any(f" {w} ".startswith(e) for e in weights) for w in one) <= 4
