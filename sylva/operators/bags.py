@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sylva.session import written
+
 
 def label_counts(nodes: DataFrame, *keys: str) -> DataFrame:
     """Nodes per label of each graph: (keys, label, cnt)."""
@@ -25,7 +27,7 @@ def top_index(frequency: DataFrame, k: int, by: str = "df", name: str = "label")
 def dense_index(df: DataFrame, name: str) -> DataFrame:
     """Distinct values numbered from 0 in order: each range counts its own, and offsets are added to them."""
     ranged = df.select(name).distinct().repartitionByRange(name).sortWithinPartitions(name)
-    placed = ranged.select(name, F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("id"))
+    placed = written(ranged.select(name, F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("id")))  # once, so that both reads agree
     first = placed.groupBy("part").agg(F.min("id").alias("first"), F.count("*").alias("n"))
     offset = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each range
     return placed.join(F.broadcast(first.select("part", "first", offset.alias("offset"))), "part").select(name, (F.col("id") - F.col("first") + F.col("offset")).alias("idx"))
