@@ -1,28 +1,32 @@
 """Mixing sources to target weights by pivotal dependent rounding.
 
-Each document of a source asks for the same fraction of copies. Documents are dealt into small
-groups by hash. Within a group, pairs of fractional documents move words from one to the other,
-at random and without bias, until one of them is whole; a group's last fractional document goes
-up a reduction tree. The first group of each source waits at the root, where it takes up what the
-tree left over, from long documents to short ones, so that the words taken meet the target to
-within a short document. Only DataFrame functions are used, and no group grows with the data.
+Each document of a source asks for the same fraction of copies. Two units that share a source's
+words move words from one to the other, at random and without bias, until one of them is whole.
+Long documents go first, from the longest down, each against all shorter ones taken as one unit,
+so that those can make up for it. All others are dealt into small groups by hash and pivoted pair
+by pair; a group's last fractional document goes up a reduction tree. The one document that the
+root keeps is short, and rounded at random. Every document's expected copies are the fraction asked
+for. Only DataFrame functions are used, and no group grows with the data.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sylva.llm.common import SPACE, cut, row_ids, uniform, whole_rows
+from sylva.operators.bags import dense_index
 from sylva.session import table
 
 WEIGHTS = (5.0, 2.0, 1.0)
 LIMIT = 3.0
 #: Documents in a group, and groups in a node of the tree, on average.
 FAN_IN = 256
+#: Documents of more than such a part of their source are long; a source has fewer than so many.
+LONG = 512
 _WHOLE = 1e-9
-UNIT = "rid bigint, key bigint, size bigint, source_size bigint, target double, copies int, x double"
-_FIELDS = ["rid", "key", "size", "source_size", "target", "copies", "x"]
+_FIELDS = ["rid", "key", "size", "copies", "x"]
+_KIND = "struct<rid:bigint,key:bigint,size:bigint,copies:int,x:double>"
 
 
 def word_count(text: Column) -> Column:
@@ -31,26 +35,27 @@ def word_count(text: Column) -> Column:
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, limit: float = LIMIT) -> DataFrame:
-    """Source, its words and its target, for a table of one row per source.
+    """source, source_size, n, sid (the source's number by code point, null last) and target, for a table of one row per source.
 
-    Weights repeat over the sources by code point, null last. Ordered by limit * size / weight,
-    the sources that stop at their limit come first, and a source stops exactly when its limit is
-    below its share of what those before it have left.
+    Weights repeat over the sources. The level that a weight of one gets rises while sources stop at
+    their limit, and the excess is shared again, until no further source stops.
     """
-    by_name = Window.orderBy(F.col("source").isNull(), F.col("source"))
-    ranked = sizes.withColumn("weight", F.element_at(F.array(*[F.lit(w) for w in weights]), (F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights))) + 1).cast("int")))
-    ranked = ranked.withColumn("most", F.lit(limit) * F.col("source_size"))
-    order = Window.orderBy(F.col("most") / F.col("weight"), F.col("source").isNull(), "source")
-    before, rest = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
-    everything = F.sum("source_size").over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    level = (everything - F.coalesce(F.sum("most").over(before), F.lit(0.0))) / F.sum("weight").over(rest)
-    ranked = ranked.withColumn("level", level).withColumn("stops", F.col("most") < F.col("level") * F.col("weight"))
-    ever = F.max(F.when(F.col("stops"), F.col("at"))).over(Window.orderBy("at").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    ranked = ranked.withColumn("at", F.row_number().over(order)).withColumn("last", F.coalesce(ever, F.lit(0)))
-    free = F.max(F.when(F.col("at") == F.col("last") + 1, F.col("level"))).over(Window.orderBy("at").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return ranked.withColumn("free", free).select(
-        "source", "source_size", "n", F.when(F.col("at") <= F.col("last"), F.col("most")).otherwise(F.col("free") * F.col("weight")).cast("double").alias("target")
-    )
+    name = F.struct(F.col("source").isNull().alias("none"), F.col("source").alias("of")).alias("name")
+    number = dense_index(sizes.select(name), "name").select("name.of", F.col("idx").alias("sid"))
+    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.pmod("sid", F.lit(len(weights))) + 1).cast("int"))
+    ranked = sizes.join(number, sizes["source"].eqNullSafe(number["of"])).drop("of")
+    ranked = cut(ranked.withColumn("weight", weight).withColumn("most", F.lit(limit) * F.col("source_size")))
+    level, stopped = 0.0, -1
+    while True:
+        stops = F.col("most") < F.lit(level) * F.col("weight")
+        r = ranked.agg(
+            F.sum("source_size").alias("total"), F.count(F.when(stops, 1)).alias("n"), F.sum(F.when(stops, F.col("most"))).alias("fixed"), F.sum(F.when(~stops, F.col("weight"))).alias("free")
+        ).first()  # one row
+        if r.n == stopped or not r.free:
+            break
+        level, stopped = (r.total - (r.fixed or 0.0)) / r.free, r.n
+    share = F.lit(level) * F.col("weight")
+    return ranked.select("source", "source_size", "n", "sid", F.when(F.col("most") < share, F.col("most")).otherwise(share).cast("double").alias("target"))
 
 
 def _let(value: Column, use) -> Column:
@@ -93,25 +98,31 @@ def _pivot(units: Column, seed: str) -> Column:
             c_whole, F.struct(u.alias("carry"), F.array_append(acc["out"], c).alias("out"))
         ).otherwise(_let(pair, settle))
 
-    kind = f"struct<{UNIT.replace(' ', ':').replace(',:', ',')}>"
-    zero = F.struct(F.lit(None).cast(kind).alias("carry"), F.array().cast(f"array<{kind}>").alias("out"))
+    zero = F.struct(F.lit(None).cast(_KIND).alias("carry"), F.array().cast(f"array<{_KIND}>").alias("out"))
     return F.aggregate(units, zero, step, lambda acc: F.array_append(acc["out"], acc["carry"]))
 
 
-def _settle(units: Column, seed: str) -> Column:
-    """Settle all units in turn; what rounding one leaves over is asked of the next.
+def _against_rest(units: Column, whole: Column, x: Column, seed: str) -> Column:
+    """The units (long documents, the longest first) with their x, and rest, the fraction then asked of each shorter document.
 
-    The draw is between a quarter and three quarters, so that a unit that is asked for hardly at
-    all is not taken at the cost of all after it.
+    All documents of the source hold whole words and ask for x. A unit meets all that come after it, as
+    one unit. If these become whole first, it stays fractional.
     """
 
     def step(acc: Column, u: Column) -> Column:
-        asked = u["x"] + acc["mass"] / u["size"]
-        taken = F.when(0.25 + uniform(seed, u["rid"]) / 2 < asked, F.lit(1.0)).otherwise(F.lit(0.0))
-        return _let(taken, lambda t: F.struct((acc["mass"] + u["size"] * (u["x"] - t)).alias("mass"), F.array_append(acc["out"], _with_x(u, t)).alias("out")))
+        size, rest, r = u["size"], acc["words"] - u["size"], acc["rest"]
+        mass = (size + rest) * r
+        to_u, to_rest = F.least(F.lit(1.0), mass / size), F.when(rest > 0, F.least(F.lit(1.0), mass / rest)).otherwise(r)
+        u_low = F.when(rest > 0, (mass - rest * to_rest) / size).otherwise(r)
+        chance = F.when(to_u > u_low, (r - u_low) / (to_u - u_low)).otherwise(0.0)
+        up = (rest > 0) & (uniform(seed, u["rid"]) < chance)
+        drawn = F.struct(_snapped(F.when(up, to_u).otherwise(u_low)).alias("x"), _snapped(F.when(up, (mass - size * to_u) / rest).otherwise(to_rest)).alias("rest"))
+        same = F.struct(r.alias("x"), r.alias("rest"))
+        settled = (r == 0.0) | (r == 1.0) | (rest <= 0)
+        return _let(F.when(settled, same).otherwise(drawn), lambda d: F.struct(rest.alias("words"), d["rest"].alias("rest"), F.array_append(acc["out"], _with_x(u, d["x"])).alias("out")))
 
-    kind = f"array<struct<{UNIT.replace(' ', ':').replace(',:', ',')}>>"
-    return F.aggregate(units, F.struct(F.lit(0.0).alias("mass"), F.array().cast(kind).alias("out")), step, lambda acc: acc["out"])
+    zero = F.struct(whole.cast("double").alias("words"), x.alias("rest"), F.array().cast(f"array<{_KIND}>").alias("out"))
+    return F.aggregate(units, zero, step)
 
 
 def mix_sources(
@@ -120,47 +131,55 @@ def mix_sources(
     """rid, key, source, size, source_size, target, copies and taken for each row of docs.
 
     Targets share the sum of all sizes by weight and stop at limit times a source's size. Each
-    document gets floor(rate) copies or one more; taken = copies * size. Documents of no words take
-    none. Null sources form one source, repeated rows are rounded apart, an empty table gives an
-    empty result, and other columns are ignored. The draw depends on the seed and the rows' places
-    in the files only, so reruns agree.
+    document gets floor(rate) copies or one more; taken = copies * size. A source's words meet its
+    target to within one document: a short one, or, where one document holds most of the source, that.
+    Null texts and documents of no words have size 0 and take none. Null sources form one source, the
+    last. Repeated rows and null keys are rows like any other, rounded apart. Documents of equal size
+    go by hash. Very long texts are counted whole. An empty table gives an empty result; other columns
+    are ignored. The draw depends on the seed and the rows' places in the files only, so reruns agree.
     """
     words = word_count(F.col("text")) if size is None else size
     sized = cut(row_ids(docs.select(F.col(key).alias("key"), "source", words.alias("size"))))
-    goal = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), weights, limit)
-    goal = cut(goal.withColumn("groups", F.greatest(F.lit(1), F.ceil(F.col("n") / FAN_IN)).cast("long")))
-    widest = goal.agg(F.max("groups")).first()[0] or 1
-    g = goal.withColumnRenamed("source", "of")
-    joined = sized.join(g, sized["source"].eqNullSafe(g["of"])).drop("of")
+    goal = cut(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), weights, limit))
+    groups = F.greatest(F.lit(1), F.ceil(F.col("n") / FAN_IN)).cast("long")
+    widest = goal.agg(F.max(groups)).first()[0] or 1
     rate = F.when(F.col("source_size") > 0, F.least(F.lit(limit), F.col("target") / F.col("source_size"))).otherwise(F.lit(0.0))
-    joined = joined.withColumn("rate", F.when(F.abs(rate - F.round(rate)) < _WHOLE, F.round(rate)).otherwise(rate)).withColumn("copies", F.floor("rate").cast("int"))
-    joined = joined.withColumn("x", F.when(F.col("size") > 0, F.col("rate") - F.col("copies")).otherwise(F.lit(0.0)))
+    rate = F.when(F.abs(rate - F.round(rate)) < _WHOLE, F.round(rate)).otherwise(rate)
+    g = goal.select(F.col("source").alias("of"), "sid", "source_size", groups.alias("groups"), rate.alias("rate"))
+    joined = sized.join(g, sized["source"].eqNullSafe(g["of"])).select("rid", "key", "size", "sid", "source_size", "groups", F.floor("rate").cast("int").alias("copies"), (F.col("rate") - F.floor("rate")).alias("x"))
     unit = F.struct(*_FIELDS).alias("u")
-    home = F.pmod(F.xxhash64(F.lit(seed), "rid"), F.col("groups"))
-    level = joined.select("source", F.col("groups"), F.when(F.col("x") > 0, home).otherwise(F.lit(-1)).alias("node"), unit)
-    done = [level.where("node = -1").select("source", "u")]
-    reserve = level.where("node = 0").select("source", "u")
-    rest, k = level.where("node > 0"), 0
-    while widest > 1:
+    asks = (F.col("size") > 0) & (F.col("x") > 0)
+    long = F.col("size") * LONG > F.col("source_size")
+    done = [joined.where(~asks).withColumn("x", F.lit(0.0)).select("sid", unit)]
+
+    in_turn = F.sort_array(F.collect_list(F.struct((-F.col("size")).alias("less"), uniform(seed, "long", "rid").alias("order"), unit)))  # fewer than LONG
+    heads = joined.where(asks & long).groupBy("sid", "source_size", "x").agg(in_turn.alias("m"))
+    heads = cut(heads.select("sid", _against_rest(F.transform("m", lambda m: m["u"]), F.col("source_size"), F.col("x"), f"{seed}long").alias("f")))
+    led = heads.select("sid", F.explode("f.out").alias("u"))
+    short = joined.where(asks & ~long).join(heads.select("sid", "f.rest"), "sid", "left").withColumn("x", F.coalesce("rest", "x"))
+    rest = short.select("sid", "groups", F.pmod(F.xxhash64(F.lit(seed), "rid"), F.col("groups")).alias("node"), unit)
+    k = 0
+    while True:
         members = F.sort_array(F.collect_list(F.struct(uniform(seed, F.lit(k), F.col("u.rid")).alias("order"), F.col("u").alias("u"))))
-        folded = rest.groupBy("source", "groups", "node").agg(_pivot(F.transform(members, lambda m: m["u"]), f"{seed}{k}").alias("units"))
-        folded = cut(folded.select("source", "groups", "node", F.explode("units").alias("u")))
-        done.append(folded.where("u.x in (0.0, 1.0)").select("source", "u"))
+        folded = rest.groupBy("sid", "groups", "node").agg(_pivot(F.transform(members, lambda m: m["u"]), f"{seed}{k}").alias("units"))
+        folded = cut(folded.select("sid", "groups", "node", F.explode("units").alias("u")))
+        done.append(folded.where("u.x in (0.0, 1.0)").select("sid", "u"))
         rest = folded.where("u.x not in (0.0, 1.0)")
+        if widest <= 1:
+            break
         widest = -(-widest // FAN_IN)
         rest = rest.withColumn("groups", F.ceil(F.col("groups") / FAN_IN).cast("long")).withColumn("node", F.pmod("node", "groups"))
         k += 1
-    top = rest.select("source", "u").unionByName(reserve)
-    by_size = F.reverse(F.sort_array(F.collect_list(F.struct(F.col("u.size").alias("size"), uniform(seed, "root", F.col("u.rid")).alias("order"), F.col("u").alias("u")))))
-    rooted = top.groupBy("source").agg(_settle(F.transform(by_size, lambda m: m["u"]), f"{seed}root").alias("units"))
-    done.append(rooted.select("source", F.explode("units").alias("u")))
-    out = done[0]
-    for part in done[1:]:
+    done.append(led.where("u.x in (0.0, 1.0)"))
+    # One document of each source is left at most.
+    last = rest.select("sid", "u").unionByName(led.where("u.x not in (0.0, 1.0)"))
+    drawn = F.when(uniform(seed, "root", F.col("u.rid")) < F.col("u.x"), 1.0).otherwise(0.0)
+    out = last.select("sid", _with_x(F.col("u"), drawn).alias("u"))
+    for part in done:
         out = out.unionByName(part)
     copies = (F.col("u.copies") + F.col("u.x").cast("int")).alias("copies")
-    return out.select("u.rid", "u.key", "source", "u.size", "u.source_size", "u.target", copies).select(
-        "rid", F.col("key").alias(key), "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
-    )
+    out = out.select("sid", "u.rid", "u.key", "u.size", copies).join(goal.select("sid", "source", "source_size", "target"), "sid")
+    return out.select("rid", F.col("key").alias(key), "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,6 +187,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs with each row repeated as often as the mix takes it."""
+    """docs with each row repeated as often as the mix takes it.
+
+    Rows without words go, as they are taken no times; rows of null source or key are mixed like others,
+    repeated rows each for itself; an empty table stays empty, and no column's name can clash.
+    """
     decided = mix_sources(docs).where("copies > 0").select("rid", "copies")
     return whole_rows(docs).join(decided, "rid").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
