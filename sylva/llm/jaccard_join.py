@@ -1,12 +1,14 @@
 """N-gram Jaccard join with adaptive multi-match prefixes.
 
-Documents of equal shingle sets are one. Sets that share minima are compared with the one among them
-whose shingles are the most frequent, which joins most of a large group of near copies in as many
-comparisons as it has members. Then the exact join: with shingles in one order (seldom ones first), two sets
+Documents of equal shingle sets are one. With shingles in one order (seldom ones first), two sets
 that overlap in T shingles share L of those in their prefixes of size - T + L. A document takes
-the L of LENGTHS for which the listed frequencies let expect the least cost; a pair needs as many common shingles, at places that its sizes allow, as the shorter of both lengthenings,
-and then as many in both whole prefixes as its sizes ask for, before its sets are compared. Only prefix shingles that stand in two components found so far make
-pairs, and pairs within one component are left out, as they can add nothing.
+the L of LENGTHS for which the listed frequencies let expect the least cost; a pair needs as many
+common prefix shingles, at places that its sizes allow, as the shorter of both lengthenings, before
+its sets are compared. Pairs are met in two turns. First each prefix shingle's documents meet the one
+among them whose shingles are the most frequent, so that a large group of near copies is joined in
+about as many comparisons as it has members. Then all pairs meet on the prefix shingles that
+still stand in two components, but for those within one, which can add nothing; these also need as many shingles in
+both whole prefixes as their sizes ask for.
 """
 
 from __future__ import annotations
@@ -22,11 +24,10 @@ from sylva.llm.common import at_most, chunks, components, cut, laid_out, mix, pr
 from sylva.session import table
 
 WORDS, PERCENT = 4, 85
-MINIMA = 8
 #: By how much a prefix can be lengthened.
 LENGTHS = (1, 2, 4, 8)
-#: Minima that a row shares with the least one of them before the two are compared; the exact join finds what this leaves.
-SAME = 3
+#: Rows of one prefix shingle that meet all others of it in one task.
+HOT = 1_000
 #: Shingles listed as frequent, at most; a place in the order and a cost, nothing else, depends on the list.
 LISTED = 400_000
 #: What comparing a candidate pair costs, in pair rows: most fall to a comparison of short prefixes.
@@ -35,7 +36,6 @@ COMPARING = 0.5
 FILTER = 1 << 24
 CHUNK, SPAN = 1_000_000, 2_000_000
 _A = np.uint64(0x9FB21C651E98DF25)
-_SEEDS = mix(np.arange(1, 1 + MINIMA, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def shingles(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -61,13 +61,10 @@ def shingles(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
     return h, np.searchsorted(of, np.arange(len(texts) + 1))
 
 
-def _sums(values: np.ndarray, at: np.ndarray, how=np.add) -> np.ndarray:
-    """how over values[at[i]:at[i+1]], 0 where that is empty."""
-    out = np.zeros(len(at) - 1, values.dtype)
-    full = at[1:] > at[:-1]
-    if full.any():
-        out[full] = how.reduceat(values, at[:-1][full])
-    return out
+def _sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Sums of values[at[i]:at[i+1]]."""
+    total = np.concatenate([np.zeros(1, values.dtype), np.cumsum(values)])
+    return total[at[1:]] - total[at[:-1]]
 
 
 def _lists(values: np.ndarray, at: np.ndarray, kind=None) -> pa.Array:
@@ -75,26 +72,23 @@ def _lists(values: np.ndarray, at: np.ndarray, kind=None) -> pa.Array:
 
 
 def describe(docs: DataFrame, words: int) -> DataFrame:
-    """rid, n, signature (two numbers) and minima of each row; and, with rid null, shingles (s1) and how often (s2) a task met them more than once."""
+    """rid, n and signature (two numbers) of each row; and, with rid null, shingles (s1) and how often (s2) a task met them more than once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["rid", "n", "s1", "s2", "minima"]
+        names = ["rid", "n", "s1", "s2"]
 
         def listed(parts: list[np.ndarray]) -> pa.RecordBatch:
             h, c = np.unique(np.concatenate(parts), return_counts=True)
             h, c = h[c > 1], c[c > 1]
             none = pa.nulls(len(h), pa.int64())
-            return pa.RecordBatch.from_arrays([none, none, pa.array(h), pa.array(c, pa.int64()), pa.nulls(len(h), pa.list_(pa.int64()))], names)
+            return pa.RecordBatch.from_arrays([none, none, pa.array(h), pa.array(c, pa.int64())], names)
 
         parts, held_back = [], 0
         for held, texts in chunks(batches, CHUNK):
             h, at = shingles(texts, words)
             u = h.view(np.uint64)
-            minima = np.stack([_sums(mix(u ^ s), at, np.minimum) for s in _SEEDS], 1).view(np.int64)
             s1, s2 = (_sums(mix(u + np.uint64(k)), at).view(np.int64) for k in (1, 2))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(held["rid"], pa.int64()), pa.array(np.diff(at)), pa.array(s1), pa.array(s2), _lists(minima.ravel(), np.arange(0, minima.size + 1, len(_SEEDS)))], names
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(held["rid"], pa.int64()), pa.array(np.diff(at)), pa.array(s1), pa.array(s2)], names)
             parts.append(h)
             held_back += len(h)
             if held_back >= SPAN:
@@ -103,7 +97,7 @@ def describe(docs: DataFrame, words: int) -> DataFrame:
         if parts:
             yield listed(parts)
 
-    return docs.select("rid", "text").mapInArrow(run, "rid bigint, n bigint, s1 bigint, s2 bigint, minima array<bigint>")
+    return docs.select("rid", "text").mapInArrow(run, "rid bigint, n bigint, s1 bigint, s2 bigint")
 
 
 def prefixes(docs: DataFrame, listed: tuple[np.ndarray, np.ndarray], words: int, percent: int) -> DataFrame:
@@ -146,6 +140,15 @@ def _both(a: Column, b: Column, percent: int) -> Column:
     return F.ceil(percent * (a + b) / F.lit(100.0 + percent) - 1e-9)
 
 
+def _matched(met: DataFrame, percent: int) -> DataFrame:
+    """The pairs a, b of rows x and y met on a shingle that have as many common ones, at places that their sizes allow, as both lengthenings ask for."""
+    x, y = F.col("x"), F.col("y")
+    overlap, longer = _both(x["n"], y["n"], percent), F.least(x["extra"], y["extra"])
+    fits = (100 * F.least(x["n"], y["n"]) >= percent * F.greatest(x["n"], y["n"])) & (x["pos"] < x["n"] - overlap + longer) & (y["pos"] < y["n"] - overlap + longer)
+    pair = met.where(fits).groupBy(x["rid"].alias("a"), y["rid"].alias("b")).agg(F.count("*").alias("c"), F.first(longer).alias("longer"))
+    return pair.where("c >= longer").select("a", "b")
+
+
 def sets(docs: DataFrame, named: DataFrame, words: int) -> DataFrame:
     """rid and shingles of the rows named (column rid), and of a few more that a filter of FILTER bits lets through."""
     bit = F.pmod(F.xxhash64("rid"), F.lit(FILTER))
@@ -184,51 +187,47 @@ def group_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
 
     Two rows link when 100 * intersection >= percent * union of their sets of distinct shingles. Texts
     of fewer words are one shingle; null texts and texts without words have none, link with nothing
-    and are their own component. Repeated rows each get a row and link as equal sets. Null keys come
-    last: a component of null keys only has a null id. Other columns are ignored. Shingles are told
-    apart by 64-bit hashes, equal sets by their number and two sums.
+    and are their own component. Very long texts are shingled whole. Repeated rows each get a row and
+    link as equal sets. Null keys come last: a component of null keys only has a null id. Shingles
+    of equal frequency go by their hash, so ties are the same on every run. An empty table gives an
+    empty result; other columns are ignored. Shingles are told apart by 64-bit hashes, equal sets by
+    their number and two sums.
     """
     docs = row_ids(docs.select(F.col(key).alias("key"), "text"))
     described = cut(describe(docs, words))
     rows = described.where("rid is not null")
-    one = rows.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("rid").alias("rid"), F.first("minima").alias("minima"))
-    one = cut(one)
+    one = cut(rows.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("rid").alias("rid")))
     often = at_most(described.where("rid is null").groupBy("s1").agg(F.sum("s2").alias("c")), LISTED).toArrow()  # LISTED rows at most
     h, c = often.column("s1").to_numpy(), often.column("c").to_numpy()
     order = np.argsort(h)
-    placed = cut(prefixes(docs, (h[order], c[order]), words, percent).join(one.select("rid", "minima"), "rid"))
-    # Rows that share a minimum meet the one of them whose shingles are the most frequent: what the others are copies of.
-    met = placed.select("rid", "central", F.posexplode("minima"))
-    chief = met.groupBy("pos", "col").agg(F.max_by("rid", F.struct("central", "rid")).alias("chief"), F.count("*").alias("c")).where("c > 1")
-    close = met.join(cut(chief), ["pos", "col"]).where("rid <> chief").groupBy(F.least("rid", "chief").alias("a"), F.greatest("rid", "chief").alias("b")).agg(F.count("*").alias("c"))
-    links = linked(close.where(F.col("c") >= SAME).select("a", "b"), docs, words, percent)
-    found = components(links)
-    placed = placed.drop("minima").join(found.withColumnRenamed("node", "rid"), "rid", "left").withColumn("label", F.coalesce("label", "rid"))
-    placed = cut(placed)
-    tokens = placed.select("rid", "n", "extra", "label", F.posexplode("prefix").alias("pos", "token"))
-    shared = cut(tokens.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("token"))
+    placed = cut(prefixes(docs, (h[order], c[order]), words, percent).join(one.select("rid"), "rid", "left_semi"))
+    tokens = placed.select("rid", "n", "extra", "central", F.posexplode("prefix").alias("pos", "token"))
+    chief = tokens.groupBy("token").agg(F.max(F.struct("central", "rid", "n", "extra", "pos")).alias("y"), F.count("*").alias("c")).where("c > 1").select("token", "y")
+    met = tokens.select("token", F.struct("rid", "n", "extra", "pos").alias("x")).join(cut(chief), "token")
+    found = components(linked(_matched(met.where("x.rid <> y.rid"), percent), docs, words, percent))
+    tokens = placed.join(found.withColumnRenamed("node", "rid"), "rid", "left").select("rid", "n", "extra", F.coalesce("label", "rid").alias("label"), F.posexplode("prefix").alias("pos", "token"))
+    shared = cut(tokens.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("c")).where("low <> high").select("token", F.ceil(F.col("c") / HOT).cast("int").alias("parts")))
     live = cut(tokens.join(shared, "token"))
     # The smaller set of a pair overlaps the other by more than half of what both sizes ask for, so less of it needs to be looked up.
-    here = live.where(F.col("pos") < F.col("n") - _both(F.col("n"), F.col("n"), percent) + F.col("extra")).alias("x")
-    there = live.alias("y")
-    x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
-    overlap, longer = _both(x("n"), y("n"), percent), F.least(x("extra"), y("extra"))
-    pair = here.join(there, x("token") == y("token")).where(
-        (x("label") != y("label"))
-        & ((x("n") < y("n")) | ((x("n") == y("n")) & (x("rid") < y("rid"))))
-        & (100 * x("n") >= percent * y("n"))
-        & (x("pos") < x("n") - overlap + longer)
-        & (y("pos") < y("n") - overlap + longer)
-    )
-    pair = pair.groupBy(x("rid").alias("a"), y("rid").alias("b")).agg(F.count("*").alias("c"), F.first(longer).alias("longer")).where("c >= longer").select("a", "b")
+    here = live.where(F.col("pos") < F.col("n") - _both(F.col("n"), F.col("n"), percent) + F.col("extra"))
+    row = F.struct("rid", "n", "extra", "pos", "label")
+    here = here.select("token", F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int").alias("part"), row.alias("x"))
+    there = live.select("token", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), row.alias("y"))
+    smaller = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.rid") < F.col("y.rid")))
+    pair = _matched(here.join(there, ["token", "part"]).where((F.col("x.label") != F.col("y.label")) & smaller), percent)
     # Of two whole prefixes, the one that ends first misses common shingles in its own rest only, so the
     # common ones in both prefixes and the longer rest must reach the overlap.
     side = lambda k: placed.select(F.col("rid").alias(k), F.struct("n", "prefix").alias(f"p{k}"))
     pair = pair.join(side("a"), "a").join(side("b"), "b")
     rest = F.greatest(F.col("pa.n") - F.size("pa.prefix"), F.col("pb.n") - F.size("pb.prefix"))
     pair = pair.where(F.size(F.array_intersect("pa.prefix", "pb.prefix")) >= _both(F.col("pa.n"), F.col("pb.n"), percent) - rest)
-    links = links.union(linked(pair.select("a", "b"), docs, words, percent))
-    found = components(links)
+    joined = linked(pair.select("a", "b"), docs, words, percent)
+    # The second turn's links join components of the first by their labels.
+    for k in ("a", "b"):
+        joined = joined.join(found.select(F.col("node").alias(k), F.col("label").alias(f"{k}l")), k, "left").withColumn(k, F.coalesce(f"{k}l", k)).drop(f"{k}l")
+    above = components(joined.where("a <> b"))
+    nodes = found.union(above.select("node", F.col("node").alias("label")).join(found.select("node"), "node", "left_anti"))
+    found = nodes.join(above.select(F.col("node").alias("label"), F.col("label").alias("top")), "label", "left").select("node", F.coalesce("top", "label").alias("label"))
 
     keyed = docs.select("rid", "key").join(rows.select("rid", "n", "s1", "s2"), "rid")
     final = one.select("n", "s1", "s2", F.col("rid").alias("node")).join(found, "node", "left").select("n", "s1", "s2", F.coalesce("label", "node").alias("found"))
@@ -242,6 +241,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs with one row of each group: its first. The pipeline takes five words and 80 percent."""
+    """docs with one row of each group: its first. The pipeline takes five words and 80 percent.
+
+    Rows without words (null texts too) are groups of their own and stay; of repeated rows one stays, whatever
+    their keys; an empty table stays empty, and no column's name can clash.
+    """
     kept = group_documents(docs, words=5, percent=80).where("rid = group").select("rid")
     return whole_rows(docs).join(kept, "rid", "left_semi").select("row.*")

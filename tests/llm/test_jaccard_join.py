@@ -40,15 +40,15 @@ def run(df, **kw):
     return sorted((str(r.doc_id), r.n_shingles, r.component_id) for r in jaccard_join.group_documents(df, **kw).collect())
 
 
+@pytest.mark.parametrize("sf", ["/root/testdata/sf0.001", "/root/testdata/sf0.01"])
 def test_equals_brute_force_on_a_table(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     assert sorted((str(r.doc_id), r.n_shingles, r.component_id) for r in jaccard_join.query(spark, sf).collect()) == brute(rows, 4, 85)
 
 
-@pytest.mark.parametrize(("words", "percent", "minima"), [(4, 85, 8), (5, 80, 1), (2, 60, 1)])
-def test_chains_and_shared_passages(spark, monkeypatch, words, percent, minima):
-    monkeypatch.setattr(jaccard_join, "_SEEDS", jaccard_join._SEEDS[:minima])
-    monkeypatch.setattr(jaccard_join, "SAME", min(minima, 3))
+@pytest.mark.parametrize(("words", "percent", "hot"), [(4, 85, 1000), (5, 80, 3), (2, 60, 2)])
+def test_chains_and_shared_passages(spark, monkeypatch, words, percent, hot):
+    monkeypatch.setattr(jaccard_join, "HOT", hot)
     monkeypatch.setattr(jaccard_join, "FILTER", 64)
     rng = random.Random(5)
     passage = [rng.choice("abcdefghij") * 3 + str(i) for i in range(40)]
