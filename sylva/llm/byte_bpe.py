@@ -3,14 +3,15 @@
 A partition's texts are split by the tokenizer's pattern and its distinct words become rows of
 token positions. A recursive query joins neighbouring tokens to the merge table and contracts each
 word's leftmost pair of least rank until no pair merges; an ordered aggregation of the tokens'
-bytes decodes. Texts are then put together from their words.
+bytes decodes. In long words a turn contracts all places of that pair, from the left, wherever no merged
+token could come before the next of them; so turns do not grow with the word. Texts are then put
+together from their words.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from collections.abc import Iterator
 
 import duckdb
@@ -25,8 +26,10 @@ from sylva.session import table
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Code points of text handled at once; a bound on memory, not on texts.
 CHUNK = 16_000_000
-#: Words of more bytes are contracted with a heap, as the recursion's rows grow with a word's square.
+#: Words of more bytes contract all places of a pair in a turn, which costs more a turn but needs fewer.
 LONG_WORD = 64
+#: Words, and rows over all turns, of one recursive query; long words go on in another where these end.
+WORDS, ROWS = 24_000, 3_000_000
 #: Fixed value: the public pattern, for which texts may be cut before single spaces.
 SPACED = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _LOOSE = regex.compile(r"^\s|\s$| \s|\s ")
@@ -47,8 +50,35 @@ WITH RECURSIVE step(place, tok, turn) AS (
 ),
 last AS (SELECT place // 65536 AS word, max(turn) AS turn FROM step GROUP BY ALL),
 whole AS (SELECT word AS w, place % 65536 AS pos, tok FROM step JOIN last ON word = place // 65536 AND last.turn = step.turn)
-SELECT w, list(tok) AS ids, string_agg(hex, '') AS bytes FROM (SELECT * FROM whole JOIN vocabulary ON id = tok ORDER BY w, pos) GROUP BY w
+SELECT w, list(tok ORDER BY pos) AS ids, string_agg(hex, '' ORDER BY pos) AS bytes FROM whole JOIN vocabulary ON id = tok GROUP BY w
 """
+# hit: a pair of the word's least rank; run: hits one after the other, of which every second overlaps;
+# early: a token merged here would merge again before the next hit, so that only the first is contracted.
+_STEP_LONG = """
+WITH RECURSIVE step AS (
+  SELECT w, pos, tok, 0 AS turn FROM letters
+  UNION ALL
+  SELECT w, pos, CASE WHEN taken THEN merged ELSE tok END AS tok, turn + 1
+  FROM (SELECT *, lag(taken, 1, false) OVER (PARTITION BY w ORDER BY i) AS gone FROM (
+    SELECT *, hit AND CASE WHEN bool_or(early) OVER (PARTITION BY w) THEN nth = 1 ELSE (i - run) % 2 = 0 END AS taken FROM (
+      SELECT h.*, row_number() OVER (PARTITION BY w, hit ORDER BY i) AS nth, max(CASE WHEN NOT hit THEN i ELSE 0 END) OVER (PARTITION BY w ORDER BY i) + 1 AS run,
+        hit AND (l.merged IS NOT NULL OR r.merged IS NOT NULL OR t.merged IS NOT NULL) AS early
+      FROM (
+        SELECT *, coalesce(merged = best, false) AS hit, row_number() OVER (PARTITION BY w ORDER BY pos) AS i FROM (
+          SELECT *, min(merged) OVER (PARTITION BY w) AS best FROM (
+            SELECT s.*, m.merged FROM (SELECT *, lag(tok) OVER o AS before, lead(tok) OVER o AS next, lead(tok, 2) OVER o AS after FROM step WINDOW o AS (PARTITION BY w ORDER BY pos)) s
+            LEFT JOIN merges m ON m.pair = s.tok::BIGINT * 65536 + s.next)
+        ) WHERE best IS NOT NULL AND turn < $turns
+      ) h
+      LEFT JOIN merges l ON l.pair = CASE WHEN hit THEN before::BIGINT * 65536 + best END AND l.merged < best
+      LEFT JOIN merges r ON r.pair = CASE WHEN hit THEN best::BIGINT * 65536 + after END AND r.merged < best
+      LEFT JOIN merges t ON t.pair = CASE WHEN hit THEN best::BIGINT * 65536 + best END AND t.merged < best
+    )
+  )) WHERE NOT gone
+)
+SELECT w, pos, tok, turn FROM step JOIN (SELECT w AS word, max(turn) AS most FROM step GROUP BY ALL) ON w = word AND turn = most
+"""
+_DECODE = "SELECT w, list(tok ORDER BY pos) AS ids, string_agg(hex, '' ORDER BY pos) AS bytes FROM letters JOIN vocabulary ON id = tok GROUP BY w"
 
 
 def default_path() -> str:
@@ -71,56 +101,73 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class Words:
     """Ids and bytes of distinct words, by one DuckDB connection and its merge table."""
 
-    #: Words contracted by one recursive query.
-    batch = 24_000
-
     def __init__(self, ranks: dict[bytes, int]):
+        if ranks and max(ranks.values()) >= 1 << 16:
+            raise ValueError("ids of 65,536 and more do not fit the merge table's pairs")
         self.ranks, self.pieces = ranks, {i: t for t, i in ranks.items()}
         merges = [(ranks[t[:k]], ranks[t[k:]], i) for t, i in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})  # queries are kept small instead of spilling
         a, b, m = np.array(merges, np.int64).reshape(-1, 3).T
         self._table("merges", pa.table({"pair": a * 65536 + b, "merged": m}))
         self._table("vocabulary", pa.table({"id": pa.array(list(self.pieces), pa.int32()), "hex": [t.hex() for t in self.pieces.values()]}))
+        self.single = np.array([ranks.get(bytes([x]), -1) for x in range(256)], np.int32)
 
     def _table(self, name: str, data: pa.Table) -> None:
         self.con.register("incoming", data)
         self.con.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM incoming")
         self.con.unregister("incoming")
 
+    def _letters(self, words: list[bytes]) -> None:
+        """The table letters: a row for each byte of each word, by its token."""
+        length = np.array([len(w) for w in words])
+        data = np.frombuffer(b"".join(words), np.uint8)
+        starts = np.cumsum(length) - length
+        self._table("letters", pa.table({"w": np.repeat(np.arange(len(words)), length), "pos": np.arange(len(data)) - np.repeat(starts, length) + 1, "tok": self.single[data]}))
+
+    def contracted(self, words: list[bytes], long: bool) -> pa.Table:
+        """w, ids and bytes of each word."""
+        self._letters(words)
+        if not long:
+            return self.con.sql(_STEP).to_arrow_table().combine_chunks()
+        turns = max(1, ROWS // sum(len(w) for w in words))
+        while True:
+            state = self.con.execute(_STEP_LONG, {"turns": turns}).to_arrow_table()
+            most = pa.compute.max(state.column("turn")).as_py()
+            self._table("letters", state.drop_columns(["turn"]))
+            if most < turns:
+                return self.con.sql(_DECODE).to_arrow_table().combine_chunks()
+
     def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
         """The ids of all words, one after the other, how many each has, and the bytes that these stand for."""
         sizes, back = np.zeros(len(words), np.int64), [b""] * len(words)
         parts: list[tuple[np.ndarray, np.ndarray]] = []  # words and all their ids
-        rest, whole = [], []
+        whole, rest = [], ([], [])
         for k, w in enumerate(words):
             if (i := self.ranks.get(w)) is not None:
                 whole.append((k, i))
                 back[k] = self.pieces[i]
-            elif len(w) > LONG_WORD:
-                ids = np.array(self.by_heap(w), np.uint32)
-                sizes[k], back[k] = len(ids), b"".join(self.pieces[i] for i in ids.tolist())
-                parts.append((np.array([k]), ids))
             else:
-                rest.append(k)
+                rest[len(w) > LONG_WORD].append(k)
         if whole:
             at, ids = np.array(whole, np.int64).T
             sizes[at] = 1
             parts.append((at, ids.astype(np.uint32)))
-        for start in range(0, len(rest), self.batch):
-            part = np.array(rest[start : start + self.batch])
-            data = np.frombuffer(b"".join(words[k] for k in part), np.uint8)
-            length = np.array([len(words[k]) for k in part])
-            starts = np.cumsum(length) - length
-            single = np.array([self.ranks[bytes([x])] for x in range(256)], np.int32)
-            letters = {"w": np.repeat(np.arange(len(part)), length), "pos": np.arange(len(data)) - np.repeat(starts, length) + 1, "tok": single[data]}
-            self._table("letters", pa.table(letters))
-            done = self.con.sql(_STEP).to_arrow_table().combine_chunks()
-            tokens = done.column("ids").combine_chunks()
-            at = part[done.column("w").to_numpy()]
-            sizes[at] = pa.compute.list_value_length(tokens).to_numpy()
-            parts.append((at, tokens.flatten().to_numpy().astype(np.uint32)))
-            for k, text in zip(at.tolist(), done.column("bytes").to_pylist(), strict=True):
-                back[k] = bytes.fromhex(text)
+        for long in (False, True):
+            length = np.array([len(words[k]) for k in rest[long]], np.int64)
+            rows = np.cumsum(length * 100 if long else length * (length + 1) // 2)
+            start = 0
+            while start < len(length):
+                stop = int(np.searchsorted(rows, ROWS + (rows[start - 1] if start else 0), side="right"))
+                stop = min(max(stop, start + 1), start + WORDS)
+                part = np.array(rest[long][start:stop])
+                start = stop
+                done = self.contracted([words[k] for k in part], long)
+                tokens = done.column("ids").combine_chunks()
+                at = part[done.column("w").to_numpy()]
+                sizes[at] = pa.compute.list_value_length(tokens).to_numpy()
+                parts.append((at, tokens.flatten().to_numpy().astype(np.uint32)))
+                for k, text in zip(at.tolist(), done.column("bytes").to_pylist(), strict=True):
+                    back[k] = bytes.fromhex(text)
         first = np.cumsum(sizes) - sizes
         flat = np.empty(int(sizes.sum()), np.uint32)
         for at, ids in parts:
@@ -128,30 +175,18 @@ class Words:
             flat[np.arange(len(ids)) + np.repeat(first[at] - (np.cumsum(n) - n), n)] = ids
         return flat, sizes, back
 
-    def by_heap(self, word: bytes) -> list[int]:
-        """The same contraction for one long word, in n log n."""
-        tok = [self.ranks[word[i : i + 1]] for i in range(len(word))]
-        part: list[bytes | None] = [word[i : i + 1] for i in range(len(word))]
-        after, before = [*range(1, len(word)), -1], list(range(-1, len(word) - 1))
-        heap: list[tuple[int, int, bytes, bytes]] = []
-
-        def offer(i: int) -> None:
-            if i >= 0 and (j := after[i]) >= 0 and (r := self.ranks.get(part[i] + part[j])) is not None:
-                heapq.heappush(heap, (r, i, part[i], part[j]))
-
-        for i in range(len(word)):
-            offer(i)
-        while heap:
-            r, i, x, y = heapq.heappop(heap)
-            j = after[i] if part[i] is not None else -1
-            if j < 0 or part[i] != x or part[j] != y:
-                continue
-            tok[i], part[i], part[j], after[i] = r, x + y, None, after[j]
-            if after[i] >= 0:
-                before[after[i]] = i
-            offer(before[i])
-            offer(i)
-        return [t for t, p in zip(tok, part, strict=True) if p is not None]
+    def decode(self, ids: list[list[int]]) -> list[bytes]:
+        """The bytes of each list of ids, by an ordered aggregation."""
+        length = np.array([len(x) for x in ids], np.int64)
+        flat = np.concatenate([np.asarray(x, np.int32) for x in ids]) if len(ids) else np.empty(0, np.int32)
+        self._table("letters", pa.table({"w": np.repeat(np.arange(len(ids)), length), "pos": np.arange(len(flat)), "tok": flat}))
+        out = [b""] * len(ids)
+        done = self.con.sql(_DECODE).to_arrow_table()
+        for k, n, text in zip(done.column("w").to_pylist(), pa.compute.list_value_length(done.column("ids")).to_pylist(), done.column("bytes").to_pylist(), strict=True):
+            if n != length[k]:
+                raise ValueError("an id is not in the vocabulary")
+            out[k] = bytes.fromhex(text)
+        return out
 
 
 def split_units(text: str, split) -> list[str]:
@@ -210,8 +245,9 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]
 def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
     """Token count and digests of the ids and of the decoded bytes for each row of docs.
 
-    Null text counts as empty (no tokens); repeated rows each get a row; an empty table gives an
-    empty result; other columns are ignored. with_ids adds the ids themselves.
+    Null and empty texts have no tokens. Very long texts and words are encoded whole. Repeated rows and
+    null keys each get a row; among equal ranks in a word the leftmost pair goes first. An empty table
+    gives an empty result; other columns are ignored. with_ids adds the ids themselves.
     """
     path, pattern = path or default_path(), pattern or default_pattern()
 
@@ -232,15 +268,17 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
 
 
 def decode(ids: DataFrame, path: str | None = None, key: str = "doc_id") -> DataFrame:
-    """The bytes of each row's ids, by an ordered aggregation for each row."""
+    """The bytes of each row's ids; null ids are none. An id that the vocabulary lacks is an error."""
     path = path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = None
+        words = None
         for batch in batches:
-            pieces = pieces or {i: t for t, i in read_ranks(path).items()}
-            data = [b"".join(pieces[i] for i in x or []) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], ["key", "bytes"])
+            words = words or Words(read_ranks(path))
+            for start in range(0, batch.num_rows, 500):
+                part = batch.slice(start, 500)
+                data = words.decode([x or [] for x in part.column(1).to_pylist()])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(data, pa.binary())], ["key", "bytes"])
 
     return ids.select(F.col(key).cast("long").alias("key"), "ids").mapInArrow(run, "key bigint, bytes binary").withColumnRenamed("key", key)
 
@@ -250,5 +288,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The last stage: what training reads of each document of the mix, without its text."""
+    """The last stage: what training reads of each document of the mix, without its text.
+
+    One row for each row, null texts, null keys and repeated rows included; an empty table gives none, and
+    no column's name can clash, as only doc_id and text are read.
+    """
     return encode(docs)

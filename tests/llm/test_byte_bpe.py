@@ -1,8 +1,10 @@
 import base64
 import hashlib
+import random
 import struct
 
 import public_tokenizers as P
+import pytest
 import tiktoken
 from sylva.llm import byte_bpe
 
@@ -31,3 +33,20 @@ def test_odd_rows(spark, odd, none):
 def test_decode(spark, odd):
     coded = byte_bpe.encode(odd, with_ids=True)
     assert sorted(bytes(r["bytes"]).decode() for r in byte_bpe.decode(coded).collect()) == sorted(r.text or "" for r in odd.collect())
+
+
+@pytest.mark.parametrize("rows", [byte_bpe.ROWS, 20_000])
+def test_long_words(spark, monkeypatch, rows):
+    monkeypatch.setattr(byte_bpe, "ROWS", rows)
+    rng = random.Random(2)
+    drawn = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    words = ["x" * 65, "a" * 70_001, drawn("0123456789", 1500), drawn("ACGT", 1500), drawn("theandrsi", 700), drawn("abcdeé文中", 400), "-=" * 300, "\n \t" * 90, "ab" * 40, drawn("ing", 65)]
+    texts = [(i, w) for i, w in enumerate(words)] + [(100, " ".join(words)), (101, "one two " * 20_000)]
+    df = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(4)
+    assert sorted((str(r[0]), *r[1:]) for r in byte_bpe.encode(df).collect()) == expected(texts)
+
+
+def test_stage_with_odd_rows(spark, odd, none):
+    rows = [tuple(r) for r in odd.select("doc_id", "text").collect()]
+    assert sorted((str(r[0]), *r[1:]) for r in byte_bpe.stage(spark, odd, "").collect()) == expected(rows)
+    assert byte_bpe.stage(spark, none, "").count() == 0
