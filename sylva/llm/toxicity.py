@@ -21,20 +21,20 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sylva.llm.common import remainder, row_ids, whole_rows
+from sylva.llm.common import cut, remainder, row_ids, whole_rows
 from sylva.session import table
 
 #: Labelled texts learned from, at most (all, if fewer), drawn by a hash of the text's id.
 LABELLED = 30_000
-#: Lengths of word beginnings; standard errors and log-odds that an entry needs, different toxic texts with it; entries.
-STEMS, CLEARLY, STRONGLY, LEAST, ENTRIES = (4, 5, 6, 7), 3.5, 1.5, 8, 5_000
+#: Lengths of word beginnings; standard errors and log-odds that an entry needs, different toxic texts with it.
+STEMS, CLEARLY, STRONGLY, LEAST = (4, 5, 6, 7), 3.5, 1.5, 8
 #: An exception stands in so many clean texts at least, and in no greater a share of the toxic ones.
 EXCEPTION = 3
 THRESHOLD = 0.3
 #: Words of a shingle of the signature.
 SHINGLE = 4
-#: Code points of text handled at once.
-CHUNK = 4_000_000
+#: Code points of text handled at once, and rows sent on at once.
+CHUNK, HELD = 1_000_000, 100_000
 # Letters of other scripts that look like Latin ones, and what digits and signs stand for.
 ALIKE = dict(zip("абвгеѕіјкмнорсԁтухһԛԝαβεικνορτυχγω", "a6bresijkmhopcdtyxhqwabeiknoptuxyw", strict=True))
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s"}
@@ -157,24 +157,33 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> tuple[dict
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, seen = _Fold(), (Counter(), Counter())
+
+        def flush(y: int) -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(seen[y].keys(), pa.string()), pa.array([y] * len(seen[y]), pa.int32()), pa.array(seen[y].values(), pa.int64())], ["entry", "toxic", "n"])
+            seen[y].clear()
+            return out
+
         for held, texts in _texts(batches):
             for y, t in zip(held["toxic"], texts, strict=True):
                 seen[y].update(entries_of(folded(t, table)))
                 seen[y][""] += 1
+                if len(seen[y]) > HELD:
+                    yield flush(y)
         for y in (0, 1):
-            yield pa.RecordBatch.from_arrays([pa.array(seen[y].keys(), pa.string()), pa.array([y] * len(seen[y]), pa.int32()), pa.array(seen[y].values(), pa.int64())], ["entry", "toxic", "n"])
+            yield flush(y)
 
     sums = sample.mapInArrow(counted, "entry string, toxic int, n bigint").groupBy("entry").agg(
         F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("c")
     )
-    z = (F.log((F.col("t") + 0.5) / (F.col("c") + 0.5))) / F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))
-    rows = sums.where((F.col("entry") == "") | (F.col("t") >= LEAST)).withColumn("z", z).orderBy(F.col("entry") != "", F.desc("z"), "entry").limit(20 * ENTRIES).collect()
-    if not rows or rows[0]["entry"] != "" or not rows[0]["t"] or not rows[0]["c"]:
+    sums = cut(sums.where((F.col("entry") == "") | (F.col("t") >= LEAST)))
+    whole = sums.where("entry = ''").first()
+    if not whole or not whole.t or not whole.c:
         return {}, set(), np.array([-1.5, 0.0, 0.0])
-    n_toxic, n_clean = rows[0]["t"], rows[0]["c"]
-    t, c = (np.array([r[k] for r in rows[1:]], float) for k in ("t", "c"))
-    value, _ = log_odds(t, c, n_toxic, n_clean)
-    telling = {rows[1 + i]["entry"] for i in np.flatnonzero(value > STRONGLY / 3)}  # loosely, as copies still count here
+    n_toxic, n_clean = whole.t, whole.c
+    value = F.log((F.col("t") + 0.5) / (n_toxic + 1)) - F.log((F.col("c") + 0.5) / (n_clean + 1))
+    # Loosely, as copies still count here: these entries are in LEAST of LABELLED texts at least, so bounded by the texts' words.
+    loose = sums.where((F.col("entry") != "") & (value > STRONGLY / 3)).select("entry").toArrow()
+    telling = docs.sparkSession.sparkContext.broadcast(frozenset(loose.column("entry").to_pylist()))
 
     def held_by(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, out = _Fold(), set()
@@ -187,8 +196,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> tuple[dict
                 words = folded(t, table)
                 sig = signature(words)
                 out.add(("", y, sig))
-                out.update((e, y, sig) for e in entries_of(words) if e in telling)
-                if len(out) > 500_000:
+                out.update((e, y, sig) for e in entries_of(words) if e in telling.value)
+                if len(out) > HELD:
                     yield flush()
                     out = set()
         yield flush()
@@ -221,7 +230,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> tuple[dict
     phrases = sample.mapInArrow(phrased, "phrase string, toxic int, n bigint").groupBy("phrase").agg(
         F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("c")
     )
-    spared = phrases.where((F.col("c") >= EXCEPTION) & (F.col("t") / n_toxic <= F.col("c") / n_clean)).orderBy(F.desc("c"), "phrase").limit(ENTRIES).collect()
+    spared = phrases.where((F.col("c") >= EXCEPTION) & (F.col("t") / n_toxic <= F.col("c") / n_clean)).collect()  # around entries in the labelled texts only
     exceptions = {r["phrase"] for r in spared}
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,9 +250,11 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> tuple[dict
 def score_texts(docs: DataFrame, labels: DataFrame, key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
     """rid, key, score (0 to 1) and predicted for each row of docs, learned from labels (key, toxic).
 
-    Null and empty texts get the score of a text without matches. Repeated rows each get a row,
-    other columns are ignored, an empty table gives an empty result, and without labels of both
-    kinds every text gets the same low score.
+    Null and empty texts get the score of a text without matches, null keys are scored like others.
+    Very long texts are matched whole, their sum weighed by their length. Repeated rows each get a row
+    and, learned from, count once, as all copies do. Of entries that start at one place the longest
+    counts, and an id with several labels is toxic if one of them says so. Other columns are ignored, an empty table
+    gives an empty result, and without labels of both kinds every text gets the same low score.
     """
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, key))
 
@@ -267,7 +278,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs without those that are predicted to be toxic."""
+    """docs without those that are predicted to be toxic.
+
+    Rows of null or empty text or null key stay (they have no match), repeated rows stay or go together, an
+    empty table stays empty, without labels all rows stay, and no column's name can clash.
+    """
     labels = table(spark, sf_dir, "labels").where(remainder(F.col("doc_id"), 4) != 2)
     toxic = score_texts(docs, labels).where("predicted = 1").select("rid")
     return whole_rows(docs).join(toxic, "rid", "left_anti").select("row.*")
