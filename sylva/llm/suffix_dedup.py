@@ -6,7 +6,8 @@ distances fall in one step share a core of bytes; the core's hash names a group,
 are always in one group. Groups of one place only hold no repeats and go. The stretches of text
 that the windows of the other groups cover, each distinct one once, are laid into shards, group by
 group; induced sorting gives each shard's suffix array, and the permuted common prefixes tell which
-windows repeat. A group of very many distinct stretches is dealt on by whole windows instead.
+windows repeat. A group of too many distinct stretches for one shard is dealt on by finer steps of
+distance, whose cores are longer, down to one window to a stretch, where equal ones are one.
 """
 
 from __future__ import annotations
@@ -24,9 +25,9 @@ from sylva.llm.induced import permuted_common_prefixes, suffix_array
 from sylva.session import table
 
 LENGTH = 400
-#: Bytes of a gram, and of the distances that share a core.
-GRAM, REACH = 20, 128
-#: Bytes of a shard, as whole groups; groups of more distinct stretches are dealt on by windows.
+#: Bytes of a gram, and of the distances that share a core: the first step, and those by which large groups are dealt on.
+GRAM, REACHES = 20, (128, 16, 1)
+#: Bytes of a shard, as whole groups, and the distinct stretches from which a group is too large for one.
 SHARD, WIDE = 400_000, 500
 CHUNK = 2_000_000
 #: The stage removes repeated runs of so many words. A word is CODE bytes of its hash; one of over LONG bytes
@@ -48,7 +49,7 @@ def _least(h: np.ndarray, width: int) -> np.ndarray:
     return (np.minimum(right[:m], left[width - 1 : width - 1 + m]) & np.uint64((1 << 32) - 1)).astype(np.int64)
 
 
-def stretches(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...]:
+def stretches(texts: list[bytes], length: int, reach: int) -> tuple[np.ndarray, ...]:
     """Text, first window, number of windows and core's hash of each stretch: windows of one anchor and one step of distance."""
     starts = np.zeros(len(texts) + 1, np.int64)
     np.cumsum([len(t) for t in texts], out=starts[1:])
@@ -62,8 +63,8 @@ def stretches(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...
     s = np.arange(len(owner))
     of = np.searchsorted(starts, s, side="right") - 1
     whole = s + length <= starts[of + 1]
-    reach = length - gram
-    step = (s - owner + reach) // REACH
+    far = length - gram
+    step = (s - owner + far) // reach
     new = np.ones(len(s), bool)
     new[1:] = (owner[1:] != owner[:-1]) | (step[1:] != step[:-1]) | (of[1:] != of[:-1])
     first = np.flatnonzero(new)
@@ -71,9 +72,9 @@ def stretches(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...
     count = np.add.reduceat(whole.astype(np.int64), first)  # windows past a text's end are last in their stretch
     keep = (count > 0) & whole[first]
     first, count = first[keep], count[keep]
-    d = step[first] * REACH
-    base = owner[first] - reach
-    core = span_hashes(sums, base + np.minimum(d + REACH - 1, reach), base + d + length)
+    d = step[first] * reach
+    base = owner[first] - far
+    core = span_hashes(sums, base + np.minimum(d + reach - 1, far), base + d + length)
     return of[first], first - starts[of[first]], count, mix(core + d.astype(np.uint64) + np.uint64(1))
 
 
@@ -101,58 +102,35 @@ def _runs(flags: np.ndarray) -> tuple[list[int], list[int]]:
 _RUNS = pa.list_(pa.int32())
 
 
-def removed_runs(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """rid and runs (array of start, end in bytes, neither sorted nor joined) of each row with repeats."""
+_OWN = ["grp", "h1", "h2"]
+_FOUND = "grp bigint, h1 bigint, h2 bigint, a array<int>, b array<int>"
 
-    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held, texts in chunks(batches, CHUNK):
-            of, first, count, group = stretches(texts, length)
-            rid = np.array(held["rid"], np.int64)[of]
-            yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(group.view(np.int64)), pa.array(first, pa.int32()), pa.array(count, pa.int32())], ["rid", "grp", "first", "count"])
 
-    places = cut(docs.mapInArrow(named, "rid bigint, grp bigint, first int, count int"))
-    alive = cut(places.groupBy("grp").agg(F.count("*").alias("c")).where("c > 1").select("grp"))  # written, so that the join can split a large group
-    marked = places.join(alive, "grp").groupBy("rid").agg(F.collect_list(F.struct("grp", "first", "count")).alias("at"))  # no more than the text has windows
+def _digest(part: bytes) -> tuple[int, int]:
+    d = hashlib.blake2b(part, digest_size=16).digest()
+    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
-    def laid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, seen = ["rid", "grp", "h1", "h2", "first", "count", "bytes"], set()
-        rows: list[tuple] = []
 
-        def flush() -> pa.RecordBatch:
-            kinds = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
+def _batch(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds.values())], list(kinds))
 
-        for held, texts in chunks(batches, CHUNK):
-            for rid, at, text in zip(held["rid"], held["at"], texts, strict=True):
-                for x in at:
-                    part = text[x["first"] : x["first"] + x["count"] + length - 1]
-                    d = hashlib.blake2b(part, digest_size=16).digest()
-                    h1, h2 = int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
-                    rows.append((rid, x["grp"], h1, h2, x["first"], x["count"], None if d in seen else part))
-                    seen.add(d)
-                if len(seen) > 200_000:
-                    seen.clear()
-                if len(rows) > 5_000:
-                    yield flush()
-                    rows = []
-        if rows:
-            yield flush()
 
-    placed = cut(docs.join(marked, "rid").mapInArrow(laid, "rid bigint, grp bigint, h1 bigint, h2 bigint, first int, count int, bytes binary"))
-    distinct = placed.groupBy("grp", "h1", "h2").agg(F.count("*").alias("c"), F.first("bytes", ignorenulls=True).alias("bytes"))
-    sizes = placed.groupBy("grp", "h1", "h2").agg(F.lit(1).alias("one")).groupBy("grp").agg(F.count("*").alias("n"))
-    distinct = cut(distinct.join(sizes, "grp"))
-    # A stretch alone in its group has no other to be sorted with; it stands at several places, so all of it repeats.
+def _repeats(distinct: DataFrame, length: int, level: int = 0) -> DataFrame:
+    """grp, h1, h2, a and b (first repeated windows, and those past the last) of the rows of distinct
+    (grp, h1, h2, c: places, n: distinct ones of its group, bytes) that have any."""
+    # A stretch alone in its group has no other to be sorted with; at several places, all of it repeats.
     windows_of = F.array((F.length("bytes") - length + 1).cast("int"))
-    alone = distinct.where("n = 1").select("grp", "h1", "h2", F.array(F.lit(0)).alias("a"), windows_of.alias("b"))
-    narrow, wide = distinct.where((F.col("n") > 1) & (F.col("n") <= WIDE)), distinct.where(F.col("n") > WIDE)
+    alone = distinct.where("n = 1 and c > 1").select(*_OWN, F.array(F.lit(0)).alias("a"), windows_of.alias("b"))
+    last = level == len(REACHES) - 1  # one window to a stretch: all of a group are one
+    if last:
+        return alone
 
     def sorted_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def shard(rows: list[tuple]) -> pa.RecordBatch:
             out = []
             for (g, h1, h2, c, b), flags in zip(rows, repeated_windows([r[4] for r in rows], length), strict=True):
                 out.append((g, h1, h2, *_runs(np.ones(len(flags), bool) if c > 1 else flags)))
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate([pa.int64()] * 3 + [_RUNS] * 2)], ["grp", "h1", "h2", "a", "b"])
+            return _batch(out, dict.fromkeys(_OWN, pa.int64()) | {"a": _RUNS, "b": _RUNS})
 
         rows, size = [], 0
         for batch in batches:
@@ -165,28 +143,78 @@ def removed_runs(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         if rows:
             yield shard(rows)
 
-    schema = "grp bigint, h1 bigint, h2 bigint, a array<int>, b array<int>"
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # sorting is long for its bytes: no merging of small ones
-    dealt = narrow.select("grp", "h1", "h2", "c", "bytes").repartition(parts, "grp").sortWithinPartitions("grp")
-    found = dealt.mapInArrow(sorted_shards, schema)
+    parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # sorting is long for its bytes: no merging of small ones
+    narrow = distinct.where((F.col("n") > 1) & (F.col("n") <= WIDE)).select(*_OWN, "c", "bytes").repartition(parts, "grp").sortWithinPartitions("grp")
+    found = narrow.mapInArrow(sorted_shards, _FOUND).unionByName(alone)
+    wide = distinct.where(F.col("n") > WIDE)
+    if wide.isEmpty():
+        return found
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = dict.fromkeys(("grp", "h1", "h2", "ogrp", "oh1", "oh2", "c"), pa.int64()) | {"first": pa.int32(), "bytes": pa.binary()}
         for batch in batches:
-            for g, h1, h2, c, b in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                n = len(b) - length + 1
-                ds = [hashlib.blake2b(b[i : i + length], digest_size=16).digest() for i in range(n)]
-                w = np.frombuffer(b"".join(ds), "<i8").reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays(
-                    [*(pa.array([x] * n, pa.int64()) for x in (g, h1, h2, c)), pa.array(range(n), pa.int32()), pa.array(w[:, 0].copy()), pa.array(w[:, 1].copy())],
-                    ["grp", "h1", "h2", "c", "i", "w1", "w2"],
-                )
-
-    each = cut(wide.select("grp", "h1", "h2", "c", "bytes").mapInArrow(windows, "grp bigint, h1 bigint, h2 bigint, c bigint, i int, w1 bigint, w2 bigint"))
-    often = each.groupBy("w1", "w2").agg(F.sum("c").alias("times")).where("times > 1").select("w1", "w2")
-    apart = each.join(often, ["w1", "w2"]).groupBy("grp", "h1", "h2").agg(F.collect_list("i").alias("a")).withColumn("b", F.transform("a", lambda i: i + 1))  # REACH windows at most
-    found = cut(found.unionByName(alone).unionByName(apart).where(F.size("a") > 0))
+            rows = list(zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True))
+            for start in range(0, len(rows), 200):
+                some, out = rows[start : start + 200], []
+                of, first, count, group = stretches([r[4] for r in some], length, REACHES[level + 1])
+                for k, f, n, g in zip(of.tolist(), first.tolist(), count.tolist(), group.view(np.int64).tolist(), strict=True):
+                    part = some[k][4][f : f + n + length - 1]
+                    out.append((g, *_digest(part), *some[k][:4], f, part))
+                yield _batch(out, kinds)
+
+    schema = "grp bigint, h1 bigint, h2 bigint, ogrp bigint, oh1 bigint, oh2 bigint, c bigint, first int, bytes binary"
+    dealt = cut(wide.select(*_OWN, "c", "bytes").mapInArrow(finer, schema))
+    below = _repeats(_distinct(dealt, F.sum("c")), length, level + 1)
+    back = dealt.drop("bytes", "c").join(below, _OWN)
+    moved = lambda k: F.flatten(F.collect_list(F.transform(k, lambda x: x + F.col("first")))).alias(k)  # noqa: E731  no more than a stretch has windows
+    back = back.groupBy(F.col("ogrp").alias("grp"), F.col("oh1").alias("h1"), F.col("oh2").alias("h2")).agg(moved("a"), moved("b"))
+    return found.unionByName(back)
+
+
+def _distinct(placed: DataFrame, places) -> DataFrame:
+    """Distinct stretches (grp, h1, h2, bytes) of placed, c by places, and n, how many their group has.
+
+    Sizes are joined before rows are grouped, so that the join can split a large group.
+    """
+    sizes = cut(placed.groupBy(*_OWN).agg(F.lit(1).alias("one")).groupBy("grp").agg(F.count("*").alias("n")))
+    return cut(placed.join(sizes, "grp").groupBy(*_OWN).agg(places.alias("c"), F.first("n").alias("n"), F.first("bytes", ignorenulls=True).alias("bytes")))
+
+
+def removed_runs(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """rid and runs (array of start, end in bytes, neither sorted nor joined) of each row with repeats."""
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held, texts in chunks(batches, CHUNK):
+            of, first, count, group = stretches(texts, length, REACHES[0])
+            rid = np.array(held["rid"], np.int64)[of]
+            yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(group.view(np.int64)), pa.array(first, pa.int32()), pa.array(count, pa.int32())], ["rid", "grp", "first", "count"])
+
+    places = cut(docs.mapInArrow(named, "rid bigint, grp bigint, first int, count int"))
+    alive = cut(places.groupBy("grp").agg(F.count("*").alias("c")).where("c > 1").select("grp"))  # written, so that the join can split a large group
+    marked = places.join(alive, "grp").groupBy("rid").agg(F.collect_list(F.struct("grp", "first", "count")).alias("at"))  # no more than the text has windows
+
+    def laid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = dict.fromkeys(("rid", *_OWN), pa.int64()) | {"first": pa.int32(), "count": pa.int32(), "bytes": pa.binary()}
+        seen, rows = set(), []
+        for held, texts in chunks(batches, CHUNK):
+            for rid, at, text in zip(held["rid"], held["at"], texts, strict=True):
+                for x in at:
+                    part = text[x["first"] : x["first"] + x["count"] + length - 1]
+                    d = _digest(part)
+                    rows.append((rid, x["grp"], *d, x["first"], x["count"], None if d in seen else part))
+                    seen.add(d)
+                if len(seen) > 200_000:
+                    seen.clear()
+                if len(rows) > 5_000:
+                    yield _batch(rows, kinds)
+                    rows = []
+        if rows:
+            yield _batch(rows, kinds)
+
+    placed = cut(docs.join(marked, "rid").mapInArrow(laid, "rid bigint, grp bigint, h1 bigint, h2 bigint, first int, count int, bytes binary"))
+    found = cut(_repeats(_distinct(placed, F.count("*")), length).where(F.size("a") > 0))
     spans = F.arrays_zip("a", "b")
-    runs = placed.select("rid", "grp", "h1", "h2", "first").join(found, ["grp", "h1", "h2"])
+    runs = placed.select("rid", *_OWN, "first").join(found, _OWN)
     runs = runs.select("rid", F.transform(spans, lambda r: F.struct((F.col("first") + r["a"]).alias("a"), (F.col("first") + r["b"] - 1 + length).alias("b"))).alias("runs"))
     return cut(runs.groupBy("rid").agg(F.flatten(F.collect_list("runs")).alias("runs")))  # no more than the text has windows
 
@@ -204,11 +232,13 @@ def _kept(text: bytes, runs: list[dict] | None) -> tuple[bytes, int, int]:
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", with_text: bool = False) -> DataFrame:
-    """rid, key, n_bytes, n_removed, n_spans and kept_sha256 of each row of docs; with_text adds the text that stays.
+    """rid, key, n_bytes, n_removed, n_spans, kept_sha256 and repeats (whether the row lost bytes) of each row of docs; with_text adds the text that stays.
 
     A byte goes if a string of length bytes that covers it also starts anywhere else, in any text.
-    Null text counts as empty (and stays null in the text returned); repeated rows are removed from
-    all their copies; other columns are ignored. Text cut within a character loses its loose bytes.
+    Null and empty texts have no bytes and lose none; in the text returned null is empty. Very long
+    texts are judged whole. All copies of a repeated string go, so repeated rows of length bytes or more
+    lose everything, and ties need no order. Null keys stay null. An empty table gives an empty result;
+    other columns are ignored. Text cut within a character loses its loose bytes.
     """
     keyed = row_ids(docs.select(F.col(key).alias("key"), "text"))
     runs = removed_runs(keyed.select("rid", "text"), length)
@@ -218,11 +248,11 @@ def dedup(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", with_text:
             rows = [_kept(t, r) for t, r in zip(texts, held["runs"], strict=True)]
             out = [pa.array(held[k], pa.int64()) for k in ("rid", "key")]
             out += [pa.array([len(t) for t in texts], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())]
-            out += [pa.array([hashlib.sha256(r[0]).hexdigest() for r in rows])]
+            out += [pa.array([hashlib.sha256(r[0]).hexdigest() for r in rows]), pa.array([r[1] > 0 for r in rows])]
             yield pa.RecordBatch.from_arrays(out + [pa.array([r[0].decode("utf-8", "ignore") for r in rows])] * with_text, names)
 
-    names = ["rid", "key", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["text"] * with_text
-    schema = "rid bigint, key bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", text string" * with_text
+    names = ["rid", "key", "n_bytes", "n_removed", "n_spans", "kept_sha256", "repeats"] + ["text"] * with_text
+    schema = "rid bigint, key bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, repeats boolean" + ", text string" * with_text
     rows = keyed.select("rid", F.col("key").cast("long").alias("key"), "text").join(runs, "rid", "left")
     return rows.mapInArrow(run, schema).withColumnRenamed("key", key)
 
@@ -291,7 +321,11 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs with repeated runs of over 50 words removed from their texts; rows whose whole text repeats stay, with an empty text."""
+    """docs with repeated runs of over 50 words removed from their texts; rows whose whole text repeats stay, with an empty text.
+
+    All copies of a run go, repeated rows' too. Null and empty texts stay as they are, null keys and equal
+    ids are rows like others, an empty table stays empty, and no column's name can clash.
+    """
     kept = without_repeats(row_ids(docs.select("text"))).withColumnRenamed("text", "kept")
     joined = whole_rows(docs).join(kept, "rid", "left")
     return joined.select(*[F.coalesce("kept", "row.text").alias(c) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])

@@ -30,12 +30,15 @@ def test_table(spark, sf):
     assert got(suffix_dedup.query(spark, sf)) == want
 
 
-@pytest.mark.parametrize(("wide", "shard", "reach", "length"), [(500, 10**6, 128, 60), (1, 10**6, 16, 60), (2, 500, 16, 25), (500, 300, 7, 20)])
-def test_planted(spark, monkeypatch, wide, shard, reach, length):
+@pytest.mark.parametrize(
+    ("wide", "shard", "reaches", "length"),
+    [(500, 10**6, (128, 16, 1), 60), (1, 10**6, (16, 1), 60), (2, 500, (16, 4, 1), 25), (500, 300, (7, 1), 20), (3, 500, (64, 16, 1), 60)],
+)
+def test_planted(spark, monkeypatch, wide, shard, reaches, length):
     monkeypatch.setattr(suffix_dedup, "WIDE", wide)
     monkeypatch.setattr(suffix_dedup, "SHARD", shard)
-    monkeypatch.setattr(suffix_dedup, "REACH", reach)
-    rng = random.Random(wide + reach)
+    monkeypatch.setattr(suffix_dedup, "REACHES", reaches)
+    rng = random.Random(wide + reaches[0])
     word = lambda n: "".join(rng.choice("abé ") for _ in range(n))
     passages = [word(n) for n in (length - 1, length, length + 1, 3 * length)]
     rows = [(i, word(rng.randrange(80)) + rng.choice(passages) + word(rng.randrange(80)) + rng.choice(passages) * (i % 3 == 0)) for i in range(60)]
