@@ -51,7 +51,7 @@ def in_categories(tasks: DataFrame, *categories: str) -> DataFrame:
 def with_property(tasks: DataFrame, name: str) -> DataFrame:
     """Tasks whose array props holds the property; an unknown property is an error."""
     found = tasks.where(F.array_contains("props", name))
-    if found.isEmpty():
+    if not found.limit(1).count():  # reads until the first that has it
         raise ValueError(f"no task has the property {name}")
     return found
 
@@ -64,7 +64,7 @@ def category_of(path: Column) -> Column:
 
 def properties_of(path: Column) -> Column:
     """The properties that a task's path names."""
-    marks = {"unreach-call": "reachability", "termination": "termination", "overflow": "overflow", "valid-": "memory"}
+    marks = {"-unreach-call": "reachability", "-termination": "termination", "-no-overflow": "overflow", "-valid-": "memory"}
     return F.array_compact(F.array(*[F.when(path.contains(k), F.lit(v)) for k, v in marks.items()]))
 
 
@@ -77,3 +77,42 @@ def complete_graphs(levels: DataFrame, h: int) -> DataFrame:
     """Counts of those graphs only that have all levels 0 to h."""
     whole = levels.where(F.col("h") <= h).groupBy("graph").agg(F.count_distinct("h").alias("n")).where(F.col("n") == h + 1)
     return levels.where(F.col("h") <= h).join(whole.select("graph"), "graph", "left_semi")
+
+
+def categories(tasks: DataFrame) -> DataFrame:
+    return tasks.select("category").distinct()
+
+
+def labels_of(labels: DataFrame, index: DataFrame, categories: list[str] | None = None) -> DataFrame:
+    """Labels (graph, ...) in the order of an index (graph, idx), of some categories only if they are given (column category)."""
+    if categories is not None:
+        labels = labels.where(F.col("category").isin(categories))
+    return labels.join(index, "graph")
+
+
+def filtered(tasks: DataFrame, *, category: str | None = None, task_type: str | None = None, ids: list | None = None, where: Column | None = None) -> DataFrame:
+    """Tasks (graph, category, props, ...) of a category, with a property, of given ids, and by any condition."""
+    if category is not None:
+        tasks = tasks.where(F.col("category") == category)
+    if task_type is not None:
+        tasks = tasks.where(F.array_contains("props", task_type))
+    if ids is not None:
+        tasks = tasks.where(F.col("graph").isin(ids))
+    return tasks if where is None else tasks.where(where)
+
+
+def frequency(nodes: DataFrame) -> DataFrame:
+    """The share of graphs that hold each label."""
+    held = nodes.select("graph", "label").distinct()
+    n = held.agg(F.count_distinct("graph").alias("n"))  # one row
+    return held.groupBy("label").agg(F.count("*").alias("df")).join(F.broadcast(n)).select("label", (F.col("df") / F.col("n")).alias("share"))
+
+
+def level_frequency(levels: DataFrame, h: int) -> DataFrame:
+    """Graphs by label, summed over the levels up to h."""
+    return levels.where(F.col("h") <= h).groupBy("h", "label").agg(F.count_distinct("graph").alias("df")).groupBy("label").agg(F.sum("df").alias("df"))
+
+
+def entities(bags: DataFrame, files: DataFrame, labels: DataFrame) -> DataFrame:
+    """Bags with their files (graph, file) and tool labels (graph, tool, solve, time)."""
+    return bags.join(files, "graph").join(labels, "graph")

@@ -72,3 +72,9 @@ def pair_scores(expected: Column, predicted: Column) -> list[Column]:
 
 def summary(scores: DataFrame, *keys: str) -> DataFrame:
     return scores.groupBy(*keys).agg(F.avg("score").alias("mean"), F.stddev_pop("score").alias("std"), F.percentile("score", 0.5).alias("median"), F.count("score").alias("n"))
+
+
+def by_property(rows: DataFrame, value: str, props: str = "props") -> DataFrame:
+    """Mean, deviation, least, greatest and number of a value over all rows ("overall", each once) and those of each property."""
+    each = rows.select(F.col(value).alias("v"), F.explode(F.array_union(F.array(F.lit("overall")), F.col(props))).alias("prop"))
+    return each.groupBy("prop").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.min("v").alias("least"), F.max("v").alias("greatest"), F.count("*").alias("n"))

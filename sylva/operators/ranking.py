@@ -72,3 +72,31 @@ def pareto(points: DataFrame, scores: list[str], name: str = "id") -> DataFrame:
         at_least &= F.col(f"o_{s}") >= F.col(s)
         equal &= F.col(f"o_{s}") == F.col(s)
     return points.join(other, (F.col("o") != F.col(name)) & at_least & (~equal | (F.col("o") < F.col(name))), "left_anti")
+
+
+def from_preferences(pairs: DataFrame, tools: DataFrame) -> DataFrame:
+    """A vote to x where v is 1, to y where it is -1, to none where it is 0 (task, x, y, v); ties go to the later tool."""
+    given = pairs.where("v <> 0").select("task", F.when(F.col("v") == 1, F.col("x")).otherwise(F.col("y")).alias("tool"), F.lit(1.0).alias("votes"))
+    votes = tools.join(given, ["task", "tool"], "left").groupBy("task", "tool").agg(F.coalesce(F.sum("votes"), F.lit(0.0)).alias("votes"))
+    return _ranked(votes, F.desc("votes"), F.desc("tool"))
+
+
+def by_result(labels: DataFrame) -> DataFrame:
+    """By votes of pairs, by solve = 1 and then time; the winner of the first two tools stands before other ties, then tools in order."""
+    at = labels.withColumn("at", F.row_number().over(Window.partitionBy("task").orderBy("tool")) - 1)
+    ok, pair = (lambda c: F.col(c) == 1), tool_pairs(labels)
+    x_wins = F.when(ok("sx") & ~ok("sy"), True).when(ok("sy") & ~ok("sx"), False).otherwise(F.col("tx") < F.col("ty"))
+    won = pair.select("task", F.when(x_wins, F.col("x")).otherwise(F.col("y")).alias("tool"))
+    votes = won.groupBy("task", "tool").agg(F.count("*").alias("votes"))
+    first = at.where("at < 2").groupBy("task").agg(F.min("tool").alias("x"), F.max("tool").alias("y"))
+    head = first.join(pair, ["task", "x", "y"]).select("task", F.when(x_wins, F.col("x")).otherwise(F.col("y")).alias("head"))
+    rows = at.join(votes, ["task", "tool"], "left").join(head, "task", "left").select(
+        "task", "tool", F.coalesce("votes", F.lit(0)).alias("votes"), F.when(F.col("tool") == F.col("head"), -1).otherwise(F.col("at")).alias("turn")
+    )
+    return _ranked(rows, F.desc("votes"), "turn").drop("turn")
+
+
+def as_lists(rankings: DataFrame) -> DataFrame:
+    """(task, ranking): tools as an array, the first the best."""
+    ordered = F.array_sort(F.collect_list(F.struct("pos", "tool")))  # a task's tools
+    return rankings.groupBy("task").agg(F.transform(ordered, lambda r: r["tool"]).alias("ranking"))

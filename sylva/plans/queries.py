@@ -293,11 +293,6 @@ def select_mi(spark, sf):
     return S.mutual_information(*labelled_bags(spark, sf))
 
 
-@query()
-def select_bns(spark, sf):
-    return S.bns(*labelled_bags(spark, sf))
-
-
 @query("WITH p AS (SELECT DISTINCT quality, toxic FROM labels) SELECT i.quality AS i_quality, i.toxic AS i_toxic, j.quality AS j_quality, j.toxic AS j_toxic, ((i.quality = j.quality)::INT + (i.toxic = j.toxic)::INT) / 2 AS v FROM p i, p j")
 def label_hamming(spark, sf):
     return S.hamming_kernel(table(spark, sf, "labels").select("quality", "toxic").distinct(), ["quality", "toxic"])
@@ -361,11 +356,6 @@ def ast_nodes(spark, sf):
     return G.all_edges_are(organisation(spark, sf)[1], "s").select("node")
 
 
-@query()
-def connected(spark, sf):
-    return G.connected(organisation(spark, sf)[1]).select("node", "label")
-
-
 @query("""WITH x AS (SELECT n_chars::DOUBLE AS v, unnest(list_distinct(['overall', 'lang:' || coalesce(lang, '-')])) AS prop FROM documents)
 SELECT prop, round(avg(v), 4) AS mean, round(stddev_pop(v), 4) AS std, min(v) AS least, max(v) AS greatest, count(*) AS n FROM x GROUP BY prop""")
 def stats_overall(spark, sf):
