@@ -600,8 +600,8 @@ def pca_components(spark, sf):
 _CENTRES = "c AS (SELECT label AS q, list_transform(generate_series(1, 64), lambda i: i) AS k FROM embeddings GROUP BY label), e AS (SELECT vec_id AS id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), m AS (SELECT label AS q, i, avg(x) AS x FROM e GROUP BY ALL)"
 
 
-@query(f"""WITH {_CENTRES}, d AS (SELECT m.q, e.id, round(1 - sum(m.x * e.x) / (sqrt(sum(m.x * m.x)) * sqrt(sum(e.x * e.x))), 6) AS distance FROM m JOIN e ON m.i = e.i GROUP BY ALL)
-SELECT q, id, distance, row_number() OVER (PARTITION BY q ORDER BY distance, id) AS rank FROM d QUALIFY rank <= 5""")
+@query(f"""WITH {_CENTRES}, d AS (SELECT m.q, e.id, 1 - sum(m.x * e.x) / (sqrt(sum(m.x * m.x)) * sqrt(sum(e.x * e.x))) AS distance FROM m JOIN e ON m.i = e.i GROUP BY ALL)
+SELECT q, id, round(distance, 6) AS distance, row_number() OVER (PARTITION BY q ORDER BY round(distance, 12), id) AS rank FROM d QUALIFY rank <= 5""")
 def knn_cosine(spark, sf):
     v = _vectors(spark, sf)
     centre = v.select("label", F.posexplode("v").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("x")).groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("v"))
@@ -625,3 +625,10 @@ def vocabulary(spark, sf):
 @query()
 def skip_gram(spark, sf):
     return C.skip_gram(table(spark, sf, "conversations").select(F.split(F.coalesce("text", F.lit("")), " ").alias("words")))
+
+
+@query("""WITH w AS (SELECT conv_id, turn, string_split(coalesce(text, ''), ' ') AS words FROM conversations), p AS (SELECT *, unnest(generate_series(1, len(words))) AS i FROM w),
+q AS (SELECT words, i, unnest(generate_series(greatest(i - 5, 1), least(i + 5, len(words)))) AS j FROM p) SELECT words[i] AS word, words[j] AS context, count(*) AS n FROM q WHERE i <> j GROUP BY ALL""")
+def context_pairs(spark, sf):
+    words = table(spark, sf, "conversations").select(F.split(F.coalesce("text", F.lit("")), " ").alias("words"))
+    return C.context_pairs(words, 5).groupBy("word", "context").agg(F.count("*").alias("n"))

@@ -35,16 +35,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see; a temporary one only where none is set, as in tests."""
+    """The folder that all executors see: spark.checkpoint.dir. Only a local session without one gets a temporary one, as in tests."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = getattr(spark, "_sylva_shared", None) or tempfile.mkdtemp(prefix="spark-sylva-")
         spark._sylva_shared = at
     return at.rstrip("/")
 
 
+def tables_written(spark: SparkSession) -> list[str]:
+    """Paths of the tables that this session's operators have written and not dropped, oldest first."""
+    if not hasattr(spark, "_sylva_written"):
+        spark._sylva_written = []
+    return spark._sylva_written
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder: lineage ends there, and a lost executor costs nothing."""
-    path = f"{shared_dir(df.sparkSession)}/sylva-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/sylva-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    tables_written(spark).append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_written(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Drop the tables written since so many, but for the last ones; what still reads them must be done or written itself."""
+    tables = tables_written(spark)
+    gone = tables[since : len(tables) - keep]
+    for path in gone:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        tables.remove(path)
