@@ -12,8 +12,9 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sylva.llm.common import mix, prefix_sums, span_hashes
@@ -109,32 +110,51 @@ def likeness(a: list[str], b: list[str]) -> np.ndarray:
     return out
 
 
+def _places(quantiles: list[int], rows: int, nulls: int, parts: int) -> tuple[np.ndarray, ...]:
+    """Distinct quantiles from the greatest, the first place of the keys above each (and, last, of null keys), places of each one's own rows, and places of null keys.
+
+    A key that is several quantiles has as many places of its own, after those of the keys above it.
+    """
+    cuts, times = np.unique(np.array(quantiles, np.int64), return_counts=True)
+    cuts, own = cuts[::-1], np.where(times > 1, times, 0)[::-1]
+    first = np.concatenate([[0], np.cumsum(1 + own)])
+    return cuts, np.append(first, first[-1] + 1), own, np.array(max(1, -(-nulls * parts // max(rows, 1))))
+
+
 def in_order(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """place, ahead, key and text, dealt so that each place (a range of keys) also gets the row that follows its last, marked ahead.
+    """place, ahead, key and text, dealt so that each place (a range of keys, and a task) also gets the row that follows its last, marked ahead.
 
-    Ranges end at quantiles of the keys, as many as there are shuffle partitions. Rows go by
-    descending key, nulls last, then by text; the first row also follows the last.
+    Ranges end at quantiles of the keys, as many as there are shuffle partitions. Rows go by descending
+    key, nulls last, rows of one key by a draw from their places in the files; the first row also
+    follows the last. Rows of one key are split by the draw where they fill more than a range.
     """
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    docs = docs.select(F.col(key).cast("long").alias("key"), "text")
-    cuts = docs.agg(F.percentile_approx("key", [i / parts for i in range(1, parts)] or [0.5], 10_000)).first()[0] or []
-    cuts = sorted(set(cuts))
-    place = F.lit(0)
-    if cuts:  # the number of cuts above the key
-        place = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c > F.col("key")))
-    placed = docs.withColumn("place", F.when(F.col("key").isNull(), F.lit(len(cuts) + 1)).otherwise(place))
-    first = placed.groupBy("place").agg(F.max("key").alias("first")).collect()  # a row for each range
-    order = sorted(r["place"] for r in first)
-    if not order:
-        return placed.withColumn("ahead", F.lit(False))
-    heads = F.create_map(*[F.lit(x) for r in first if r["first"] is not None for x in (r["place"], r["first"])]) if any(r["first"] is not None for r in first) else None
-    before = F.create_map(*[F.lit(x) for i, p in enumerate(order) for x in (p, order[i - 1])])
-    head = F.col("key").eqNullSafe(F.element_at(heads, F.col("place"))) if heads is not None else F.lit(True)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    docs = docs.select(F.col(key).cast("long").alias("key"), "text", F.xxhash64(F.monotonically_increasing_id()).alias("draw"))
+    r = docs.agg(F.percentile_approx("key", [i / parts for i in range(1, parts)] or [0.5], 10_000).alias("q"), F.count("*").alias("n"), F.count("key").alias("k")).first()
+    cuts, first, own, of_null = _places(r.q or [], r.n, r.n - r.k, parts)
+
+    @F.pandas_udf("int")
+    def place_of(keys: pd.Series, none: pd.Series, draws: pd.Series) -> pd.Series:
+        draw = 1.0 - (draws.to_numpy(np.int64).astype(np.float64) / 2.0**64 + 0.5)  # greater draws come first
+        draw = np.clip(draw, 0.0, 1.0 - 2.0**-40)
+        k = keys.to_numpy(np.int64)
+        at = len(cuts) - np.searchsorted(cuts[::-1], k, side="right")  # cuts above the key
+        mine = np.minimum(at, max(len(cuts) - 1, 0))
+        n = np.where((at < len(cuts)) & (cuts[mine] == k), own[mine], 0) if len(cuts) else np.zeros(len(k), np.int64)
+        out = first[at] + np.where(n > 0, 1 + (draw * n).astype(np.int64), 0)
+        return pd.Series(np.where(none, first[len(cuts) + 1] + (draw * of_null).astype(np.int64), out).astype(np.int32))
+
+    placed = docs.withColumn("place", place_of(F.coalesce("key", F.lit(0)), F.col("key").isNull(), F.col("draw")))
+    heads = placed.groupBy("place").agg(F.max(F.struct("key", "draw")).alias("head"))
+    by_place = Window.orderBy("place")  # a row for each place
+    last = F.max("place").over(by_place.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    heads = heads.select("place", F.col("head.draw").alias("head"), F.coalesce(F.lag("place").over(by_place), last).alias("before"))
+    marked = placed.join(F.broadcast(heads), "place")  # places at most
     goes = F.array(F.struct(F.col("place").alias("place"), F.lit(False).alias("ahead")))
-    extra = F.array(F.struct(F.element_at(before, F.col("place")).alias("place"), F.lit(True).alias("ahead")))
-    out = placed.select("key", "text", F.explode(F.when(head, F.concat(goes, extra)).otherwise(goes)).alias("to")).select("to.*", "key", "text")
-    return out.repartition(parts, "place").sortWithinPartitions("place", "ahead", F.desc_nulls_last("key"), "text")
+    extra = F.array(F.struct(F.col("before").alias("place"), F.lit(True).alias("ahead")))
+    out = marked.select("key", "text", "draw", F.explode(F.when(F.col("draw") == F.col("head"), F.concat(goes, extra)).otherwise(goes)).alias("to")).select("to.*", "key", "text", "draw")
+    every = int(first[len(cuts) + 1]) + int(of_null)
+    return out.repartitionById(every, F.col("place")).sortWithinPartitions("place", "ahead", F.desc_nulls_last("key"), F.desc("draw"))
 
 
 def fingerprint_texts(docs: DataFrame, key: str = "doc_id") -> DataFrame:
