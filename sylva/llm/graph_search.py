@@ -21,10 +21,8 @@ from sylva.session import table
 
 #: Out-edges, beams while building and searching, the pruning's factors (a round each), points inserted at once.
 DEGREE, BUILD, SEARCH, RELAX, BATCH = 24, 40, 64, (1.0, 1.2), 256
-#: Vectors of a shard and queries of a block, on average.
-SHARD, BLOCK = 6_000, 2_000
-#: Parts that the copies of one vector are counted in.
-SALT = 64
+#: Vectors of a shard, at least and at most, and shards that are aimed at between these; queries of a block, on average.
+SHARD, LARGEST, SHARDS, BLOCK = 6_000, 100_000, 64, 2_000
 
 
 def _distances(q: np.ndarray, x: np.ndarray, ids: np.ndarray, squares: np.ndarray) -> np.ndarray:
@@ -152,14 +150,20 @@ def search(embeddings: DataFrame, every: int = 100, k: int = 10, key: str = "vec
     Rows whose vector is null, empty, zero, or holds null or non-finite components, and rows without
     an id, take no part; vectors of unlike lengths are searched apart. Equal vectors share a node,
     which keeps the k + 1 least of their ids; no other can be among the k nearest. Repeated rows
-    (equal id and vector) count once. Ties go to the smaller id. An empty table gives an empty result.
+    (equal id and vector) count once. Ties go to the smaller id. An empty table gives an empty result;
+    other columns are ignored. Very long vectors are compared whole.
+
+    Every block of queries meets every shard. Shards grow with the table up to LARGEST vectors, which
+    bounds a task's memory; up to SHARDS times that, the searches grow in proportion to the queries.
     """
     rows = usable(embeddings, key, vector).withColumn("v", F.transform("v", lambda c: F.when(c == 0, F.lit(0.0)).otherwise(c)))  # -0.0 is 0.0
-    few = lambda c: F.slice(F.array_sort(F.array_distinct(c)), 1, k + 1)
-    salted = rows.groupBy("v", F.pmod(F.xxhash64("id"), F.lit(SALT)).alias("salt")).agg(few(F.collect_list("id")).alias("ids"))
-    nodes = cut(salted.groupBy("v").agg(few(F.flatten(F.collect_list("ids"))).alias("ids")).withColumn("dim", F.size("v")))
+    # The k + 1 least ids of each vector, cut down in each task before they meet.
+    least = Window.partitionBy("v").orderBy("id")
+    kept = rows.select("v", "id").distinct().withColumn("r", F.row_number().over(least)).where(F.col("r") <= k + 1)
+    nodes = cut(kept.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("dim", F.size("v")))
     counts = {r["dim"]: r["n"] for r in nodes.groupBy("dim").agg(F.count("*").alias("n")).collect()}  # a row for each length
-    shards = F.coalesce(*[F.when(F.col("dim") == d, F.lit(-(-n // SHARD))) for d, n in counts.items()], F.lit(1))
+    shards_of = {d: -(-n // min(max(SHARD, -(-n // SHARDS)), LARGEST)) for d, n in counts.items()}
+    shards = F.coalesce(*[F.when(F.col("dim") == d, F.lit(n)) for d, n in shards_of.items()], F.lit(1))
     draw = F.pmod(F.xxhash64("v"), shards)
     sharded = nodes.withColumn("shard", F.col("dim").cast("long") * (1 << 32) + draw)
     graphs = cut(index(sharded))
@@ -168,7 +172,9 @@ def search(embeddings: DataFrame, every: int = 100, k: int = 10, key: str = "vec
     asked_counts = {r["dim"]: r["n"] for r in asked.groupBy("dim").agg(F.count("*").alias("n")).collect()}
     blocks = F.coalesce(*[F.when(F.col("dim") == d, F.lit(-(-n // BLOCK))) for d, n in asked_counts.items()], F.lit(1))
     block = asked.withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "id"), blocks)).groupBy("dim", "block").agg(F.collect_list(F.struct("id", "v")).alias("queries"))
-    pairs = graphs.withColumn("dim", F.shiftright("shard", 32).cast("int")).join(block, "dim")
+    # Each block goes to each shard of its length, so that a shard is a key of its own.
+    shard = (F.col("dim").cast("long") * (1 << 32) + F.explode(F.sequence(F.lit(0), shards - 1))).alias("shard")
+    pairs = graphs.join(block.select("block", "queries", shard), "shard")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
