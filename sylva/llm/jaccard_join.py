@@ -232,7 +232,7 @@ def group_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     keyed = docs.select("rid", "key").join(rows.select("rid", "n", "s1", "s2"), "rid")
     final = one.select("n", "s1", "s2", F.col("rid").alias("node")).join(found, "node", "left").select("n", "s1", "s2", F.coalesce("label", "node").alias("found"))
     grouped = cut(keyed.join(final, ["n", "s1", "s2"], "left").select("rid", "key", "n", F.coalesce("found", "rid").alias("group")))
-    ids = grouped.groupBy("group").agg(F.min("key").alias("component_id"))
+    ids = cut(grouped.groupBy("group").agg(F.min("key").alias("component_id")))  # written, so that the join can split a large group
     return grouped.join(ids, "group").select("rid", F.col("key").alias(key), F.col("n").alias("n_shingles"), "group", "component_id")
 
 

@@ -71,3 +71,39 @@ def test_every_position_is_learned_once():
         k = [lm_score.CLASSES] * 2 + [words.index(w) + 1 for w in t.split()] + [0]
         want.update(zip(k[1:], k, k[2:]))
     assert Counter(tuple(x) for r in rounds for x in r.tolist()) == want
+
+
+def test_scores_equal_plain_probabilities():
+    """Normalised log probabilities of whole texts by loops, from the parameters alone."""
+    rng = np.random.default_rng(3)
+    k = 7
+    p = {"read": rng.normal(size=(k + 1, 5)), "place": rng.normal(size=(2, 5)), "write": rng.normal(size=(k, 5)), "bias": rng.normal(size=k)}
+    texts = [rng.integers(0, k, n) for n in (1, 2, 3, 30)]
+    one, two = lm_score.before(texts, k)
+    got = lm_score.log_probabilities(p, one, two, np.concatenate(texts), rows=4)
+    want = []
+    for t in texts:
+        for i, w in enumerate(t):
+            a, b = (t[i - 1] if i > 0 else k), (t[i - 2] if i > 1 else k)
+            s = [sum((p["read"][a][d] * p["place"][0][d] + p["read"][b][d] * p["place"][1][d]) * p["write"][c][d] for d in range(5)) + p["bias"][c] for c in range(k)]
+            want.append(s[w] - math.log(sum(math.exp(x) for x in s)))
+    assert np.allclose(got, want, rtol=1e-9)
+
+
+def test_noise_contrast_learns_a_chain():
+    """A chain in which each class follows from the one before it is nearly certain after learning, and chance before."""
+    rng = np.random.default_rng(1)
+    k = 12
+    step = rng.permutation(k)
+    text = [0]
+    for _ in range(60_000):
+        text.append(int(step[text[-1]]) if rng.random() < 0.9 else int(rng.integers(k)))
+    kinds = np.array(text)
+    one, two = lm_score.before([kinds], k)
+    mass = np.bincount(kinds, minlength=k).astype(float)
+    learner = lm_score.Learner(lm_score.started(mass), mass, 0)
+    before = lm_score.log_probabilities(learner.p, one, two, kinds).mean()
+    learner.learn(np.stack([one, two, kinds], 1))
+    after = lm_score.log_probabilities(learner.p, one, two, kinds).mean()
+    best = 0.9 * math.log(0.9 + 0.1 / k) + 0.1 * math.log(0.1 / k)
+    assert before < -2.2 and after > best - 0.35

@@ -62,3 +62,18 @@ def test_mix_odd_rows(spark, odd, none):
     assert len(rows) == odd.count() and all(r.taken == 0 for r in rows if r.size == 0)
     assert source_mix.mix_sources(none).count() == 0
     assert set(source_mix.stage(spark, odd, "").columns) == set(odd.columns)
+
+
+def test_long_urls(spark):
+    host = ".".join(["a"] * 3000) + ".example.net"
+    urls = [(1, f"http://{host}/en/" + "x/" * 3000), (2, "http://" + "b" * 50_000 + "/fr/"), (3, "http://example.com/de/" + "?" * 30_000)]
+    pages = spark.createDataFrame(urls, "page_id bigint, url string")
+    rules = spark.createDataFrame(url_filter.RULES, "host string, path string, verdict string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.filter_urls(pages, rules).collect()}
+    assert got == {1: ("example.net/en/", "allow"), 2: (None, "allow"), 3: ("example.com/de/", "block")}
+
+
+def test_long_text_for_licenses(spark):
+    text = "word " * 60_000 + "under the MIT license " + "x" * 100_000
+    r = license_scan.scan_licenses(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).first()
+    assert (r.n_words, r.n_base, r.first_word, r.base_labels) == (60_005, 1, 60_000, "mit")

@@ -52,3 +52,30 @@ def test_stages(spark, corpus):
 def test_rows_whose_text_goes_stay(spark):
     df = spark.createDataFrame([(1, "x" * 900), (2, "x" * 900), (3, "y")], "doc_id bigint, text string")
     assert sorted((r.doc_id, r.text) for r in suffix_dedup.stage(spark, df, "").collect()) == [(1, ""), (2, ""), (3, "y")]
+
+
+def _written(spark, at, rows, labels=()):
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame(list(labels), "doc_id bigint, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+    return str(at)
+
+
+def test_run_without_rows_labels_or_texts(spark, tmp_path):
+    assert corpus_pipeline.run(spark, _written(spark, tmp_path / "none", [])).count() == 0
+    nulls = [(i, None, "en", None, 0) for i in range(3)] + [(None, "", None, "a", 0), (7, None, "en", "a", 0)]
+    assert corpus_pipeline.run(spark, _written(spark, tmp_path / "nulls", nulls)).count() == 0  # a mix takes no texts without words
+    plain = [(1, "one two three four five six", "en", "a", 27), (1, "one two three four five six", "en", "a", 27), (None, "seven eight nine ten", None, None, 20)]
+    out = corpus_pipeline.run(spark, _written(spark, tmp_path / "plain", plain)).collect()
+    assert {r.doc_id for r in out} <= {1, None}
+
+
+@pytest.mark.parametrize("n", [51, 55, 60])
+def test_short_shared_passages_go(spark, tmp_path, n):
+    rng = random.Random(n)
+    text = lambda k: " ".join(rng.choice(WORDS) for _ in range(k))
+    passage = text(n)
+    rows = [(i, f"{text(60)} {passage} {text(60)}", "en", "a", 0) for i in range(4)] + [(10 + i, text(120), "en", "b", 0) for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = {r.doc_id: r.text for r in suffix_dedup.stage(spark, docs, "").collect()}
+    for i, t, *_ in rows:
+        assert (passage in kept[i]) is False if i < 10 else kept[i] == t

@@ -67,3 +67,32 @@ def test_near_copies_do_not_fill_the_lexicon(spark):
     weights, one, insults = _learned(spark, 2000, ["you", "a", "the"], copies=100)
     assert all(any(f" {w} ".startswith(e) for e in weights) for w in insults)
     assert sum(any(f" {w} ".startswith(e) for e in weights) for w in one) <= 4
+
+
+def test_matches_equal_a_plain_search():
+    rng = random.Random(6)
+    for _ in range(200):
+        words = ["".join(rng.choice("abc") for _ in range(rng.randrange(1, 6))) for _ in range(rng.randrange(0, 25))]
+        weights = {rng.choice((" {} ", " {}")).format("".join(rng.choice("abc") for _ in range(rng.randrange(2, 5)))): rng.random() for _ in range(6)}
+        spared = {" " + " ".join(rng.choice(words) for _ in range(2)) + " " for _ in range(2)} - set(weights) if words else set()
+        text = " " + " ".join(words) + " "
+        holes = [(i, i + len(p)) for p in spared for i in range(len(text)) if text.startswith(p, i)]
+        want = []
+        for i in range(len(text)):
+            here = [e for e in weights if text.startswith(e, i)]
+            if words and here:
+                e = max(here, key=len)
+                if not any(a <= i and i + len(e) <= b for a, b in holes):
+                    want.append((i, i + len(e), weights[e]))
+        assert toxicity.Lexicon(weights, spared).hits(words)[1] == want
+
+
+def test_stage_with_odd_rows(spark, odd, none, tmp_path):
+    at = str(tmp_path / "sf")
+    spark.createDataFrame([(8, 1, 0), (9, 1, 0), (7, 0, 1)], "doc_id bigint, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+    kept = toxicity.stage(spark, odd, at)
+    assert kept.columns == odd.columns and sorted(map(str, kept.collect())) == sorted(map(str, odd.collect()))
+    assert toxicity.stage(spark, none, at).count() == 0
+    empty = str(tmp_path / "none")
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{empty}/labels.parquet")
+    assert toxicity.stage(spark, odd, empty).count() == odd.count()
