@@ -29,7 +29,7 @@ LENGTH = 400
 GRAM, REACHES = 20, (128, 16, 1)
 #: Bytes of a shard, as whole groups, and the distinct stretches from which a group is too large for one.
 SHARD, WIDE = 400_000, 500
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 #: The stage removes repeated runs of so many words. A word is CODE bytes of its hash; one of over LONG bytes
 #: (text without spaces) stands as it is, and a run with such words may also count by LENGTH bytes.
 WORDS, CODE, LONG = 51, 4, 32
