@@ -26,8 +26,13 @@ def test_equals_sql(spark, sf, duck, name):
     assert rows(Q.QUERIES[name](spark, sf).toArrow()) == rows(duck.execute(Q.SQL[name]).to_arrow_table())
 
 
-def test_connected_is_one_tree_for_each_region(spark, sf):
-    assert Q.connected(spark, sf).select("label").distinct().count() == 5
+def test_evaluations_give_each_metric(spark, sf):
+    for name in ("cv_pairwise", "cv_hyper", "cv_chances"):
+        rows = Q.QUERIES[name](spark, sf).collect()
+        assert {r.metric for r in rows} == {"accuracy", "spearman", "kendall", "correct"} and all(r.n == 5 for r in rows)
+    assert Q.QUERIES["kernel_machine_rows"](spark, sf).select("x", "y").distinct().count() == 10
+    best = Q.QUERIES["best_linear_svc"](spark, sf).collect()
+    assert len(best) == 4 and sum(r.chosen for r in best) == 1
 
 
 def test_cross_predicted_covers_each_pair_once(spark, sf):
@@ -39,8 +44,3 @@ def test_cross_predicted_covers_each_pair_once(spark, sf):
 def test_linear_models_and_components(spark, sf):
     assert Q.linear_svc(spark, sf).count() == Q.lr_weights(spark, sf).count() == 65
     assert Q.pca_components(spark, sf).count() == spark.read.parquet(f"{sf}/embeddings.parquet").count()
-
-
-def test_bns_is_ordered(spark, sf):
-    scores = [r.score for r in Q.select_bns(spark, sf).collect()]
-    assert scores == sorted(scores, reverse=True) and scores[0] > 0
