@@ -144,7 +144,8 @@ def in_order(docs: DataFrame, key: str = "doc_id") -> DataFrame:
         out = first[at] + np.where(n > 0, 1 + (draw * n).astype(np.int64), 0)
         return pd.Series(np.where(none, first[len(cuts) + 1] + (draw * of_null).astype(np.int64), out).astype(np.int32))
 
-    placed = docs.withColumn("place", place_of(F.coalesce("key", F.lit(0)), F.col("key").isNull(), F.col("draw")))
+    place = place_of.asNondeterministic()(F.coalesce("key", F.lit(0)), F.col("key").isNull(), F.col("draw"))  # else it is computed again for the join's filter
+    placed = docs.withColumn("place", place)
     heads = placed.groupBy("place").agg(F.max(F.struct("key", "draw")).alias("head"))
     by_place = Window.orderBy("place")  # a row for each place
     last = F.max("place").over(by_place.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))

@@ -57,10 +57,11 @@ def test_edit_distance():
 
 
 @pytest.mark.parametrize("hot", [5, None])
-def test_order_splits_hot_keys(spark, hot):
+def test_order_splits_hot_keys(spark, hot, tmp_path):
     rng = random.Random(4)
     rows = [(hot if i % 3 == 0 else rng.randrange(40) - 20, f"t{i}") for i in range(400)] + [(None, "same")] * 5 + [(2**62, "far"), (2**62 + 1, "farther")]
-    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5).write.parquet(f"{tmp_path}/docs")
+    df = spark.read.parquet(f"{tmp_path}/docs")
     out = [(r.place, r.ahead, r.key, r.text) for r in fuzzy_hash.in_order(df).select("place", "ahead", "key", "text").withColumn("at", F.spark_partition_id()).orderBy("at", F.monotonically_increasing_id()).collect()]
     by = {}
     for place, ahead, key, text in out:
