@@ -173,7 +173,8 @@ def search(embeddings: DataFrame, every: int = 100, k: int = 10, key: str = "vec
     blocks = F.coalesce(*[F.when(F.col("dim") == d, F.lit(-(-n // BLOCK))) for d, n in asked_counts.items()], F.lit(1))
     block = asked.withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "id"), blocks)).groupBy("dim", "block").agg(F.collect_list(F.struct("id", "v")).alias("queries"))
     # Each block goes to each shard of its length, so that a shard is a key of its own.
-    shard = (F.col("dim").cast("long") * (1 << 32) + F.explode(F.sequence(F.lit(0), shards - 1))).alias("shard")
+    first = F.col("dim").cast("long") * (1 << 32)
+    shard = F.explode(F.sequence(first, first + shards - 1)).alias("shard")
     pairs = graphs.join(block.select("block", "queries", shard), "shard")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
