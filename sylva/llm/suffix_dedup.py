@@ -177,7 +177,9 @@ def _distinct(placed: DataFrame, places) -> DataFrame:
     Sizes are joined before rows are grouped, so that the join can split a large group.
     """
     sizes = cut(placed.groupBy(*_OWN).agg(F.lit(1).alias("one")).groupBy("grp").agg(F.count("*").alias("n")))
-    return cut(placed.join(sizes, "grp").groupBy(*_OWN).agg(places.alias("c"), F.first("n").alias("n"), F.first("bytes", ignorenulls=True).alias("bytes")))
+    turned = lambda c: F.col(c).bitwiseXOR(F.lit(1))  # noqa: E731  another key than the join's: else rows are grouped where they were joined, and no join is split
+    rows = placed.join(sizes, "grp").groupBy(turned("grp").alias("g"), "h1", "h2").agg(places.alias("c"), F.first("n").alias("n"), F.first("bytes", ignorenulls=True).alias("bytes"))
+    return cut(rows.select(turned("g").alias("grp"), "h1", "h2", "c", "n", "bytes"))
 
 
 def removed_runs(docs: DataFrame, length: int = LENGTH) -> DataFrame:
