@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 from sylva.operators import kernel_machines as S
 from sylva.operators import kernels as K
 from sylva.operators import labels as L
+from sylva.operators import learners as C
 from sylva.operators import metrics as M
 from sylva.operators import ranking as R
 from sylva.operators.bags import dense_index
+from sylva.operators.selection import split_transformed
 from sylva.session import written
 
 
@@ -177,3 +179,50 @@ def grid_best(scores: DataFrame, *keys: str, settings: tuple[str, ...] = ("c",))
 
 def normalised_gram(bags: DataFrame, kernel: str = "linear") -> DataFrame:
     return K.normalized(K.KERNELS[kernel](bags))
+
+
+def cross_logistic(labels: DataFrame, features: DataFrame, k: int = 10, names: list[str] | None = None) -> DataFrame:
+    """Rankings by the votes of logistic chances of each pair, learned outside each task's fold, against rankings with ties: (metric, mean, std, n)."""
+    labels = written(labels)
+    chances = written(C.cross_predicted(L.preferences(labels), features, k))
+    guess = written(R.from_pairs(chances.select("task", "x", "y", "p"), labels.select("task", "tool")).select("task", "tool", "pos"))
+    return over_folds(scored(Ranked(labels, guess), names), chances.select("task", "fold").distinct())
+
+
+def cross_selected(labels: DataFrame, bags: DataFrame, steps: list, k: int = 10, grid: tuple[float, ...] = S.GRID, names: list[str] | None = None) -> DataFrame:
+    """Machines on the labels that selection steps keep of each fold's training bags, votes as by hyper_predicted: (metric, mean, std, n)."""
+    labels, bags = written(labels), written(bags)
+    fold = written(folds(labels.select("task").distinct(), k))
+    votes = None
+    for f in range(k):
+        test = fold.where(F.col("fold") == f).select(F.col("task").alias("graph"))
+        train, held = split_transformed(bags, test, steps)
+        own = fold.withColumn("fold", F.when(F.col("fold") == f, 0).otherwise(1))  # this fold against the rest
+        part = hyper_predicted(labels, written(K.normalized(K.linear(train.unionByName(held)))), own, 1, grid)
+        part = part.join(test.withColumnRenamed("graph", "task"), "task", "left_semi")
+        votes = part if votes is None else votes.unionByName(part)
+    guess = written(R.from_pairs(votes, labels.select("task", "tool")).select("task", "tool", "pos"))
+    return over_folds(scored(Ranked(labels, guess), names), fold)
+
+
+def cross_settings(labels: DataFrame, grams: dict[str, DataFrame], k: int = 10, grid: tuple[float, ...] = S.GRID, names: tuple[str, ...] = ("spearman", "correct"), how: str = "pairs") -> DataFrame:
+    """(setting, and a column for each metric, front): each Gram's mean scores, and whether no other setting is at least as good in all."""
+    out = None
+    for name, gram in grams.items():
+        part = cross_pairwise(labels, gram, k, how, grid, names=list(names)).select(F.lit(name).alias("setting"), "metric", "mean")
+        out = part if out is None else out.unionByName(part)
+    table = written(out.groupBy("setting").pivot("metric", list(names)).agg(F.first("mean")))
+    best = R.pareto(table, list(names), "setting").select("setting", F.lit(True).alias("front"))
+    return table.join(best, "setting", "left").withColumn("front", F.coalesce("front", F.lit(False)))
+
+
+def two_tool_classes(labels: DataFrame, gram: DataFrame, x: str, y: str, k: int = 10, grid: tuple[float, ...] = S.GRID) -> DataFrame:
+    """(task, predicted, expected) of two tools: the one that alone solves a task, else the faster; predicted by three machines, learned outside each task's fold."""
+    two = written(labels.where(F.col("tool").isin(x, y)))
+    both = two.groupBy("task").agg(F.count("*").alias("n")).where("n = 2").select("task")
+    two = written(two.join(both, "task", "left_semi"))
+    fold = written(folds(both, k))
+    votes = hyper_predicted(two, gram, fold, k, grid)
+    pair = L.tool_pairs(two)
+    right = F.when((F.col("sx") == 1) != (F.col("sy") == 1), F.when(F.col("sx") == 1, F.col("x")).otherwise(F.col("y"))).otherwise(F.when(F.col("tx") < F.col("ty"), F.col("x")).otherwise(F.col("y")))
+    return votes.select("task", F.when(F.col("p") > 0.5, F.col("x")).otherwise(F.col("y")).alias("predicted")).join(pair.select("task", right.alias("expected")), "task")

@@ -61,11 +61,17 @@ def expected_votes(solved: DataFrame, quick: DataFrame) -> DataFrame:
     return from_pairs(j.select("task", "x", "y", (F.col("px") * (1 - F.col("py")) + both * F.col("f")).alias("p")), solved.select("task", "tool"))
 
 
+#: Points of a front, at most.
+FRONT = 10_000
+
+
 def pareto(points: DataFrame, scores: list[str], name: str = "id") -> DataFrame:
     """Points that no other is at least as good as in all scores; of equal ones the least name stays.
 
-    Candidates are few: parameter settings with their scores.
+    Candidates are few: parameter settings with their scores; more than FRONT are an error, as all pairs are compared.
     """
+    if points.limit(FRONT + 1).count() > FRONT:
+        raise ValueError(f"{FRONT} points at most")
     other = points.select(F.col(name).alias("o"), *[F.col(s).alias(f"o_{s}") for s in scores])
     at_least, equal = F.lit(True), F.lit(True)
     for s in scores:

@@ -87,6 +87,36 @@ def cv_chances(spark, sf):
     return E.cross_pairwise(tool_labels(spark, sf), E.normalised_gram(event_bags(spark, sf)), 5, "hyper", grid=(1.0,), chances=True, names=["accuracy", "spearman", "kendall", "correct"])
 
 
+def event_features(spark, sf) -> DataFrame:
+    value = F.array(F.log1p(F.count("*").cast("double")), F.avg("value"), F.log1p(F.max("value")))
+    return table(spark, sf, "events").groupBy(F.col("user_id").alias("task")).agg(value.alias("features"))
+
+
+@query()
+def cv_logistic(spark, sf):
+    """Logistic chances of each pair, votes and metrics."""
+    return E.cross_logistic(tool_labels(spark, sf), event_features(spark, sf), 5, ["accuracy", "spearman", "kendall", "correct"])
+
+
+@query()
+def cv_selected(spark, sf):
+    """Machines on the labels that selection keeps in each fold."""
+    return E.cross_selected(tool_labels(spark, sf), event_bags(spark, sf), [lambda b: S.by_sum(b, 30), lambda b: S.by_coverage(b, 20)], 3, (1.0,), ["accuracy", "spearman"])
+
+
+@query()
+def setting_front(spark, sf):
+    """Kernels as settings, and which of them no other beats in both metrics."""
+    bags = written(event_bags(spark, sf))
+    return E.cross_settings(tool_labels(spark, sf), {k: E.normalised_gram(bags, k) for k in ("linear", "jaccard")}, 3, (1.0,))
+
+
+@query()
+def two_tool_classes(spark, sf):
+    """Which of two tools to take, by three machines."""
+    return E.two_tool_classes(tool_labels(spark, sf), E.normalised_gram(event_bags(spark, sf)), "click", "view", 5, (1.0,))
+
+
 @query()
 def kernel_machine_rows(spark, sf):
     """Support tasks and coefficients of the machine of each pair over all tasks."""
