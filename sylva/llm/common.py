@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sylva.session import written as cut
@@ -26,6 +26,13 @@ def whole_rows(df: DataFrame) -> DataFrame:
     return df.select(F.monotonically_increasing_id().alias("rid"), F.struct("*").alias("row"))
 
 
+def few_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A table of a few given rows, as literals of the plan."""
+    names = [f.split()[0] for f in schema.split(", ")]
+    one = lambda r: F.struct(*[(F.array(*map(F.lit, v)) if isinstance(v, list) else F.lit(v)).cast(f.split()[1]).alias(n) for v, f, n in zip(r, schema.split(", "), names, strict=True)])
+    return spark.range(1).select(F.inline(F.array(*map(one, rows))))
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z only, unlike lower()."""
     return F.translate(c, UPPER, LOWER)

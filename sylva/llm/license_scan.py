@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sylva.llm.common import cut, row_ids
+from sylva.llm.common import cut, few_rows, row_ids
 from sylva.session import table
 
 #: (label, full template, key phrase that must stand there, whether it is a base phrase)
@@ -54,8 +54,9 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, rare: int = RARE, key: s
     n_words counts the words, n_base all places of base phrases, first_word and last_word are their
     smallest and largest starts. base_labels and labels are distinct, sorted and comma-joined, empty
     where there are none. score is the largest share of a template that stands around one of its
-    verified key phrases, 0 without any. Null text counts as empty; repeated rows each get a row;
-    other columns are ignored.
+    verified key phrases, 0 without any. Null text counts as empty; very long texts are scanned whole;
+    repeated rows and null keys each get a row; labels found at several places or by several templates
+    count once. An empty table gives an empty result; other columns are ignored.
     """
     vocabulary = sorted({w for _, _, phrase, _ in templates for w in _words(phrase)})
     source = row_ids(docs.select(F.col(key).alias("key"), F.col(text).alias("text")))
@@ -73,9 +74,9 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, rare: int = RARE, key: s
     lookup = sorted({p[0] for p in postings})
     reach = max(len(_words(full)) for _, full, _, _ in templates)
     spark = docs.sparkSession
-    index = F.broadcast(spark.createDataFrame(postings, "word string, template int, at int, needed int"))  # templates x RARE rows
+    index = F.broadcast(few_rows(spark, postings, "word string, template int, at int, needed int"))  # templates x RARE rows
     parts = [(t, label, base, _words(phrase), _words(full), _start(_words(full), _words(phrase))) for t, (label, full, phrase, base) in enumerate(templates)]
-    detail = F.broadcast(spark.createDataFrame(parts, "template int, label string, base boolean, phrase array<string>, whole array<string>, lead int"))
+    detail = F.broadcast(few_rows(spark, parts, "template int, label string, base boolean, phrase array<string>, whole array<string>, lead int"))
 
     ws = F.col("words")
     low = lambda i: F.greatest(i - reach, F.lit(0))

@@ -224,9 +224,11 @@ def positions_of(look: Lookup, texts: list[bytes], turn: int) -> np.ndarray:
 def score_texts(docs: DataFrame, train: DataFrame, key: str = "doc_id") -> DataFrame:
     """rid, key, n_tokens, n_known, train_tokens, base_score and score for each row of docs.
 
-    train has the texts to learn from (column text). Null text is empty: one token, the end. Repeated
-    rows each get a row; other columns are ignored. Without training texts every word is unknown, the
-    base score is 0 and the model is uniform over its classes. Words are told apart by 64-bit hashes.
+    train has the texts to learn from (column text). Null text is empty: one token, the end. Very long
+    texts are scored whole. Repeated rows and null keys each get a row, and repeated training rows are
+    learned from as often. Words of equal counts have their classes by the order of their hashes. Other
+    columns are ignored; an empty table gives an empty result. Without training texts every word is
+    unknown, the base score is 0 and the model is uniform over its classes. Words are told apart by 64-bit hashes.
     """
     counts = cut(count_words(train))
     whole = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()

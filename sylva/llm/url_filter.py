@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sylva.llm.common import ascii_lower, row_ids
+from sylva.llm.common import ascii_lower, few_rows, row_ids
 from sylva.session import table
 
 #: (host, path, verdict)
@@ -54,9 +54,9 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", key:
 
     rules has host, path and verdict. A rule fits its host and all subdomains where the URL's path
     starts with the rule's path; the longest rule text wins, ties go to block, then to the greater
-    text. URLs that are null or lack "://" have an empty host and path and get the default. Repeated
-    rows each get a row; empty tables give empty results; other columns of pages are left out, so
-    their names cannot clash.
+    text. URLs that are null or lack "://" have an empty host and path and get the default. Very long
+    ones are judged whole. Repeated rows and null keys each get a row; empty tables give empty results;
+    other columns of pages are left out, so their names cannot clash.
     """
     rules = rules.select(
         ascii_lower(F.col("host")).alias("rule_host"), F.coalesce("path", F.lit("")).alias("rule_path"), F.col("verdict").alias("rule_verdict")
@@ -89,7 +89,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", key:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    rules = few_rows(spark, RULES, "host string, path string, verdict string")
     return filter_urls(table(spark, sf_dir, "pages"), rules)
 
 
