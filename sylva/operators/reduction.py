@@ -90,7 +90,7 @@ def singular_rows(rows: DataFrame, k: int, rounds: int = 8) -> tuple[list[float]
     return np.sqrt(np.maximum(value[best], 0.0)).tolist(), _turned(y, vector[:, best])
 
 
-def scaled(dissimilarity: DataFrame, k: int = 2, rounds: int = 50, tolerance: float = 1e-4) -> tuple[float, DataFrame]:
+def scaled(dissimilarity: DataFrame, k: int = 2, rounds: int = 20, tolerance: float = 1e-4) -> tuple[float, DataFrame]:
     """Stress and (id, x): points whose distances follow a whole symmetric table of dissimilarities, each step a join of pairs with points."""
     d = written(dissimilarity.where("i <> j").select("i", "j", "v"))
     ids = written(dissimilarity.select(F.col("i").alias("id")).distinct())
