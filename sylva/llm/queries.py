@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sylva.llm import byte_bpe, fuzzy_hash, graph_search, jaccard_join, license_scan, lm_score, source_mix, suffix_dedup, toxicity, url_filter
+from sylva.llm import byte_bpe, fill_middle, fuzzy_hash, graph_search, jaccard_join, license_scan, lm_score, packing, source_mix, suffix_dedup, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_license_scan": license_scan.query,
         "op9_graph_search": graph_search.query,
         "op10_suffix_dedup": suffix_dedup.query,
+        "op11_fill_middle": fill_middle.query,
+        "op13_best_fit_packing": packing.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filter": url_filter.SQL, "op8_license_scan": license_scan.SQL}
+    return {"op4_url_filter": url_filter.SQL, "op8_license_scan": license_scan.SQL, "op11_fill_middle": fill_middle.SQL}
