@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sylva.llm import byte_bpe, fill_middle, fuzzy_hash, graph_search, jaccard_join, license_scan, lm_score, packing, source_mix, suffix_dedup, toxicity, url_filter
+from sylva.llm import alignment, byte_bpe, fill_middle, fuzzy_hash, graph_search, jaccard_join, license_scan, lm_score, packing, source_mix, suffix_dedup, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_graph_search": graph_search.query,
         "op10_suffix_dedup": suffix_dedup.query,
         "op11_fill_middle": fill_middle.query,
+        "op12_token_alignment": alignment.query,
         "op13_best_fit_packing": packing.query,
     }
 
