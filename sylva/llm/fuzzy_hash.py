@@ -162,8 +162,8 @@ def fingerprint_texts(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next for each row of docs.
 
     The edited text has its last floor(n_chars / 3) code points replaced by the first as many (or
-    all) of the next row's. Null text counts as empty; rows of equal keys follow each other by text;
-    a single row follows itself; an empty table gives an empty result; other columns are ignored.
+    all) of the next row's. Null text counts as empty; rows of equal keys follow each other in an order
+    drawn from their places in the files; very long texts are hashed and edited whole; a single row follows itself; an empty table gives an empty result; other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -241,10 +241,12 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs with one row of each group: its first. The pipeline takes five words and 80 percent.
+    """docs with one row of each group: that of the least key (null keys last), of equal ones that of the least hash of its text. The pipeline takes five words and 80 percent.
 
     Rows without words (null texts too) are groups of their own and stay; of repeated rows one stays, whatever
-    their keys; an empty table stays empty, and no column's name can clash.
+    their keys, so which text stays does not depend on files or partitions; very long texts are shingled whole;
+    an empty table stays empty, and no column's name can clash.
     """
-    kept = group_documents(docs, words=5, percent=80).where("rid = group").select("rid")
+    order = row_ids(docs.select(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.xxhash64("text")).alias("order")))
+    kept = group_documents(docs, words=5, percent=80).select("rid", "group").join(order, "rid").groupBy("group").agg(F.min_by("rid", "order").alias("rid")).select("rid")
     return whole_rows(docs).join(kept, "rid", "left_semi").select("row.*")

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sylva.llm.common import SPACE, cut, row_ids, uniform, whole_rows
+from sylva.llm.common import SPACE, cut, uniform
 from sylva.operators.bags import dense_index
 from sylva.session import table
 
@@ -24,9 +24,11 @@ LIMIT = 3.0
 FAN_IN = 256
 #: Documents of more than such a part of their source are long; a source has fewer than so many.
 LONG = 512
+#: Ranges of sources of which one is looked into further, and equal rows that one task numbers or repeats.
+BINS, WIDE = 256, 4096
 _WHOLE = 1e-9
-_FIELDS = ["rid", "key", "size", "copies", "x"]
-_KIND = "struct<rid:bigint,key:bigint,size:bigint,copies:int,x:double>"
+_FIELDS = ["rid", "h", "g", "key", "size", "copies", "x"]
+_KIND = "struct<rid:bigint,h:bigint,g:bigint,key:bigint,size:bigint,copies:int,x:double>"
 
 
 def word_count(text: Column) -> Column:
@@ -37,27 +39,49 @@ def word_count(text: Column) -> Column:
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, limit: float = LIMIT) -> DataFrame:
     """source, source_size, n, sid (the source's number by code point, null last) and target, for a table of one row per source.
 
-    Weights repeat over the sources. The level that a weight of one gets rises while sources stop at
-    their limit, and the excess is shared again, until no further source stops.
+    Weights repeat over the sources. What a weight of one gets is the level at which all shares, each
+    stopped at its limit, make up the sum of all sizes.
     """
     name = F.struct(F.col("source").isNull().alias("none"), F.col("source").alias("of")).alias("name")
     number = dense_index(sizes.select(name), "name").select("name.of", F.col("idx").alias("sid"))
     weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.pmod("sid", F.lit(len(weights))) + 1).cast("int"))
     ranked = sizes.join(number, sizes["source"].eqNullSafe(number["of"])).drop("of")
     ranked = cut(ranked.withColumn("weight", weight).withColumn("most", F.lit(limit) * F.col("source_size")))
-    level, stopped = 0.0, -1
-    while True:
-        stops = F.col("most") < F.lit(level) * F.col("weight")
-        r = ranked.agg(
-            F.sum("source_size").alias("total"), F.count(F.when(stops, 1)).alias("n"), F.sum(F.when(stops, F.col("most"))).alias("fixed"), F.sum(F.when(~stops, F.col("weight"))).alias("free")
-        ).first()  # one row
-        if r.n == stopped or not r.free:
-            break
-        level, stopped = (r.total - (r.fixed or 0.0)) / r.free, r.n
-    share = F.lit(level) * F.col("weight")
+    share = F.lit(_level(ranked)) * F.col("weight")
     return ranked.select("source", "source_size", "n", "sid", F.when(F.col("most") < share, F.col("most")).otherwise(share).cast("double").alias("target"))
 
 
+def _level(ranked: DataFrame) -> float:
+    """What a weight of one gets, so that all get the sum of sizes: a source stops where its limit by weight is below it.
+
+    Each round sums the sources between two levels by BINS ranges, and goes on in the range where the sum of sizes is reached.
+    """
+    full_at = F.col("most") / F.col("weight")
+    total = ranked.agg(F.sum("source_size")).first()[0] or 0
+    low, high, fixed, free = -1.0, None, 0.0, 0.0  # sums of the limits up to low, and of the weights above high
+    while total:
+        within = ranked.where((full_at > low) & (full_at <= high if high is not None else F.lit(True)))
+        levels = within.select(full_at.alias("level")).distinct()
+        cuts = sorted(set(levels.agg(F.percentile_approx("level", [i / BINS for i in range(1, BINS + 1)], 10 * BINS)).first()[0]))
+        sums = within.groupBy(F.expr(f"array_position(transform(array({', '.join(f'{c!r}D' for c in cuts)}), c -> c >= most / weight), true)").alias("bin"))
+        sums = {r.bin: r for r in sums.agg(F.sum("most").alias("most"), F.sum("weight").alias("weight"), F.count_distinct(full_at).alias("n")).collect()}  # BINS rows and one
+        above = free + sum(r.weight for r in sums.values())
+        for k, c in enumerate([*cuts, None]):
+            r = sums.get(k + 1 if c is not None else 0)
+            if r is None:
+                continue
+            if c is not None and fixed + r.most + c * (above - r.weight) < total:
+                low, fixed, above = c, fixed + r.most, above - r.weight  # all of these stop
+                continue
+            if r.n == 1:  # of equal limits, none stops
+                return (total - fixed) / above
+            high, free = c, above - r.weight
+            break
+        else:
+            return (total - fixed) / above if above else float("inf")
+    return 0.0
+
+
 def _let(value: Column, use) -> Column:
     """use(value) with the value computed once."""
     return F.element_at(F.transform(F.array(value), use), 1)
@@ -125,6 +149,24 @@ def _against_rest(units: Column, whole: Column, x: Column, seed: str) -> Column:
     return F.aggregate(units, zero, step)
 
 
+def content(*columns: Column) -> list[Column]:
+    """h and g: 128 bits that tell contents apart, whatever file or partition they stand in."""
+    parts = [p for c in columns for p in (c.isNull(), c)]
+    return [F.xxhash64(*parts).alias("h"), F.xxhash64(F.lit("again"), *parts).alias("g")]
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """rid, h, g, key, source and size: a row for each row of docs (h, g, key, source, size), where rows that agree in all are numbered.
+
+    Such rows are counted where they stand; only of more than WIDE are the numbers dealt out.
+    """
+    equal = cut(docs.groupBy("h", "g", "key", "source", "size").agg(F.count("*").alias("n")))
+    few = equal.where(F.col("n") <= WIDE).withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    wide = equal.where(F.col("n") > WIDE).withColumn("from", F.explode(F.sequence(F.lit(1), F.col("n"), F.lit(WIDE)))).repartition("h", "from")
+    wide = wide.withColumn("nth", F.explode(F.sequence("from", F.least(F.col("from") + WIDE - 1, "n")))).drop("from")
+    return few.unionByName(wide).select(F.xxhash64("h", "g", "nth").alias("rid"), "h", "g", "key", "source", "size")
+
+
 def mix_sources(
     docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, limit: float = LIMIT, seed: str = "mix", key: str = "doc_id", size: Column | None = None
 ) -> DataFrame:
@@ -136,17 +178,24 @@ def mix_sources(
     Null texts and documents of no words have size 0 and take none. Null sources form one source, the
     last. Repeated rows and null keys are rows like any other, rounded apart. Documents of equal size
     go by hash. Very long texts are counted whole. An empty table gives an empty result; other columns
-    are ignored. The draw depends on the seed and the rows' places in the files only, so reruns agree.
+    are ignored. The draw depends on the seed and on what the rows hold (key, source, text), and not on
+    where they stand, so reruns agree on any cluster; rid is a hash of these and, among equal rows, a number.
     """
+    return _mixed(docs, weights, limit, seed, key, size).drop("h", "g")
+
+
+def _mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, limit: float = LIMIT, seed: str = "mix", key: str = "doc_id", size: Column | None = None) -> DataFrame:
+    """mix_sources, with the content h, g that each row was drawn by."""
     words = word_count(F.col("text")) if size is None else size
-    sized = cut(row_ids(docs.select(F.col(key).alias("key"), "source", words.alias("size"))))
+    held = [F.col(key), F.col("source"), *([F.col("text")] if "text" in docs.columns else [])]
+    sized = cut(numbered(docs.select(*content(*held), F.col(key).alias("key"), "source", words.alias("size"))))
     goal = cut(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), weights, limit))
     groups = F.greatest(F.lit(1), F.ceil(F.col("n") / FAN_IN)).cast("long")
     widest = goal.agg(F.max(groups)).first()[0] or 1
     rate = F.when(F.col("source_size") > 0, F.least(F.lit(limit), F.col("target") / F.col("source_size"))).otherwise(F.lit(0.0))
     rate = F.when(F.abs(rate - F.round(rate)) < _WHOLE, F.round(rate)).otherwise(rate)
     g = goal.select(F.col("source").alias("of"), "sid", "source_size", groups.alias("groups"), rate.alias("rate"))
-    joined = sized.join(g, sized["source"].eqNullSafe(g["of"])).select("rid", "key", "size", "sid", "source_size", "groups", F.floor("rate").cast("int").alias("copies"), (F.col("rate") - F.floor("rate")).alias("x"))
+    joined = sized.join(g, sized["source"].eqNullSafe(g["of"])).select("rid", "h", "g", "key", "size", "sid", "source_size", "groups", F.floor("rate").cast("int").alias("copies"), (F.col("rate") - F.floor("rate")).alias("x"))
     unit = F.struct(*_FIELDS).alias("u")
     asks = (F.col("size") > 0) & (F.col("x") > 0)
     long = F.col("size") * LONG > F.col("source_size")
@@ -178,8 +227,8 @@ def mix_sources(
     for part in done:
         out = out.unionByName(part)
     copies = (F.col("u.copies") + F.col("u.x").cast("int")).alias("copies")
-    out = out.select("sid", "u.rid", "u.key", "u.size", copies).join(goal.select("sid", "source", "source_size", "target"), "sid")
-    return out.select("rid", F.col("key").alias(key), "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    out = out.select("sid", "u.rid", "u.h", "u.g", "u.key", "u.size", copies).join(goal.select("sid", "source", "source_size", "target"), "sid")
+    return out.select("rid", "h", "g", F.col("key").alias(key), "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,8 +238,15 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs with each row repeated as often as the mix takes it.
 
-    Rows without words go, as they are taken no times; rows of null source or key are mixed like others,
-    repeated rows each for itself; an empty table stays empty, and no column's name can clash.
+    Rows without words go, as they are taken no times; rows of null source or key are mixed like others. Of
+    rows that agree in key, source and text one (the first by its other columns) is repeated for all, however
+    long. An empty table stays empty, and no column's name can clash.
     """
-    decided = mix_sources(docs).where("copies > 0").select("rid", "copies")
-    return whole_rows(docs).join(decided, "rid").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
+    taken = _mixed(docs).groupBy("h", "g").agg(F.sum("copies").alias("copies")).where("copies > 0")
+    others = F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]))
+    held = docs.select(*content(F.col("doc_id"), F.col("source"), F.col("text")), others.alias("others"), F.struct("*").alias("row"))
+    one = held.groupBy("h", "g").agg(F.min_by("row", "others").alias("row")).join(taken, ["h", "g"])
+    few = one.where(F.col("copies") <= WIDE).select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    wide = one.where(F.col("copies") > WIDE).select("row", "copies", F.explode(F.sequence(F.lit(1), F.col("copies"), F.lit(WIDE))).alias("from")).repartition("row.doc_id", "from")
+    wide = wide.select("row", F.explode(F.sequence("from", F.least(F.col("from") + WIDE - 1, "copies"))))
+    return few.union(wide).select("row.*")

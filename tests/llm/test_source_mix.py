@@ -5,6 +5,7 @@ import random
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from sylva.llm import source_mix
 
 
@@ -165,3 +166,56 @@ def test_targets_of_many_sources(spark):
     got = {r.source: r.target for r in source_mix.targets(df).collect()}
     want = targets(sizes)
     assert got.keys() == want.keys() and all(math.isclose(got[s], want[s], rel_tol=1e-9) for s in want)
+
+
+def test_level_is_found_in_ranges(spark, monkeypatch):
+    monkeypatch.setattr(source_mix, "BINS", 3)
+    test_targets_of_many_sources(spark)
+    same = spark.createDataFrame([("a", 5, 1), ("b", 5, 1), ("c", 5, 1), ("d", 0, 1)], "source string, source_size bigint, n bigint")
+    got = {r.source: r.target for r in source_mix.targets(same).collect()}
+    want = targets({"a": 5, "b": 5, "c": 5, "d": 0})
+    assert all(math.isclose(got[s], want[s], rel_tol=1e-12) for s in want)
+    assert {r.target for r in source_mix.targets(same.withColumn("source_size", F.lit(0))).collect()} == {0.0}
+
+
+def test_draws_do_not_depend_on_partitions(spark, tmp_path):
+    rows = [(i, s, "w " * n) for i, (s, n) in enumerate(corpus(5)[:1500])] + [(7, "a", "same text")] * 40 + [(None, None, "same text")] * 30
+    df = spark.createDataFrame(rows, "doc_id bigint, source string, text string")
+    seen = []
+    for k, parts in enumerate((1, 3, 13)):
+        at = str(tmp_path / str(k))
+        df.orderBy(F.xxhash64(F.lit(k), "doc_id", "text")).repartition(parts).write.parquet(at)
+        docs = spark.read.parquet(at)
+        seen.append((sorted(map(str, source_mix.mix_sources(docs).collect())), sorted(map(str, source_mix.stage(spark, docs, "").collect()))))
+    assert seen[0] == seen[1] == seen[2]
+    assert len({r.rid for r in source_mix.mix_sources(df).collect()}) == len(rows)
+
+
+def test_draws_do_not_depend_on_split_size(spark):
+    docs = "/root/testdata/sf0.01/documents.parquet"
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    seen = []
+    try:
+        for size in ("134217728", "100000"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            seen.append(sorted(map(str, source_mix.mix_sources(spark.read.parquet(docs)).collect())))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    assert seen[0] == seen[1]
+
+
+@pytest.mark.parametrize("wide", [4096, 5])
+def test_stage_repeats_rows_as_taken(spark, monkeypatch, wide):
+    monkeypatch.setattr(source_mix, "WIDE", wide)
+    rows = [(i, f"text of {i} " * (i % 5 + 1), "en", "ab"[i % 3 == 0], i) for i in range(60)] + [(99, "equal rows here", "en", "a", k % 2) for k in range(23)] + [(None, "no key", None, None, 0), (3, None, "en", "a", 0)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(4)
+    taken = {}
+    for r in source_mix.mix_sources(docs).collect():
+        taken[r.doc_id, r.source, r.size] = taken.get((r.doc_id, r.source, r.size), 0) + r.copies
+    got = {}
+    for r in source_mix.stage(spark, docs, "").collect():
+        assert tuple(r) in rows and (r.doc_id != 99 or r.n_chars == 0)
+        k = (r.doc_id, r.source, len((r.text or '').split()))
+        got[k] = got.get(k, 0) + 1
+    assert {k: n for k, n in got.items() if k[2]} == {k: n for k, n in taken.items() if n and k[2]}
+    assert source_mix.stage(spark, docs.limit(0), "").count() == 0
