@@ -112,7 +112,13 @@ class Lexicon:
                 spared.append((start, last + 1))
             elif n >= best.get(start, (0, 0.0))[0]:
                 best[start] = (n, w)
-        hits = [(s, s + n, w) for s, (n, w) in sorted(best.items()) if not any(a <= s and s + n <= b for a, b in spared)]
+        hits, until = [], 0
+        spared.sort(reverse=True)
+        for s, (n, w) in sorted(best.items()):
+            while spared and spared[-1][0] <= s:  # until: the farthest end of an exception that has begun
+                until = max(until, spared.pop()[1])
+            if s + n > until:
+                hits.append((s, s + n, w))
         return text, hits
 
     def features(self, text: str) -> tuple[float, float, float]:
