@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sylva.llm.common import cut
-from sylva.llm.units import Ids, byte_bpe, text_chunks
+from sylva.llm.units import encoder, text_chunks
 from sylva.session import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -86,11 +86,9 @@ def cut_pieces(docs: DataFrame, path: str | None = None, key: str = "doc_id", ca
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, placed = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        ids = None
         for keys, texts in text_chunks(batches, CHUNK):
-            ids = ids or Ids(byte_bpe(path))
             rows = []
-            for k, own in zip(keys, ids.encode(texts), strict=True):
+            for k, own in zip(keys, encoder(path).encode(texts), strict=True):
                 own = np.append(own, np.uint32(end)).astype("<u4")
                 stop = (len(own) - 1) % capacity + 1  # all pieces but the first are whole
                 for piece, last in enumerate(range(stop, len(own) + 1, capacity)):
