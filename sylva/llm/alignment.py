@@ -15,7 +15,8 @@ import os
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cache, cached_property
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +24,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sylva.llm.common import cut
-from sylva.llm.units import AT_ONCE, IDS, REMEMBERED, byte_bpe, gathered, parts, text_chunks
+from sylva.llm.units import AT_ONCE, IDS, REMEMBERED, Remembered, Spaced, byte_bpe, gathered, parts, text_chunks
 from sylva.session import shared_dir, table, tables_written
 
 A, B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Code points of text handled at once, and different pairs that a task counts before it gives them on.
-CHUNK, PAIRS = 4_000_000, 1_000_000
+CHUNK, PAIRS = 8_000_000, 1_000_000
 #: Links of a group beyond which it is counted by different tokens instead of one by one.
 LARGE = 1 << 16
 SCHEMA = "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups_sha256 string"
@@ -54,6 +55,7 @@ class Pair:
         import sentencepiece
 
         self.a, self.b = byte_bpe(a, special_as_text=True), sentencepiece.SentencePieceProcessor(model_file=b)
+        self.spaced = Spaced(self.a)
         letters = _byte_of_letter()
         special = {i: t.content.encode() for i, t in self.a.get_added_tokens_decoder().items()}
         self.bytes_a = [b""] * (self.a.get_vocab_size() + 1)
@@ -65,9 +67,21 @@ class Pair:
         if any("▁" in p.lstrip("▁") for p in pieces):
             raise ValueError("a piece holds a space after another character, so texts can't be cut before spaces")
 
-    def ids(self, words: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of space+word by each tokenizer."""
-        return [e.ids for e in self.a.encode_batch_fast([" " + w for w in words], add_special_tokens=False)], self.b.encode(words, num_threads=1)
+    def ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of space+word by each tokenizer, one word after the other, how many each has, and whether both give back its bytes; others have none."""
+        ids_a, n_a = self.spaced.encode(words)
+        of_b = self.b.encode(words, num_threads=1)
+        ids_b, n_b = np.fromiter(chain.from_iterable(of_b), np.int64), np.fromiter(map(len, of_b), np.int64)
+        ids_a, texts = ids_a.astype(np.int64), [b" " + w.encode() for w in words]
+        equal = np.fromiter(map(len, texts), np.int64)
+        equal = (_sums(self.length_a[ids_a], n_a) == equal) & (_sums(self.length_b[ids_b], n_b) == equal)
+        whole = b"".join(texts)
+        if equal.all() and all(b"".join(map(of.__getitem__, ids.tolist())) == whole for of, ids in ((self.bytes_a, ids_a), (self.bytes_b, ids_b))):
+            return ids_a, n_a, ids_b, n_b, equal
+        for of, ids, n in ((self.bytes_a, ids_a, n_a), (self.bytes_b, ids_b, n_b)):
+            ends = np.cumsum(n)
+            equal &= [b"".join([of[i] for i in ids[e - k : e].tolist()]) == t for e, k, t in zip(ends.tolist(), n.tolist(), texts, strict=True)]
+        return ids_a[np.repeat(equal, n_a)], n_a * equal, ids_b[np.repeat(equal, n_b)], n_b * equal, equal
 
 
 def linked(owner: np.ndarray, group_a: np.ndarray, group_b: np.ndarray, ids_a: np.ndarray, ids_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -93,73 +107,114 @@ def linked(owner: np.ndarray, group_a: np.ndarray, group_b: np.ndarray, ids_a: n
     return who[new], key[new], np.add.reduceat(times, new) if len(key) else times
 
 
-class Units:
+@dataclass
+class Counts:
+    """Where the shards of sorted pairs and counts are, their first pairs, and the highest count by A's id."""
+
+    paths: list[str]
+    first: np.ndarray
+    best: np.ndarray
+
+    def of(self, key: np.ndarray) -> np.ndarray:
+        """The count of each sorted pair; 0 for those of other corpora, which a worker may remember."""
+        out = np.zeros(len(key), np.int64)
+        bounds = np.append(np.searchsorted(key, self.first), len(key))
+        for path, start, stop in zip(self.paths, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            if start < stop:
+                pairs, counts = np.load(path, mmap_mode="r")
+                at = np.minimum(np.searchsorted(pairs, key[start:stop]), len(pairs) - 1)
+                out[start:stop] = np.where(pairs[at] == key[start:stop], counts[at], 0)
+        return out
+
+
+def _sums(values: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The sum of each run of n values."""
+    up = np.append(0, np.cumsum(values))
+    ends = np.cumsum(n)
+    return up[ends] - up[ends - n]
+
+
+class Units(Remembered):
     """Tokens, groups and links of units, remembered from text to text."""
 
+    FIELDS = ("equal", "n_a", "n_b", "n_groups", "n_links", "n_pairs")
+
     def __init__(self, pair: Pair):
+        super().__init__()
         self.pair = pair
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        none = np.empty(0, np.int64)
-        self.n_a = self.n_b = self.n_groups = self.n_links = self.n_pairs = self.key = self.times = none
-        self.equal, self.groups = np.empty(0, bool), []
-        self.changed = True
+        self.equal, self.groups = np.empty(0, bool), np.empty(0, object)
+        self.by, self.best, self.total = None, np.empty(0, np.int64), np.empty(0, np.int64)
+        self.n_a = self.n_b = self.n_groups = self.n_links = self.n_pairs = self.key = self.times = np.empty(0, np.int64)
 
     @cached_property
-    def _names(self) -> list[str]:
-        return [str(i) for i in range(max(len(self.pair.bytes_a), len(self.pair.bytes_b)))]
+    def _names(self) -> np.ndarray:
+        """Ids as text, with what stands after one in a group, after A's last and after B's last."""
+        ids = range(max(len(self.pair.bytes_a), len(self.pair.bytes_b)))
+        return np.array([[f"{i}{mark}" for i in ids] for mark in (",", "|", ";")], object)
 
     def codes(self, texts: list[str]) -> list[np.ndarray]:
         """The units of each text by number; what is remembered holds them all."""
         if len(self.known) > REMEMBERED or len(self.key) > IDS:
-            self._forget()
-        known, out, had = self.known, [], len(self.known)
-        number = known.setdefault
-        for t in texts:
-            out.append(np.array([number(p, len(known)) for p in parts(t)] if t else [], np.int64))
-        new = list(known)[had:]
+            keep = self.kept()
+            at = gathered(self.first(), self.n_pairs, keep)
+            self.key, self.times, self.groups = self.key[at], self.times[at], self.groups[keep]
+            if len(self.best) < len(self.equal):
+                self.by = None
+            for name in (*self.FIELDS, *(("best", "total") if self.by else ())):
+                setattr(self, name, getattr(self, name)[keep])
+        out, new = self.number([parts(t) if t else [] for t in texts])
         added = [self._add(new[start : start + AT_ONCE]) for start in range(0, len(new), AT_ONCE)]
         if added:
-            self.changed = True
-            names = ("equal", "n_a", "n_b", "n_groups", "n_links", "n_pairs", "key", "times")
-            for name, values in zip(names, zip(*added, strict=True), strict=True):
+            for name, values in zip((*self.FIELDS, "key", "times", "groups"), zip(*added, strict=True), strict=True):
                 setattr(self, name, np.concatenate([getattr(self, name), *values]))
         return out
 
     def _add(self, words: list[str]) -> tuple[np.ndarray, ...]:
-        of_a, of_b = self.pair.ids(words)
-        bytes_a, bytes_b = self.pair.bytes_a, self.pair.bytes_b
-        equal = np.array([b"".join([bytes_a[i] for i in x]) == b"".join([bytes_b[i] for i in y]) == b" " + w.encode() for w, x, y in zip(words, of_a, of_b, strict=True)])
-        of_a, of_b = ([x if ok else [] for x, ok in zip(of, equal, strict=True)] for of in (of_a, of_b))
-        n_a, n_b = (np.array([len(x) for x in of], np.int64) for of in (of_a, of_b))
-        ids_a, ids_b = (np.array([i for x in of for i in x], np.int64) for of in (of_a, of_b))
+        ids_a, n_a, ids_b, n_b, equal = self.pair.ids(words)
         ends_a, ends_b = np.cumsum(self.pair.length_a[ids_a]), np.cumsum(self.pair.length_b[ids_b])  # units follow each other, of equal length by either
         both = np.intersect1d(ends_a, ends_b, assume_unique=True)
         group_a, group_b = np.searchsorted(both, ends_a), np.searchsorted(both, ends_b)
         owner = np.repeat(np.arange(len(words)), n_a)[np.searchsorted(ends_a, both)]
         p, q = np.bincount(group_a, minlength=len(both)), np.bincount(group_b, minlength=len(both))
-        n_groups = np.bincount(owner, minlength=len(words))
-        n_links = np.zeros(len(words), np.int64)
+        n_groups, n_links = np.bincount(owner, minlength=len(words)), np.zeros(len(words), np.int64)
         np.add.at(n_links, owner, p * q)
-        names, texts, i, j = self._names, [], 0, 0
-        for x, y in zip(p.tolist(), q.tolist(), strict=True):
-            texts.append(",".join([names[t] for t in ids_a[i : i + x]]) + "|" + ",".join([names[t] for t in ids_b[j : j + y]]))
-            i, j = i + x, j + y
-        ends = np.cumsum(n_groups)
-        self.groups += [";".join(texts[e - n : e]) for e, n in zip(ends.tolist(), n_groups.tolist(), strict=True)]
+        # All ids as text in the order of groups, A's before B's, each with the mark that follows it.
+        last_a, last_b = np.cumsum(p) - 1, np.cumsum(q) - 1
+        mark_a, mark_b = np.zeros(len(ids_a), np.int8), np.zeros(len(ids_b), np.int8)
+        mark_a[last_a], mark_b[last_b] = 1, 2
+        texts = np.empty(len(ids_a) + len(ids_b), object)
+        texts[np.arange(len(ids_a)) + (last_b + 1 - q)[group_a]] = self._names[mark_a, ids_a]
+        texts[np.arange(len(ids_b)) + (last_a + 1)[group_b]] = self._names[mark_b, ids_b]
+        texts, ends, groups = texts.tolist(), np.cumsum(n_a + n_b).tolist(), np.empty(len(words), object)
+        groups[:] = ["".join(texts[start:end]) for start, end in zip([0, *ends[:-1]], ends, strict=True)]
         who, key, times = linked(owner, group_a, group_b, ids_a, ids_b)
-        return equal, n_a, n_b, n_groups, n_links, np.bincount(who, minlength=len(words)), key, times
+        return equal, n_a, n_b, n_groups, n_links, np.bincount(who, minlength=len(words)), key, times, groups
 
     def joined(self, codes: list[np.ndarray]) -> list[np.ndarray]:
         """The units of each text whose bytes both tokenizers give back; others have none."""
         return [c if self.equal[c].all() else c[:0] for c in codes]
 
+    def valued(self, counts: Counts) -> tuple[np.ndarray, np.ndarray]:
+        """By unit, its links whose count is their A id's highest, and the counts' sum; only new units are looked up."""
+        if self.by != counts.paths:
+            self.by, self.best, self.total = counts.paths, np.empty(0, np.int64), np.empty(0, np.int64)
+        n, times = self.n_pairs[len(self.best) :], self.times[self.n_pairs[: len(self.best)].sum() :]
+        pairs, of = np.unique(self.key[len(self.key) - len(times) :], return_inverse=True)
+        count = counts.of(pairs)
+        self.best = np.append(self.best, _sums((count == counts.best[pairs >> 32])[of] * times, n))
+        self.total = np.append(self.total, _sums(count[of] * times, n))
+        return self.best, self.total
+
     def first(self) -> np.ndarray:
         return np.cumsum(self.n_pairs) - self.n_pairs
 
 
+@cache
+def units_of(a: str, b: str) -> Units:
+    """What a worker remembers for all its tasks."""
+    return Units(Pair(a, b))
+
+
 def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Sorted different keys and the sum of each one's counts."""
     key, count = np.concatenate(keys), np.concatenate(counts)
@@ -176,9 +231,9 @@ def partial_counts(docs: DataFrame, a: str, b: str) -> DataFrame:
         def batch() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(keys[0]), pa.array(counts[0])], ["pair", "docs"])
 
-        units, keys, counts = None, [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        keys, counts = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for _, texts in text_chunks(batches, CHUNK):
-            units = units or Units(Pair(a, b))
+            units = units_of(a, b)
             codes = units.joined(units.codes(texts))
             used, local = np.unique(np.concatenate(codes), return_inverse=True)
             doc = np.repeat(np.arange(len(codes)), [len(c) for c in codes])
@@ -198,25 +253,6 @@ def partial_counts(docs: DataFrame, a: str, b: str) -> DataFrame:
     return docs.select(F.lit(0).alias("key"), "text").mapInArrow(run, "pair bigint, docs bigint")
 
 
-@dataclass
-class Counts:
-    """Where the shards of sorted pairs and counts are, their first pairs, and the highest count by A's id."""
-
-    paths: list[str]
-    first: np.ndarray
-    best: np.ndarray
-
-    def of(self, key: np.ndarray) -> np.ndarray:
-        """The count of each sorted pair; the shards hold them all."""
-        out = np.zeros(len(key), np.int64)
-        bounds = np.append(np.searchsorted(key, self.first), len(key))
-        for path, start, stop in zip(self.paths, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            if start < stop:
-                pairs, counts = np.load(path, mmap_mode="r")
-                out[start:stop] = counts[np.searchsorted(pairs, key[start:stop])]
-        return out
-
-
 def count_shards(partial: DataFrame, tokens: int) -> Counts:
     """The shards of all pairs, written by the tasks that sort a range each; a task that runs again writes a file of its own.
 
@@ -267,25 +303,17 @@ def align(docs: DataFrame, a: str | None = None, b: str | None = None, key: str
     counts = count_shards(cut(partial_counts(docs, a, b)), Pair(a, b).a.get_vocab_size() + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units, best, total = None, np.empty(0, np.int64), np.empty(0, np.int64)
         for keys, texts in text_chunks(batches, CHUNK):
-            units = units or Units(Pair(a, b))
+            units = units_of(a, b)
             codes = units.joined(units.codes(texts))
-            if units.changed:
-                units.changed = False
-                pairs, of = np.unique(units.key, return_inverse=True)
-                count = counts.of(pairs)
-                best_of, count_of = count == counts.best[pairs >> 32], count
-                best, total = (np.append(0, np.cumsum(v[of] * units.times)) for v in (best_of, count_of))
-                ends = np.append(0, np.cumsum(units.n_pairs))
-                best, total = (np.diff(v[ends]) for v in (best, total))
+            best, total = units.valued(counts)
             flat, stops = np.concatenate(codes), np.cumsum([len(c) for c in codes])
             starts = stops - [len(c) for c in codes]
             sums = []
             for v in (units.n_a, units.n_b, units.n_groups, units.n_links, best, total):
                 up = np.append(0, np.cumsum(v[flat]))
                 sums.append(pa.array(up[stops] - up[starts]))
-            groups = [";".join([units.groups[u] for u in c.tolist()]) for c in codes]
+            groups = ["".join(units.groups[c].tolist())[:-1] for c in codes]  # each group ends with a mark
             digests = pa.array([hashlib.sha256(g.encode()).hexdigest() if g else "" for g in groups])
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *sums, digests, *[pa.array(groups)] * with_groups], names)
 
