@@ -24,12 +24,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sylva.llm.common import cut
-from sylva.llm.units import AT_ONCE, IDS, REMEMBERED, Remembered, Spaced, byte_bpe, gathered, parts, text_chunks
+from sylva.llm.units import AT_ONCE, Remembered, Spaced, byte_bpe, gathered, parts, text_chunks
 from sylva.session import shared_dir, table, tables_written
 
 A, B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Code points of text handled at once, and different pairs that a task counts before it gives them on.
-CHUNK, PAIRS = 8_000_000, 1_000_000
+CHUNK, PAIRS = 2_000_000, 1_000_000
+#: Units, and their pairs, that a worker remembers from chunk to chunk.
+REMEMBERED, KEYS = 250_000, 2_500_000
 #: Links of a group beyond which it is counted by different tokens instead of one by one.
 LARGE = 1 << 16
 SCHEMA = "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups_sha256 string"
@@ -140,7 +142,7 @@ class Units(Remembered):
     FIELDS = ("equal", "n_a", "n_b", "n_groups", "n_links", "n_pairs")
 
     def __init__(self, pair: Pair):
-        super().__init__()
+        super().__init__(REMEMBERED)
         self.pair = pair
         self.equal, self.groups = np.empty(0, bool), np.empty(0, object)
         self.by, self.best, self.total = None, np.empty(0, np.int64), np.empty(0, np.int64)
@@ -154,7 +156,7 @@ class Units(Remembered):
 
     def codes(self, texts: list[str]) -> list[np.ndarray]:
         """The units of each text by number; what is remembered holds them all."""
-        if len(self.known) > REMEMBERED or len(self.key) > IDS:
+        if len(self.known) > self.most or len(self.key) > KEYS:
             keep = self.kept()
             at = gathered(self.first(), self.n_pairs, keep)
             self.key, self.times, self.groups = self.key[at], self.times[at], self.groups[keep]

@@ -98,13 +98,13 @@ class Spaced:
 class Remembered:
     """Distinct units by number, of which the most used stay when there are too many."""
 
-    def __init__(self):
-        self.known: dict[str, int] = {}
+    def __init__(self, most: int):
+        self.most, self.known = most, {}
         self.used = np.empty(0, np.int64)
 
     def kept(self) -> np.ndarray:
         """The numbers that stay, in order; half as many as are remembered at most."""
-        words, keep = list(self.known), np.sort(np.argsort(-self.used, kind="stable")[: REMEMBERED // 2])
+        words, keep = list(self.known), np.sort(np.argsort(-self.used, kind="stable")[: self.most // 2])
         keep = keep[self.used[keep] > 1]
         self.known = {words[i]: k for k, i in enumerate(keep.tolist())}
         self.used = self.used[keep] // 2
@@ -124,13 +124,13 @@ class Ids(Remembered):
     """Ids of units by one byte-level BPE, each after a given lead."""
 
     def __init__(self, spaced: Spaced, lead: str):
-        super().__init__()
+        super().__init__(REMEMBERED)
         self.spaced, self.lead = spaced, lead
         self.flat, self.size = np.empty(0, np.uint32), np.empty(0, np.int64)
 
     def codes(self, texts: list[list[str]]) -> list[np.ndarray]:
         """The units of each text by number."""
-        if len(self.known) > REMEMBERED or len(self.flat) > IDS:
+        if len(self.known) > self.most or len(self.flat) > IDS:
             keep = self.kept()
             self.flat, self.size = self.flat[gathered(np.cumsum(self.size) - self.size, self.size, keep)], self.size[keep]
         out, new = self.number(texts)
