@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from sylva.operators import kernel_machines as S
 from sylva.operators import kernels as K
 from sylva.operators import labels as L
-from sylva.operators import learners as C
 from sylva.operators import metrics as M
 from sylva.operators import ranking as R
+from sylva.operators import sparse_learners as N
 from sylva.operators.bags import dense_index
 from sylva.operators.selection import split_transformed
 from sylva.session import written
@@ -181,12 +181,41 @@ def normalised_gram(bags: DataFrame, kernel: str = "linear") -> DataFrame:
     return K.normalized(K.KERNELS[kernel](bags))
 
 
-def cross_logistic(labels: DataFrame, features: DataFrame, k: int = 10, names: list[str] | None = None) -> DataFrame:
-    """Rankings by the votes of logistic chances of each pair, learned outside each task's fold, against rankings with ties: (metric, mean, std, n)."""
+def linear_votes(
+    labels: DataFrame, features: DataFrame, fold: DataFrame, k: int, grid: tuple[float, ...] = N.GRID, inner: int = 3, metric: str = "f1", loss: N.Loss = N.LOGISTIC
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Linear models of each tool (does it solve the task) and each pair (is x faster) outside each fold, on sparse features (row, col, cnt).
+
+    Gives both kinds of models and the votes (task, x, y, p) of each task's own fold. C is chosen over inner folds. By
+    logistic loss votes are chances, and a pair learns from a task as much as its two tools are given the same chance
+    there: px * py + (1 - px) * (1 - py); by hinge loss votes are classes, and all tasks weigh alike.
+    """
+    rows = written(N.packed(features))
+    size = (features.agg(F.max("col")).first()[0] or 0) + 1
+    solve = labels.select("task", F.col("tool").alias("x"), F.when(F.col("solve") == 1, 1).otherwise(-1).alias("v"))
+    every = solve.select("x", "task").withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    tools, told = N.tuned(rows, _outside(solve, fold, k).withColumn("weight", F.lit(1.0)), every, "x", "fold", size=size, inner=inner, grid=grid, metric=metric, loss=loss)
+    chance = 1 / (1 + F.exp(-F.col("decision"))) if loss.name == "logistic" else (F.col("decision") > 0).cast("double")
+    told = written(told.select("x", "fold", "task", chance.alias("p")))
+    pair = L.tool_pairs(labels)
+    quick = pair.where((F.col("tx") < L.CEILING) | (F.col("ty") < L.CEILING)).select("task", "x", "y", F.when(L.faster(F.col("tx"), F.col("ty")), 1).otherwise(-1).alias("v"))
+    side = lambda tool, as_: told.select(F.col("x").alias(tool), "fold", "task", F.col("p").alias(as_))
+    alike = F.col("px") * F.col("py") + (1 - F.col("px")) * (1 - F.col("py"))
+    train = _outside(quick, fold, k).join(side("x", "px"), ["x", "fold", "task"]).join(side("y", "py"), ["y", "fold", "task"])
+    train = train.withColumn("weight", alike if loss.name == "logistic" else F.lit(1.0))
+    here = pair.select("task", "x", "y").join(fold, "task")
+    pairs, said = N.tuned(rows, train, here, "x", "y", "fold", size=size, inner=inner, grid=grid, metric=metric, loss=loss)
+    voted = here.join(said.withColumn("p", chance), ["x", "y", "fold", "task"]).join(side("x", "px"), ["x", "fold", "task"]).join(side("y", "py"), ["y", "fold", "task"])
+    return tools, pairs, voted.select("task", "x", "y", (F.col("px") * (1 - F.col("py")) + alike * F.col("p")).alias("p"))
+
+
+def cross_linear(labels: DataFrame, features: DataFrame, k: int = 10, names: list[str] | None = None, **how) -> DataFrame:
+    """Rankings by the votes of linear models of tools and pairs, learned outside each task's fold: (metric, mean, std, n)."""
     labels = written(labels)
-    chances = written(C.cross_predicted(L.preferences(labels), features, k))
-    guess = written(R.from_pairs(chances.select("task", "x", "y", "p"), labels.select("task", "tool")).select("task", "tool", "pos"))
-    return over_folds(scored(Ranked(labels, guess), names), chances.select("task", "fold").distinct())
+    fold = written(folds(labels.select("task").distinct(), k))
+    votes = linear_votes(labels, features, fold, k, **how)[2]
+    guess = written(R.from_pairs(votes, labels.select("task", "tool")).select("task", "tool", "pos"))
+    return over_folds(scored(Ranked(labels, guess), names), fold)
 
 
 def cross_selected(labels: DataFrame, bags: DataFrame, steps: list, k: int = 10, grid: tuple[float, ...] = S.GRID, names: list[str] | None = None) -> DataFrame:

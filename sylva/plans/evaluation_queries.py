@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sylva.operators import bags as B
 from sylva.operators import evaluation as E
 from sylva.operators import kernel_machines as V
 from sylva.operators import kernels as K
@@ -14,6 +15,7 @@ from sylva.operators import metrics as M
 from sylva.operators import ranking as R
 from sylva.operators import reduction as D
 from sylva.operators import selection as S
+from sylva.operators import sparse_learners as N
 from sylva.plans.label_queries import _INDEX, _LEVELS2, _levels, tool_runs
 from sylva.plans.queries import _BAGS, _BYCLS, _CLASSES, _DOCS, _FULL, _TIES, _TOOLS, document_bags, labelled_bags, query, rounded, source_bags, tool_labels
 from sylva.session import table, written
@@ -88,14 +90,39 @@ def cv_chances(spark, sf):
 
 
 def event_features(spark, sf) -> DataFrame:
-    value = F.array(F.log1p(F.count("*").cast("double")), F.avg("value"), F.log1p(F.max("value")))
-    return table(spark, sf, "events").groupBy(F.col("user_id").alias("task")).agg(value.alias("features"))
+    """Users' event counts by kind, as logarithms, and their mean value, as a sparse matrix (row, col, cnt)."""
+    e = table(spark, sf, "events")
+    kinds = e.groupBy(F.col("user_id").alias("row"), (F.pmod(F.crc32("event_type"), F.lit(40)) + 1).cast("int").alias("col")).agg(F.log1p(F.count("*").cast("double")).alias("cnt"))
+    return kinds.unionByName(e.groupBy(F.col("user_id").alias("row")).agg(F.lit(0).alias("col"), (F.avg("value") / 100).alias("cnt")))
+
+
+_FEW = ["accuracy", "spearman", "kendall", "correct"]
 
 
 @query()
 def cv_logistic(spark, sf):
-    """Logistic chances of each pair, votes and metrics."""
-    return E.cross_logistic(tool_labels(spark, sf), event_features(spark, sf), 5, ["accuracy", "spearman", "kendall", "correct"])
+    """Logistic chances of each tool and pair, pairs weighed by the tools' chances, votes and metrics."""
+    return E.cross_linear(tool_labels(spark, sf), event_features(spark, sf), 3, _FEW, grid=(0.1, 1.0))
+
+
+@query()
+def cv_linear(spark, sf):
+    """Linear support-vector machines of each tool and pair in place of the chances."""
+    return E.cross_linear(tool_labels(spark, sf), event_features(spark, sf), 3, _FEW, grid=(0.1, 1.0), loss=N.HINGE)
+
+
+@query()
+def selected_linear(spark, sf):
+    """The linear machine of labelled documents on the words that mutual information keeps, its C by f1 over inner folds: its coefficients."""
+    bags, classes = labelled_bags(spark, sf)
+    kept = written(S.mutual_information(bags, classes, 500).select("label"))
+    bags = written(bags.join(F.broadcast(kept), "label", "left_semi"))  # 500 labels
+    index = written(B.dense_index(kept, "label"))
+    features = bags.join(F.broadcast(index), "label").select(F.col("graph").alias("row"), F.col("idx").alias("col"), F.log1p("cnt").alias("cnt"))
+    train = classes.select(F.lit("toxic").alias("x"), F.col("graph").alias("task"), F.when(F.col("cls") == 1, 1).otherwise(-1).alias("v"), F.lit(1.0).alias("weight"))
+    models, _ = N.tuned(written(N.packed(features)), train, train.select("x", "task").limit(0), "x", size=500, grid=(0.01, 0.1), loss=N.HINGE)
+    named = N.coefficients(models, "x", "c", "score").join(index.select(F.col("idx").alias("col"), "label"), "col", "left")
+    return named.select("c", F.round("score", 6).alias("score"), F.coalesce("label", F.lit("")).alias("label"), F.round("coef", 4).alias("coef"))
 
 
 @query()
