@@ -21,11 +21,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sylva.llm.common import give_back
 from sylva.session import table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Code points of text handled at once; a bound on memory, not on texts.
-CHUNK = 16_000_000
+CHUNK = 8_000_000
 #: Words of more bytes contract all places of a pair in a turn, which costs more a turn but needs fewer.
 LONG_WORD = 64
 #: Words, and rows over all turns, of one recursive query; long words go on in another where these end.
@@ -261,6 +262,8 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
             if with_ids:
                 out.append(pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(out, names)
+            del rows, n, sha, back, ids, out, keys, texts
+            give_back()
 
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
     out = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, SCHEMA + ", ids array<int>" * with_ids)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
@@ -80,6 +82,13 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def give_back() -> None:
+    """Free memory goes back to the system, so that workers which wait for their next task hold little of it."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # another C library than glibc keeps what it wants
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[dict[str, list], list[bytes]]]:
     """Other columns and UTF-8 texts (column text; null is empty), about so many bytes at once."""
     held, texts, size = {}, [], 0
@@ -99,6 +108,8 @@ def chunks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[dict[
         pa.default_memory_pool().release_unused()
     if texts:
         yield held, texts
+        del held, texts
+    give_back()
 
 
 # ---------------------------------------------------------------- bytes in numpy

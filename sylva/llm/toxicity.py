@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sylva.llm.common import cut, remainder, row_ids, whole_rows
+from sylva.llm.common import cut, give_back, remainder, row_ids, whole_rows
 from sylva.session import table
 
 #: Labelled texts learned from, at most (all, if fewer), drawn by a hash of the text's id.
@@ -71,6 +71,8 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict[str, list],
                 held, texts, size = {}, [], 0
     if texts:
         yield held, texts
+        del held, texts
+    give_back()
 
 
 def entries_of(words: list[str]) -> set[str]:
