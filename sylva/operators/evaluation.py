@@ -122,40 +122,109 @@ def _outside(rows: DataFrame, fold: DataFrame, k: int) -> DataFrame:
     return placed.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).where("own <> fold").drop("own")
 
 
-def pair_predicted(labels: DataFrame, gram: DataFrame, fold: DataFrame, k: int, grid: tuple[float, ...] = S.GRID, chances: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Machines of each pair of tools and fold, and for each task and pair (task, x, y, p) what they decide: 1 or 0, or a chance."""
+def pair_predicted(labels: DataFrame, gram: DataFrame, fold: DataFrame, k: int, grid: tuple[float, ...] = S.GRID, chances: bool = False, **inner) -> tuple[DataFrame, DataFrame]:
+    """Machines of each pair of tools and fold, and for each task and pair (task, x, y, p) what they decide: 1 or 0, or a chance. inner: metric and inner folds by which C is chosen."""
     pairs = L.preferences(labels)
-    machines = written(S.fitted(_outside(pairs.where("v <> 0").select("task", "x", "y", "v"), fold, k), gram, "x", "y", "fold", grid=grid, chances=chances))
+    machines = written(S.fitted(_outside(pairs.where("v <> 0").select("task", "x", "y", "v"), fold, k), gram, "x", "y", "fold", grid=grid, chances=chances, share=("fold",), **inner))
     asked = pairs.join(fold, "task").select("x", "y", "fold", "task")
     out = S.decided(machines, gram, asked, "x", "y", "fold")
     return machines, out.select("task", "x", "y", (F.col("p") if chances else (F.col("decision") > 0).cast("double")).alias("p"))
 
 
-def hyper_predicted(labels: DataFrame, gram: DataFrame, fold: DataFrame, k: int, grid: tuple[float, ...] = S.GRID, chances: bool = False) -> DataFrame:
-    """Votes (task, x, y, p) from machines of each tool (does it solve the task) and each pair (is x faster, learned from tasks that not both time out on)."""
+def solve_and_pair_rows(labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What machines of tools (x = y: is the task solved) and of pairs (x < y: is x faster) learn: (task, x, y, v); tasks that both tools time out on teach a pair nothing."""
     solve = labels.select("task", F.col("tool").alias("x"), F.col("tool").alias("y"), F.when(F.col("solve") == 1, 1).otherwise(-1).alias("v"))
-    pair = L.tool_pairs(labels)
-    quick = pair.where((F.col("tx") < L.CEILING) | (F.col("ty") < L.CEILING)).select("task", "x", "y", F.when(L.faster(F.col("tx"), F.col("ty")), 1).otherwise(-1).alias("v"))
-    machines = written(S.fitted(_outside(solve.unionByName(quick), fold, k), gram, "x", "y", "fold", grid=grid, chances=chances))
-    asked = solve.select("task", "x", "y").unionByName(pair.select("task", "x", "y")).join(fold, "task")
-    p = F.col("p") if chances else (F.col("decision") > 0).cast("double")
-    out = written(S.decided(machines, gram, asked, "x", "y", "fold").select("task", "x", "y", p.alias("p")))
-    own = lambda t, as_: out.where("x = y").select("task", F.col("x").alias(t), F.col("p").alias(as_))
-    j = out.where("x < y").join(own("x", "px"), ["task", "x"]).join(own("y", "py"), ["task", "y"])
+    pair = L.tool_pairs(labels).where((F.col("tx") < L.CEILING) | (F.col("ty") < L.CEILING))
+    return solve, pair.select("task", "x", "y", F.when(L.faster(F.col("tx"), F.col("ty")), 1).otherwise(-1).alias("v"))
+
+
+def combined(told: DataFrame, *keys: str) -> DataFrame:
+    """Votes (keys, x, y, p) of pairs x < y from what is told of tools (keys, x = y, p) and of pairs: x if it alone solves the task, else who is faster."""
+    keys = list(keys)
+    own = lambda t, as_: told.where("x = y").select(*keys, F.col("x").alias(t), F.col("p").alias(as_))
+    j = told.where("x < y").join(own("x", "px"), [*keys, "x"]).join(own("y", "py"), [*keys, "y"])
     both = F.col("px") * F.col("py") + (1 - F.col("px")) * (1 - F.col("py"))
-    return j.select("task", "x", "y", (F.col("px") * (1 - F.col("py")) + both * F.col("p")).alias("p"))
+    return j.select(*keys, "x", "y", (F.col("px") * (1 - F.col("py")) + both * F.col("p")).alias("p"))
+
+
+def hyper_machines(labels: DataFrame, gram: DataFrame, fold: DataFrame, k: int, grid: tuple[float, ...] = S.GRID, chances: bool = False, **inner) -> tuple[DataFrame, DataFrame]:
+    """Machines of each tool and each pair outside each fold, and votes (task, x, y, p) from both for the tasks of the fold."""
+    solve, quick = solve_and_pair_rows(labels)
+    machines = written(S.fitted(_outside(solve.unionByName(quick), fold, k), gram, "x", "y", "fold", grid=grid, chances=chances, share=("fold",), **inner))
+    asked = solve.select("task", "x", "y").unionByName(L.tool_pairs(labels).select("task", "x", "y")).join(fold, "task")
+    p = F.col("p") if chances else (F.col("decision") > 0).cast("double")
+    told = written(S.decided(machines, gram, asked, "x", "y", "fold").select("task", "x", "y", p.alias("p")))
+    return machines, combined(told, "task")
+
+
+def hyper_predicted(labels: DataFrame, gram: DataFrame, fold: DataFrame, k: int, grid: tuple[float, ...] = S.GRID, chances: bool = False, **inner) -> DataFrame:
+    """The votes of hyper_machines."""
+    return hyper_machines(labels, gram, fold, k, grid, chances, **inner)[1]
+
+
+class Crossed:
+    """Machines outside each task's fold and what follows from them: votes, rankings, and scores by metric, over folds and by fold."""
+
+    def __init__(self, labels: DataFrame, gram: DataFrame, k: int = 10, how: str = "pairs", grid: tuple[float, ...] = S.GRID, chances: bool = False, names: list[str] | None = None, **inner):
+        self.labels, self.gram, self.k, self.how = written(labels), written(gram), k, how
+        self.fold = written(folds(self.labels.select("task").distinct(), k))
+        by = {"pairs": pair_predicted, "hyper": hyper_machines}[how]
+        self.machines, votes = by(self.labels, self.gram, self.fold, k, grid, chances, **inner)
+        self.votes = written(votes)
+        self.guess = written(R.from_pairs(self.votes, self.labels.select("task", "tool")).select("task", "tool", "pos"))
+        self.scores = written(scored(Ranked(self.labels, self.guess), names))
+
+    def summary(self) -> DataFrame:
+        return over_folds(self.scores, self.fold)
 
+    def best_fold(self, metric: str) -> DataFrame:
+        """(fold, x, y, c, score): the C of each machine of the fold with the best mean of a metric, the first of equals; score is its mean over the inner folds."""
+        each = self.scores.where(F.col("metric") == metric).join(self.fold, "task").groupBy("fold").agg(F.round(F.avg("score"), 12).alias("mean"))
+        best = each.agg(F.max(F.struct("mean", (-F.col("fold")).alias("first"))).alias("b")).select((-F.col("b.first")).alias("fold"))  # a row for each fold
+        return self.machines.join(F.broadcast(best), "fold").select("fold", "x", "y", "c", "score").distinct()
 
-def cross_pairwise(labels: DataFrame, gram: DataFrame, k: int = 10, how: str = "pairs", grid: tuple[float, ...] = S.GRID, chances: bool = False, names: list[str] | None = None) -> DataFrame:
+    def pair_metrics(self) -> DataFrame:
+        """(x, y, metric, mean, std, n) over folds: accuracy, precision, recall and f1 of each pair's votes against who is preferred."""
+        truth = L.preferences(self.labels).where("v <> 0")
+        decided = self.votes.join(truth, ["task", "x", "y"]).join(self.fold, "task").withColumn("decision", F.col("p") - 0.5)
+        each = N.pair_metrics(decided, "x", "y", "fold").unpivot(["x", "y", "fold"], ["accuracy", "precision", "recall", "f1"], "metric", "score")
+        return each.groupBy("x", "y", "metric").agg(F.avg("score").alias("mean"), F.stddev_pop("score").alias("std"), F.count("score").alias("n"))
+
+
+def cross_pairwise(labels: DataFrame, gram: DataFrame, k: int = 10, how: str = "pairs", grid: tuple[float, ...] = S.GRID, chances: bool = False, names: list[str] | None = None, **inner) -> DataFrame:
     """Machines on the Gram for each pair (how "pairs") or tool and pair ("hyper"), C chosen within the training folds, rankings
     by votes, and (metric, mean, std, n) over the folds."""
+    return Crossed(labels, gram, k, how, grid, chances, names, **inner).summary()
+
+
+def in_sample(labels: DataFrame, gram: DataFrame, grid: tuple[float, ...] = S.GRID, names: list[str] | None = None, **inner) -> tuple[DataFrame, DataFrame]:
+    """Machines of each pair over all tasks, their coefficients (x, y, c, task, coef, offset), and the scores (metric, mean, n) of the rankings that they give these very tasks."""
     labels, gram = written(labels), written(gram)
-    fold = written(folds(labels.select("task").distinct(), k))
-    votes = pair_predicted(labels, gram, fold, k, grid, chances)[1] if how == "pairs" else hyper_predicted(labels, gram, fold, k, grid, chances)
+    pairs = L.preferences(labels)
+    machines = written(S.fitted(pairs.where("v <> 0").select("task", "x", "y", "v"), gram, "x", "y", grid=grid, **inner))
+    told = S.decided(machines, gram, pairs.select("x", "y", "task"), "x", "y")
+    votes = told.select("task", "x", "y", (F.col("decision") > 0).cast("double").alias("p"))
     guess = written(R.from_pairs(votes, labels.select("task", "tool")).select("task", "tool", "pos"))
+    scores = scored(Ranked(labels, guess), names).groupBy("metric").agg(F.avg("score").alias("mean"), F.count("score").alias("n"))
+    return machines.select("x", "y", "c", "task", "coef", "offset"), scores
+
+
+def cross_quality(labels: DataFrame, gram: DataFrame, k: int = 10, grid: tuple[float, ...] = S.GRID, names: list[str] | None = None, **inner) -> DataFrame:
+    """Rankings by a machine for each tool (does it solve the task), ties by the tool's share of solved tasks outside the fold: (metric, mean, std, n)."""
+    labels, gram = written(labels), written(gram)
+    fold = written(folds(labels.select("task").distinct(), k))
+    guess = written(quality_predicted(labels, solved_predicted(labels, gram, fold, k, grid, **inner), fold, k))
     return over_folds(scored(Ranked(labels, guess), names), fold)
 
 
+def solved_predicted(labels: DataFrame, gram: DataFrame, fold: DataFrame, k: int, grid: tuple[float, ...] = S.GRID, **inner) -> DataFrame:
+    """(task, tool, p): 1 if a machine that learned outside the task's fold says that the tool solves it, else 0."""
+    solve = solve_and_pair_rows(labels)[0].select("task", F.col("x").alias("tool"), "v")
+    machines = written(S.fitted(_outside(solve, fold, k), gram, "tool", "fold", grid=grid, share=("fold",), **inner))
+    told = S.decided(machines, gram, solve.select("task", "tool").join(fold, "task"), "tool", "fold")
+    return told.select("task", "tool", (F.col("decision") > 0).cast("int").alias("p"))
+
+
 def quality_predicted(labels: DataFrame, solved: DataFrame, fold: DataFrame, k: int) -> DataFrame:
     """Rankings by predicted solving (task, tool, p), ties by the tool's share of solved training tasks, the greater first."""
     rate = _outside(labels.select("task", "tool", "solve"), fold, k).groupBy("fold", "tool").agg(F.avg((F.col("solve") == 1).cast("double")).alias("rate"))
@@ -169,6 +238,55 @@ def overall_training(rows: DataFrame, test: DataFrame) -> DataFrame:
     return rows.join(test.select("task").distinct(), "task", "left_anti")
 
 
+def cross_overall(labels: DataFrame, tasks: DataFrame, gram: DataFrame, k: int = 10, grid: tuple[float, ...] = S.GRID, names: list[str] | None = None, **inner) -> DataFrame:
+    """Machines of each pair trained on all properties and tested on one: (prop, metric, mean, std, n).
+
+    tasks are (task, file, prop): a file is a task of its own in each property. A property's files are dealt into folds; what is
+    learned for a fold is all tasks, of any property, whose file is not in it.
+    """
+    labels, gram, tasks = written(labels), written(gram), written(tasks)
+    fold = None
+    for prop in [r.prop for r in tasks.select("prop").distinct().orderBy("prop").collect()]:  # few properties
+        part = folds(tasks.where(F.col("prop") == prop).select(F.col("file").alias("task")).distinct(), k).select(F.lit(prop).alias("prop"), F.col("task").alias("file"), "fold")
+        fold = part if fold is None else fold.unionByName(part)
+    fold = written(fold)
+    pairs = L.preferences(labels).join(tasks, "task")
+    every = fold.select("prop", "fold").distinct()
+    here = fold.select("prop", F.col("fold").alias("f"), "file")
+    train = pairs.where("v <> 0").select("task", "file", "x", "y", "v").crossJoin(F.broadcast(every))  # properties by folds
+    train = train.join(here.withColumnRenamed("f", "fold"), ["prop", "fold", "file"], "left_anti")
+    machines = written(S.fitted(train, gram, "x", "y", "prop", "fold", grid=grid, share=("prop", "fold"), **inner))
+    test = tasks.join(fold, ["prop", "file"])
+    told = S.decided(machines, gram, pairs.select("task", "x", "y").join(test.select("task", "prop", "fold"), "task"), "x", "y", "prop", "fold")
+    votes = written(told.select("task", "x", "y", (F.col("decision") > 0).cast("double").alias("p")))
+    mine = written(labels.join(test.select("task"), "task", "left_semi"))
+    guess = written(R.from_pairs(votes, mine.select("task", "tool")).select("task", "tool", "pos"))
+    each = scored(Ranked(mine, guess), names).join(test.select("task", "prop", "fold"), "task").groupBy("prop", "metric", "fold").agg(F.avg("score").alias("score"))
+    return each.groupBy("prop", "metric").agg(F.avg("score").alias("mean"), F.stddev_pop("score").alias("std"), F.count("score").alias("n"))
+
+
+def by_row_scores(chances: DataFrame, expected: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """(metric, mean, std, n) of rankings by chances against the expected ones of each property of a test id.
+
+    chances are (id, x, y, p), one ranking for each id however often it is asked for; expected are (id, prop, tool, pos, grp), ties in one grp.
+    An id that is not ranked, and a property without a ranking, are passed over.
+    """
+    once = chances.groupBy("id", "x", "y").agg(F.max("p").alias("p")).withColumnRenamed("id", "task")
+    tools = once.select("task", F.col("x").alias("tool")).union(once.select("task", "y")).distinct()
+    guess = written(R.from_pairs(once, tools).select("task", "tool", "pos"))
+    row = F.struct("id", "prop")
+    truth = written(expected.where(F.col("tool").isNotNull()).withColumn("task", row).join(guess.select(F.col("task").alias("id")).distinct(), "id", "left_semi"))
+    told = written(truth.select("task", "id").distinct().join(guess.withColumnRenamed("task", "id"), "id").select("task", "tool", "pos"))
+    ranked = Ranked(None, told, truth.select("task", "tool", "pos"), truth.select("task", "tool", "grp"))
+    scores = scored(ranked, names or ["accuracy", "spearman", "kendall"])
+    return scores.groupBy("metric").agg(F.avg("score").alias("mean"), F.stddev_pop("score").alias("std"), F.count("score").alias("n"))
+
+
+def majority_by_result(results: DataFrame) -> DataFrame:
+    """The tools of all tasks in the order of the points that rankings by result give them."""
+    return R.borda(R.by_result(results))
+
+
 def grid_best(scores: DataFrame, *keys: str, settings: tuple[str, ...] = ("c",)) -> DataFrame:
     """For each key the settings of the best mean score; of equal ones the least."""
     means = scores.groupBy(*keys, *settings).agg(F.avg("score").alias("score"))
@@ -240,18 +358,108 @@ def cross_settings(labels: DataFrame, grams: dict[str, DataFrame], k: int = 10,
     for name, gram in grams.items():
         part = cross_pairwise(labels, gram, k, how, grid, names=list(names)).select(F.lit(name).alias("setting"), "metric", "mean")
         out = part if out is None else out.unionByName(part)
-    table = written(out.groupBy("setting").pivot("metric", list(names)).agg(F.first("mean")))
+    return fronted(out, names)
+
+
+def fronted(means: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """(setting, a column for each metric, front) of (setting, metric, mean)."""
+    table = written(means.groupBy("setting").pivot("metric", list(names)).agg(F.first("mean")))
     best = R.pareto(table, list(names), "setting").select("setting", F.lit(True).alias("front"))
     return table.join(best, "setting", "left").withColumn("front", F.coalesce("front", F.lit(False)))
 
 
+def cross_front(
+    labels: DataFrame, grams: dict[str, DataFrame], k: int = 5, inner: int = 3, grid: tuple[float, ...] = S.GRID, names: tuple[str, ...] = ("spearman", "correct"), how: str = "pairs"
+) -> DataFrame:
+    """(fold, setting, and a column for each metric): for each fold the settings that no other beats within its training tasks, refitted on these and scored on the fold.
+
+    Within the training tasks each setting is scored over inner folds; only those on the front are fitted again.
+    """
+    labels = written(labels)
+    grams = {name: written(gram) for name, gram in grams.items()}
+    fold = written(folds(labels.select("task").distinct(), k))
+    out = None
+    for f in range(k):
+        held = fold.where(F.col("fold") == f).select("task")
+        train = written(labels.join(held, "task", "left_anti"))
+        front = cross_settings(train, {name: _among(gram, held) for name, gram in grams.items()}, inner, grid, names, how).where("front")
+        for r in front.select("setting").orderBy("setting").collect():  # settings
+            own = fold.withColumn("fold", F.when(F.col("fold") == f, 0).otherwise(1))  # this fold against the rest
+            votes = (pair_predicted(labels, grams[r.setting], own, 1, grid)[1] if how == "pairs" else hyper_predicted(labels, grams[r.setting], own, 1, grid)).join(held, "task", "left_semi")
+            mine = written(labels.join(held, "task", "left_semi"))
+            guess = written(R.from_pairs(votes, mine.select("task", "tool")).select("task", "tool", "pos"))
+            part = scored(Ranked(mine, guess), list(names)).groupBy("metric").agg(F.avg("score").alias("mean")).select(F.lit(f).alias("fold"), F.lit(r.setting).alias("setting"), "metric", "mean")
+            out = part if out is None else out.unionByName(part)
+    return out.groupBy("fold", "setting").pivot("metric", list(names)).agg(F.first("mean"))
+
+
+def _among(gram: DataFrame, held: DataFrame) -> DataFrame:
+    """The Gram without the tasks held."""
+    gone = lambda name: held.select(F.col("task").alias(name))
+    return gram.join(gone("i"), "i", "left_anti").join(gone("j"), "j", "left_anti")
+
+
+def two_tools(labels: DataFrame, x: str, y: str) -> tuple[DataFrame, DataFrame]:
+    """Labels of tasks that have both tools, and (task, expected): the one that alone solves the task, else the faster."""
+    two = written(labels.where(F.col("tool").isin(x, y)))
+    two = written(two.join(two.groupBy("task").agg(F.count("*").alias("n")).where("n = 2").select("task"), "task", "left_semi"))
+    first = (F.col("sx") == 1) & (F.col("sy") != 1) | ((F.col("sx") == 1) == (F.col("sy") == 1)) & (F.col("tx") < F.col("ty"))
+    return two, L.tool_pairs(two).select("task", F.when(first, F.col("x")).otherwise(F.col("y")).alias("expected"))
+
+
+def joint_grid(
+    labels: DataFrame, grams: dict[str, DataFrame], x: str, y: str, k: int = 10, inner: int = 10, grid: tuple[float, ...] = (0.001, 0.01, 0.1, 1.0, 10.0, 100.0, 1000.0)
+) -> tuple[DataFrame, DataFrame]:
+    """Which of two tools to take, by three machines of a C each and one of several settings, all chosen together within each fold's training tasks.
+
+    Gives (fold, setting, cx, cy, ct, mean, test): the best setting and triple of C (of the first tool's, the second's and the pair's
+    machine) by the mean share of right choices over the inner folds, the first of equals, and the share of right choices on
+    the fold itself; and (fold, setting, cx, cy, ct, mean) of all. A machine is fitted once for each C, and the triples are
+    combinations of what the machines say.
+    """
+    two, expected = two_tools(labels, x, y)
+    fold = written(folds(two.select("task").distinct(), k))
+    solve, quick = solve_and_pair_rows(two)
+    silent = L.tool_pairs(two).select("task", "x", "y").join(quick, ["task", "x", "y"], "left_anti").withColumn("v", F.lit(0))  # teaches nothing, but is asked for
+    rows = written(_outside(solve.unionByName(quick).unionByName(silent), fold, k).withColumn("inner", N.inner_fold(inner)))
+    x, y = min(x, y), max(x, y)
+    means = None
+    for name, gram in grams.items():
+        gram = written(gram)
+        told = S.cross_decided(rows, gram, "x", "y", "fold", cs=tuple(grid), share=("fold",)).select("x", "y", "fold", "inner", "c", "task", (F.col("decision") > 0).alias("said"))
+        told = written(told)
+        one = lambda a, b, c, said: told.where((F.col("x") == a) & (F.col("y") == b)).select("fold", "inner", "task", F.col("c").alias(c), F.col("said").alias(said))  # noqa: B023, E731
+        key = ["fold", "inner", "task"]
+        each = one(x, x, "cx", "sx").join(one(y, y, "cy", "sy"), key).join(one(x, y, "ct", "st"), key).join(expected, "task")
+        right = (_taken(F.col("sx"), F.col("sy"), F.col("st")) == (F.col("expected") == x)).cast("double")
+        part = each.groupBy("fold", "inner", "cx", "cy", "ct").agg(F.avg(right).alias("s")).groupBy("fold", "cx", "cy", "ct").agg(F.round(F.avg("s"), 12).alias("mean"))
+        part = part.select("fold", F.lit(name).alias("setting"), "cx", "cy", "ct", "mean")
+        means = part if means is None else means.unionByName(part)
+    means = written(means)
+    order = Window.partitionBy("fold").orderBy(F.desc("mean"), "setting", "cx", "cy", "ct")  # settings by triples
+    best = written(means.withColumn("r", F.row_number().over(order)).where("r = 1").drop("r"))
+    tests = None
+    for name, gram in grams.items():
+        mine = best.where(F.col("setting") == name)
+        c = F.when((F.col("x") == x) & (F.col("y") == x), F.col("cx")).when((F.col("x") == y) & (F.col("y") == y), F.col("cy")).otherwise(F.col("ct"))
+        machines = written(S.at_one_c(rows.where("v <> 0").join(mine, "fold").withColumn("c", c).select("x", "y", "fold", "task", "v", "c"), gram, "x", "y", "fold", share=("fold",)))
+        asked = fold.join(mine.select("fold"), "fold")
+        parts = F.explode(F.array(*[F.struct(F.lit(a).alias("x"), F.lit(b).alias("y")) for a, b in ((x, x), (y, y), (x, y))])).alias("m")
+        said = S.decided(machines, gram, asked.select("fold", "task", parts).select("m.*", "fold", "task"), "x", "y", "fold")
+        wide = said.groupBy("fold", "task").agg(*[F.max(F.when((F.col("x") == a) & (F.col("y") == b), F.col("decision") > 0)).alias(n) for n, a, b in (("sx", x, x), ("sy", y, y), ("st", x, y))])
+        right = (_taken(F.col("sx"), F.col("sy"), F.col("st")) == (F.col("expected") == x)).cast("double")
+        part = wide.join(expected, "task").groupBy("fold").agg(F.avg(right).alias("test"))
+        tests = part if tests is None else tests.unionByName(part)
+    return best.join(tests, "fold"), means
+
+
+def _taken(sx: Column, sy: Column, faster: Column) -> Column:
+    """Whether the first tool is taken: it alone is said to solve the task, or both or none are and it is said to be faster."""
+    return (sx & ~sy) | ((sx == sy) & faster)
+
+
 def two_tool_classes(labels: DataFrame, gram: DataFrame, x: str, y: str, k: int = 10, grid: tuple[float, ...] = S.GRID) -> DataFrame:
     """(task, predicted, expected) of two tools: the one that alone solves a task, else the faster; predicted by three machines, learned outside each task's fold."""
-    two = written(labels.where(F.col("tool").isin(x, y)))
-    both = two.groupBy("task").agg(F.count("*").alias("n")).where("n = 2").select("task")
-    two = written(two.join(both, "task", "left_semi"))
-    fold = written(folds(both, k))
-    votes = hyper_predicted(two, gram, fold, k, grid)
-    pair = L.tool_pairs(two)
-    right = F.when((F.col("sx") == 1) != (F.col("sy") == 1), F.when(F.col("sx") == 1, F.col("x")).otherwise(F.col("y"))).otherwise(F.when(F.col("tx") < F.col("ty"), F.col("x")).otherwise(F.col("y")))
-    return votes.select("task", F.when(F.col("p") > 0.5, F.col("x")).otherwise(F.col("y")).alias("predicted")).join(pair.select("task", right.alias("expected")), "task")
+    two, expected = two_tools(labels, x, y)
+    votes = hyper_predicted(two, gram, written(folds(two.select("task").distinct(), k)), k, grid)
+    return votes.select("task", F.when(F.col("p") > 0.5, F.col("x")).otherwise(F.col("y")).alias("predicted")).join(expected, "task")

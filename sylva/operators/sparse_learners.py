@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sylva.operators.metrics import pair_scores
@@ -265,6 +265,12 @@ def pair_metrics(decided: DataFrame, *keys: str) -> DataFrame:
     return decided.groupBy(*keys).agg(*pair_scores(F.col("v"), said))
 
 
+def inner_fold(k: int) -> Column:
+    """A fold for each row by a digest of its task, the same whatever table it stands in."""
+    digest = F.md5(F.concat(F.lit("inner"), F.col("task").cast("string")).cast("binary"))
+    return F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.lit(k)).cast("int")
+
+
 def best_c(scores: DataFrame, metric: str, *keys: str) -> DataFrame:
     """(keys, c, score): the C of the best mean over the inner folds of (keys, inner, c, metrics), the least of equals."""
     means = scores.groupBy(*keys, "c").agg(F.round(F.avg(metric), 12).alias("score"))
@@ -279,8 +285,7 @@ def tuned(
 
     Gives (keys, c, score, w, converged) and (keys, task, decision). Inner folds are drawn by a digest of the task, the same for all groups.
     """
-    drawn = F.pmod(F.conv(F.substring(F.md5(F.concat(F.lit("inner"), F.col("task").cast("string")).cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(inner)).cast("int")
-    train = written(train.select(*keys, "task", "v", "weight", drawn.alias("own")))
+    train = written(train.select(*keys, "task", "v", "weight", inner_fold(inner).alias("own")))
     keys = list(keys)
     if len(grid) > 1:
         spread = train.withColumn("inner", F.explode(F.sequence(F.lit(0), F.lit(inner - 1))))

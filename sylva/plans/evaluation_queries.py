@@ -16,7 +16,7 @@ from sylva.operators import ranking as R
 from sylva.operators import reduction as D
 from sylva.operators import selection as S
 from sylva.operators import sparse_learners as N
-from sylva.plans.label_queries import _INDEX, _LEVELS2, _levels, tool_runs
+from sylva.plans.label_queries import _BYRESULT, _INDEX, _LEVELS2, _levels, tool_runs
 from sylva.plans.queries import _BAGS, _BYCLS, _CLASSES, _DOCS, _FULL, _TIES, _TOOLS, document_bags, labelled_bags, query, rounded, source_bags, tool_labels
 from sylva.session import table, written
 
@@ -71,22 +71,111 @@ def event_bags(spark, sf) -> DataFrame:
     return table(spark, sf, "events").groupBy(F.col("user_id").alias("graph"), F.concat_ws("/", "event_type", k).alias("label")).agg(F.count("*").cast("double").alias("cnt"))
 
 
+_FEW = ["accuracy", "spearman", "kendall", "correct"]
+
+
+def _events(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Labels of users' events, and the normalised Gram of their bags."""
+    return tool_labels(spark, sf), E.normalised_gram(event_bags(spark, sf))
+
+
 @query()
 def cv_pairwise(spark, sf):
     """Machines on the Gram for each pair of tools, C chosen within each fold's training tasks."""
-    return E.cross_pairwise(tool_labels(spark, sf), E.normalised_gram(event_bags(spark, sf)), 5, grid=(0.1, 1.0, 10.0), names=["accuracy", "spearman", "kendall", "correct"])
+    return E.cross_pairwise(*_events(spark, sf), 5, grid=(0.1, 1.0, 10.0), names=_FEW)
 
 
 @query()
 def cv_hyper(spark, sf):
     """Machines for each tool and each pair, votes from both."""
-    return E.cross_pairwise(tool_labels(spark, sf), E.normalised_gram(event_bags(spark, sf)), 5, "hyper", grid=(0.1, 1.0, 10.0), names=["accuracy", "spearman", "kendall", "correct"])
+    return E.cross_pairwise(*_events(spark, sf), 5, "hyper", grid=(0.1, 1.0, 10.0), names=_FEW)
 
 
 @query()
 def cv_chances(spark, sf):
     """The same by chances instead of classes."""
-    return E.cross_pairwise(tool_labels(spark, sf), E.normalised_gram(event_bags(spark, sf)), 5, "hyper", grid=(1.0,), chances=True, names=["accuracy", "spearman", "kendall", "correct"])
+    return E.cross_pairwise(*_events(spark, sf), 5, "hyper", grid=(1.0,), chances=True, names=_FEW)
+
+
+@query()
+def cv_pair_chances(spark, sf):
+    """Machines for each pair by chances."""
+    return E.cross_pairwise(*_events(spark, sf), 3, grid=(1.0,), chances=True, names=_FEW)
+
+
+@query()
+def cv_inner(spark, sf):
+    """C by the mean f1 over inner folds, and what the fold of the best mean accuracy has taken for each pair."""
+    return E.Crossed(*_events(spark, sf), 3, grid=(0.1, 1.0, 10.0), names=_FEW, metric="f1", inner=3).best_fold("accuracy")
+
+
+@query()
+def cv_pair_metrics(spark, sf):
+    """Accuracy, precision, recall and f1 of each pair's machines over the folds."""
+    return E.Crossed(*_events(spark, sf), 3, grid=(1.0,), names=["accuracy"]).pair_metrics()
+
+
+@query()
+def in_sample(spark, sf):
+    """Scores of the rankings that machines over all tasks give these very tasks."""
+    return E.in_sample(*_events(spark, sf), (1.0,), _FEW)[1]
+
+
+@query()
+def cv_quality(spark, sf):
+    """Rankings by a machine for each tool, ties by its share of solved training tasks."""
+    return E.cross_quality(*_events(spark, sf), 5, (1.0,), _FEW)
+
+
+@query()
+def cv_overall(spark, sf):
+    """Trained on all properties, tested on each: a supplier's lines by their flag are its tasks, thirds of an order the tools."""
+    third = F.when(F.col("l_linenumber") <= 2, "first").when(F.col("l_linenumber") <= 4, "middle").otherwise("last")
+    month = F.concat_ws("/", F.month("l_shipdate"), "l_linestatus")
+    lines = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("file"), F.col("l_returnflag").alias("prop"), third.alias("mode"), "l_quantity", "l_tax", month.alias("label"))
+    lines = written(lines.withColumn("task", F.concat_ws("|", "file", "prop")))
+    labels = lines.groupBy("task", F.col("mode").alias("tool")).agg((F.avg("l_tax") < 0.04).cast("int").alias("solve"), F.sum("l_quantity").alias("time"))
+    bags = lines.groupBy(F.col("task").alias("graph"), "label").agg(F.count("*").cast("double").alias("cnt"))
+    return E.cross_overall(labels, lines.select("task", "file", "prop").distinct(), E.normalised_gram(bags), 2, (1.0,), ["accuracy", "spearman"])
+
+
+@query()
+def joint_grid(spark, sf):
+    """Three C and a kernel chosen together for the choice among two tools."""
+    bags = written(event_bags(spark, sf))
+    return E.joint_grid(tool_labels(spark, sf), {name: E.normalised_gram(bags, name) for name in ("linear", "jaccard")}, "click", "view", 3, 3, (0.01, 1.0, 100.0))[0]
+
+
+@query()
+def cv_front(spark, sf):
+    """Kernels that no other beats within a fold's training tasks, refitted and scored on the fold."""
+    bags = written(event_bags(spark, sf))
+    return E.cross_front(tool_labels(spark, sf), {name: E.normalised_gram(bags, name) for name in ("linear", "jaccard")}, 2, 2, (1.0,))
+
+
+_ROWS = """ids AS (SELECT task, task % 40 AS id FROM tools), chance AS (SELECT p.task, p.x, p.y, round(ty / (tx + ty), 6) AS p FROM pairs p),
+once AS (SELECT id, x, y, max(p) AS p FROM chance JOIN (SELECT DISTINCT task, id FROM ids) USING (task) WHERE id < 30 GROUP BY ALL),
+both2 AS (SELECT id, x AS tool, p AS v FROM once UNION ALL SELECT id, y, 1 - p FROM once),
+guessed AS (SELECT id, tool, row_number() OVER (PARTITION BY id ORDER BY round(sum(v), 6) DESC, tool DESC) - 1 AS pos FROM both2 GROUP BY id, tool),
+truth AS (SELECT t.task % 40 AS id, 'p' || (t.task // 40) AS prop, t.tool, t.pos, t.grp FROM tied t),
+j AS (SELECT h.id, h.prop, h.tool, h.pos AS e, h.grp, g.pos AS p, count(*) OVER (PARTITION BY h.id, h.prop) AS n FROM truth h JOIN guessed g ON g.id = h.id AND g.tool = h.tool),
+m AS (SELECT 'spearman' AS metric, CASE WHEN any_value(n) > 1 THEN 1 - 6 * sum((e - p) ** 2) / (any_value(n) * (any_value(n) ** 2 - 1)) END AS score FROM j GROUP BY id, prop
+UNION ALL SELECT 'accuracy', (a.tool = b.tool)::INT::DOUBLE FROM truth a JOIN guessed b ON a.id = b.id AND a.pos = 0 AND b.pos = 0
+UNION ALL SELECT 'kendall', coalesce(avg(CASE WHEN b.grp IS NULL THEN NULL WHEN a.p < b.p THEN 1.0 ELSE -1.0 END), 1.0) FROM j a LEFT JOIN j b ON a.id = b.id AND a.prop = b.prop AND a.grp < b.grp GROUP BY a.id, a.prop)"""
+
+
+@query(f"WITH {_TOOLS}, {_TIES}, {_ROWS} SELECT metric, round(avg(score), 6) AS mean, round(stddev_pop(score), 6) AS std, count(score) AS n FROM m GROUP BY metric")
+def by_row_scores(spark, sf):
+    """Rankings by given chances for ids of several rows, against the rankings with ties of each row."""
+    labels = written(tool_labels(spark, sf))
+    chances = L.tool_pairs(labels).select((F.col("task") % 40).alias("id"), "x", "y", F.round(F.col("ty") / (F.col("tx") + F.col("ty")), 6).alias("p")).where("id < 30")
+    truth = R.with_ties(labels).select((F.col("task") % 40).alias("id"), F.concat(F.lit("p"), F.floor(F.col("task") / 40)).alias("prop"), "tool", "pos", "grp")
+    return rounded(E.by_row_scores(chances, truth), "mean", "std")
+
+
+@query(f"WITH {_BYRESULT}, points AS (SELECT tool, sum(n - pos - 1) AS points FROM (SELECT *, count(*) OVER (PARTITION BY task) AS n FROM byresult) GROUP BY tool) SELECT tool, points, row_number() OVER (ORDER BY points DESC, tool) - 1 AS pos FROM points")
+def majority_by_result(spark, sf):
+    return E.majority_by_result(tool_labels(spark, sf))
 
 
 def event_features(spark, sf) -> DataFrame:
@@ -96,9 +185,6 @@ def event_features(spark, sf) -> DataFrame:
     return kinds.unionByName(e.groupBy(F.col("user_id").alias("row")).agg(F.lit(0).alias("col"), (F.avg("value") / 100).alias("cnt")))
 
 
-_FEW = ["accuracy", "spearman", "kendall", "correct"]
-
-
 @query()
 def cv_logistic(spark, sf):
     """Logistic chances of each tool and pair, pairs weighed by the tools' chances, votes and metrics."""
@@ -155,7 +241,7 @@ def kernel_machine_rows(spark, sf):
 SELECT t.task, t.tool, row_number() OVER (PARTITION BY t.task ORDER BY (t.time < 400)::INT DESC, coalesce(rate, 0.0) DESC, t.tool) - 1 AS pos FROM tools t JOIN folds f ON f.task = t.task LEFT JOIN rate r ON r.fold = f.fold AND r.tool = t.tool""")
 def quality_rank(spark, sf):
     labels = written(tool_labels(spark, sf))
-    fold = written(E.folds(labels.select("task").distinct()))
+    fold = written(E.folds(labels.select("task").distinct()))  # cv_quality has machines in place of the given times
     return E.quality_predicted(labels, labels.select("task", "tool", (F.col("time") < 400).cast("int").alias("p")), fold, 10)
 
 

@@ -215,12 +215,15 @@ def packed_cells(spark, sf):
     return placed.withColumn("back", L.unpacked_index(F.col("place"), F.lit(25))).select("x", "y", "place", F.col("back.x").alias("bx"), F.col("back.y").alias("by"))
 
 
-@query(f"""WITH {_TOOLS}, seat AS (SELECT *, row_number() OVER (PARTITION BY task ORDER BY tool) - 1 AS nr FROM tools),
+_BYRESULT = f"""{_TOOLS}, seat AS (SELECT *, row_number() OVER (PARTITION BY task ORDER BY tool) - 1 AS nr FROM tools),
 w AS (SELECT task, x, y, CASE WHEN sx = 1 AND sy <> 1 THEN x WHEN sy = 1 AND sx <> 1 THEN y WHEN tx < ty THEN x ELSE y END AS winner FROM pairs),
 votes AS (SELECT task, winner AS tool, count(*) AS votes FROM w GROUP BY ALL),
 head AS (SELECT w.task, w.winner AS head FROM w JOIN seat a ON a.task = w.task AND a.tool = w.x AND a.nr = 0 JOIN seat b ON b.task = w.task AND b.tool = w.y AND b.nr = 1),
-r AS (SELECT s.task, s.tool, coalesce(votes, 0) AS votes, CASE WHEN s.tool = head THEN -1 ELSE nr END AS turn FROM seat s LEFT JOIN votes v ON v.task = s.task AND v.tool = s.tool LEFT JOIN head ON head.task = s.task)
-SELECT task, tool, votes, row_number() OVER (PARTITION BY task ORDER BY votes DESC, turn) - 1 AS pos FROM r""")
+r AS (SELECT s.task, s.tool, coalesce(votes, 0) AS votes, CASE WHEN s.tool = head THEN -1 ELSE nr END AS turn FROM seat s LEFT JOIN votes v ON v.task = s.task AND v.tool = s.tool LEFT JOIN head ON head.task = s.task),
+byresult AS (SELECT task, tool, votes, row_number() OVER (PARTITION BY task ORDER BY votes DESC, turn) - 1 AS pos FROM r)"""
+
+
+@query(f"WITH {_BYRESULT} SELECT * FROM byresult")
 def rank_by_result(spark, sf):
     return R.by_result(tool_labels(spark, sf))
 
