@@ -5,16 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sylva.session import written
+
 
 #: Graphs of one label that meet all others of it in one task.
 HOT = 2_000
 
 
+def _split(bags: DataFrame, keys: list[str]) -> DataFrame:
+    """bags with parts: how many parts the graphs of each label are dealt into, more than one for labels of very many graphs only."""
+    hot = bags.groupBy(*keys).agg(F.ceil(F.count("*") / HOT).cast("int").alias("parts")).where("parts > 1")
+    return written(bags.join(hot, keys, "left").withColumn("parts", F.coalesce("parts", F.lit(1))))
+
+
 def _pairs(bags: DataFrame, keys: list[str]) -> DataFrame:
     """Pairs i <= j of graphs that share a label. A label of very many graphs is split: each part of them meets all."""
     keys = [*keys, "label"]
-    parts = bags.groupBy(*keys).agg(F.ceil(F.count("*") / HOT).cast("int").alias("parts"))
-    spread = bags.join(parts, keys)
+    spread = _split(bags.select(*keys, "graph", "cnt"), keys)
     left = spread.select(*keys, F.pmod(F.xxhash64("graph"), "parts").cast("int").alias("part"), F.col("graph").alias("i"), F.col("cnt").alias("a"))
     right = spread.select(*keys, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("graph").alias("j"), F.col("cnt").alias("b"))
     return left.join(right, [*keys, "part"]).where("i <= j")
@@ -24,16 +31,22 @@ def similar(bags: DataFrame, least: float) -> DataFrame:
     """Pairs i < j of Jaccard similarity least and more, whole: only labels that a pair as alike must share make candidates.
 
     Of a bag with a sum of s counts, labels are taken from the rarest on until those left hold less than least * s: two bags
-    that share none of these cannot be as alike. Sums must also be within the share least of each other.
+    that share none of these cannot be as alike. Sums must also be within the share least of each other. What two bags
+    have in common stands at or after the first label that they share, so neither may have less left there than they need
+    in common. A label of very many graphs is split.
     """
+    bags = written(bags.select("graph", "label", "cnt"))
     df = bags.groupBy("label").agg(F.count("*").alias("df"))
     size = bags.groupBy("graph").agg(F.sum("cnt").alias("s"))
     order = Window.partitionBy("graph").orderBy("df", "label").rowsBetween(Window.currentRow, Window.unboundedFollowing)
     placed = bags.join(df, "label").withColumn("rest", F.sum("cnt").over(order)).join(size, "graph")
-    few = placed.where(F.col("rest") >= F.lit(least) * F.col("s") - 1e-9).select("graph", "label", "s")
-    side = lambda g, s: few.select("label", F.col("graph").alias(g), F.col("s").alias(s))
+    few = _split(placed.where(F.col("rest") >= F.lit(least) * F.col("s") - 1e-9).select("graph", "label", "s", "rest"), ["label"])
+    side = lambda part, g, s, r: few.select("label", part.alias("part"), F.col("graph").alias(g), F.col("s").alias(s), F.col("rest").alias(r))
+    left = side(F.pmod(F.xxhash64("graph"), "parts").cast("int"), "i", "x", "ri")
+    right = side(F.explode(F.sequence(F.lit(0), F.col("parts") - 1)), "j", "y", "rj")
     fits = (F.col("i") < F.col("j")) & (F.least("x", "y") >= F.lit(least) * F.greatest("x", "y") - 1e-9)
-    pairs = side("i", "x").join(side("j", "y"), "label").where(fits).select("i", "j", "x", "y").distinct()
+    fits &= F.least("ri", "rj") >= F.lit(least / (1 + least)) * (F.col("x") + F.col("y")) - 1e-9
+    pairs = written(left.join(right, ["label", "part"]).where(fits).select("i", "j", "x", "y").distinct())
     one = lambda g, c: bags.select(F.col("graph").alias(g), "label", F.col("cnt").alias(c))
     shared = pairs.join(one("i", "a"), "i").join(one("j", "b"), ["j", "label"]).groupBy("i", "j", "x", "y").agg(F.sum(F.least("a", "b")).alias("m"))
     v = F.col("m") / (F.col("x") + F.col("y") - F.col("m"))
@@ -107,10 +120,13 @@ def summed(gram: DataFrame) -> DataFrame:
 
 
 def vector_gram(vectors: DataFrame, name: str = "v", metric: str | None = None) -> DataFrame:
-    """Products of dense vectors (id, v) for all pairs of a few rows, such as class centres; with a metric (euclidean, cosine), 1 less the distance."""
+    """Products of dense vectors (id, v) for all pairs i <= j; with a metric (euclidean, cosine), 1 less the distance. The result has the square of the rows; blocks of pairs are dealt by a key."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-    side = lambda i, a: vectors.select(F.lit(1).alias("one"), F.col("id").alias(i), F.col(name).alias(a))
-    pairs = side("i", "a").join(side("j", "b"), "one").where("i <= j")  # few rows
+    rows = vectors.select("id", F.col(name).alias("v")).withColumn("p", F.pmod(F.xxhash64("id"), F.lit(BLOCKS)).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))
+    left = rows.select("p", every.alias("q"), F.col("id").alias("i"), F.col("v").alias("a"))
+    right = rows.select(every.alias("p"), F.col("p").alias("q"), F.col("id").alias("j"), F.col("v").alias("b"))
+    pairs = left.join(right, ["p", "q"]).where("i <= j")
     product = dot(F.col("a"), F.col("b"))
     value = {
         None: product,

@@ -58,10 +58,12 @@ def faster(time_a: Column, time_b: Column, major: Column | bool = False) -> Colu
 
 
 def tool_pairs(labels: DataFrame) -> DataFrame:
-    """Each task's pairs of tools x < y with both labels."""
-    x = labels.select("task", F.col("tool").alias("x"), F.col("solve").alias("sx"), F.col("time").alias("tx"))
-    y = labels.select("task", F.col("tool").alias("y"), F.col("solve").alias("sy"), F.col("time").alias("ty"))
-    return x.join(y, "task").where("x < y")
+    """Each task's pairs of tools x < y with both labels: a task's tools meet once, as an array, and pairs are made of it."""
+    tools = F.sort_array(F.collect_list(F.struct("tool", "solve", "time")))  # a task's tools
+    first = labels.groupBy("task").agg(tools.alias("tools")).select("task", "tools", F.posexplode("tools").alias("at", "a"))
+    rest = F.slice("tools", F.col("at") + 2, F.greatest(F.size("tools") - F.col("at") - 1, F.lit(0)))
+    pairs = first.select("task", "a", F.explode(rest).alias("b")).where("a.tool < b.tool")
+    return pairs.select("task", F.col("a.tool").alias("x"), F.col("a.solve").alias("sx"), F.col("a.time").alias("tx"), F.col("b.tool").alias("y"), F.col("b.solve").alias("sy"), F.col("b.time").alias("ty"))
 
 
 def label_matrix(labels: DataFrame) -> DataFrame:

@@ -128,21 +128,19 @@ def hsic(bags: DataFrame, patterns: DataFrame, columns: list[str], k: int = 1_00
     """Labels by how far graphs that hold them agree in their own labels (columns of patterns, by graph), the k greatest.
 
     The label kernel is weighed element by element with the centring matrix; with centre it is multiplied by it on
-    both sides. Graphs count by their distinct patterns, which are few, so no two graphs need to meet.
+    both sides. Graphs count by the values of each of their labels, so no two of them, nor two patterns, need to meet.
     """
-    known = patterns.select("graph", F.struct(*columns).alias("p"))
-    sizes = known.groupBy("p").agg(F.count("*").alias("size"))
-    n = sizes.agg(F.sum("size").alias("n"))  # one row
-    held = bags.where("cnt > 0").select("graph", "label").distinct().join(known, "graph").groupBy("label", "p").agg(F.count("*").alias("c"))
-    df = held.groupBy("label").agg(F.sum("c").alias("df"))
-    side = lambda a: sizes.select(F.col("p").alias(a))
-    same = sum(F.when(F.col(f"a.{c}") == F.col(f"b.{c}"), 1.0).otherwise(0.0) for c in columns) / len(columns)
-    kernel = F.broadcast(side("a").crossJoin(side("b")).select("a", "b", same.alias("l")))  # patterns by patterns
+    n = patterns.agg(F.count("*").alias("n"))  # one row
+    held = bags.where("cnt > 0").select("graph", "label").distinct().join(patterns.select("graph", *columns), "graph")
+    df = held.groupBy("label").agg(F.count("*").alias("df"))
+    # Two graphs agree in a column or not, so their agreement is a sum over columns, and of squares of counts by value.
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])).alias("cell")
+    counts = held.select("label", cells).groupBy("label", "cell").agg(F.count("*").cast("double").alias("c")).where("cell.value is not null")
     if centre:
-        full = df.join(F.broadcast(sizes)).join(held, ["label", "p"], "left").join(F.broadcast(n))
-        held = full.select("label", "p", (F.coalesce("c", F.lit(0)) - F.col("df") * F.col("size") / F.col("n")).alias("c"))
-    pairs = held.select("label", F.col("p").alias("a"), F.col("c").alias("x")).join(kernel, "a").join(held.select("label", F.col("p").alias("b"), F.col("c").alias("y")), ["label", "b"])
-    sums = pairs.groupBy("label").agg(F.sum(F.col("x") * F.col("y") * F.col("l")).alias("s"))
+        sizes = patterns.select(cells).groupBy("cell").agg(F.count("*").alias("size")).where("cell.value is not null")
+        every = df.crossJoin(F.broadcast(sizes))  # a row for each value of the label columns
+        counts = every.join(counts, ["label", "cell"], "left").join(F.broadcast(n)).select("label", (F.coalesce("c", F.lit(0.0)) - F.col("df") * F.col("size") / F.col("n")).alias("c"))
+    sums = counts.groupBy("label").agg((F.sum(F.col("c") * F.col("c")) / len(columns)).alias("s"))
     if centre:
         return sums.select("label", F.round("s", 6).alias("score")).orderBy(F.desc("score"), "label").limit(k)
     one = 1 / F.col("n")

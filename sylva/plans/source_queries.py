@@ -105,6 +105,19 @@ def read_graphs(spark, sf):
     return S.program_graphs(spark, f"{_graphs(spark, sf)}/*.dfs")[1]
 
 
+@query("SELECT 'g' || r_regionkey AS graph, count(*) FILTER (WHERE n_nationkey % 2 = 0) + 1 AS parts FROM nation JOIN region ON r_regionkey = n_regionkey GROUP BY r_regionkey HAVING parts > 1")
+def torn_graphs(spark, sf):
+    """Graphs of regions of which each second nation has lost its edge: those that don't hang together, with the number of their parts."""
+    files = {}
+    for r in _nations(spark, sf):
+        g = files.setdefault(f"g{r.r_regionkey}.dfs", {"nodes": {f"r{r.r_regionkey}": "region"}, "edges": []})
+        g["nodes"][f"n{r.n_nationkey}"] = r.n_name
+        if r.n_nationkey % 2:
+            g["edges"].append([f"n{r.n_nationkey}", "s|>", f"r{r.r_regionkey}"])
+    nodes, edges = S.program_graphs(spark, f"{_files(spark, {k: json.dumps(v) for k, v in files.items()})}/*.dfs")
+    return S.whole_graphs(nodes, edges)[2]
+
+
 @query("SELECT 'o' || n_regionkey AS graph, 'n' || n_nationkey AS node, n_name AS label FROM nation UNION ALL SELECT DISTINCT 'o' || n_regionkey, 'r' || n_regionkey, 'region' FROM nation")
 def read_old_graphs(spark, sf):
     files = {}

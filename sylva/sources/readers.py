@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sylva.operators.graphs import connected
+from sylva.session import written
+
 _COLUMN = "array<struct<_title:string,_value:string>>"
 _RESULT = f"_benchmarkname string, _tool string, run array<struct<_name:string,_properties:string,column:{_COLUMN}>>, sourcefile array<struct<_name:string,_properties:string,column:{_COLUMN}>>"
 
@@ -96,6 +99,20 @@ def program_graphs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     return nodes, edges.unionByName(loose.select("graph", F.col("node").alias("src"), F.split("node", "_")[0].alias("dst"), F.lit("s").alias("etype")))
 
 
+def whole_graphs(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes and edges of the graphs that hang together, directions aside, and (graph, parts) of the others, which are left out.
+
+    All graphs are looked at together; a graph of one node is whole, and a node without edges is a part of its own.
+    """
+    labels = connected(edges)
+    parts = labels.groupBy("graph").agg(F.count_distinct("label").alias("n"))
+    alone = nodes.select("graph", "node").distinct().join(labels.select("graph", "node"), ["graph", "node"], "left_anti").groupBy("graph").agg(F.count("*").alias("n"))
+    counted = written(parts.unionByName(alone).groupBy("graph").agg(F.sum("n").alias("parts")))
+    torn = counted.where("parts > 1")
+    keep = lambda df: df.join(torn.select("graph"), "graph", "left_anti")
+    return keep(nodes), keep(edges), torn
+
+
 def old_graphs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """The same of graphs in the old form: a JSON list of (source, target, source's label, edge kind, target's label); of several labels of a node the greatest counts."""
     text = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.[^./]*)?$", 1).alias("graph"), "value")
