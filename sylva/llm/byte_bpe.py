@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sylva.llm.common import give_back
+from sylva.llm.common import give_back, text_batches
 from sylva.session import table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -266,7 +266,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
             give_back()
 
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
-    out = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, SCHEMA + ", ids array<int>" * with_ids)
+    out = text_batches(docs).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, SCHEMA + ", ids array<int>" * with_ids)
     return out.withColumnRenamed("doc_id", key)
 
 

@@ -18,6 +18,18 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACE = "\\x20\\x09-\\x0D"
 
 
+#: Rows with whole texts that go to Python at once, where the session doesn't say otherwise; Spark's own 10,000 hold tens of MB on either side.
+BATCH_ROWS = "2000"
+
+
+def text_batches(docs: DataFrame) -> DataFrame:
+    """docs, of which tasks give BATCH_ROWS rows to Python at once, so that texts fill little memory beside a task's own."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if docs.sparkSession.conf.get(name, None) is None:
+        docs.sparkSession.conf.set(name, BATCH_ROWS)
+    return docs
+
+
 def row_ids(df: DataFrame, name: str = "rid") -> DataFrame:
     """A key for each row, equal on every read of the same files, so repeated rows stay apart."""
     return df.withColumn(name, F.monotonically_increasing_id())

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sylva.llm.common import at_most, chunks, components, cut, laid_out, mix, prefix_sums, row_ids, span_hashes, whole_rows, word_spans
+from sylva.llm.common import at_most, chunks, components, cut, laid_out, mix, prefix_sums, row_ids, span_hashes, text_batches, whole_rows, word_spans
 from sylva.session import table
 
 WORDS, PERCENT = 4, 85
@@ -193,7 +193,7 @@ def group_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     empty result; other columns are ignored. Shingles are told apart by 64-bit hashes, equal sets by
     their number and two sums.
     """
-    docs = row_ids(docs.select(F.col(key).alias("key"), "text"))
+    docs = row_ids(text_batches(docs).select(F.col(key).alias("key"), "text"))
     described = cut(describe(docs, words))
     rows = described.where("rid is not null")
     one = cut(rows.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("rid").alias("rid")))

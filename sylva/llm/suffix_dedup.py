@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sylva.llm.common import chunks, cut, laid_out, mix, prefix_sums, row_ids, span_hashes, whole_rows, word_spans
+from sylva.llm.common import chunks, cut, laid_out, mix, prefix_sums, row_ids, span_hashes, text_batches, whole_rows, word_spans
 from sylva.llm.induced import permuted_common_prefixes, suffix_array
 from sylva.session import table
 
@@ -242,7 +242,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", with_text:
     lose everything, and ties need no order. Null keys stay null. An empty table gives an empty result;
     other columns are ignored. Text cut within a character loses its loose bytes.
     """
-    keyed = row_ids(docs.select(F.col(key).alias("key"), "text"))
+    keyed = row_ids(text_batches(docs).select(F.col(key).alias("key"), "text"))
     runs = removed_runs(keyed.select("rid", "text"), length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -328,6 +328,6 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     All copies of a run go, repeated rows' too. Null and empty texts stay as they are, null keys and equal
     ids are rows like others, an empty table stays empty, and no column's name can clash.
     """
-    kept = without_repeats(row_ids(docs.select("text"))).withColumnRenamed("text", "kept")
+    kept = without_repeats(row_ids(text_batches(docs).select("text"))).withColumnRenamed("text", "kept")
     joined = whole_rows(docs).join(kept, "rid", "left")
     return joined.select(*[F.coalesce("kept", "row.text").alias(c) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sylva.llm.common import cut, give_back, remainder, row_ids, whole_rows
+from sylva.llm.common import cut, give_back, remainder, row_ids, text_batches, whole_rows
 from sylva.session import table
 
 #: Labelled texts learned from, at most (all, if fewer), drawn by a hash of the text's id.
@@ -264,7 +264,7 @@ def score_texts(docs: DataFrame, labels: DataFrame, key: str = "doc_id", thresho
     counts, and an id with several labels is toxic if one of them says so. Other columns are ignored, an empty table
     gives an empty result, and without labels of both kinds every text gets the same low score.
     """
-    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, key))
+    model = docs.sparkSession.sparkContext.broadcast(train(text_batches(docs), labels, key))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, exceptions, curve = model.value
