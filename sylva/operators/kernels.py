@@ -136,6 +136,12 @@ def vector_gram(vectors: DataFrame, name: str = "v", metric: str | None = None)
     return pairs.select("i", "j", value.alias("v"))
 
 
+def reduced_gram(vectors: DataFrame, name: str = "x", metric: str | None = None) -> DataFrame:
+    """The normalised Gram of reduced features (id, x), in place of the sum over levels; by a metric, 1 less the distance."""
+    gram = vector_gram(vectors, name, metric)
+    return normalized(gram) if metric is None else gram
+
+
 def levels_gram(levels: DataFrame, kernel: str = "linear", h: int | None = None, distance: bool = False) -> DataFrame:
     """The normalised sum over levels (column h, up to h) of a kernel's Gram; a distance's levels become similarities first."""
     levels = levels if h is None else levels.where(F.col("h") <= h)

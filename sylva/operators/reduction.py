@@ -1,14 +1,23 @@
-"""Eigenvectors, singular vectors and scaling of tables (i, j, v), by iterations of joins and sums; only k x k numbers meet at the driver."""
+"""Eigenvectors, singular vectors and scaling of tables (i, j, v), by iterations of products of blocks; only k x k numbers meet at the driver."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sylva.operators.bags import dense_index
 from sylva.session import written
 
-
+#: Rows of a block of vectors, blocks that a task holds sums of, and the most multiplications between two looks at the residuals.
+BLOCK, HELD, DEGREE = 1024, 16, 10
+#: Sums of products that meet at the driver.
+PARTS = 8
+VECTORS = "b int, x array<double>"
 #: Parts of the rows, each of which meets each in a task of its own, where a whole table is asked for.
 BLOCKS = 16
 
@@ -30,64 +39,190 @@ def centred(gram: DataFrame) -> DataFrame:
     return gram.join(side("i", "mi"), "i").join(side("j", "mj"), "j").join(F.broadcast(whole)).select("i", "j", (F.col("v") - F.col("mi") - F.col("mj") + F.col("w")).alias("v"))
 
 
-def _applied(m: DataFrame, x: DataFrame, k: int, to: str = "i", of: str = "j") -> DataFrame:
-    """The table m (rows to, columns of) times vectors x (id, x: k numbers)."""
-    j = m.select(F.col(to).alias("id"), F.col(of).alias("of"), "v").join(x.select(F.col("id").alias("of"), "x"), "of")
-    return j.groupBy("id").agg(F.array(*[F.sum(F.col("v") * F.col("x")[d]) for d in range(k)]).alias("x"))
+def _placed(ids: DataFrame) -> DataFrame:
+    """(id, b, at): each id's block of BLOCK and its place there."""
+    index = dense_index(ids.select(F.col("id").alias("key")), "key")
+    return written(index.select(F.col("key").alias("id"), F.floor(F.col("idx") / BLOCK).cast("int").alias("b"), (F.col("idx") % BLOCK).cast("int").alias("at")))
+
+
+def _blocks(m: DataFrame, rows: DataFrame, cols: DataFrame) -> DataFrame:
+    """The table m (i, j, v) in blocks (b, c, i, j, v) of rows and columns: places and values as arrays."""
+    side = lambda ids, name, b, at: ids.select(F.col("id").alias(name), F.col("b").alias(b), F.col("at").alias(at))
+    placed = m.join(side(rows, "i", "b", "p"), "i").join(side(cols, "j", "c", "q"), "j")
+    cells = F.collect_list(F.struct("p", "q", F.col("v").cast("double").alias("v")))  # BLOCK x BLOCK at most
+    return written(placed.groupBy("b", "c").agg(cells.alias("s")).select("b", "c", F.col("s.p").alias("i"), F.col("s.q").alias("j"), F.col("s.v").alias("v")))
+
+
+def _drawn(ids: DataFrame, k: int) -> DataFrame:
+    """Vectors (b, x: a block's rows of k numbers) drawn by block, so that reruns agree."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                yield _row(b, np.random.default_rng([7, b]).normal(size=(n, k)))
+
+    return written(ids.groupBy("b").agg(F.count("*").cast("int").alias("n")).mapInArrow(run, VECTORS))
+
+
+def _row(b: int, x: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([x.ravel()], pa.list_(pa.float64()))], ["b", "x"])
+
+
+def _rows_of(batch: pa.RecordBatch, name: str) -> list[np.ndarray]:
+    """Each row's list as an array."""
+    column = batch.column(batch.schema.names.index(name))
+    return np.split(column.flatten().to_numpy(), np.cumsum(pa.compute.list_value_length(column).to_numpy())[:-1])
+
 
+def _times(m: DataFrame, x: DataFrame, k: int, factor: float = 1.0, less: DataFrame | None = None, transposed: bool = False) -> DataFrame:
+    """factor * m x (or its transpose), less other vectors. A task adds up its blocks by row of blocks; these sums are added by key."""
+    to, of = ("c", "b") if transposed else ("b", "c")
+    met = m.select(F.col(to).alias("to"), F.col(of).alias("b"), F.col("j" if transposed else "i").alias("p"), F.col("i" if transposed else "j").alias("q"), "v").join(x, "b")
 
-def _turned(x: DataFrame, t: np.ndarray) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for b, p, q, v, y in zip(batch.column(batch.schema.names.index("to")).to_pylist(), *(_rows_of(batch, n) for n in ("p", "q", "v", "x")), strict=True):
+                y = y.reshape(-1, k)
+                dense = np.zeros((int(p.max()) + 1, len(y)))
+                dense[p, q] = v
+                part = factor * (dense @ y)
+                if b in sums and len(sums[b]) >= len(part):
+                    sums[b][: len(part)] += part
+                else:
+                    if b in sums:
+                        part[: len(sums[b])] += sums[b]
+                    sums[b] = part
+                if len(sums) > HELD:
+                    yield _row(b := next(iter(sums)), sums.pop(b))
+        for b, part in sums.items():
+            yield _row(b, part)
+
+    def added(table: pa.Table) -> pa.Table:
+        parts = [np.asarray(r) for r in table.column("x").to_numpy()]
+        out = np.zeros(max(map(len, parts)))
+        for part in parts:  # the last rows of a block may be missing in a part
+            out[: len(part)] += part
+        return pa.table({"b": table.column("b")[:1], "x": pa.array([out], pa.list_(pa.float64()))})
+
+    parts = met.mapInArrow(run, VECTORS)
+    if less is not None:
+        parts = parts.unionByName(less.select("b", F.transform("x", lambda t: -t).alias("x")))
+    return written(parts.groupBy("b").applyInArrow(added, VECTORS))
+
+
+def _turned(x: DataFrame, k: int, t: np.ndarray) -> DataFrame:
     """Vectors x times a small matrix."""
-    columns = [sum((F.col("x")[a] * float(t[a, b]) for a in range(t.shape[0])), F.lit(0.0)) for b in range(t.shape[1])]
-    return x.select("id", F.array(*columns).alias("x"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b, y in zip(batch.column(0).to_pylist(), _rows_of(batch, "x"), strict=True):
+                yield _row(b, y.reshape(-1, k) @ t)
 
-def _products(x: DataFrame, k: int, y: Column | None = None) -> np.ndarray:
-    """x'y (x'x if there is no y), as k x k numbers."""
-    y = F.col("x") if y is None else y
-    row = x.agg(*[F.sum(F.col("x")[a] * y[b]).alias(f"s{a}_{b}") for a in range(k) for b in range(k)]).first()
-    return np.array([v or 0.0 for v in row]).reshape(k, k)
+    return written(x.select("b", "x").mapInArrow(run, VECTORS))
 
 
-def _orthonormal(x: DataFrame, k: int) -> DataFrame:
-    value, vector = np.linalg.eigh(_products(x, k))
-    scale = np.where(value > 1e-12 * max(value.max(), 1e-300), 1 / np.sqrt(np.maximum(value, 1e-300)), 0.0)
-    return written(_turned(x, vector * scale))
+def _products(x: DataFrame, y: DataFrame | None, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """x'y and y'y (x'x both, if there is no y): tasks add up theirs, these sums are added in PARTS, and PARTS meet at the driver."""
+    both = x.withColumn("y", F.col("x")) if y is None else x.join(y.withColumnRenamed("x", "y"), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, k, k))
+        for batch in batches:
+            for u, w in zip(_rows_of(batch, "x"), _rows_of(batch, "y"), strict=True):
+                w = w.reshape(-1, k)
+                u = u.reshape(-1, k)[: len(w)]
+                total += u.T @ w[: len(u)], w.T @ w
+        yield _row(TaskContext.get().partitionId() % PARTS, total)
+
+    def added(table: pa.Table) -> pa.Table:
+        return pa.table({"b": table.column("b")[:1], "x": pa.array([np.sum(table.column("x").to_numpy(), axis=0)], pa.list_(pa.float64()))})
 
+    sums = [np.array(r.x) for r in both.select("b", "x", "y").mapInArrow(run, VECTORS).groupBy("b").applyInArrow(added, VECTORS).collect()]  # PARTS rows
+    return tuple(np.sum(sums, axis=0).reshape(2, k, k)) if sums else (np.zeros((k, k)), np.zeros((k, k)))
 
-def eigenvectors(m: DataFrame, k: int, rounds: int = 8, spare: int = 4) -> tuple[list[float], DataFrame]:
-    """The k greatest eigenvalues (by size) of a whole symmetric table and the vectors (id, x), by subspace iteration from drawn starts."""
-    wide = k + spare
-    ids = m.select(F.col("i").alias("id")).distinct()
-    draw = [(F.xxhash64(F.lit(d), "id") / F.lit(float(1 << 63))) for d in range(wide)]
-    x = _orthonormal(written(ids.select("id", F.array(*draw).alias("x"))), wide)
+
+def _orthonormal(x: DataFrame, k: int) -> DataFrame:
+    """Vectors of the same span that are orthonormal; directions that the span lacks become 0."""
+    for _ in range(2):  # the second turn mends what the first one's rounding has left
+        value, vector = np.linalg.eigh(_products(x, None, k)[0])
+        scale = np.where(value > 1e-14 * max(value.max(), 1e-300), 1 / np.sqrt(np.maximum(value, 1e-300)), 0.0)
+        x = _turned(x, k, vector * scale)
+        if value.min() > 1e-6 * value.max():
+            break
+    return x
+
+
+def _invariant(apply, x: DataFrame, k: int, wide: int, tolerance: float, rounds: int) -> tuple[np.ndarray, DataFrame, float]:
+    """The k greatest eigenvalues (by size) of a symmetric map and their vectors, from the start x of wide vectors.
+
+    Each round filters the vectors by a Chebyshev polynomial that damps what is below the least value of the subspace,
+    and ends with values, vectors and residuals within the subspace. It ends when no residual of the k is above the
+    tolerance, as a part of the greatest value; that none ends in the rounds given is an error.
+    """
+    x = _orthonormal(apply(x, 1.0, None), wide)
+    worst = np.inf
     for _ in range(rounds):
-        x = _orthonormal(written(_applied(m, x, wide)), wide)
-    y = written(x.join(_applied(m, x, wide).withColumnRenamed("x", "y"), "id"))
-    value, vector = np.linalg.eigh((lambda s: (s + s.T) / 2)(_products(y, wide, F.col("y"))))
-    best = np.argsort(-np.abs(value))[:k]
-    signed = vector[:, best]
-    return value[best].tolist(), _turned(x, signed)
+        y = apply(x, 1.0, None)
+        h, g = _products(x, y, wide)
+        value, turn = np.linalg.eigh((h + h.T) / 2)
+        order = np.argsort(-np.abs(value), kind="stable")
+        value, turn = value[order], turn[:, order]
+        size = np.abs(value)
+        residual = np.sqrt(np.maximum(np.einsum("ia,ij,ja->a", turn, g, turn) - value**2, 0.0))
+        worst = float(residual[:k].max() / max(size[0], 1e-300))
+        x = _turned(x, wide, turn)
+        if worst <= tolerance:
+            return value[:k], _turned(x, wide, np.eye(wide)[:, :k]), worst
+        low = max(size[-1], 1e-6 * size[0])
+        degree = int(np.clip(np.log(2e6) / max(np.arccosh(max(size[0] / low, 1.0)), 1e-3), 2, DEGREE))
+        before, now = x, apply(x, 1 / low, None)
+        for _ in range(degree - 1):
+            before, now = now, apply(now, 2 / low, before)
+        grown = np.cosh(degree * np.arccosh(np.maximum(size / low, 1.0)))
+        x = _orthonormal(_turned(now, wide, np.diag(1 / grown)), wide)
+    raise RuntimeError(f"after {rounds} rounds a residual of {worst:.3g} is left, {tolerance} is allowed")
+
+
+def _by_id(x: DataFrame, k: int, ids: DataFrame) -> DataFrame:
+    """(id, x) of vectors in blocks; ids past the last cells of their block have zeros."""
+    rows = ids.join(x, "b", "left")
+    return rows.select("id", F.when(F.size("x") >= (F.col("at") + 1) * k, F.slice("x", F.col("at") * k + 1, k)).otherwise(F.array_repeat(F.lit(0.0), k)).alias("x"))
+
+
+def eigenvectors(m: DataFrame, k: int, tolerance: float = 1e-6, rounds: int = 60, spare: int | None = None) -> tuple[list[float], DataFrame]:
+    """The k greatest eigenvalues (by size) of a whole symmetric table and the vectors (id, x), by filtered subspace iteration from drawn starts.
+
+    Residuals are at most the tolerance as a part of the greatest value. Rows stand in blocks of BLOCK: products are of blocks, and
+    only k x k numbers meet at the driver.
+    """
+    ids = _placed(m.select(F.col("i").alias("id")).distinct())
+    n = ids.count()
+    wide = min(k + (max(8, k // 4) if spare is None else spare), n)
+    blocks = _blocks(m, ids, ids)
+    values, x, _ = _invariant(lambda x, factor, less: _times(blocks, x, wide, factor, less), _drawn(ids, wide), min(k, wide), wide, tolerance, rounds)
+    return values.tolist(), _by_id(x, len(values), ids)
 
 
 def kernel_components(gram: DataFrame, k: int) -> DataFrame:
     """(id, x): kernel principal components of a whole symmetric Gram table, each scaled by the root of its eigenvalue."""
     values, vectors = eigenvectors(written(centred(gram)), k)
-    return vectors.select("id", F.array(*[F.col("x")[d] * float(np.sqrt(max(v, 0.0))) for d, v in enumerate(values)]).alias("x"))
+    scale = F.array(*[F.lit(float(np.sqrt(max(v, 0.0)))) for v in values])
+    return vectors.select("id", F.zip_with("x", scale, lambda a, b: a * b).alias("x"))
 
 
-def singular_rows(rows: DataFrame, k: int, rounds: int = 8) -> tuple[list[float], DataFrame]:
-    """The k greatest singular values of a sparse table (row, col, cnt) and (id, x): its rows on the right singular vectors."""
-    wide = k + 4
+def singular_rows(rows: DataFrame, k: int, tolerance: float = 1e-6, rounds: int = 60) -> tuple[list[float], DataFrame]:
+    """The k greatest singular values of a sparse table (row, col, cnt) and (id, x): its rows on the right singular vectors. Residuals are those of the table times itself."""
     m = written(rows.select(F.col("row").alias("i"), F.col("col").alias("j"), F.col("cnt").cast("double").alias("v")))
-    ids = m.select(F.col("j").alias("id")).distinct()
-    x = _orthonormal(written(ids.select("id", F.array(*[(F.xxhash64(F.lit(d), "id") / F.lit(float(1 << 63))) for d in range(wide)]).alias("x"))), wide)
-    for _ in range(rounds):
-        x = _orthonormal(written(_applied(m, written(_applied(m, x, wide)), wide, "j", "i")), wide)
-    y = written(_applied(m, x, wide))
-    value, vector = np.linalg.eigh(_products(y, wide))
-    best = np.argsort(-value)[:k]
-    return np.sqrt(np.maximum(value[best], 0.0)).tolist(), _turned(y, vector[:, best])
+    left, right = _placed(m.select(F.col("i").alias("id")).distinct()), _placed(m.select(F.col("j").alias("id")).distinct())
+    wide = min(k + max(8, k // 4), right.count())
+    blocks = _blocks(m, left, right)
+
+    def apply(x: DataFrame, factor: float, less: DataFrame | None) -> DataFrame:
+        return _times(blocks, _times(blocks, x, wide), wide, factor, less, transposed=True)
+
+    values, x, _ = _invariant(apply, _drawn(right, wide), min(k, wide), wide, tolerance, rounds)
+    return np.sqrt(np.maximum(values, 0.0)).tolist(), _by_id(_times(blocks, x, len(values)), len(values), left)
 
 
 def scaled(dissimilarity: DataFrame, k: int = 2, rounds: int = 20, tolerance: float = 1e-4) -> tuple[float, DataFrame]:

@@ -416,6 +416,13 @@ def truncated_svd(spark, sf):
     return D.singular_rows(rows, 5)[1]
 
 
+@query(f"WITH {_BAGS}, d AS (SELECT a.graph AS i, b.graph AS j, sum(a.cnt * b.cnt) AS v FROM bags a JOIN bags b ON a.label = b.label GROUP BY ALL), o AS (SELECT i AS g, v FROM d WHERE i = j) SELECT x.g AS i, y.g AS j, round(coalesce(d.v, 0.0) / sqrt(x.v * y.v), 4) AS v FROM o x JOIN o y ON x.g <= y.g LEFT JOIN d ON d.i = x.g AND d.j = y.g")
+def gram_reduced(spark, sf):
+    """The Gram on as many reduced features as there are graphs, which is the Gram on all features."""
+    rows = source_bags(spark, sf).select(F.col("graph").alias("row"), F.col("label").alias("col"), "cnt")
+    return rounded(K.reduced_gram(D.singular_rows(rows, rows.select("row").distinct().count())[1]), "v", digits=4)
+
+
 @query()
 def multidimensional_scaling(spark, sf):
     return D.scaled(_whole(spark, sf).withColumn("v", 1 - F.col("v")))[1]

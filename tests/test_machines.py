@@ -174,3 +174,45 @@ def test_cross_predicted_finds_a_plain_rule(spark):
     features = spark.createDataFrame([(r[0], r[4]) for r in rows], "task int, features array<double>")
     p = {r.task: r.p for r in C.cross_predicted(pairs, features, 3).collect()}
     assert sum((p[r[0]] > 0.5) == (r[3] > 0) for r in rows) >= 285
+
+
+def test_normal_quantiles(spark):
+    from statistics import NormalDist
+
+    from sylva.operators.selection import normal_quantile
+
+    p = [0.0005, 0.01, 0.07, 0.075, 0.2, 0.5, 0.6, 0.925, 0.93, 0.9995]
+    got = spark.createDataFrame([(x,) for x in p], "p double").select("p", normal_quantile(F.col("p")).alias("z")).collect()
+    assert all(math.isclose(r.z, NormalDist().inv_cdf(r.p), abs_tol=1e-9) for r in got)
+
+
+def test_whitened_components(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(80, 3)) * [4, 2, 1]
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    pcs = np.array([r.pcs for r in C.principal(rows, 3, 1.0, whiten=True).orderBy("id").collect()])
+    centred = x - x.mean(axis=0)
+    u, s, _ = np.linalg.svd(centred, full_matrices=False)
+    assert np.allclose(pcs.std(axis=0, ddof=1), 1) and np.allclose(np.abs(pcs), np.abs(u * np.sqrt(79)), atol=1e-6)
+
+
+def test_nearest_in_parts(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 4))
+    x[50] = x[60] = x[70]  # ties
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>").repartition(5)
+    queries = vectors.where("id % 10 = 0").select(F.col("id").alias("q"), "v")
+    got = {(r.q, r["rank"]): r.id for r in C.nearest_by_cosine(queries, vectors, 4).collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for q in range(0, 300, 10):
+        d = np.round(1 - unit @ unit[q], 12)
+        want = [i for i in np.lexsort((np.arange(300), d)) if i != q][:4]
+        assert [got[q, r] for r in range(1, 5)] == want
+
+
+def test_torn_graphs_are_left_out(spark):
+    nodes = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1), ("b", 2), ("b", 3), ("c", 1)], "graph string, node int").withColumn("label", F.lit("x"))
+    edges = spark.createDataFrame([("a", 1, 2, "s"), ("b", 1, 2, "s")], "graph string, src int, dst int, etype string")
+    kept, links, torn = S.whole_graphs(nodes, edges)
+    assert {r.graph for r in kept.collect()} == {"a", "c"} and [r.graph for r in links.collect()] == ["a"]
+    assert [(r.graph, r.parts) for r in torn.collect()] == [("b", 2)]
