@@ -293,7 +293,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The last stage: what training reads of each document of the mix, without its text.
 
-    One row for each row, null texts, null keys and repeated rows included; an empty table gives none, and
-    no column's name can clash, as only doc_id and text are read.
+    One row for each row, null texts, null keys and repeated rows included; very long texts are encoded whole, of
+    equal ranks in a word the leftmost goes first; an empty table gives none, and no column's name can clash, as
+    only doc_id and text are read.
     """
     return encode(docs)

@@ -325,8 +325,9 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs with repeated runs of over 50 words removed from their texts; rows whose whole text repeats stay, with an empty text.
 
-    All copies of a run go, repeated rows' too. Null and empty texts stay as they are, null keys and equal
-    ids are rows like others, an empty table stays empty, and no column's name can clash.
+    All copies of a run go, repeated rows' too, so ties need no order. Null and empty texts stay as they are, very
+    long ones are read whole, null keys and equal ids are rows like others, an empty table stays empty, and no
+    column's name can clash.
     """
     kept = without_repeats(row_ids(text_batches(docs).select("text"))).withColumnRenamed("text", "kept")
     joined = whole_rows(docs).join(kept, "rid", "left")

@@ -289,7 +289,8 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs without those that are predicted to be toxic.
 
     Rows of null or empty text or null key stay (they have no match), repeated rows stay or go together, an
-    empty table stays empty, without labels all rows stay, and no column's name can clash.
+    empty table stays empty, without labels all rows stay, and no column's name can clash. Very long texts are
+    matched whole; a score that equals the threshold goes.
     """
     labels = table(spark, sf_dir, "labels").where(remainder(F.col("doc_id"), 4) != 2)
     toxic = score_texts(docs, labels).where("predicted = 1").select("rid")

@@ -4,6 +4,7 @@ import random
 
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
 from sylva.llm import suffix_dedup
 from sylva.llm.source_mix import mix_sources
 from tests_llm_brute import encoded
@@ -79,3 +80,21 @@ def test_short_shared_passages_go(spark, tmp_path, n):
     kept = {r.doc_id: r.text for r in suffix_dedup.stage(spark, docs, "").collect()}
     for i, t, *_ in rows:
         assert (passage in kept[i]) is False if i < 10 else kept[i] == t
+
+
+@pytest.mark.parametrize("name", [name for name, _ in corpus_pipeline.STAGES])
+def test_stages_of_empty_tables(spark, none, tmp_path, name):
+    at = _written(spark, tmp_path, [])
+    out = dict(corpus_pipeline.STAGES)[name](spark, none, at)
+    assert out.count() == 0 and (name == "byte_bpe" or out.columns == none.columns)
+
+
+def test_run_with_clashing_columns(spark, tmp_path):
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choice(WORDS) for _ in range(30)), "en", "ab"[i % 2], 0) for i in range(12)]
+    names = ("rid", "key", "h", "g", "row", "others", "copies", "group", "order", "kept", "runs", "words", "label", "from", "part")
+    wide = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").withColumns({c: F.lit(1) for c in names})
+    wide.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert out and {r.doc_id for r in out} <= set(range(12)) and all(r.n_tokens > 0 for r in out)
