@@ -28,7 +28,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Null texts and keys, repeated rows, empty tables and other columns are treated as each stage says: rows
     without words go in the mix, of repeated rows one stays, an empty table gives no rows, and without labels
-    none is toxic. Each stage but the last is written as Parquet and read again; then the tables that it
+    none is toxic. Very long texts are read whole by every stage, and of equal documents the one of the least key
+    stays. Each stage but the last is written as Parquet and read again; then the tables that it
     was made of are dropped.
     """
     before = len(tables_written(spark))
