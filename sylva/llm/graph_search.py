@@ -9,7 +9,6 @@ finds candidates, whose distances are then taken in double precision and merged
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -22,7 +21,7 @@ from sylva.session import table
 #: Out-edges, beams while building and searching, the pruning's factors (a round each), points inserted at once.
 DEGREE, BUILD, SEARCH, RELAX, BATCH = 24, 40, 64, (1.0, 1.2), 256
 #: Vectors of a shard, at least and at most, and shards that are aimed at between these; queries of a block, on average.
-SHARD, LARGEST, SHARDS, BLOCK = 6_000, 100_000, 64, 2_000
+SHARD, LARGEST, SHARDS, BLOCK = 6_000, 100_000, 64, 20_000
 
 
 def _distances(q: np.ndarray, x: np.ndarray, ids: np.ndarray, squares: np.ndarray) -> np.ndarray:
@@ -177,40 +176,41 @@ def search(embeddings: DataFrame, every: int = 100, k: int = 10, key: str = "vec
     shard = F.explode(F.sequence(first, first + shards - 1)).alias("shard")
     pairs = graphs.join(block.select("block", "queries", shard), "shard")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for r in pdf.itertuples():
-                x = np.frombuffer(r.vectors).reshape(-1, r.width)
-                ids, sizes = np.frombuffer(r.ids, np.int64), np.frombuffer(r.sizes, np.int64)
-                first = np.cumsum(sizes) - sizes
-                edges = np.frombuffer(r.edges, np.int32).reshape(-1, DEGREE).astype(np.int64)
-                centre = x.mean(0)
-                small = (x - centre).astype(np.float32)
-                qid = np.array([q["id"] for q in r.queries])
-                q = np.array([q["v"] for q in r.queries])
-                for at in range(0, len(q), BATCH):
-                    found, _ = beam_search((q[at : at + BATCH] - centre).astype(np.float32), small, (small * small).sum(1), edges, r.start, max(SEARCH, 2 * k))
-                    there = np.maximum(found, 0)
-                    d = np.sqrt(((x[there] - q[at : at + BATCH][:, None]) ** 2).sum(2))
-                    d[found < 0] = np.inf
-                    order = np.argsort(d, 1, kind="stable")
-                    out = []
-                    for i in range(len(d)):
-                        got = 0
-                        last = -1.0
-                        for j in order[i].tolist():
-                            if not np.isfinite(d[i, j]) or (got >= k and d[i, j] > last):
-                                break
-                            node = there[i, j]
-                            own = qid[at + i]
-                            for v in ids[first[node] : first[node] + sizes[node]].tolist():
-                                if v != own:
-                                    out.append((own, v, d[i, j]))
-                                    got += 1
-                            last = d[i, j]
-                    yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
-
-    hits = pairs.repartition(F.col("shard"), F.col("block")).mapInPandas(run, "query_id bigint, vec_id bigint, score double")
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        parts = [pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype=float)})]
+        for r in pdf.itertuples():
+            x = np.frombuffer(r.vectors).reshape(-1, r.width)
+            ids, sizes = np.frombuffer(r.ids, np.int64), np.frombuffer(r.sizes, np.int64)
+            first = np.cumsum(sizes) - sizes
+            edges = np.frombuffer(r.edges, np.int32).reshape(-1, DEGREE).astype(np.int64)
+            centre = x.mean(0)
+            small = (x - centre).astype(np.float32)
+            qid = np.array([q["id"] for q in r.queries])
+            q = np.array([q["v"] for q in r.queries])
+            for at in range(0, len(q), BATCH):
+                found, _ = beam_search((q[at : at + BATCH] - centre).astype(np.float32), small, (small * small).sum(1), edges, r.start, max(SEARCH, 2 * k))
+                there = np.maximum(found, 0)
+                d = np.sqrt(((x[there] - q[at : at + BATCH][:, None]) ** 2).sum(2))
+                d[found < 0] = np.inf
+                order = np.argsort(d, 1, kind="stable")
+                out = []
+                for i in range(len(d)):
+                    got = 0
+                    last = -1.0
+                    for j in order[i].tolist():
+                        if not np.isfinite(d[i, j]) or (got >= k and d[i, j] > last):
+                            break
+                        node = there[i, j]
+                        own = qid[at + i]
+                        for v in ids[first[node] : first[node] + sizes[node]].tolist():
+                            if v != own:
+                                out.append((own, v, d[i, j]))
+                                got += 1
+                        last = d[i, j]
+                parts.append(pd.DataFrame(out, columns=["query_id", "vec_id", "score"]))
+        return pd.concat(parts)
+
+    hits = pairs.groupBy("shard", "block").applyInPandas(run, "query_id bigint, vec_id bigint, score double")  # a shard and a block at once
     # An id with several vectors counts at its nearest.
     best = hits.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
