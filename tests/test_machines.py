@@ -216,3 +216,21 @@ def test_torn_graphs_are_left_out(spark):
     kept, links, torn = S.whole_graphs(nodes, edges)
     assert {r.graph for r in kept.collect()} == {"a", "c"} and [r.graph for r in links.collect()] == ["a"]
     assert [(r.graph, r.parts) for r in torn.collect()] == [("b", 2)]
+
+
+def test_old_row_tags_and_sizes(spark, tmp_path):
+    """Rows of the old form (sourcefile), a packed file, witness checks told apart, and tasks of known and small size only."""
+    import bz2
+
+    rows = lambda tag, names: "".join(f'<{tag} name="c/{n}.c" properties="unreach-call"><column title="status" value="true"/><column title="cputime" value="1.5s"/></{tag}>' for n in names)
+    (tmp_path / "old.17-12-01.results.sv-comp17.cat.xml").write_text(f'<result benchmarkname="old">{rows("sourcefile", "ab")}</result>')
+    with bz2.open(tmp_path / "new.18-12-01.results.sv-comp18.cat.xml.bz2", "wt") as f:
+        f.write(f'<result tool="new">{rows("run", "abc")}</result>')
+    (tmp_path / "new.18-12-01.18-12-02.witness.sv-comp18.cat.xml").write_text(f'<result tool="new">{rows("run", "a")}</result>')
+    results, checks = S.category_results(spark, f"{tmp_path}/*.xml*", "cat")
+    assert sorted((r.tool, r.vtask, r.status, r.cputime) for r in results.collect()) == [(t, f"c/{n}.c", "true", 1.5) for t, names in (("new", "abc"), ("old", "ab")) for n in names]
+    assert [(r.tool, r.vtask) for r in checks.collect()] == [("new", "c/a.c")]
+    sizes = spark.createDataFrame([("c/a.c", 10), ("c/b.c", 99)], "vtask string, size int")
+    small, _ = S.category_results(spark, f"{tmp_path}/*.xml*", "cat", sizes, 50)
+    assert sorted((r.tool, r.vtask) for r in small.collect()) == [("new", "c/a.c"), ("old", "c/a.c")]
+    assert S.category_results(spark, f"{tmp_path}/*.xml*", "cat", sizes)[0].count() == 4
