@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sylva.llm.common import cut
+from sylva.llm.common import cut, text_batches
 from sylva.llm.units import AT_ONCE, Remembered, Spaced, byte_bpe, gathered, parts, text_chunks
 from sylva.session import shared_dir, table, tables_written
 
@@ -255,6 +255,11 @@ def partial_counts(docs: DataFrame, a: str, b: str) -> DataFrame:
     return docs.select(F.lit(0).alias("key"), "text").mapInArrow(run, "pair bigint, docs bigint")
 
 
+def _as_files(spark: SparkSession) -> bool:
+    """Whether executors see the shared folder as files."""
+    return shared_dir(spark).rpartition(":")[0] in ("", "file")
+
+
 def count_shards(partial: DataFrame, tokens: int) -> Counts:
     """The shards of all pairs, written by the tasks that sort a range each; a task that runs again writes a file of its own.
 
@@ -262,10 +267,9 @@ def count_shards(partial: DataFrame, tokens: int) -> Counts:
     """
     spark = partial.sparkSession
     folder = f"{shared_dir(spark)}/sylva-{uuid.uuid4().hex}"
-    scheme, _, at = folder.rpartition(":")
-    if scheme not in ("", "file"):
+    if not _as_files(spark):
         raise ValueError("the count shards are mapped into memory: spark.checkpoint.dir must be a folder that executors see as files")
-    at = "/" + at.lstrip("/")
+    at = "/" + folder.rpartition(":")[2].lstrip("/")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(batches, pa.schema([("pair", pa.int64()), ("docs", pa.int64())]))
@@ -299,9 +303,12 @@ def align(docs: DataFrame, a: str | None = None, b: str | None = None, key: str
     Null and empty texts, and those whose bytes a tokenizer changes, have no tokens: zeros and ''. Repeated
     rows count as documents of their own, null keys get a row each; ties for the highest count all count.
     Very long texts are read whole. An empty table gives an empty result; other columns are ignored.
+    Where executors don't see the shared folder as files, counts are joined to the links instead.
     """
     a, b = a or default_paths()[0], b or default_paths()[1]
-    docs = docs.select(F.col(key).cast("long").alias("key"), "text")
+    docs = text_batches(docs).select(F.col(key).cast("long").alias("key"), "text")
+    if not _as_files(docs.sparkSession):
+        return _joined(docs, a, b, key, with_groups)
     counts = count_shards(cut(partial_counts(docs, a, b)), Pair(a, b).a.get_vocab_size() + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -323,5 +330,34 @@ def align(docs: DataFrame, a: str | None = None, b: str | None = None, key: str
     return docs.mapInArrow(run, SCHEMA + ", groups string" * with_groups).withColumnRenamed("doc_id", key)
 
 
+def _joined(docs: DataFrame, a: str, b: str, key: str, with_groups: bool) -> DataFrame:
+    """The same rows where no file can be mapped: each text's links (a row for each different pair) meet the counts by pair."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rids, keys = batch.column(2).to_pylist(), batch.column(0).to_pylist()
+            units = units_of(a, b)
+            codes = units.joined(units.codes([t or "" for t in batch.column(1).to_pylist()]))
+            first, rows = units.first(), []
+            for c in codes:
+                at = gathered(first, units.n_pairs, c)
+                pairs, times = _summed([units.key[at]], [units.times[at]])
+                groups = "".join(units.groups[c].tolist())[:-1]
+                rows.append((*(int(v[c].sum()) for v in (units.n_a, units.n_b, units.n_groups, units.n_links)), hashlib.sha256(groups.encode()).hexdigest() if groups else "", groups if with_groups else None, pairs, times))
+            columns = list(zip(*rows, strict=True))
+            lists = [pa.array(columns[i], pa.list_(pa.int64())) for i in (6, 7)]
+            yield pa.RecordBatch.from_arrays([pa.array(rids), pa.array(keys, pa.int64()), *[pa.array(columns[i], pa.int64()) for i in range(4)], pa.array(columns[4], pa.string()), pa.array(columns[5], pa.string()), *lists], names)
+
+    names = ["rid", "key", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "groups", "pairs", "times"]
+    schema = "rid bigint, key bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, groups string, pairs array<bigint>, times array<bigint>"
+    rows = cut(docs.select("key", "text", F.monotonically_increasing_id().alias("rid")).mapInArrow(run, schema))
+    counts = cut(partial_counts(docs, a, b).groupBy("pair").agg(F.sum("docs").alias("docs")))
+    best = counts.groupBy(F.shiftright("pair", 32).alias("a")).agg(F.max("docs").alias("most"))  # a row for each token of A
+    links = rows.select("rid", F.explode(F.arrays_zip("pairs", "times")).alias("l")).select("rid", F.col("l.pairs").alias("pair"), F.col("l.times").alias("times"))
+    met = links.join(counts, "pair").join(F.broadcast(best), F.shiftright("pair", 32) == F.col("a"))
+    sums = met.groupBy("rid").agg(F.sum(F.when(F.col("docs") == F.col("most"), F.col("times")).otherwise(0)).alias("n_best"), F.sum(F.col("times") * F.col("docs")).alias("count_sum"))
+    return rows.join(sums, "rid", "left").select(F.col("key").alias(key), "n_a", "n_b", "n_groups", "n_links", F.coalesce("n_best", F.lit(0)).alias("n_best"), F.coalesce("count_sum", F.lit(0)).alias("count_sum"), "groups_sha256", *["groups"] * with_groups)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align(table(spark, sf_dir, "documents"))

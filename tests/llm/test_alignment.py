@@ -97,7 +97,12 @@ def test_other_columns_do_not_clash(spark):
     assert sorted((r.doc_id is None, r.n_best, r.count_sum) for r in alignment.align(df).collect()) == [(False, 2, 5), (False, 2, 5), (True, 1, 3)]
 
 
-def test_shards_need_files(spark, monkeypatch):
+def test_shards_need_files(spark, monkeypatch, odd, none, sf):
+    rows = odd.select("doc_id", "text").unionByName(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").limit(60)).repartition(3)
+    rows = alignment.cut(rows)
+    want = sorted(map(str, alignment.align(rows).collect()))
     monkeypatch.setattr(alignment, "shared_dir", lambda _: "hdfs://nowhere/at/all")
+    assert sorted(map(str, alignment.align(rows).collect())) == want  # counts are joined instead
+    assert alignment.align(none).count() == 0
     with pytest.raises(ValueError, match="see as files"):
         alignment.count_shards(spark.range(1).selectExpr("id AS pair", "id AS docs"), 2)
