@@ -26,7 +26,7 @@ from sylva.session import table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Code points of text handled at once; a bound on memory, not on texts.
-CHUNK = 8_000_000
+CHUNK = 16_000_000
 #: Words of more bytes contract all places of a pair in a turn, which costs more a turn but needs fewer.
 LONG_WORD = 64
 #: Words, and rows over all turns, of one recursive query; long words go on in another where these end.
