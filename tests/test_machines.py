@@ -158,6 +158,27 @@ def test_skip_gram_parts_topics(spark):
     assert len(v) == 16 and np.mean(same) > np.mean(other) + 0.3
 
 
+def test_skip_grams_of_few_words_stay_bounded_in_any_order():
+    rng = np.random.default_rng(0)
+    w = rng.integers(0, 16, 12_000)
+    pairs = np.stack([w, w // 8 * 8 + rng.integers(0, 8, len(w))])  # two topics of 8 words
+    given = np.stack([rng.uniform(-0.05, 0.05, (16, 10)), np.zeros((16, 10))])
+    for order in range(3):
+        some = np.random.default_rng(order).permutation(pairs, axis=1)
+        own, out, seen = C.contrasted(iter(np.array_split(some, 3, axis=1)), given, np.bincount(w, minlength=16).astype(float), 0.1, 15)
+        v = own / np.linalg.norm(own, axis=1, keepdims=True)
+        assert np.abs(own).max() < 10 and np.abs(out).max() < 10 and seen.sum() == 17 * len(w)
+        assert (v @ v.T)[:8, :8].mean() > (v @ v.T)[:8, 8:].mean() + 0.3
+
+
+def test_skip_grams_of_one_word_again_and_again_stay_bounded():
+    rng = np.random.default_rng(0)
+    pairs = np.stack([np.repeat(rng.integers(0, 500, 40), 500), np.repeat(rng.integers(0, 500, 40), 500)])
+    counts, given = np.ones(500), np.stack([rng.uniform(-0.05, 0.05, (500, 10)), np.zeros((500, 10))])
+    own, out, _ = C.contrasted(iter([pairs]), given, counts, 0.1, 15)
+    assert np.abs(own).max() < 10 and np.abs(out).max() < 10
+
+
 def test_tables_are_dropped(spark):
     before = len(tables_written(spark))
     a, b = written(spark.range(3)), written(spark.range(4))
