@@ -5,7 +5,7 @@ token positions. A recursive query joins neighbouring tokens to the merge table
 word's leftmost pair of least rank until no pair merges; an ordered aggregation of the tokens'
 bytes decodes. In long words a turn contracts all places of that pair, from the left, wherever no merged
 token could come before the next of them; so turns do not grow with the word. Texts are then put
-together from their words.
+together from their words. A worker remembers the most used words from chunk to chunk and task to task.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from functools import cache
+from itertools import chain, islice
 
 import duckdb
 import numpy as np
@@ -22,18 +24,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sylva.llm.common import give_back, text_batches
+from sylva.llm.units import gathered, numbered, parts
 from sylva.session import table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: Code points of text handled at once; a bound on memory, not on texts.
-CHUNK = 16_000_000
+#: Code points of text handled at once, and words that a worker remembers from chunk to chunk; bounds on memory, not on texts.
+CHUNK, REMEMBERED = 8_000_000, 250_000
 #: Words of more bytes contract all places of a pair in a turn, which costs more a turn but needs fewer.
 LONG_WORD = 64
 #: Words, and rows over all turns, of one recursive query; long words go on in another where these end.
 WORDS, ROWS = 24_000, 3_000_000
 #: Fixed value: the public pattern, for which texts may be cut before single spaces.
 SPACED = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_LOOSE = regex.compile(r"^\s|\s$| \s|\s ")
 SCHEMA = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
 _STEP = """
@@ -112,6 +114,9 @@ class Words:
         self._table("merges", pa.table({"pair": a * 65536 + b, "merged": m}))
         self._table("vocabulary", pa.table({"id": pa.array(list(self.pieces), pa.int32()), "hex": [t.hex() for t in self.pieces.values()]}))
         self.single = np.array([ranks.get(bytes([x]), -1) for x in range(256)], np.int32)
+        self.known: dict[bytes, int] = {}  # remembered words by number, and what encode() gave for them
+        self.flat, self.size, self.back = np.empty(0, np.uint32), np.empty(0, np.int64), []
+        self.used = np.empty(0, np.int64)
 
     def _table(self, name: str, data: pa.Table) -> None:
         self.con.register("incoming", data)
@@ -176,6 +181,23 @@ class Words:
             flat[np.arange(len(ids)) + np.repeat(first[at] - (np.cumsum(n) - n), n)] = ids
         return flat, sizes, back
 
+    def number(self, words: list[bytes], times: np.ndarray) -> np.ndarray:
+        """The numbers of different words, which stand so many times in the texts; flat, size and back then hold them all."""
+        if len(self.known) > REMEMBERED:
+            keep = np.sort(np.argsort(-self.used, kind="stable")[:REMEMBERED])
+            names = list(self.known)
+            self.known = {names[i]: k for k, i in enumerate(keep.tolist())}
+            self.back = [self.back[i] for i in keep.tolist()]
+            self.flat = self.flat[gathered(np.cumsum(self.size) - self.size, self.size, keep)]
+            self.size, self.used = self.size[keep], self.used[keep] // 2
+        had = len(self.known)
+        out = numbered(words, self.known)
+        flat, size, back = self.encode(list(islice(self.known, had, None)))
+        self.flat, self.size, self.back = np.concatenate([self.flat, flat]), np.append(self.size, size), self.back + back
+        self.used = np.append(self.used, np.zeros(len(size), np.int64))
+        self.used[out] += times
+        return out
+
     def decode(self, ids: list[list[int]]) -> list[bytes]:
         """The bytes of each list of ids, by an ordered aggregation."""
         length = np.array([len(x) for x in ids], np.int64)
@@ -190,43 +212,48 @@ class Words:
         return out
 
 
-def split_units(text: str, split) -> list[str]:
-    """Parts of the text that the pattern splits each on its own as it does within the text.
-
-    With the public pattern white space only joins what follows as one leading space, so a text in
-    which each run of white space is one space, or lies within a part, can be cut before spaces.
-    """
-    if _LOOSE.search(text):
-        return split(text)
-    first, *rest = text.split(" ")
-    return [first, *[" " + x for x in rest]]
+@cache
+def words_of(path: str) -> Words:
+    """What a worker remembers for all its tasks."""
+    return Words(read_ranks(path))
 
 
 def encode_texts(texts: list[str], words: Words, pattern: str) -> Iterator[tuple[np.ndarray, bytes]]:
-    """Ids and decoded bytes of each text."""
+    """Ids and decoded bytes of each text.
+
+    With the public pattern white space only joins what follows as one leading space, so a text can be cut
+    before single spaces between other characters; with others a text's words are its parts.
+    """
     split = regex.compile(pattern).findall
-    parts = (lambda t: split_units(t, split)) if pattern == SPACED else split
-    units: dict[str, int] = {}
-    number = units.setdefault
-    codes = [np.array([number(u, len(units)) for u in parts(t)], np.int32) for t in texts]
+    cut = parts if pattern == SPACED else lambda t: [t]
+    heads: dict[str, int] = {}  # first parts, and those that a space leads, without it
+    rests: dict[str, int] = {}
+    codes = []
+    for t in texts:
+        first, *others = cut(t)
+        codes.append((numbered([first], heads).astype(np.int32), numbered(others, rests).astype(np.int32)))
+    shift = len(heads)
     known: dict[str, int] = {}
-    of, count = [], np.empty(len(units), np.int64)  # the words of all units, and how many each has
-    for k, u in enumerate(units):
-        ws = split(u)
+    of, count = [], np.empty(shift + len(rests), np.int64)  # the words of all parts, and how many each has
+    simple = pattern == SPACED
+    for k, u in enumerate(chain(heads, rests)):
+        unit = u if k < shift else " " + u
+        ws = [unit] if simple and u.isascii() and u.isalpha() else split(unit)
         count[k] = len(ws)
         of += [known.setdefault(w, len(known)) for w in ws]
-    del units
-    flat, size, back = words.encode([w.encode("utf-8", "surrogatepass") for w in known])
+    del heads, rests
+    of, begin = np.array(of, np.int64), np.cumsum(count) - count
+    parts_used = np.bincount(np.concatenate([c + k for pair in codes for c, k in zip(pair, (0, shift), strict=True)]), minlength=len(count)) if codes else count
+    times = np.bincount(of, np.repeat(parts_used, count), len(known)).astype(np.int64)
+    of = words.number([w.encode("utf-8", "surrogatepass") for w in known], times)[of]
     del known
+    flat, size, back = words.flat, words.size, words.back
     first = np.cumsum(size) - size
-    of = np.array(of, np.int64)
-    begin = np.cumsum(count) - count
     text_of = [back[of[i]] if n == 1 else b"".join([back[w] for w in of[i : i + n]]) for i, n in zip(begin.tolist(), count.tolist(), strict=True)]
-    for c in codes:
-        n = count[c]
-        ws = of[np.arange(int(n.sum())) + np.repeat(begin[c] - (np.cumsum(n) - n), n)]
-        n = size[ws]
-        yield flat[np.arange(int(n.sum())) + np.repeat(first[ws] - (np.cumsum(n) - n), n)], b"".join(map(text_of.__getitem__, c.tolist()))
+    for head, rest in codes:
+        c = np.append(head, rest + shift)
+        ws = of[gathered(begin, count, c)]
+        yield flat[gathered(first, size, ws)], b"".join(map(text_of.__getitem__, c.tolist()))
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
@@ -253,9 +280,8 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
     path, pattern = path or default_path(), pattern or default_pattern()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = None
         for keys, texts in _chunks(batches):
-            words = words or Words(read_ranks(path))
+            words = words_of(path)
             rows = [(len(i), hashlib.sha256(i.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(b).hexdigest(), i if with_ids else None) for i, b in encode_texts(texts, words, pattern)]
             n, sha, back, ids = zip(*rows, strict=True)
             out = [pa.array(keys, pa.int64()), pa.array(n, pa.int64()), pa.array(sha), pa.array(back)]

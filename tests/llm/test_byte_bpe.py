@@ -46,6 +46,18 @@ def test_long_words(spark, monkeypatch, rows):
     assert sorted((str(r[0]), *r[1:]) for r in byte_bpe.encode(df).collect()) == expected(texts)
 
 
+@pytest.mark.parametrize("most", [byte_bpe.REMEMBERED, 3])
+def test_words_are_remembered_from_chunk_to_chunk(monkeypatch, most):
+    monkeypatch.setattr(byte_bpe, "REMEMBERED", most)
+    words, asked = byte_bpe.Words(byte_bpe.read_ranks(byte_bpe.default_path())), []
+    monkeypatch.setattr(words, "encode", lambda ws, f=words.encode: asked.append(len(ws)) or f(ws))
+    texts = ["Thathere onnt onnt, it's  two\x1cspaces", " onnt Thathere\nonnt ééai文", "", "\u3000 onnt \t", "onnt onnt onnt edshti"]
+    for some in (texts, texts[::-1], texts):
+        rows = [(len(i), hashlib.sha256(i.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(b).hexdigest()) for i, b in byte_bpe.encode_texts(some, words, byte_bpe.default_pattern())]
+        assert sorted(rows) == sorted(r[1:] for r in expected(list(enumerate(some))))
+    assert asked[2] == 0 if most > 3 else 0 < asked[2] < asked[0]
+
+
 def test_stage_with_odd_rows(spark, odd, none):
     rows = [tuple(r) for r in odd.select("doc_id", "text").collect()]
     assert sorted((str(r[0]), *r[1:]) for r in byte_bpe.stage(spark, odd, "").collect()) == expected(rows)
