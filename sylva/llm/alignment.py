@@ -3,9 +3,10 @@
 Both encode a text to the same bytes; where tokens of both end, the text falls into groups, and each
 token of one is linked with each of the other in its group. Links are packed into 64 bits. Tasks count
 the documents of each pair by np.unique; the partial counts are dealt by ranges of pairs and sorted, runs
-of a pair are summed, and each range becomes a shard, an array file in the shared folder. A second pass
-over the texts maps the shards into memory and finds its pairs by searchsorted, so that neither counts nor
-links are shuffled to documents. A unit's tokens, groups and links are made once in a task.
+of a pair are summed, and each range becomes a shard, an array file in the shared folder. The same pass writes
+each text's different links, packed; a second one reads them instead of the texts, maps the shards into memory
+and finds its pairs by searchsorted, so that neither counts nor links are shuffled to documents. A unit's tokens,
+groups and links are made once in a task.
 """
 
 from __future__ import annotations
@@ -118,7 +119,7 @@ class Counts:
     best: np.ndarray
 
     def of(self, key: np.ndarray) -> np.ndarray:
-        """The count of each sorted pair; 0 for those of other corpora, which a worker may remember."""
+        """The count of each sorted pair; 0 for those that no shard holds."""
         out = np.zeros(len(key), np.int64)
         bounds = np.append(np.searchsorted(key, self.first), len(key))
         for path, start, stop in zip(self.paths, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
@@ -145,7 +146,6 @@ class Units(Remembered):
         super().__init__(REMEMBERED)
         self.pair = pair
         self.equal, self.groups = np.empty(0, bool), np.empty(0, object)
-        self.by, self.best, self.total = None, np.empty(0, np.int64), np.empty(0, np.int64)
         self.n_a = self.n_b = self.n_groups = self.n_links = self.n_pairs = self.key = self.times = np.empty(0, np.int64)
 
     @cached_property
@@ -160,9 +160,7 @@ class Units(Remembered):
             keep = self.kept()
             at = gathered(self.first(), self.n_pairs, keep)
             self.key, self.times, self.groups = self.key[at], self.times[at], self.groups[keep]
-            if len(self.best) < len(self.equal):
-                self.by = None
-            for name in (*self.FIELDS, *(("best", "total") if self.by else ())):
+            for name in self.FIELDS:
                 setattr(self, name, getattr(self, name)[keep])
         out, new = self.number([parts(t) if t else [] for t in texts])
         added = [self._add(new[start : start + AT_ONCE]) for start in range(0, len(new), AT_ONCE)]
@@ -196,17 +194,6 @@ class Units(Remembered):
         """The units of each text whose bytes both tokenizers give back; others have none."""
         return [c if self.equal[c].all() else c[:0] for c in codes]
 
-    def valued(self, counts: Counts) -> tuple[np.ndarray, np.ndarray]:
-        """By unit, its links whose count is their A id's highest, and the counts' sum; only new units are looked up."""
-        if self.by != counts.paths:
-            self.by, self.best, self.total = counts.paths, np.empty(0, np.int64), np.empty(0, np.int64)
-        n, times = self.n_pairs[len(self.best) :], self.times[self.n_pairs[: len(self.best)].sum() :]
-        pairs, of = np.unique(self.key[len(self.key) - len(times) :], return_inverse=True)
-        count = counts.of(pairs)
-        self.best = np.append(self.best, _sums((count == counts.best[pairs >> 32])[of] * times, n))
-        self.total = np.append(self.total, _sums(count[of] * times, n))
-        return self.best, self.total
-
     def first(self) -> np.ndarray:
         return np.cumsum(self.n_pairs) - self.n_pairs
 
@@ -226,35 +213,112 @@ def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return out, total
 
 
+def text_links(units: Units, codes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The sorted different pairs of some texts, and text, pair (by its place among them) and times of each text's different links, in order."""
+    used, local = np.unique(np.concatenate(codes), return_inverse=True)
+    doc = np.repeat(np.arange(len(codes)), [len(c) for c in codes])
+    held, often = np.unique(doc * max(len(used), 1) + local, return_counts=True)  # each unit once a text
+    doc, unit = held // max(len(used), 1), used[held % max(len(used), 1)] if len(used) else held
+    at = gathered(units.first(), units.n_pairs, unit)
+    own, number = np.unique(units.key[at], return_inverse=True)
+    slot, times = np.repeat(doc, units.n_pairs[unit]) * max(len(own), 1) + number, units.times[at] * np.repeat(often, units.n_pairs[unit])
+    order = np.argsort(slot)
+    slot, times = slot[order], times[order]
+    new = np.flatnonzero(np.append(True, slot[1:] != slot[:-1])) if len(slot) else slot
+    slot, times = slot[new], np.add.reduceat(times, new) if len(new) else times
+    return own, slot // max(len(own), 1), slot % max(len(own), 1), times
+
+
+class Counted:
+    """In how many of a task's texts each pair is linked, in sorted runs."""
+
+    def __init__(self):
+        self.key = self.count = np.empty(0, np.int64)
+
+    def add(self, own: np.ndarray, pair: np.ndarray) -> None:
+        self.key, self.count = _summed([self.key, own], [self.count, np.bincount(pair, minlength=len(own))])
+
+    def batch(self, names: list[str]) -> pa.RecordBatch:
+        """What was counted, as columns pair and docs; others of names are null."""
+        held = {"pair": pa.array(self.key), "docs": pa.array(self.count)}
+        out = pa.RecordBatch.from_arrays([held.get(n, pa.nulls(len(self.key), KINDS.get(n, pa.int64()))) for n in names], names)
+        self.key = self.count = np.empty(0, np.int64)
+        return out
+
+
 def partial_counts(docs: DataFrame, a: str, b: str) -> DataFrame:
     """pair and docs: in how many of a task's texts each pair is linked, in sorted runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def batch() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(keys[0]), pa.array(counts[0])], ["pair", "docs"])
-
-        keys, counts = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        counted = Counted()
         for _, texts in text_chunks(batches, CHUNK):
             units = units_of(a, b)
-            codes = units.joined(units.codes(texts))
-            used, local = np.unique(np.concatenate(codes), return_inverse=True)
-            doc = np.repeat(np.arange(len(codes)), [len(c) for c in codes])
-            held = np.unique(doc * max(len(used), 1) + local)  # each unit once a text
-            doc, unit = held // max(len(used), 1), used[held % max(len(used), 1)] if len(used) else held
-            at = gathered(units.first(), units.n_pairs, unit)
-            own, number = np.unique(units.key[at], return_inverse=True)
-            once = np.unique(np.repeat(doc, units.n_pairs[unit]) * max(len(own), 1) + number)
-            key, count = _summed([*keys, own], [*counts, np.bincount(once % max(len(own), 1), minlength=len(own))])
-            keys, counts = [key], [count]
-            if len(key) > PAIRS:
-                yield batch()
-                keys, counts = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        if len(keys[0]):
-            yield batch()
+            own, _, pair, _ = text_links(units, units.joined(units.codes(texts)))
+            counted.add(own, pair)
+            if len(counted.key) > PAIRS:
+                yield counted.batch(["pair", "docs"])
+        if len(counted.key):
+            yield counted.batch(["pair", "docs"])
 
     return docs.select(F.lit(0).alias("key"), "text").mapInArrow(run, "pair bigint, docs bigint")
 
 
+KINDS = {"groups_sha256": pa.string(), "groups": pa.string(), "links": pa.binary()}
+#: Rows of texts, whose column docs is null, and rows of pairs, where all but pair and docs are.
+FIRST = "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, links binary, pair bigint, docs bigint"
+
+
+def _packed(pairs: np.ndarray, times: np.ndarray) -> bytes:
+    """Sorted pairs and their times as bytes, in which small steps, ids and times are few."""
+    a, b = pairs >> 32, pairs & 0xFFFFFFFF
+    low = [int(x.max(initial=0)) < 1 << 16 for x in (a, b, times)]
+    parts = [np.diff(a, prepend=0), b, times]
+    return bytes(low) + len(pairs).to_bytes(8, "little") + b"".join(x.astype("<u2" if small else "<i8").view(np.uint8).reshape(len(x), 2 if small else 8).T.tobytes() for x, small in zip(parts, low, strict=True))
+
+
+def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n, at, out = int.from_bytes(data[3:11], "little"), 11, []
+    for small in data[:3]:
+        width = 2 if small else 8
+        planes = np.frombuffer(data, np.uint8, n * width, at).reshape(width, n)
+        at += n * width
+        out.append(planes[0] + planes[1].astype(np.int64) * 256 if small else np.ascontiguousarray(planes.T).view("<i8").ravel())
+    return np.cumsum(out[0]) << 32 | out[1], out[2]
+
+
+def first_pass(docs: DataFrame, a: str, b: str, with_groups: bool) -> DataFrame:
+    """What each text has before counts are known, with its different links packed, and the task's counts of pairs (FIRST)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counted, codec = Counted(), pa.Codec("zstd", compression_level=1)
+        for keys, texts in text_chunks(batches, CHUNK):
+            units = units_of(a, b)
+            codes = units.joined(units.codes(texts))
+            own, doc, pair, times = text_links(units, codes)
+            counted.add(own, pair)
+            flat, stops = np.concatenate(codes), np.cumsum([len(c) for c in codes])
+            starts = stops - [len(c) for c in codes]
+            columns = [pa.array(keys, pa.int64())]
+            for v in (units.n_a, units.n_b, units.n_groups, units.n_links):
+                up = np.append(0, np.cumsum(v[flat]))
+                columns.append(pa.array(up[stops] - up[starts]))
+            groups = ["".join(units.groups[c].tolist())[:-1] for c in codes]  # each group ends with a mark
+            columns.append(pa.array([hashlib.sha256(g.encode()).hexdigest() if g else "" for g in groups]))
+            pairs, ends = own[pair], np.searchsorted(doc, np.arange(len(codes)), side="right").tolist()
+            packed = [_packed(pairs[i:j], times[i:j]) for i, j in zip([0, *ends[:-1]], ends, strict=True)]
+            columns.append(pa.array([len(p).to_bytes(8, "little") + codec.compress(p, asbytes=True) for p in packed], pa.binary()))
+            nulls = pa.nulls(len(keys), pa.int64())
+            yield pa.RecordBatch.from_arrays([*columns, nulls, nulls, *[pa.array(groups)] * with_groups], names)
+            if len(counted.key) > PAIRS:
+                yield counted.batch(names)
+        if len(counted.key):
+            yield counted.batch(names)
+
+    schema = FIRST + ", groups string" * with_groups
+    names = [f.split()[0] for f in schema.split(", ")]
+    return docs.mapInArrow(run, schema)
+
+
 def _as_files(spark: SparkSession) -> bool:
     """Whether executors see the shared folder as files."""
     return shared_dir(spark).rpartition(":")[0] in ("", "file")
@@ -272,7 +336,8 @@ def count_shards(partial: DataFrame, tokens: int) -> Counts:
     at = "/" + folder.rpartition(":")[2].lstrip("/")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(batches, pa.schema([("pair", pa.int64()), ("docs", pa.int64())]))
+        named = pa.schema([("pair", pa.int64()), ("docs", pa.int64())])
+        table = pa.Table.from_batches([pa.RecordBatch.from_arrays(x.columns, schema=named) for x in batches], named)  # Spark's own may say not null
         if not table.num_rows:
             return
         pair, docs = table.column("pair").to_numpy(), table.column("docs").to_numpy()
@@ -309,25 +374,29 @@ def align(docs: DataFrame, a: str | None = None, b: str | None = None, key: str
     docs = text_batches(docs).select(F.col(key).cast("long").alias("key"), "text")
     if not _as_files(docs.sparkSession):
         return _joined(docs, a, b, key, with_groups)
-    counts = count_shards(cut(partial_counts(docs, a, b)), Pair(a, b).a.get_vocab_size() + 1)
+    first = cut(first_pass(docs, a, b, with_groups))
+    counts = count_shards(first.where("docs IS NOT NULL").select("pair", "docs"), Pair(a, b).a.get_vocab_size() + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, texts in text_chunks(batches, CHUNK):
-            units = units_of(a, b)
-            codes = units.joined(units.codes(texts))
-            best, total = units.valued(counts)
-            flat, stops = np.concatenate(codes), np.cumsum([len(c) for c in codes])
-            starts = stops - [len(c) for c in codes]
-            sums = []
-            for v in (units.n_a, units.n_b, units.n_groups, units.n_links, best, total):
-                up = np.append(0, np.cumsum(v[flat]))
-                sums.append(pa.array(up[stops] - up[starts]))
-            groups = ["".join(units.groups[c].tolist())[:-1] for c in codes]  # each group ends with a mark
-            digests = pa.array([hashlib.sha256(g.encode()).hexdigest() if g else "" for g in groups])
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *sums, digests, *[pa.array(groups)] * with_groups], names)
+        codec = pa.Codec("zstd")
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held = dict(zip(batch.schema.names, batch.columns, strict=True))
+            links = [_unpacked(codec.decompress(x[8:], int.from_bytes(x[:8], "little"), asbytes=True)) for x in held["links"].to_pylist()]
+            n = np.array([len(x[0]) for x in links])
+            pairs = pa.array(np.concatenate([x[0] for x in links])).dictionary_encode()
+            known, of, times = pairs.dictionary.to_numpy(), pairs.indices.to_numpy(), np.concatenate([x[1] for x in links])
+            order = np.argsort(known)
+            count = np.empty(len(known), np.int64)
+            count[order] = counts.of(known[order])
+            held["n_best"] = pa.array(_sums((count == counts.best[known >> 32])[of] * times, n))
+            held["count_sum"] = pa.array(_sums(count[of] * times, n))
+            yield pa.RecordBatch.from_arrays([held[k] for k in names], names)
 
     names = [f.split()[0] for f in (SCHEMA + ", groups string" * with_groups).split(", ")]
-    return docs.mapInArrow(run, SCHEMA + ", groups string" * with_groups).withColumnRenamed("doc_id", key)
+    rows = first.where("docs IS NULL").drop("pair", "docs")
+    return rows.mapInArrow(run, SCHEMA + ", groups string" * with_groups).withColumnRenamed("doc_id", key)
 
 
 def _joined(docs: DataFrame, a: str, b: str, key: str, with_groups: bool) -> DataFrame:

@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from sylva.llm import alignment
@@ -106,3 +107,23 @@ def test_shards_need_files(spark, monkeypatch, odd, none, sf):
     assert alignment.align(none).count() == 0
     with pytest.raises(ValueError, match="see as files"):
         alignment.count_shards(spark.range(1).selectExpr("id AS pair", "id AS docs"), 2)
+
+
+def test_texts_are_read_and_encoded_once(spark, sf):
+    df = alignment.cut(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").repartition(3))
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        read.add(1)
+        return text
+
+    alignment.align(df.select("doc_id", counted("text").alias("text"))).collect()
+    assert read.value == df.count()
+
+
+def test_links_are_packed_and_back():
+    for a, b, times in (([], [], []), ([0, 0, 5], [1, 7, 0], [1, 2, 65_535]), ([3, 70_000], [70_001, 2], [1, 1 << 40])):
+        pairs, times = np.array(a, np.int64) << 32 | np.array(b, np.int64), np.array(times, np.int64)
+        got = alignment._unpacked(alignment._packed(pairs, times))
+        assert got[0].tolist() == pairs.tolist() and got[1].tolist() == times.tolist()
