@@ -47,6 +47,11 @@ def few_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return spark.range(1).select(F.inline(F.array(*map(one, rows))))
 
 
+def turned(c: Column | str) -> Column:
+    """A whole number as another one and back: rows grouped by it are dealt again for a join on the number, which can so split a large group."""
+    return (F.col(c) if isinstance(c, str) else c).bitwiseXOR(F.lit(1))
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z only, unlike lower()."""
     return F.translate(c, UPPER, LOWER)

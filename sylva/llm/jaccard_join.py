@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sylva.llm.common import at_most, chunks, components, cut, laid_out, mix, prefix_sums, row_ids, span_hashes, text_batches, whole_rows, word_spans
+from sylva.llm.common import at_most, chunks, components, cut, laid_out, mix, prefix_sums, row_ids, span_hashes, text_batches, turned, whole_rows, word_spans
 from sylva.session import table
 
 WORDS, PERCENT = 4, 85
@@ -135,6 +135,13 @@ def prefixes(docs: DataFrame, listed: tuple[np.ndarray, np.ndarray], words: int,
     return docs.select("rid", "text").mapInArrow(run, "rid bigint, n bigint, extra bigint, central double, prefix array<bigint>")
 
 
+def shared_tokens(placed: DataFrame) -> DataFrame:
+    """A row of rid, n, extra, central, pos and token for each prefix shingle of placed that stands in another prefix too; the others make no pair."""
+    every = placed.select("rid", "n", "extra", "central", F.posexplode("prefix").alias("pos", "token"))
+    twice = every.groupBy(turned("token").alias("t")).agg(F.count("*").alias("c")).where("c > 1")
+    return cut(every.join(twice.select(turned("t").alias("token")), "token", "left_semi"))
+
+
 def _both(a: Column, b: Column, percent: int) -> Column:
     """The overlap that sets of a and b shingles need to link."""
     return F.ceil(percent * (a + b) / F.lit(100.0 + percent) - 1e-9)
@@ -201,12 +208,13 @@ def group_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     h, c = often.column("s1").to_numpy(), often.column("c").to_numpy()
     order = np.argsort(h)
     placed = cut(prefixes(docs, (h[order], c[order]), words, percent).join(one.select("rid"), "rid", "left_semi"))
-    tokens = placed.select("rid", "n", "extra", "central", F.posexplode("prefix").alias("pos", "token"))
-    chief = tokens.groupBy("token").agg(F.max(F.struct("central", "rid", "n", "extra", "pos")).alias("y"), F.count("*").alias("c")).where("c > 1").select("token", "y")
-    met = tokens.select("token", F.struct("rid", "n", "extra", "pos").alias("x")).join(cut(chief), "token")
+    tokens = shared_tokens(placed)
+    chief = tokens.groupBy(turned("token").alias("t")).agg(F.max(F.struct("central", "rid", "n", "extra", "pos")).alias("y")).select(turned("t").alias("token"), "y")
+    met = tokens.select("token", F.struct("rid", "n", "extra", "pos").alias("x")).join(chief, "token")
     found = components(linked(_matched(met.where("x.rid <> y.rid"), percent), docs, words, percent))
-    tokens = placed.join(found.withColumnRenamed("node", "rid"), "rid", "left").select("rid", "n", "extra", F.coalesce("label", "rid").alias("label"), F.posexplode("prefix").alias("pos", "token"))
-    shared = cut(tokens.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("c")).where("low <> high").select("token", F.ceil(F.col("c") / HOT).cast("int").alias("parts")))
+    tokens = tokens.join(found.withColumnRenamed("node", "rid"), "rid", "left").select("rid", "n", "extra", F.coalesce("label", "rid").alias("label"), "pos", "token")
+    shared = tokens.groupBy(turned("token").alias("t")).agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("c")).where("low <> high")
+    shared = shared.select(turned("t").alias("token"), F.ceil(F.col("c") / HOT).cast("int").alias("parts"))
     live = cut(tokens.join(shared, "token"))
     # The smaller set of a pair overlaps the other by more than half of what both sizes ask for, so less of it needs to be looked up.
     here = live.where(F.col("pos") < F.col("n") - _both(F.col("n"), F.col("n"), percent) + F.col("extra"))
@@ -232,7 +240,7 @@ def group_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     keyed = docs.select("rid", "key").join(rows.select("rid", "n", "s1", "s2"), "rid")
     final = one.select("n", "s1", "s2", F.col("rid").alias("node")).join(found, "node", "left").select("n", "s1", "s2", F.coalesce("label", "node").alias("found"))
     grouped = cut(keyed.join(final, ["n", "s1", "s2"], "left").select("rid", "key", "n", F.coalesce("found", "rid").alias("group")))
-    ids = cut(grouped.groupBy("group").agg(F.min("key").alias("component_id")))  # written, so that the join can split a large group
+    ids = grouped.groupBy(turned("group").alias("t")).agg(F.min("key").alias("component_id")).select(turned("t").alias("group"), "component_id")
     return grouped.join(ids, "group").select("rid", F.col("key").alias(key), F.col("n").alias("n_shingles"), "group", "component_id")
 
 

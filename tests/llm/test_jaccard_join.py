@@ -72,3 +72,24 @@ def test_odd_rows(spark, odd, none):
 
 def test_stage_keeps_one_of_each_group(spark, odd):
     assert jaccard_join.stage(spark, odd, "").count() == 9 and jaccard_join.stage(spark, odd, "").columns == odd.columns
+
+
+def test_only_shared_shingles_are_kept(spark):
+    """A prefix shingle that no other prefix holds is written nowhere, however few or many rows share one."""
+    prefixes = {1: [1, 2, 3], 2: [3, 4], 3: [5, -6], 4: [], 5: [4, 3, -6]} | {k: [7, 1000 + k] for k in range(10, 60)}
+    placed = spark.createDataFrame([(r, 9, 1, 0.5, p) for r, p in prefixes.items()], "rid bigint, n bigint, extra bigint, central double, prefix array<bigint>")
+    rows = {(r.rid, r.pos, r.token) for r in jaccard_join.shared_tokens(placed.repartition(4)).collect()}
+    assert rows == {(1, 2, 3), (2, 0, 3), (2, 1, 4), (3, 1, -6), (5, 0, 4), (5, 1, 3), (5, 2, -6)} | {(k, 0, 7) for k in range(10, 60)}
+
+
+def test_the_join_writes_shared_shingles_only(spark):
+    """Of texts without common shingles no table holds a row for each shingle."""
+    from sylva.session import tables_written
+
+    df = spark.createDataFrame([(k, " ".join(f"w{k}x{i}" for i in range(60))) for k in range(200)], "doc_id bigint, text string").repartition(4)
+    before = len(tables_written(spark))
+    assert jaccard_join.group_documents(df).count() == 200
+    tables = [spark.read.parquet(p) for p in tables_written(spark)[before:]]
+    tokens = [t for t in tables if {"rid", "pos", "token"} <= set(t.columns)]
+    assert tokens and all(t.isEmpty() for t in tokens)
+    assert not any({"token", "y"} <= set(t.columns) or {"token", "parts"} == set(t.columns) for t in tables)
