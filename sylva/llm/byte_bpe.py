@@ -13,7 +13,6 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
-from functools import cache
 from itertools import chain, islice
 
 import duckdb
@@ -23,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sylva.llm.common import give_back, text_batches
+from sylva.llm.common import give_back, remembered, text_batches
 from sylva.llm.units import gathered, numbered, parts
 from sylva.session import table
 
@@ -212,9 +211,9 @@ class Words:
         return out
 
 
-@cache
+@remembered
 def words_of(path: str) -> Words:
-    """What a worker remembers for all its tasks."""
+    """What a worker remembers for all its tasks of this operator."""
     return Words(read_ranks(path))
 
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import suppress
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -106,8 +107,26 @@ def give_back() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+_REMEMBERED: list = []
+
+
+def remembered(f: Callable) -> Callable:
+    """f, whose results a worker keeps for all its tasks, until a task of another operator begins in it (forget): workers outlive stages and jobs."""
+    _REMEMBERED.append(held := cache(f))
+    return held
+
+
+def forget() -> None:
+    """What a worker remembers for other operators' tasks goes."""
+    if any(f.cache_info().currsize for f in _REMEMBERED):
+        for f in _REMEMBERED:
+            f.cache_clear()
+        give_back()
+
+
 def chunks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[dict[str, list], list[bytes]]]:
     """Other columns and UTF-8 texts (column text; null is empty), about so many bytes at once."""
+    forget()
     held, texts, size = {}, [], 0
     for batch in batches:
         names = batch.schema.names

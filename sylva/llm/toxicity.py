@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sylva.llm.common import cut, give_back, remainder, row_ids, text_batches, whole_rows
+from sylva.llm.common import cut, forget, give_back, remainder, row_ids, text_batches, whole_rows
 from sylva.session import table
 
 #: Labelled texts learned from, at most (all, if fewer), drawn by a hash of the text's id.
@@ -57,6 +57,7 @@ def folded(text: str, table: dict) -> list[str]:
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict[str, list], list[str]]]:
+    forget()
     held, texts, size = {}, [], 0
     for batch in batches:
         names = batch.schema.names

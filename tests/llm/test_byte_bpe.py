@@ -2,6 +2,7 @@ import base64
 import hashlib
 import random
 import struct
+import weakref
 
 import public_tokenizers as P
 import pytest
@@ -62,3 +63,16 @@ def test_stage_with_odd_rows(spark, odd, none):
     rows = [tuple(r) for r in odd.select("doc_id", "text").collect()]
     assert sorted((str(r[0]), *r[1:]) for r in byte_bpe.stage(spark, odd, "").collect()) == expected(rows)
     assert byte_bpe.stage(spark, none, "").count() == 0
+
+
+def test_a_task_of_another_operator_forgets_the_words():
+    """Workers are used again: what they remember of this operator goes when they work for another."""
+    from sylva.llm import common, toxicity
+
+    for other in (lambda: list(common.chunks(iter([]), 1)), lambda: list(toxicity._texts(iter([])))):
+        words = byte_bpe.words_of(byte_bpe.default_path())
+        assert byte_bpe.words_of(byte_bpe.default_path()) is words
+        gone = weakref.ref(words)
+        del words
+        other()
+        assert gone() is None
