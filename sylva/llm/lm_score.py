@@ -6,8 +6,8 @@ of the two before it: context vectors, weighted by place, are summed and multipl
 class's vector. It starts at the classes' frequencies and learns, in numpy inside tasks, from every
 position of every training text, once; tasks' parameters are averaged after each round, and each
 round has its own texts. Scoring
-multiplies the distinct contexts of a batch with all classes, so that probabilities are normalised,
-and shares a class's probability among its words by count.
+sums over all classes for each pair of classes a context can have, once in a task, so that probabilities
+are normalised, and shares a class's probability among its words by count.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,6 +46,15 @@ def ending(word: bytes) -> int:
     return 1 + OWN + xxhash.xxh32_intdigest(word[-2:]) % ENDINGS
 
 
+def words_of(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct words of UTF-8 texts, A-Z lower-cased; which of them stand one after the other in all texts; and each text's number of words."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(texts, pa.large_binary()).view(pa.large_string())))
+    there = pc.greater(pc.binary_length(split.values), 0)  # white space at an end leaves an empty word
+    met = np.concatenate([[0], np.cumsum(there.to_numpy(zero_copy_only=False))])
+    coded = split.values.filter(there).dictionary_encode()
+    return coded.dictionary.view(pa.large_binary()).to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy(), np.diff(met[split.offsets.to_numpy()])
+
+
 class _Numbers(dict):
     """Words by the order in which they came."""
 
@@ -69,7 +79,12 @@ class Lookup:
         if len(self.number) > MEMO:
             self.clear()
         number = self.number.__getitem__
-        out = [np.array([*map(number, t.lower().split()), number(END)], np.int64) for t in texts]
+        words, which, sizes = words_of(texts)
+        ends = np.cumsum(sizes + 1) - 1
+        inside = np.ones(len(which) + len(texts), bool)
+        inside[ends] = False
+        flat = np.full(len(inside), number(END), np.int64)
+        flat[inside] = np.fromiter(map(number, words), np.int64, len(words))[which]
         new = list(self.number)[len(self.hash) :]
         h = np.fromiter(map(word_hash, new), np.int64, len(new))
         kind = np.fromiter((self.own.get(x) or ending(w) for x, w in zip(h.tolist(), new, strict=True)), np.int16, len(new))
@@ -78,7 +93,7 @@ class Lookup:
         there = self.hashes[at] == h if len(self.hashes) else np.zeros(len(h), bool)
         count = np.where(there, self.counts[at], -1) if len(self.hashes) else np.full(len(h), -1)
         self.hash, self.kind, self.count = (np.concatenate(x) for x in ((self.hash, h), (self.kind, kind), (self.count, count)))
-        return out
+        return np.split(flat, ends[:-1] + 1)
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -91,8 +106,8 @@ def count_words(docs: DataFrame) -> DataFrame:
 
         seen: Counter = Counter()
         for _, texts in chunks(batches, CHUNK):
-            for t in texts:
-                seen.update(t.lower().split())
+            words, which, _ = words_of(texts)
+            seen.update(dict(zip(words, np.bincount(which, minlength=len(words)).tolist(), strict=True)))
             seen[END] += len(texts)
             if len(seen) > MEMO:
                 yield flush(seen)
@@ -131,51 +146,69 @@ def unpacked(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndar
 
 
 class Learner:
-    """AdaGrad on the noise-contrastive loss, one step after another over a stream of positions."""
+    """AdaGrad on the noise-contrastive loss, one step after another over a stream of positions.
+
+    A class's bias stands as one more number of its vector, which a context multiplies with 1: its two
+    classes have a half each there, which nothing learns.
+    """
 
     def __init__(self, p: dict[str, np.ndarray], mass: np.ndarray, seed: int):
-        self.p = {k: v.copy() for k, v in p.items()}
-        self.seen = {k: np.full_like(v, 1e-3) for k, v in p.items()}
+        wide = lambda v, last: np.column_stack([v, np.broadcast_to(last, len(v))]).astype(np.float32)
+        self.wide = {"read": wide(p["read"], 0.5), "place": wide(p["place"], 1), "write": wide(p["write"], p["bias"])}
+        self.seen = {k: np.full_like(v, 1e-3) for k, v in self.wide.items()}
+        self.cells = {k: np.arange(v.size).reshape(v.shape) for k, v in self.wide.items()}
         self.noise = (mass + 1) / (mass.sum() + len(mass))
         self.ends = np.cumsum(self.noise)
         self.usual = np.log(NOISE * self.noise).astype(np.float32)
         self.rng = np.random.default_rng(seed)
         self.n = 0
 
-    def _update(self, name: str, at, g: np.ndarray) -> None:
-        self.seen[name][at] += g * g
-        self.p[name][at] += SPEED * g / np.sqrt(self.seen[name][at])
+    @property
+    def p(self) -> dict[str, np.ndarray]:
+        read, place, write = self.wide.values()
+        return {"read": read[:, :-1], "place": place[:, :-1], "write": write[:, :-1], "bias": write[:, -1]}
+
+    def _update(self, name: str, g: np.ndarray) -> None:
+        """Every row; those of no gradient stay as they are."""
+        self.seen[name] += g * g
+        self.wide[name] += SPEED * g / np.sqrt(self.seen[name])
 
-    @staticmethod
-    def _summed(at: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(at, kind="stable")
-        ids = at[order]
-        first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-        return ids[first], np.add.reduceat(g[order], first)
+    def _summed(self, name: str, at: np.ndarray, g: np.ndarray) -> np.ndarray:
+        """Sums of g's rows by the rows of a parameter that they belong to."""
+        cells = self.cells[name]
+        out = np.zeros(cells.size, np.float32)
+        np.add.at(out, cells.take(at, 0).ravel(), g.ravel())
+        return out.reshape(cells.shape)
 
     def learn(self, positions: np.ndarray) -> None:
         """Once over positions (last, last but one, class), in a drawn order."""
-        p, usual = self.p, self.usual
+        read, place, write = self.wide.values()
         self.n += len(positions)
-        order = self.rng.permutation(len(positions))
-        for start in range(0, len(order), STEP):
-            a, b, w = positions[order[start : start + STEP]].T
+        last, second, word = positions[self.rng.permutation(len(positions))].T.copy()
+        starts = range(0, len(word), STEP)
+        noise = np.minimum(np.searchsorted(self.ends, self.rng.random((len(starts), NOISE)), side="right"), len(self.noise) - 1)
+        for start, x in zip(starts, noise, strict=True):
+            a, b, w = (v[start : start + STEP] for v in (last, second, word))
             n = len(w)
-            x = np.minimum(np.searchsorted(self.ends, self.rng.random(NOISE), side="right"), len(self.noise) - 1)
-            ra, rb, tw, tx = p["read"][a], p["read"][b], p["write"][w], p["write"][x]
-            q = ra * p["place"][0] + rb * p["place"][1]
-            good = (q * tw).sum(1) + p["bias"][w] - usual[w]
-            bad = q @ tx.T + p["bias"][x] - usual[x]
-            g = (1 / (1 + np.exp(np.clip(good, -30, 30)))).astype(np.float32)
-            e = (-1 / (1 + np.exp(-np.clip(bad, -30, 30)))).astype(np.float32)
-            gq = g[:, None] * tw + e @ tx
-            ones = np.concatenate([g[:, None] * q, e.T @ q]), np.concatenate([g, e.sum(0)])
-            ids, gt = self._summed(np.concatenate([w, x]), np.column_stack(ones) / n)
-            read, gr = self._summed(np.concatenate([a, b]), np.concatenate([gq * p["place"][0], gq * p["place"][1]]) / n)
-            self._update("place", slice(None), np.stack([(gq * ra).sum(0), (gq * rb).sum(0)]) / n)
-            self._update("write", ids, gt[:, :-1])
-            self._update("bias", ids, gt[:, -1])
-            self._update("read", read, gr)
+            ra, rb, tw, tx = read.take(a, 0), read.take(b, 0), write.take(w, 0), write.take(x, 0)
+            q = ra * place[0]
+            q += rb * place[1]
+            good = np.einsum("ij,ij->i", q, tw) - self.usual[w]
+            tx[:, -1] -= self.usual[x]
+            bad = q @ tx.T
+            g = (1 / n / (1 + np.exp(np.clip(good, -30, 30)))).astype(np.float32)
+            e = np.exp(-np.maximum(bad, -30, out=bad), out=bad)
+            e += 1
+            np.divide(-1 / n, e, out=e)
+            gq = g[:, None] * tw
+            gq += e @ tx
+            gt = self._summed("write", np.concatenate([w, x]), np.concatenate([g[:, None] * q, e.T @ q]))
+            gr = self._summed("read", np.concatenate([a, b]), np.concatenate([gq * place[0], gq * place[1]]))
+            gp = np.stack([np.einsum("ij,ij->j", gq, ra), np.einsum("ij,ij->j", gq, rb)])
+            gr[:, -1] = gp[:, -1] = 0
+            self._update("place", gp)
+            self._update("write", gt)
+            self._update("read", gr)
 
 
 def before(kinds: list[np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -188,25 +221,33 @@ def before(kinds: list[np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(one), np.concatenate(two)
 
 
+def normalised(p: dict[str, np.ndarray], rows: int = 4096) -> tuple[np.ndarray, ...]:
+    """What the last class adds to each class, what the one before it adds (the bias within), and the logarithm of the
+    sum over all classes for each pair of them: a product of exponentials, rows at once."""
+    one, two = (((p["read"] * p["place"][i]).astype(np.float64) @ p["write"].T) for i in (0, 1))
+    two += p["bias"]
+    tops = one.max(1, keepdims=True), two.max(1, keepdims=True)
+    other = np.exp(two - tops[1]).T
+    total = np.concatenate([np.exp(one[i : i + rows] - tops[0][i : i + rows]) @ other for i in range(0, len(one), rows)])
+    tiny = np.argwhere(total < 1e-280)  # the two tops are of classes so far apart that exponentials vanish
+    norm = np.log(np.maximum(total, 1e-280)) + tops[0] + tops[1].T
+    for start in range(0, len(tiny), rows):
+        i, j = tiny[start : start + rows].T
+        s = one[i] + two[j]
+        top = s.max(1, keepdims=True)
+        norm[i, j] = top[:, 0] + np.log(np.exp(s - top).sum(1))
+    return one, two, norm
+
+
 def log_probabilities(p: dict[str, np.ndarray], one: np.ndarray, two: np.ndarray, target: np.ndarray, rows: int = 4096) -> np.ndarray:
-    """Natural logarithms of the targets' normalised probabilities, by one product for each block of distinct contexts."""
-    k = len(p["bias"])
-    pairs, inverse = np.unique(one.astype(np.int64) * (k + 1) + two, return_inverse=True)
-    order = np.argsort(inverse, kind="stable")
-    ends = np.searchsorted(inverse[order], np.arange(0, len(pairs) + rows, rows))
-    ra, rb = p["read"] * p["place"][0], p["read"] * p["place"][1]
-    out = np.empty(len(target), np.float64)
-    for i, start in enumerate(range(0, len(pairs), rows)):
-        c = pairs[start : start + rows]
-        s = (ra[c // (k + 1)] + rb[c % (k + 1)]) @ p["write"].T + p["bias"]
-        top = s.max(1)
-        at = order[ends[i] : ends[i + 1]]
-        row = inverse[at] - start
-        picked = s[row, target[at]]
-        s -= top[:, None]
-        np.exp(s, out=s)
-        out[at] = picked - (top + np.log(s.sum(1, dtype=np.float64)))[row]
-    return out
+    """Natural logarithms of the targets' normalised probabilities."""
+    return looked_up(normalised(p, rows), one, two, target)
+
+
+def looked_up(tables: tuple[np.ndarray, ...], one: np.ndarray, two: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """log_probabilities by the tables of normalised()."""
+    by_last, by_second, norm = tables
+    return by_last[one, target] + by_second[two, target] - norm[one, two]
 
 
 def positions_of(look: Lookup, texts: list[bytes], turn: int) -> np.ndarray:
@@ -273,7 +314,7 @@ def score_texts(docs: DataFrame, train: DataFrame, key: str = "doc_id") -> DataF
     floor = np.log10(total + 1.0 * (distinct + 1))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look, p = Lookup(*known.value), model.value
+        look, tables = Lookup(*known.value), normalised(model.value)
         for held, texts in chunks(batches, CHUNK):
             tokens = look.tokens(texts)
             sizes = np.array([len(t) for t in tokens])
@@ -282,7 +323,7 @@ def score_texts(docs: DataFrame, train: DataFrame, key: str = "doc_id") -> DataF
             kind, count = look.kind[flat_tokens].astype(np.int64), look.count[flat_tokens]
             one, two = before([look.kind[t] for t in tokens], CLASSES)
             here = np.log10(np.maximum(count, 0) + 1.0)
-            log10 = log_probabilities(p, one, two, kind) / np.log(10) - shared[kind] + np.where(kind > OWN, here, 0.0)
+            log10 = looked_up(tables, one, two, kind) / np.log(10) - shared[kind] + np.where(kind > OWN, here, 0.0)
             rare = []
             for t in tokens:
                 ids, n = np.unique(t[look.count[t] < 0], return_counts=True)

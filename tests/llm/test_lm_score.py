@@ -1,5 +1,7 @@
 import math
+import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -107,3 +109,82 @@ def test_noise_contrast_learns_a_chain():
     after = lm_score.log_probabilities(learner.p, one, two, kinds).mean()
     best = 0.9 * math.log(0.9 + 0.1 / k) + 0.1 * math.log(0.1 / k)
     assert before < -2.2 and after > best - 0.35
+
+
+def plain_steps(p, mass, seed, positions):
+    """The learner's steps written plainly: a row for each noise word, sums by sorted rows."""
+    p, seen = {k: v.copy() for k, v in p.items()}, {k: np.full_like(v, 1e-3) for k, v in p.items()}
+    share = (mass + 1) / (mass.sum() + len(mass))
+    usual, rng = np.log(lm_score.NOISE * share).astype(np.float32), np.random.default_rng(seed)
+
+    def update(name, at, g):
+        order = np.argsort(at, kind="stable")
+        ids, first = np.unique(at[order], return_index=True)
+        g = np.add.reduceat(g[order], first)
+        seen[name][ids] += g * g
+        p[name][ids] += lm_score.SPEED * g / np.sqrt(seen[name][ids])
+
+    order = rng.permutation(len(positions))
+    for start in range(0, len(order), lm_score.STEP):
+        a, b, w = positions[order[start : start + lm_score.STEP]].T
+        x = np.searchsorted(np.cumsum(share), rng.random(lm_score.NOISE), side="right")
+        ra, rb, tw, tx = p["read"][a], p["read"][b], p["write"][w], p["write"][x]
+        first, second = p["place"].copy()
+        q = ra * first + rb * second
+        g = (1 / (1 + np.exp((q * tw).sum(1) + p["bias"][w] - usual[w]))).astype(np.float32)
+        e = (-1 / (1 + np.exp(-(q @ tx.T + p["bias"][x] - usual[x])))).astype(np.float32)
+        gq = g[:, None] * tw + e @ tx
+        update("place", np.arange(2), np.stack([(gq * ra).sum(0), (gq * rb).sum(0)]) / len(w))
+        update("write", np.concatenate([w, x]), np.concatenate([g[:, None] * q, e.T @ q]) / len(w))
+        update("bias", np.concatenate([w, x]), np.concatenate([g, e.sum(0)]) / len(w))
+        update("read", np.concatenate([a, b]), np.concatenate([gq * first, gq * second]) / len(w))
+    return p
+
+
+def test_steps_equal_plain_ones_at_less_cost():
+    rng = np.random.default_rng(5)
+    k = lm_score.CLASSES
+    share = 1 / np.arange(1, k + 1)
+    kinds = rng.choice(k, 80_001, p=share / share.sum())  # the last step is a part of one
+    mass = np.bincount(kinds, minlength=k).astype(float)
+    positions = np.stack([*lm_score.before([kinds], k), kinds], 1)
+    start = lm_score.started(mass)
+
+    def timed(f):
+        began = time.process_time()
+        return f(), time.process_time() - began
+
+    def learned():
+        learner = lm_score.Learner(start, mass, 3)
+        learner.learn(positions)
+        return learner.p
+
+    plain, ours = ([timed(f) for _ in range(3)] for f in (lambda: plain_steps(start, mass, 3, positions), learned))
+    assert all(np.allclose(ours[0][0][name], v, atol=1e-4) for name, v in plain[0][0].items())
+    assert min(t for _, t in ours) < 0.8 * min(t for _, t in plain)  # as costly as the plain steps until round 3
+
+
+def test_words_are_those_of_bytes_split():
+    rng = random.Random(1)
+    texts = [b"", b" ", b"  a  B\tc ", b"\x0b\x0cX\x0d", b"\x1c\x1da\x1eb\x1f \x00n \x00", "\x85É ſ K\xa0Ü x　y".encode(), b"a " * 5000, b"A" * 100_000, b""]
+    texts += ["".join(rng.choice("aB \t\n\x0b\x1cé  z") for _ in range(rng.randrange(40))).encode() for _ in range(500)]
+    for some in (texts, [b""], [b"  ", b""]):
+        words, which, sizes = lm_score.words_of(some)
+        parts = np.split(which, np.cumsum(sizes)[:-1])
+        assert [[words[i] for i in p] for p in parts] == [t.lower().split() for t in some]
+        look = lm_score.Lookup(np.empty(0, np.int64), np.empty(0, np.int64), {})
+        assert [len(t) for t in look.tokens(some)] == [len(t.split()) + 1 for t in some]
+        assert all(look.kind[t[-1]] == 0 for t in look.tokens(some))
+
+
+def test_classes_far_apart():
+    """Sums whose exponentials vanish in a product are taken one by one."""
+    rng = np.random.default_rng(0)
+    k = 9
+    p = {"read": rng.normal(size=(k + 1, 5)) * 60, "place": rng.normal(size=(2, 5)) * 3, "write": rng.normal(size=(k, 5)) * 20, "bias": rng.normal(size=k)}
+    one, two, target = (x.ravel() for x in np.meshgrid(np.arange(k + 1), np.arange(k + 1), np.arange(k), indexing="ij"))
+    s = (p["read"][one] * p["place"][0] + p["read"][two] * p["place"][1]) @ p["write"].T + p["bias"]
+    top = s.max(1)
+    want = s[np.arange(len(target)), target] - top - np.log(np.exp(s - top[:, None]).sum(1))
+    assert want.min() < -2000
+    assert np.allclose(lm_score.log_probabilities(p, one, two, target, rows=4), want, rtol=1e-9, atol=1e-8)
