@@ -161,7 +161,7 @@ def test_steps_equal_plain_ones_at_less_cost():
 
     plain, ours = ([timed(f) for _ in range(3)] for f in (lambda: plain_steps(start, mass, 3, positions), learned))
     assert all(np.allclose(ours[0][0][name], v, atol=1e-4) for name, v in plain[0][0].items())
-    assert min(t for _, t in ours) < 0.8 * min(t for _, t in plain)  # as costly as the plain steps until round 3
+    assert min(t for _, t in ours) < 0.7 * min(t for _, t in plain)  # 0.88 until round 3, 0.46 to 0.51 since
 
 
 def test_words_are_those_of_bytes_split():
