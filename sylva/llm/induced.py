@@ -78,7 +78,7 @@ def _induce(t: np.ndarray, k: int, is_s: np.ndarray, order: np.ndarray) -> np.nd
     tail = np.repeat(ends - n_first, n_first) + offset
     given = order[by]
     given_at = np.cumsum(n_first) - n_first
-    head = heads.copy()
+    head, steps = heads.copy(), np.arange(len(t))
 
     def place(found: np.ndarray, at: np.ndarray, sign: int) -> None:
         c = t[found]
@@ -87,13 +87,14 @@ def _induce(t: np.ndarray, k: int, is_s: np.ndarray, order: np.ndarray) -> np.nd
             sa[at[b] if sign > 0 else at[b] - 1] = found[0]
             at[b] += sign
             return
-        by = np.argsort(c, kind="stable")
+        by = c.argsort(kind="stable")
         c = c[by]
-        turn = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
-        n = np.diff(np.append(turn, len(c)))
-        offset = np.arange(len(c)) - np.repeat(turn, n)
+        more = (c[1:] != c[:-1]).nonzero()[0] + 1
+        turn, n = np.zeros(len(more) + 1, np.int64), np.empty(len(more) + 1, np.int64)
+        turn[1:] = more
+        n[:-1], n[-1] = turn[1:] - turn[:-1], len(c) - turn[-1]
         b = c[turn]
-        sa[np.repeat(at[b], n) + offset if sign > 0 else np.repeat(at[b], n) - 1 - offset] = found[by]
+        sa[(at[b] - turn).repeat(n) + steps[: len(c)] if sign > 0 else (at[b] - 1 + turn).repeat(n) - steps[: len(c)]] = found[by]
         at[b] += sign * n
 
     for b in np.flatnonzero(sizes).tolist():
@@ -141,19 +142,18 @@ def _induce_by_loop(t: np.ndarray, k: int, is_s: np.ndarray, order: np.ndarray)
     for j in reversed(order.tolist()):
         tail[c[j]] -= 1
         sa[tail[c[j]]] = j
-    for i in range(len(sa)):
-        j = sa[i] - 1
-        if j >= 0 and not s[j]:
-            b = c[j]
-            sa[head[b]] = j
-            head[b] += 1
+    for i in sa:  # meets what is placed further on
+        if i > 0 and not s[i - 1]:
+            b = c[i - 1]
+            h = head[b]
+            sa[h] = i - 1
+            head[b] = h + 1
     tail = list(ends)
-    for i in range(len(sa) - 1, -1, -1):
-        j = sa[i] - 1
-        if j >= 0 and s[j]:
-            b = c[j]
-            tail[b] -= 1
-            sa[tail[b]] = j
+    for i in reversed(sa):
+        if i > 0 and s[i - 1]:
+            b = c[i - 1]
+            tail[b] = h = tail[b] - 1
+            sa[h] = i - 1
     sa[0] = len(c) - 1
     return np.array(sa, np.int64)
 

@@ -20,19 +20,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sylva.llm.common import chunks, cut, laid_out, mix, prefix_sums, row_ids, span_hashes, text_batches, whole_rows, word_spans
+from sylva.llm.common import chunks, cut, laid_out, mix, powers, prefix_sums, row_ids, span_hashes, text_batches, whole_rows, word_spans
 from sylva.llm.induced import permuted_common_prefixes, suffix_array
-from sylva.session import table
+from sylva.session import drop_written, table, tables_written
 
 LENGTH = 400
 #: Bytes of a gram, and of the distances that share a core: the first step, and those by which large groups are dealt on.
 GRAM, REACHES = 20, (128, 16, 1)
-#: Bytes of a shard, as whole groups, and the distinct stretches from which a group is too large for one.
-SHARD, WIDE = 400_000, 500
+#: Bytes of a shard, as whole groups, and the distinct stretches from which a group is too large for one. The stage's
+#: shards are smaller, as its executors hold other stages' memory.
+SHARD, STAGE_SHARD, WIDE = 1_200_000, 400_000, 500
 CHUNK = 1_000_000
 #: The stage removes repeated runs of so many words. A word is CODE bytes of its hash; one of over LONG bytes
 #: (text without spaces) stands as it is, and a run with such words may also count by LENGTH bytes.
 WORDS, CODE, LONG = 51, 4, 32
+#: Runs of WORDS words meet at the one of their grams of so many words that has the least hash.
+WORD_GRAM = 8
 
 
 def _least(h: np.ndarray, width: int) -> np.ndarray:
@@ -78,6 +81,34 @@ def stretches(texts: list[bytes], length: int, reach: int) -> tuple[np.ndarray,
     return of[first], first - starts[of[first]], count, mix(core + d.astype(np.uint64) + np.uint64(1))
 
 
+def word_stretches(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Text, number of runs, gram's hash and 48 bits of the words' hash of each stretch: runs of WORDS words that have one least gram.
+
+    Last come all runs' hashes, stretch by stretch. White space between words does not count.
+    """
+    data, starts = laid_out(texts)
+    a, b = word_spans(data)
+    n = len(a) - WORDS + 1
+    if n <= 0:
+        return (np.empty(0, np.int64),) * 2 + (np.empty(0, np.uint64),) * 3
+    sums = np.zeros(len(a) + 1, np.uint64)
+    np.cumsum(span_hashes(prefix_sums(data), a, b) * powers(len(a)), out=sums[1:])
+    at = np.arange(len(a) - WORD_GRAM + 1)
+    grams = span_hashes(sums, at, at + WORD_GRAM)
+    owner = _least(grams, WORDS - WORD_GRAM + 1)
+    of = np.searchsorted(starts, a, side="right") - 1
+    s = np.flatnonzero(of[:n] == of[WORDS - 1 :])  # within one text
+    if not len(s):
+        return (np.empty(0, np.int64),) * 2 + (np.empty(0, np.uint64),) * 3
+    new = np.ones(len(s), bool)
+    new[1:] = (owner[s[1:]] != owner[s[:-1]]) | (of[s[1:]] != of[s[:-1]])
+    first = np.flatnonzero(new)
+    count = np.diff(np.append(first, len(s)))
+    first = s[first]
+    words = span_hashes(sums, first, first + count + WORDS - 1) >> np.uint64(16)
+    return of[first], count, grams[owner[first]], words, span_hashes(sums, s, s + WORDS)
+
+
 def repeated_windows(parts: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
     """Of each stretch of bytes, whether each window stands anywhere else in any of them."""
     sizes = np.array([len(p) for p in parts])
@@ -115,9 +146,9 @@ def _batch(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds.values())], list(kinds))
 
 
-def _repeats(distinct: DataFrame, length: int, level: int = 0) -> DataFrame:
+def _repeats(distinct: DataFrame, length: int, most: int, level: int = 0) -> DataFrame:
     """grp, h1, h2, a and b (first repeated windows, and those past the last) of the rows of distinct
-    (grp, h1, h2, c: places, n: distinct ones of its group, bytes) that have any."""
+    (grp, h1, h2, c: places, n: distinct ones of its group, bytes) that have any; shards have about most bytes."""
     # A stretch alone in its group has no other to be sorted with; at several places, all of it repeats.
     windows_of = F.array((F.length("bytes") - length + 1).cast("int"))
     alone = distinct.where("n = 1 and c > 1").select(*_OWN, F.array(F.lit(0)).alias("a"), windows_of.alias("b"))
@@ -135,7 +166,7 @@ def _repeats(distinct: DataFrame, length: int, level: int = 0) -> DataFrame:
         rows, size = [], 0
         for batch in batches:
             for r in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                if rows and size >= SHARD and r[0] != rows[-1][0]:
+                if rows and size >= most and r[0] != rows[-1][0]:
                     yield shard(rows)
                     rows, size = [], 0
                 rows.append(r)
@@ -164,7 +195,7 @@ def _repeats(distinct: DataFrame, length: int, level: int = 0) -> DataFrame:
 
     schema = "grp bigint, h1 bigint, h2 bigint, ogrp bigint, oh1 bigint, oh2 bigint, c bigint, first int, bytes binary"
     dealt = cut(wide.select(*_OWN, "c", "bytes").mapInArrow(finer, schema))
-    below = _repeats(_distinct(dealt, F.sum("c")), length, level + 1)
+    below = _repeats(_distinct(dealt, F.sum("c")), length, most, level + 1)
     back = dealt.drop("bytes", "c").join(below, _OWN)
     moved = lambda k: F.flatten(F.collect_list(F.transform(k, lambda x: x + F.col("first")))).alias(k)  # noqa: E731  no more than a stretch has windows
     back = back.groupBy(F.col("ogrp").alias("grp"), F.col("oh1").alias("h1"), F.col("oh2").alias("h2")).agg(moved("a"), moved("b"))
@@ -182,43 +213,85 @@ def _distinct(placed: DataFrame, places) -> DataFrame:
     return cut(rows.select(turned("g").alias("grp"), "h1", "h2", "c", "n", "bytes"))
 
 
-def removed_runs(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """rid and runs (array of start, end in bytes, neither sorted nor joined) of each row with repeats."""
+def _word_marks(spots: DataFrame) -> DataFrame:
+    """rid, sure and grams of rows of spots (rid, grp, words): a row is sure to have a repeated run of WORDS words where all
+    stretches of a gram, two or more, are equal; the grams of other rows whose stretches differ are those to be compared."""
+    least = spots.groupBy("grp").agg(F.count("*").alias("c"), F.min("words").alias("lo"), F.max("words").alias("hi"))
+    same = cut(least.where("c > 1").select("grp", F.expr("lo = hi").alias("same")))  # written, so that the join can split a large group
+    met = cut(spots.select("rid", "grp").join(same, "grp"))
+    sure = met.where("same").select("rid").distinct()
+    mixed = met.where("not same").select("rid", "grp")
+    asked = cut(mixed.join(sure, "rid", "left_anti").select("grp").distinct())
+    grams = mixed.join(asked, "grp").groupBy("rid").agg(F.collect_set("grp").alias("grams"))  # no more than the text has runs
+    return sure.select("rid", F.lit(True).alias("sure")).join(grams, "rid", "full")
+
+
+def removed_runs(docs: DataFrame, length: int = LENGTH, words: bool = False) -> DataFrame:
+    """rid and runs (array of start, end in bytes, neither sorted nor joined) of each row with repeats.
+
+    With words also worded, true in rows of which a run of WORDS words also starts anywhere else; either may be null.
+    """
+    spark, before = docs.sparkSession, len(tables_written(docs.sparkSession))
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["rid", "grp", "first", "count", "words"]
         for held, texts in chunks(batches, CHUNK):
+            rid = np.array(held["rid"], np.int64)
             of, first, count, group = stretches(texts, length, REACHES[0])
-            rid = np.array(held["rid"], np.int64)[of]
-            yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(group.view(np.int64)), pa.array(first, pa.int32()), pa.array(count, pa.int32())], ["rid", "grp", "first", "count"])
-
-    places = cut(docs.mapInArrow(named, "rid bigint, grp bigint, first int, count int"))
+            yield pa.RecordBatch.from_arrays([pa.array(rid[of]), pa.array(group.view(np.int64)), pa.array(first, pa.int32()), pa.array(count, pa.int32()), pa.nulls(len(of), pa.int64())], names)
+            if words:
+                of, _, group, digest, _ = word_stretches(texts)
+                none = pa.nulls(len(of), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(rid[of]), pa.array(group.view(np.int64)), none, none, pa.array(digest.view(np.int64))], names)
+
+    named_at = cut(docs.mapInArrow(named, "rid bigint, grp bigint, first int, count int, words bigint"))
+    places = named_at.where("words is null").drop("words")
     alive = cut(places.groupBy("grp").agg(F.count("*").alias("c")).where("c > 1").select("grp"))  # written, so that the join can split a large group
     marked = places.join(alive, "grp").groupBy("rid").agg(F.collect_list(F.struct("grp", "first", "count")).alias("at"))  # no more than the text has windows
+    if words:
+        marked = marked.join(_word_marks(named_at.where("words is not null").select("rid", "grp", "words")), "rid", "full")
 
     def laid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = dict.fromkeys(("rid", *_OWN), pa.int64()) | {"first": pa.int32(), "count": pa.int32(), "bytes": pa.binary()}
+        kinds = dict.fromkeys(("rid", *_OWN), pa.int64()) | {"first": pa.int32(), "count": pa.int32(), "bytes": pa.binary(), "runs": pa.list_(pa.int64())}
         seen, rows = set(), []
         for held, texts in chunks(batches, CHUNK):
             for rid, at, text in zip(held["rid"], held["at"], texts, strict=True):
-                for x in at:
+                for x in at or ():
                     part = text[x["first"] : x["first"] + x["count"] + length - 1]
                     d = _digest(part)
-                    rows.append((rid, x["grp"], *d, x["first"], x["count"], None if d in seen else part))
+                    rows.append((rid, x["grp"], *d, x["first"], x["count"], None if d in seen else part, None))
                     seen.add(d)
                 if len(seen) > 200_000:
                     seen.clear()
                 if len(rows) > 5_000:
                     yield _batch(rows, kinds)
                     rows = []
+            if words:
+                rows += [(rid, *[None] * 6, []) for rid, sure in zip(held["rid"], held["sure"], strict=True) if sure]
+                asked = [(k, set(g)) for k, g in enumerate(held["grams"]) if g]
+                of, count, group, _, hashes = word_stretches([texts[k] for k, _ in asked])
+                ends = np.cumsum(count)
+                for k, n, end, g in zip(of.tolist(), count.tolist(), ends.tolist(), group.view(np.int64).tolist(), strict=True):
+                    if g in asked[k][1]:
+                        rows.append((held["rid"][asked[k][0]], g, *[None] * 5, hashes[end - n : end].view(np.int64)))
         if rows:
             yield _batch(rows, kinds)
 
-    placed = cut(docs.join(marked, "rid").mapInArrow(laid, "rid bigint, grp bigint, h1 bigint, h2 bigint, first int, count int, bytes binary"))
-    found = cut(_repeats(_distinct(placed, F.count("*")), length).where(F.size("a") > 0))
+    placed = cut(docs.join(marked, "rid").mapInArrow(laid, "rid bigint, grp bigint, h1 bigint, h2 bigint, first int, count int, bytes binary, runs array<bigint>"))
+    drop_written(spark, before, keep=1)
+    by_words = placed.where("runs is not null").select("rid", "grp", "runs")
+    placed = placed.where("runs is null").drop("runs")
+    found = cut(_repeats(_distinct(placed, F.count("*")), length, SHARD if words else STAGE_SHARD).where(F.size("a") > 0))
     spans = F.arrays_zip("a", "b")
     runs = placed.select("rid", *_OWN, "first").join(found, _OWN)
     runs = runs.select("rid", F.transform(spans, lambda r: F.struct((F.col("first") + r["a"]).alias("a"), (F.col("first") + r["b"] - 1 + length).alias("b"))).alias("runs"))
-    return cut(runs.groupBy("rid").agg(F.flatten(F.collect_list("runs")).alias("runs")))  # no more than the text has windows
+    runs = runs.groupBy("rid").agg(F.flatten(F.collect_list("runs")).alias("runs"))  # no more than the text has windows
+    if words:
+        hashes = by_words.select("rid", "grp", F.explode("runs").alias("h"))
+        twice = cut(hashes.groupBy("grp", "h").agg(F.count("*").alias("c")).where("c > 1").select("grp", "h"))
+        worded = hashes.join(twice, ["grp", "h"]).select("rid").union(by_words.where("size(runs) = 0").select("rid")).distinct()
+        runs = runs.join(worded.withColumn("worded", F.lit(True)), "rid", "full")
+    return cut(runs)
 
 
 def _kept(text: bytes, runs: list[dict] | None) -> tuple[bytes, int, int]:
@@ -234,7 +307,10 @@ def _kept(text: bytes, runs: list[dict] | None) -> tuple[bytes, int, int]:
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", with_text: bool = False) -> DataFrame:
-    """rid, key, n_bytes, n_removed, n_spans, kept_sha256 and repeats (whether the row lost bytes) of each row of docs; with_text adds the text that stays.
+    """rid, key, n_bytes, n_removed, n_spans, kept_sha256, repeats (whether the row lost bytes) and repeats_words of each row of docs; with_text adds the text that stays.
+
+    repeats_words says whether a run of WORDS words of the row also starts anywhere else, whatever its bytes and white
+    space: most such runs are shorter than length and stay.
 
     A byte goes if a string of length bytes that covers it also starts anywhere else, in any text.
     Null and empty texts have no bytes and lose none; in the text returned null is empty. Very long
@@ -243,18 +319,18 @@ def dedup(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", with_text:
     other columns are ignored. Text cut within a character loses its loose bytes.
     """
     keyed = row_ids(text_batches(docs).select(F.col(key).alias("key"), "text"))
-    runs = removed_runs(keyed.select("rid", "text"), length)
+    runs = removed_runs(keyed.select("rid", "text"), length, words=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held, texts in chunks(batches, CHUNK):
             rows = [_kept(t, r) for t, r in zip(texts, held["runs"], strict=True)]
             out = [pa.array(held[k], pa.int64()) for k in ("rid", "key")]
             out += [pa.array([len(t) for t in texts], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())]
-            out += [pa.array([hashlib.sha256(r[0]).hexdigest() for r in rows]), pa.array([r[1] > 0 for r in rows])]
+            out += [pa.array([hashlib.sha256(r[0]).hexdigest() for r in rows]), pa.array([r[1] > 0 for r in rows]), pa.array([bool(w) for w in held["worded"]])]
             yield pa.RecordBatch.from_arrays(out + [pa.array([r[0].decode("utf-8", "ignore") for r in rows])] * with_text, names)
 
-    names = ["rid", "key", "n_bytes", "n_removed", "n_spans", "kept_sha256", "repeats"] + ["text"] * with_text
-    schema = "rid bigint, key bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, repeats boolean" + ", text string" * with_text
+    names = ["rid", "key", "n_bytes", "n_removed", "n_spans", "kept_sha256", "repeats", "repeats_words"] + ["text"] * with_text
+    schema = "rid bigint, key bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, repeats boolean, repeats_words boolean" + ", text string" * with_text
     rows = keyed.select("rid", F.col("key").cast("long").alias("key"), "text").join(runs, "rid", "left")
     return rows.mapInArrow(run, schema).withColumnRenamed("key", key)
 

@@ -47,6 +47,43 @@ def test_planted(spark, monkeypatch, wide, shard, reaches, length):
     assert got(suffix_dedup.dedup(df, length)) == brute([(k, t.encode()) for k, t in rows], length)
 
 
+def worded(rows):
+    """Places in rows of which a run of 51 words also starts anywhere else."""
+    words = [t.split() for _, t in rows]
+    seen = Counter(tuple(w[i : i + 51]) for w in words for i in range(len(w) - 50))
+    return sorted(str(k) for (k, _), w in zip(rows, words, strict=True) if any(seen[tuple(w[i : i + 51])] > 1 for i in range(len(w) - 50)))
+
+
+def test_repeated_words_of_the_table(spark, sf):
+    rows = [(r.doc_id, (r.text or "").encode()) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    found = suffix_dedup.query(spark, sf).where("repeats_words").collect()
+    assert sorted(str(r.doc_id) for r in found) == worded(rows) and found
+
+
+def test_repeated_words_planted(spark):
+    rng = random.Random(10)
+    text = lambda n: "".join(rng.choice("abcde") + rng.choice(["", "x", "yz", "é"]) + rng.choice([" ", " ", "\n", " \t"]) for _ in range(n))
+    rows = []
+    for n in (50, 51, 51, 52, 55, 60, 70, 100):  # all are shorter than 400 bytes but the last
+        p = text(n).split()
+        rows += [(len(rows) + j, f"{text(rng.randrange(90))} {(' ', chr(10))[j % 2].join(p)} {text(rng.randrange(90))}") for j in range(rng.choice([2, 3, 40]))]
+    base = text(300).split()
+    for j in range(60):  # near copies, of which few stretches are equal in all
+        w = list(base)
+        for _ in range(rng.choice([1, 3, 5, 9])):
+            w[rng.randrange(len(w))] = f"new{rng.random()}"
+        rows.append((len(rows), " ".join(w)))
+    once = text(51)
+    rows += [(len(rows), f"{once} {text(3)} {once}"), (len(rows) + 1, "z " * 51), (len(rows) + 2, "ab " * 52), (len(rows) + 3, "q r " * 26)]
+    rows += [(len(rows) + j, text(200)) for j in range(40)] + [(5, None), (5, ""), (None, rows[3][1])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5).cache()
+    out = suffix_dedup.dedup(df).collect()
+    want = worded([(k, (t or "").encode()) for k, t in rows])
+    assert sorted(str(r.doc_id) for r in out if r.repeats_words) == want and 100 < len(want) < len(rows) - 40
+    assert sum(r.repeats_words and not r.repeats for r in out) > 20  # runs of fewer than 400 bytes
+    assert suffix_dedup.dedup(df.limit(0)).count() == 0
+
+
 def test_odd_rows(spark, odd, none):
     rows = [(r.doc_id, (r.text or "").encode()) for r in odd.collect()]
     assert got(suffix_dedup.dedup(odd)) == brute(rows, 400)
