@@ -166,7 +166,7 @@ class Crossed:
     """Machines outside each task's fold and what follows from them: votes, rankings, and scores by metric, over folds and by fold."""
 
     def __init__(self, labels: DataFrame, gram: DataFrame, k: int = 10, how: str = "pairs", grid: tuple[float, ...] = S.GRID, chances: bool = False, names: list[str] | None = None, **inner):
-        self.labels, self.gram, self.k, self.how = written(labels), written(gram), k, how
+        self.labels, self.gram, self.k, self.how = written(labels), S.kept(gram), k, how
         self.fold = written(folds(self.labels.select("task").distinct(), k))
         by = {"pairs": pair_predicted, "hyper": hyper_machines}[how]
         self.machines, votes = by(self.labels, self.gram, self.fold, k, grid, chances, **inner)
@@ -199,7 +199,7 @@ def cross_pairwise(labels: DataFrame, gram: DataFrame, k: int = 10, how: str = "
 
 def in_sample(labels: DataFrame, gram: DataFrame, grid: tuple[float, ...] = S.GRID, names: list[str] | None = None, **inner) -> tuple[DataFrame, DataFrame]:
     """Machines of each pair over all tasks, their coefficients (x, y, c, task, coef, offset), and the scores (metric, mean, n) of the rankings that they give these very tasks."""
-    labels, gram = written(labels), written(gram)
+    labels, gram = written(labels), S.kept(gram)
     pairs = L.preferences(labels)
     machines = written(S.fitted(pairs.where("v <> 0").select("task", "x", "y", "v"), gram, "x", "y", grid=grid, **inner))
     told = S.decided(machines, gram, pairs.select("x", "y", "task"), "x", "y")
@@ -211,7 +211,7 @@ def in_sample(labels: DataFrame, gram: DataFrame, grid: tuple[float, ...] = S.GR
 
 def cross_quality(labels: DataFrame, gram: DataFrame, k: int = 10, grid: tuple[float, ...] = S.GRID, names: list[str] | None = None, **inner) -> DataFrame:
     """Rankings by a machine for each tool (does it solve the task), ties by the tool's share of solved tasks outside the fold: (metric, mean, std, n)."""
-    labels, gram = written(labels), written(gram)
+    labels, gram = written(labels), S.kept(gram)
     fold = written(folds(labels.select("task").distinct(), k))
     guess = written(quality_predicted(labels, solved_predicted(labels, gram, fold, k, grid, **inner), fold, k))
     return over_folds(scored(Ranked(labels, guess), names), fold)
@@ -244,7 +244,7 @@ def cross_overall(labels: DataFrame, tasks: DataFrame, gram: DataFrame, k: int =
     tasks are (task, file, prop): a file is a task of its own in each property. A property's files are dealt into folds; what is
     learned for a fold is all tasks, of any property, whose file is not in it.
     """
-    labels, gram, tasks = written(labels), written(gram), written(tasks)
+    labels, gram, tasks = written(labels), S.kept(gram), written(tasks)
     fold = None
     for prop in [r.prop for r in tasks.select("prop").distinct().orderBy("prop").collect()]:  # few properties
         part = folds(tasks.where(F.col("prop") == prop).select(F.col("file").alias("task")).distinct(), k).select(F.lit(prop).alias("prop"), F.col("task").alias("file"), "fold")
@@ -345,7 +345,7 @@ def cross_selected(labels: DataFrame, bags: DataFrame, steps: list, k: int = 10,
         test = fold.where(F.col("fold") == f).select(F.col("task").alias("graph"))
         train, held = split_transformed(bags, test, steps)
         own = fold.withColumn("fold", F.when(F.col("fold") == f, 0).otherwise(1))  # this fold against the rest
-        part = hyper_predicted(labels, written(K.normalized(K.linear(train.unionByName(held)))), own, 1, grid)
+        part = hyper_predicted(labels, S.Kernel(train.unionByName(held)), own, 1, grid)
         part = part.join(test.withColumnRenamed("graph", "task"), "task", "left_semi")
         votes = part if votes is None else votes.unionByName(part)
     guess = written(R.from_pairs(votes, labels.select("task", "tool")).select("task", "tool", "pos"))
@@ -376,7 +376,7 @@ def cross_front(
     Within the training tasks each setting is scored over inner folds; only those on the front are fitted again.
     """
     labels = written(labels)
-    grams = {name: written(gram) for name, gram in grams.items()}
+    grams = {name: S.kept(gram) for name, gram in grams.items()}
     fold = written(folds(labels.select("task").distinct(), k))
     out = None
     for f in range(k):
@@ -394,7 +394,9 @@ def cross_front(
 
 
 def _among(gram: DataFrame, held: DataFrame) -> DataFrame:
-    """The Gram without the tasks held."""
+    """The Gram without the tasks held; of a Kernel only those that are asked for are made."""
+    if isinstance(gram, S.Kernel):
+        return gram
     gone = lambda name: held.select(F.col("task").alias(name))
     return gram.join(gone("i"), "i", "left_anti").join(gone("j"), "j", "left_anti")
 
@@ -425,7 +427,7 @@ def joint_grid(
     x, y = min(x, y), max(x, y)
     means = None
     for name, gram in grams.items():
-        gram = written(gram)
+        gram = S.kept(gram)
         told = S.cross_decided(rows, gram, "x", "y", "fold", cs=tuple(grid), share=("fold",)).select("x", "y", "fold", "inner", "c", "task", (F.col("decision") > 0).alias("said"))
         told = written(told)
         one = lambda a, b, c, said: told.where((F.col("x") == a) & (F.col("y") == b)).select("fold", "inner", "task", F.col("c").alias(c), F.col("said").alias(said))  # noqa: B023, E731
