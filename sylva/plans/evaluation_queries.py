@@ -75,8 +75,8 @@ _FEW = ["accuracy", "spearman", "kendall", "correct"]
 
 
 def _events(spark, sf) -> tuple[DataFrame, DataFrame]:
-    """Labels of users' events, and the normalised Gram of their bags."""
-    return tool_labels(spark, sf), E.normalised_gram(event_bags(spark, sf))
+    """Labels of users' events, and the kernel of their bags."""
+    return tool_labels(spark, sf), V.Kernel(event_bags(spark, sf))
 
 
 @query()
