@@ -136,7 +136,7 @@ def cv_overall(spark, sf):
     lines = written(lines.withColumn("task", F.concat_ws("|", "file", "prop")))
     labels = lines.groupBy("task", F.col("mode").alias("tool")).agg((F.avg("l_tax") < 0.04).cast("int").alias("solve"), F.sum("l_quantity").alias("time"))
     bags = lines.groupBy(F.col("task").alias("graph"), "label").agg(F.count("*").cast("double").alias("cnt"))
-    return E.cross_overall(labels, lines.select("task", "file", "prop").distinct(), E.normalised_gram(bags), 2, (1.0,), ["accuracy", "spearman"])
+    return E.cross_overall(labels, lines.select("task", "file", "prop").distinct(), V.Kernel(bags), 2, (1.0,), ["accuracy", "spearman"])
 
 
 @query()
