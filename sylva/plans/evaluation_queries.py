@@ -227,7 +227,7 @@ def setting_front(spark, sf):
 @query()
 def two_tool_classes(spark, sf):
     """Which of two tools to take, by three machines."""
-    return E.two_tool_classes(tool_labels(spark, sf), E.normalised_gram(event_bags(spark, sf)), "click", "view", 5, (1.0,))
+    return E.two_tool_classes(tool_labels(spark, sf), V.Kernel(event_bags(spark, sf)), "click", "view", 5, (1.0,))
 
 
 @query()
