@@ -234,7 +234,7 @@ def two_tool_classes(spark, sf):
 def kernel_machine_rows(spark, sf):
     """Support tasks and coefficients of the machine of each pair over all tasks."""
     pairs = L.preferences(tool_labels(spark, sf)).where("v <> 0").select("task", "x", "y", "v")
-    return V.fitted(pairs, written(E.normalised_gram(event_bags(spark, sf))), "x", "y", grid=(1.0,)).drop("slope", "shift")
+    return V.fitted(pairs, V.Kernel(event_bags(spark, sf)), "x", "y", grid=(1.0,)).drop("slope", "shift")
 
 
 @query(f"""WITH {_TOOLS}, {_FOLDS}, rate AS (SELECT f.fold, t.tool, avg((t.solve = 1)::INT::DOUBLE) AS rate FROM (SELECT DISTINCT fold FROM folds) f CROSS JOIN tools t JOIN folds o ON o.task = t.task WHERE o.fold <> f.fold GROUP BY ALL)
