@@ -64,6 +64,22 @@ def wl_levels(nodes: DataFrame, edges: DataFrame, h: int, step=wl_relabel) -> Da
     return out
 
 
+def wl_path_bags(paths: DataFrame, h: int, etype: str = "next") -> DataFrame:
+    """(graph, label, cnt): the bags of level h of graphs that are paths, given as (graph, labels: a path's labels in order), each node hearing the one before.
+
+    It is wl_relabel h times, but a node is relabelled from the h labels before it where they stand: rows move once,
+    as whole paths by graph, and no nodes, edges or digests do.
+    """
+    before = lambda k: F.concat(F.array_repeat(F.lit(None).cast("string"), F.least(F.lit(k), F.size("labels"))), F.slice("labels", 1, F.greatest(F.size("labels") - k, F.lit(0))))
+    zipped = F.arrays_zip(F.col("labels").alias("l0"), *[before(k).alias(f"l{k}") for k in range(1, h + 1)])
+    now = paths.repartition("graph").select("graph", F.explode(zipped).alias("at")).select("graph", *[F.col("at")[f"l{k}"].alias(f"l{k}") for k in range(h + 1)])
+    for left in range(h, 0, -1):  # labels of the next level, as far back as the last one needs
+        heard = lambda k: digest(F.concat_ws("_", f"l{k}", digest(F.concat_ws("_", f"l{k + 1}", F.lit(etype)))))
+        step = lambda k: F.when(F.col(f"l{k + 1}").isNull(), digest(F.col(f"l{k}"))).otherwise(heard(k))
+        now = now.select("graph", *[step(k).alias(f"l{k}") for k in range(left)])
+    return now.groupBy("graph", F.col("l0").alias("label")).agg(F.count("*").cast("double").alias("cnt"))
+
+
 def depth_bags(nodes: DataFrame, edges: DataFrame, h: int, depth: int) -> DataFrame:
     """(graph, d, h, label, cnt): bags of all levels 0 to h of the graphs cut at each depth d from 1 to depth, in one job.
 
