@@ -214,7 +214,11 @@ def kernel_components(gram: DataFrame, k: int) -> DataFrame:
 def singular_rows(rows: DataFrame, k: int, tolerance: float = 1e-6, rounds: int = 60) -> tuple[list[float], DataFrame]:
     """The k greatest singular values of a sparse table (row, col, cnt) and (id, x): its rows on the right singular vectors. Residuals are those of the table times itself."""
     m = written(rows.select(F.col("row").alias("i"), F.col("col").alias("j"), F.col("cnt").cast("double").alias("v")))
-    left, right = _placed(m.select(F.col("i").alias("id")).distinct()), _placed(m.select(F.col("j").alias("id")).distinct())
+    left = _placed(m.select(F.col("i").alias("id")).distinct())
+    n = left.count()
+    if n <= BLOCK and n <= m.select("j").distinct().count():
+        return _from_products(m, left, n, k, tolerance, rounds)
+    right = _placed(m.select(F.col("j").alias("id")).distinct())
     wide = min(k + max(8, k // 4), right.count())
     blocks = _blocks(m, left, right)
 
@@ -225,6 +229,41 @@ def singular_rows(rows: DataFrame, k: int, tolerance: float = 1e-6, rounds: int
     return np.sqrt(np.maximum(values, 0.0)).tolist(), _by_id(_times(blocks, x, len(values)), len(values), left)
 
 
+def _from_products(m: DataFrame, left: DataFrame, n: int, k: int, tolerance: float, rounds: int) -> tuple[list[float], DataFrame]:
+    """singular_rows of n rows, BLOCK at most, that have more columns: from the products of the rows, so that no vectors have the columns' length.
+
+    A task adds up the products of its columns, and these n x n numbers are added in PARTS. With the vectors u and values s
+    of the products, rows on the right singular vectors are u s.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((n, n))
+        for batch in batches:
+            places, values = _rows_of(batch, "at"), _rows_of(batch, "v")
+            for start in range(0, len(places), BLOCK):
+                at, v = places[start : start + BLOCK], values[start : start + BLOCK]
+                dense = np.zeros((n, len(at)))
+                np.add.at(dense, (np.concatenate(at), np.repeat(np.arange(len(at)), [len(a) for a in at])), np.concatenate(v))
+                total += dense @ dense.T
+        yield _row(TaskContext.get().partitionId() % PARTS, total)
+
+    def added(table: pa.Table) -> pa.Table:
+        return pa.table({"b": table.column("b")[:1], "x": pa.array([np.sum(table.column("x").to_numpy(), axis=0)], pa.list_(pa.float64()))})
+
+    cells = m.join(F.broadcast(left.select(F.col("id").alias("i"), "at")), "i")  # BLOCK rows
+    columns = cells.groupBy("j").agg(F.collect_list(F.struct("at", "v")).alias("s")).select(F.col("s.at").alias("at"), F.col("s.v").alias("v"))  # BLOCK of a column, if no cell is given twice
+    sums = columns.mapInArrow(run, VECTORS).groupBy("b").applyInArrow(added, VECTORS)
+    whole = written(sums.select(F.posexplode("x").alias("p", "v")).groupBy("p").agg(F.sum("v").alias("v")))
+    place = F.struct(F.lit(0).alias("b"), F.lit(0).alias("c"))
+    cells = F.collect_list(F.struct(F.floor(F.col("p") / n).cast("int").alias("i"), (F.col("p") % n).cast("int").alias("j"), "v"))
+    block = written(whole.groupBy(place.alias("of")).agg(cells.alias("s")).select("of.b", "of.c", F.col("s.i").alias("i"), F.col("s.j").alias("j"), F.col("s.v").alias("v")))  # one block
+    wide = min(k + max(8, k // 4), n)
+    values, x, _ = _invariant(lambda x, factor, less: _times(block, x, wide, factor, less), _drawn(left, wide), min(k, wide), wide, tolerance, rounds)
+    size = np.sqrt(np.maximum(values, 0.0))
+    vectors = _by_id(x, len(values), left)
+    return size.tolist(), vectors.select("id", F.zip_with("x", F.array(*[F.lit(float(v)) for v in size]), lambda a, b: a * b).alias("x"))
+
+
 def scaled(dissimilarity: DataFrame, k: int = 2, rounds: int = 20, tolerance: float = 1e-4) -> tuple[float, DataFrame]:
     """Stress and (id, x): points whose distances follow a whole symmetric table of dissimilarities, each step a join of pairs with points."""
     d = written(dissimilarity.where("i <> j").select("i", "j", "v"))
